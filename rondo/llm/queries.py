@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rondo.llm import compression
+from rondo.llm import compression, rules
 from rondo.llm.common import small_batches, table
 
 
@@ -11,5 +11,10 @@ def op1_compression_quality(spark, sf_dir):
     return compression.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_quality,)}
+def op2_ngram_rules(spark, sf_dir):
+    small_batches(spark)
+    return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_compression_quality, op2_ngram_rules)}
 ORACLES: dict[str, str] = {}
