@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rondo.llm import compression, rules
+from rondo.llm import compression, decontaminate, rules
 from rondo.llm.common import small_batches, table
 
 
@@ -16,5 +16,10 @@ def op2_ngram_rules(spark, sf_dir):
     return rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_quality, op2_ngram_rules)}
-ORACLES: dict[str, str] = {}
+def op5_suffix_automaton(spark, sf_dir):
+    small_batches(spark)
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_compression_quality, op2_ngram_rules, op5_suffix_automaton)}
+ORACLES: dict[str, str] = {"op5_suffix_automaton": decontaminate.ORACLE}
