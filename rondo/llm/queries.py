@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rondo.llm import compression, decontaminate, rules
+from rondo.llm import compression, decontaminate, line_dedup, rules, sharding
 from rondo.llm.common import small_batches, table
 
 
@@ -21,5 +21,13 @@ def op5_suffix_automaton(spark, sf_dir):
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_quality, op2_ngram_rules, op5_suffix_automaton)}
-ORACLES: dict[str, str] = {"op5_suffix_automaton": decontaminate.ORACLE}
+def op4_sampled_splitters(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op10_line_prefix_doubling(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_compression_quality, op2_ngram_rules, op5_suffix_automaton, op4_sampled_splitters, op10_line_prefix_doubling)}
+ORACLES: dict[str, str] = {"op5_suffix_automaton": decontaminate.ORACLE, "op4_sampled_splitters": sharding.ORACLE, "op10_line_prefix_doubling": line_dedup.ORACLE}
