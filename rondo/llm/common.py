@@ -7,6 +7,7 @@ import os
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,7 +46,7 @@ def parts_for(spark: SparkSession, amount: float, each: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(amount / each))
 
 
-def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
+def map_arrow_all(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with dictionaries of columns in place of record batches; columns are cast to ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -53,17 +54,69 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict]], sche
     out = to_arrow_schema(spark_schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for columns in f(batch):
-                arrays = []
-                for field in out:
-                    x = columns[field.name]
-                    arrays.append(x.cast(field.type) if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, field.type))
-                yield pa.RecordBatch.from_arrays(arrays, schema=out)
+        for columns in f(batches):
+            arrays = []
+            for field in out:
+                x = columns[field.name]
+                arrays.append(x.cast(field.type) if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, field.type))
+            yield pa.RecordBatch.from_arrays(arrays, schema=out)
 
     return df.mapInArrow(run, spark_schema)
 
 
+def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
+    """The same for a function of one record batch."""
+    return map_arrow_all(df, lambda batches: (columns for batch in batches for columns in f(batch)), schema)
+
+
+class Counter64:
+    """Counts of 64-bit keys in one task, handed on as rows (key, n) in pieces of bounded size."""
+
+    def __init__(self, least: int = 1, limit: int = 1 << 21):
+        self.least, self.limit, self.size = least, limit, 0
+        self.kept: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray) -> Iterator[dict]:
+        self.kept.append(keys)
+        self.size += len(keys)
+        if self.size >= self.limit:
+            yield from self.flush()
+
+    def flush(self) -> Iterator[dict]:
+        if self.size:
+            keys, n = np.unique(np.concatenate(self.kept), return_counts=True)
+            some = n >= self.least
+            self.kept, self.size = [], 0
+            yield {"key": keys[some].view(np.int64), "n": n[some]}
+
+
+MAX_FILTER_BITS = 28
+
+
+class KeyFilter:
+    """One-probe bit filter of 64-bit keys: lets all keys that it was built from pass, and a few others.
+
+    It holds at most 2**MAX_FILTER_BITS bits, whatever the number of keys; what passes wrongly costs work only.
+    """
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.bits = words, bits
+
+    @classmethod
+    def of(cls, keys: DataFrame, column: str, count: int) -> KeyFilter:
+        bits = int(min(MAX_FILTER_BITS, max(16, math.ceil(math.log2(max(1, count) * 16)))))
+        slot = F.shiftrightunsigned(F.col(column), 64 - bits)
+        rows = keys.select(F.shiftright(slot, 6).alias("w"), F.expr("shiftleft(1L, 0)").alias("one"), (slot.bitwiseAND(F.lit(63))).cast("int").alias("b"))
+        packed = rows.groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("set")).toArrow()
+        words = np.zeros(1 << (bits - 6), np.uint64)
+        words[packed.column("w").to_numpy()] = packed.column("set").to_numpy().view(np.uint64)
+        return cls(words, bits)
+
+    def passes(self, keys: np.ndarray) -> np.ndarray:
+        slot = keys.view(np.uint64) >> np.uint64(64 - self.bits)
+        return (self.words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
 def plus(schema: T.StructType, *fields: tuple[str, str]) -> T.StructType:
     """The schema with these columns at its end; a column of the same name gives way."""
     new = {name for name, _ in fields}
