@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,12 +29,24 @@ def cut(df: DataFrame, name: str = "step") -> DataFrame:
 
     Where that is unset (tests, a notebook), a folder of this machine is used, which fits local mode only.
     """
-    spark = df.sparkSession
+    _checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "rondo-checkpoint")
         sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same cut by a table of Parquet files in that folder, which is smaller on disk."""
+    spark = df.sparkSession
+    _checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
