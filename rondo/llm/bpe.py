@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rondo.llm.common import map_arrow, map_arrow_all, written
+from rondo.llm.common import map_arrow, map_arrow_all, most_frequent, written
 
 #: The tokenizer's split pattern.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
@@ -112,24 +112,13 @@ def _encoder(vocabulary: str) -> Tokenizer:
     return encoder
 
 
-def _hot(table: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """The words counted ``least`` times or more: the smallest power of two for which they fit ``most``."""
-    sizes = {r["level"]: r["words"] for r in table.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("words")).collect()}
-    level = max(sizes, default=0) + 1
-    total = 0
-    while level > 0 and total + sizes.get(level - 1, 0) <= most:
-        level -= 1
-        total += sizes.get(level, 0)
-    return table.where(F.col("n") >= (1 << level)), 1 << level
-
-
 def encoded(docs: DataFrame, path: str, finish, schema: str, hot_words: int = HOT_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``finish(ids, id_text, pieces)`` makes a dictionary of result columns from the ids of each text."""
     spark = docs.sparkSession
     with open(path, encoding="utf-8") as f:  # the driver's own file: the path is a parameter
         vocabulary = spark.sparkContext.broadcast(f.read())  # the tokenizer's file
     table = word_table(docs, vocabulary)
-    hot, least = _hot(table, hot_words)
+    hot, least = most_frequent(table, hot_words)
     rows = hot.select("word", "ids").toArrow()
     shared = spark.sparkContext.broadcast((rows.column("word").to_pylist(), rows.column("ids").to_pylist()))  # hot_words words at most
     encoder = _encoder(vocabulary.value)

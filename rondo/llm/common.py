@@ -49,6 +49,17 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def most_frequent(table: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """The rows counted ``least`` times or more: the smallest power of two for which they fit ``most``."""
+    sizes = {r["level"]: r["words"] for r in table.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("words")).collect()}
+    level = max(sizes, default=0) + 1
+    total = 0
+    while level > 0 and total + sizes.get(level - 1, 0) <= most:
+        level -= 1
+        total += sizes.get(level, 0)
+    return table.where(F.col("n") >= (1 << level)), 1 << level
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Arrow batches of at most ``rows`` rows, so that a batch of long texts fits a worker's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
