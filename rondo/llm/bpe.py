@@ -172,7 +172,7 @@ def encoded(docs: DataFrame, path: str, finish, schema: str, hot_words: int = HO
     return map_arrow_all(both, run, schema)
 
 
-def _digest(ids: list[int], number: list[str], piece: list[str]) -> dict:
+def text_digest(ids: list[int], number: list[str], piece: list[str]) -> dict:
     return {
         "n_tokens": len(ids),
         "ids_sha256": hashlib.sha256(" ".join([number[i] for i in ids]).encode()).hexdigest(),
@@ -182,7 +182,7 @@ def _digest(ids: list[int], number: list[str], piece: list[str]) -> dict:
 
 def digest(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
     """op9: (doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    return encoded(docs, path, _digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", hot_words)
+    return encoded(docs, path, text_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", hot_words)
 
 
 def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:

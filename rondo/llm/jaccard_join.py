@@ -302,7 +302,7 @@ def similar(docs: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """One document of each component stays: the one whose id names it. Null ids stay."""
-    keep = similar(docs).where("doc_id = component_id").select("doc_id").distinct()
+    keep = similar(docs).where("doc_id = component_id").select("doc_id").distinct().hint("shuffle_hash")
     return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
 
 
