@@ -1,4 +1,5 @@
 """All queries and their SQL, by name."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from rondo.plans.queries import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
