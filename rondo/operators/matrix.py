@@ -177,10 +177,21 @@ def sign_guard(updates: DataFrame, low: float = 0.1, high: float = 3.0, share: f
     return per_round(updates, _vector(run), _COORDS)
 
 
-def _searched(updates: DataFrame, within: Callable[[np.ndarray, np.ndarray], bool], gamma: float, stop: float) -> DataFrame:
+#: The direction in which the benign mean is moved.
+DIRECTIONS = {
+    "unit": lambda benign: benign.mean(0) / (np.linalg.norm(benign.mean(0)) + 1e-12),
+    "sign": lambda benign: np.sign(benign.mean(0)),
+    "std": lambda benign: benign.std(0),
+}
+
+
+def _searched(updates: DataFrame, within: Callable[[np.ndarray, np.ndarray], bool], direction: str, gamma: float, stop: float) -> DataFrame:
+    """Halving search for the largest move along the direction that stays within the benign bound."""
+    towards = DIRECTIONS[direction]
+
     def run(m: np.ndarray, bad: np.ndarray, number: int) -> np.ndarray:
         benign = m[~bad]
-        mu, dev = benign.mean(0), benign.std(0)
+        mu, dev = benign.mean(0), towards(benign)
         lam, step, best = gamma, gamma, 0.0
         while abs(best - lam) > stop:
             step /= 2
@@ -193,14 +204,14 @@ def _searched(updates: DataFrame, within: Callable[[np.ndarray, np.ndarray], boo
     return per_round(updates, _vector(run), _COORDS)
 
 
-def min_max(updates: DataFrame, gamma: float = 10.0, stop: float = 1e-5) -> DataFrame:
-    """The benign mean less the largest multiple of the deviation that is no further from any benign row than they are from each other."""
-    return _searched(updates, lambda b, v: np.linalg.norm(b - v, axis=1).max() <= distances(b).max(), gamma, stop)
+def min_max(updates: DataFrame, direction: str = "unit", gamma: float = 10.0, stop: float = 1e-5) -> DataFrame:
+    """The benign mean less the largest multiple of the direction that is no further from any benign row than they are from each other."""
+    return _searched(updates, lambda b, v: np.linalg.norm(b - v, axis=1).max() <= distances(b).max(), direction, gamma, stop)
 
 
-def min_sum(updates: DataFrame, gamma: float = 10.0, stop: float = 1e-5) -> DataFrame:
+def min_sum(updates: DataFrame, direction: str = "unit", gamma: float = 10.0, stop: float = 1e-5) -> DataFrame:
     """The same with sums of squared distances."""
-    return _searched(updates, lambda b, v: ((b - v) ** 2).sum() <= (distances(b) ** 2).sum(1).max(), gamma, stop)
+    return _searched(updates, lambda b, v: ((b - v) ** 2).sum() <= (distances(b) ** 2).sum(1).max(), direction, gamma, stop)
 
 
 def fang(updates: DataFrame, stop: float = 1e-5) -> DataFrame:
