@@ -18,6 +18,7 @@ from rondo.operators import metrics as E
 from rondo.operators import partitioners as P
 from rondo.operators import perturbations as M
 from rondo.sources import fixtures as S
+from rondo.streaming import rounds as T
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
@@ -253,3 +254,18 @@ query(
     "attack_report_cube", lambda spark, d: rounded(E.attack_report(S.updates(spark, d).select(F.concat(F.lit("a"), F.col("round") % 3).alias("attack"), F.concat(F.lit("d"), F.col("client_id") % 4).alias("defense"), F.get("vec", 0).alias("value")))),
     f"WITH {S.UPDATES_SQL} SELECT 'a' || (round % 3) AS attack, 'd' || (client_id % 4) AS defense, round(avg(vec[1]), 6) + 0.0 AS value, count(*) AS n FROM u GROUP BY CUBE ('a' || (round % 3), 'd' || (client_id % 4))",
 )
+
+
+# streams
+def _running_centre(spark, d: str) -> DataFrame:
+    rows = T.streamed(spark, d, "embeddings")
+    client = (F.col("vec_id") % S.CLIENTS).cast("int")
+    updates = rows.select(F.lit(0).alias("run"), F.floor(F.col("vec_id") / S.CLIENTS).cast("int").alias("round"), client.alias("client_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return rounded(T.drained(T.centred_clipping(updates, 3.0), "append"))
+
+
+query("stream_centered_clip", _running_centre)
+query(
+    "stream_event_windows", lambda spark, d: rounded(T.drained(T.event_windows(T.streamed(spark, d, "events")), "complete")),
+    "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY ALL",
+)
