@@ -24,13 +24,7 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus
 
 
-def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
-
-    Where that is unset (tests, a notebook), a folder of this machine is used, which fits local mode only.
-    """
-    _checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+written = cut
 
 
 def _checkpoint_dir(spark: SparkSession) -> None:
@@ -40,8 +34,12 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The same cut by a table of Parquet files in that folder, which is smaller on disk."""
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts the lineage by a table of Parquet files in the folder that ``spark.checkpoint.dir`` names.
+
+    Every executor reads it, so a lost one costs its running tasks only; its size is known to the planner.
+    Where the setting is unset (tests, a notebook), a folder of this machine is used, which fits local mode only.
+    """
     spark = df.sparkSession
     _checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"

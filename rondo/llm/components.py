@@ -11,20 +11,20 @@ from rondo.llm.common import cut
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of the edges (a, b); the component is its least node.
 
-    A round maps each node to the least of itself and its neighbours, follows these links twice and contracts
-    the edges; the rounds end when no edge is left. Only edges and nodes are shuffled, each round cut by a
-    checkpoint.
+    A round maps each node to the least of itself and its neighbours, follows these links to their ends by
+    doubling and contracts the edges; the rounds end when no edge is left. Only edges and nodes are shuffled, each round cut by a
+    written table.
     """
     left = cut(edges.select("a", "b").where("a <> b").distinct())
     found = None
     while True:
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         parent = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("up"))
-        parent = cut(parent)
-        for _ in range(2):
+        parent, moved = cut(parent), True
+        while moved:
             above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            parent = parent.join(above, "up").select("node", F.col("top").alias("up"))
-        parent = cut(parent)
+            jumped = cut(parent.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            parent, moved = jumped.drop("moved"), not jumped.where("moved").isEmpty()
         if found is None:
             found = parent.withColumnRenamed("up", "component")
         else:

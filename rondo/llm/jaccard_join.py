@@ -11,7 +11,8 @@ order: shingles seen often come last, then by hash. Two sets can only be similar
 3. Group pairs that share a prefix shingle are filtered by size and position, then their centres verified.
    As distance is a metric, groups of radius r1 and r2 whose centres are further than 0.2 + r1 + r2 apart
    have no similar members; that settles almost all pairs.
-4. What is left and not connected yet is expanded: members that share a prefix shingle are verified.
+4. What is left and not connected yet is expanded: the members' differences from the centre are compared in
+   blocks of bounded size, which gives their exact intersections.
 
 So every similar pair is either verified, or inside one group, or between groups already connected by verified
 links: the components are exact. Only prefix shingles found twice are shuffled; sets only of nodes to verify.
@@ -27,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -171,11 +173,10 @@ def postings(docs: DataFrame, order: Order) -> DataFrame:
     return cut(rows.distinct())
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with n_a, n_b and the size of their intersection; moves the sets of their nodes only."""
+def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, own): the packed shingles of the nodes asked for."""
     spark = docs.sparkSession
-    asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    one = cut(nodes.join(asked, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("node", F.xxhash64("doc_id").alias("key")))
+    one = cut(nodes.join(asked.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("node", F.xxhash64("doc_id").alias("key")))
     passes = spark.sparkContext.broadcast(KeyFilter.of(one, "key", one.count()))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -185,27 +186,96 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             yield {"key": batch.column(0).slice(rows.start, len(rows)), "node": [signature(x) for x in sets], "own": [_pack(x) for x in sets]}
 
     found = map_arrow(docs.select(F.xxhash64("doc_id").alias("key"), "text"), run, "key long, node long, own binary")
-    sets = found.join(one, ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", "own")
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
+    return found.join(one, ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", "own")
+
+
+def _meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of x are in y."""
+    if not len(y):
+        return np.zeros(len(x), bool)
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x
+
+
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) with n_a, n_b and the size of their intersection; moves the sets of their nodes only."""
+    sets = _sets(docs, nodes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
 
     def meet(batch: pa.RecordBatch) -> Iterator[dict]:
         last, x = None, None
         out = {k: [] for k in ("na", "nb", "common")}
-        for k in range(len(batch)):
-            own, other = batch.column(2)[k].as_py(), batch.column(3)[k].as_py()
-            if own is not last and own != last:
+        for own, other in zip(batch.column(2), batch.column(3), strict=True):
+            own, y = own.as_py(), _unpack(other.as_py())
+            if own != last:
                 last, x = own, _unpack(own)
-            y = _unpack(other)
             small, large = (x, y) if len(x) < len(y) else (y, x)
-            at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-            out["na"].append(len(x))
-            out["nb"].append(len(y))
-            out["common"].append(int((large[at] == small).sum()))
+            for name, v in (("na", len(x)), ("nb", len(y)), ("common", int(_meet(small, large).sum()))):
+                out[name].append(v)
         yield {"a": batch.column(0), "b": batch.column(1)} | out
 
     return cut(map_arrow(both.select("a", "b", "x", "y"), meet, "a long, b long, na long, nb long, common long"))
 
 
+#: Members of either side in a block of the expansion.
+BLOCK = 2000
+
+
+def _expanded(docs: DataFrame, nodes: DataFrame, near: DataFrame, home: DataFrame) -> DataFrame:
+    """Links (a, b) between the members of ``ga`` and of ``gb``: one for each member of gb that has any.
+
+    All members of ga are linked with its centre, so a set is what it lacks of the centre and what it has
+    besides. Two sets' intersection follows from the sizes and the differences they share; these are counted block by block, so a
+    member moves once for each block of the other side and no table of pairs is made.
+    """
+    sides = near.select(F.col("ga").alias("g"), F.col("ga").alias("group"), F.lit(True).alias("inner")).distinct()
+    sides = sides.unionByName(near.select(F.col("ga").alias("g"), F.col("gb").alias("group"), F.lit(False).alias("inner")).distinct())
+    asked = cut(sides.join(home, "group").select("g", "node", "inner"))
+    sets = _sets(docs, nodes, asked.select("node").unionByName(asked.select(F.col("g").alias("node"))))
+    both = asked.join(sets, "node").join(sets.select(F.col("node").alias("g"), F.col("own").alias("centre")), "g")
+
+    def differ(batch: pa.RecordBatch) -> Iterator[dict]:
+        out = {k: [] for k in ("n", "nc", "extra", "miss")}
+        for own, centre in zip(batch.column(3), batch.column(4), strict=True):
+            x, c = _unpack(own.as_py()), _unpack(centre.as_py())
+            for name, v in (("n", len(x)), ("nc", len(c)), ("extra", x[~_meet(x, c)].tobytes()), ("miss", c[~_meet(c, x)].tobytes())):
+                out[name].append(v)
+        yield {"g": batch.column(0), "node": batch.column(1), "inner": batch.column(2)} | out
+
+    rows = cut(map_arrow(both.select("g", "node", "inner", "own", "centre"), differ, "g long, node long, inner boolean, n long, nc long, extra binary, miss binary"))
+    sizes = rows.groupBy("g").agg(F.ceil(F.count_if("inner") / BLOCK).alias("ka"), F.ceil(F.count_if(~F.col("inner")) / BLOCK).alias("kx")).where("ka > 0 and kx > 0")
+    mine = F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("ka")).otherwise(F.col("kx")))
+    rows = rows.join(sizes, "g").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("inner"), F.col("kx")).otherwise(F.col("ka")) - 1)))
+    rows = rows.withColumn("ba", F.when(F.col("inner"), F.col("mine")).otherwise(F.col("other"))).withColumn("bx", F.when(F.col("inner"), F.col("other")).otherwise(F.col("mine")))
+
+    def block(table: pa.Table) -> pa.Table:
+        inner = table.column("inner").combine_chunks()
+        side = []
+        for part in (table.filter(inner), table.filter(pa.compute.invert(inner))):
+            extra = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("extra")]
+            miss = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("miss")]
+            token = np.concatenate([np.zeros(0, np.uint64), *(np.append(e, ~m) for e, m in zip(extra, miss, strict=True))])
+            owner = np.repeat(np.arange(len(extra)), [len(e) + len(m) for e, m in zip(extra, miss, strict=True)])
+            side.append((part.column("node").to_numpy(), part.column("n").to_numpy(), np.array([len(m) for m in miss], np.int64), token, owner))
+        (a, na, ma, ta, oa), (x, nx, mx, tx, ox) = side
+        links: list[tuple[int, int]] = []
+        if len(a) and len(x):
+            nc = table.column("nc")[0].as_py()
+            order = np.argsort(tx, kind="stable")
+            tx, ox = tx[order], ox[order]
+            low, high = np.searchsorted(tx, ta, "left"), np.searchsorted(tx, ta, "right")
+            shared = np.zeros(len(a) * len(x), np.int64)
+            for k in range(0, len(ta), 20_000):
+                many = high[k : k + 20_000] - low[k : k + 20_000]
+                at = np.repeat(low[k : k + 20_000] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                shared += np.bincount(np.repeat(oa[k : k + 20_000], many) * len(x) + ox[at], minlength=len(shared))
+            common = nc - ma[:, None] - mx[None, :] + shared.reshape(len(a), len(x))
+            ok = 100 * common >= PERCENT * (na[:, None] + nx[None, :] - common)
+            links = [(int(a[ok[:, j].argmax()]), int(x[j])) for j in np.flatnonzero(ok.any(0))]
+        return pa.table({"a": pa.array([p for p, _ in links], pa.int64()), "b": pa.array([q for _, q in links], pa.int64())})
+
+    return rows.select("g", "ba", "bx", "inner", "node", "n", "nc", "extra", "miss").groupBy("g", "ba", "bx").applyInArrow(block, "a long, b long")
+
+
 _PACKED = 5
 
 
@@ -244,9 +314,11 @@ def similar(docs: DataFrame) -> DataFrame:
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / PERCENT))).cast("int")
     post_b = post.withColumn("band", band)
     rank = F.col("rare") * F.lit(1 << 40) + F.pmod("node", F.lit(1 << 40))
-    centre = post_b.groupBy("token", "band").agg(F.min_by("node", rank).alias("a"), F.min_by("n", rank).alias("an"), F.count("*").alias("many")).where("many > 1")
-    stars = post_b.join(centre, ["token", "band"]).where((F.col("a") != F.col("node")) & _sizes_fit(F.col("n"), F.col("an")))
-    stars = cut(stars.select("a", F.col("node").alias("b")).distinct())
+    centre = post_b.groupBy("token", "band").agg(*[F.min_by(c, rank).alias(f"x_{c}") for c in ("node", "n", "pos")], F.count("*").alias("many")).where("many > 1").drop("many")
+    own = post_b.select("token", "band", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos")])
+    stars = own.join(centre, ["token", "band"]).where((F.col("x_node") != F.col("y_node")) & _sizes_fit(F.col("x_n"), F.col("y_n")))
+    stars = stars.groupBy("x_node", "y_node", "x_n", "y_n").agg(_positions_fit("x", "y").alias("fit")).where("fit")
+    stars = cut(stars.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
     checked = verified(docs, nodes, stars)
     links = checked.where(_LINKED).select("a", "b")
     group = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("group"))
@@ -274,26 +346,21 @@ def similar(docs: DataFrame) -> DataFrame:
     second = verified(docs, nodes, pairs.select("a", "b"))
     more = second.where(_LINKED).select("a", "b")
     # 4. groups of several members whose centres are near, yet not connected
-    known = second.select("a", "b", "na", "nb", "common").unionByName(checked.select("a", "b", "na", "nb", "common"))
-    near = known.where(_NEAR).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    grouped = named.where(F.col("node") != F.col("group")).select(F.col("group").alias("g")).distinct()
-    near = near.join(grouped.select(F.col("g").alias("a"), F.lit(True).alias("fa")), "a", "left").join(grouped.select(F.col("g").alias("b"), F.lit(True).alias("fb")), "b", "left").where("fa or fb").select("a", "b")
     links = cut(links.unionByName(more))
     comp = components(links)
+    full = named.where(F.col("node") != F.col("group")).select(F.col("group").alias("g")).distinct()
     at = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    # a node of stars that missed its centre stands for itself
-    home = named.select("node", "group").distinct()
-    near = near.join(home.select(F.col("node").alias("a"), F.col("group").alias("ga")), "a").join(home.select(F.col("node").alias("b"), F.col("group").alias("gb")), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))
-    near = near.where("a <> b").join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(F.least("a", "b").alias("ga"), F.greatest("a", "b").alias("gb")).distinct()
-    near = cut(near)
+    home = cut(named.select("node", "group").distinct())
+    of = lambda side: home.select(F.col("node").alias(side), F.col("group").alias(f"g{side}"))
+    near = checked.unionByName(second).where(_NEAR).join(of("a"), "a").join(of("b"), "b").where("a = ga and b = gb")
+    near = near.join(full.select(F.col("g").alias("a"), F.lit(True).alias("fa")), "a", "left").join(full.select(F.col("g").alias("b"), F.lit(True).alias("fb")), "b", "left")
+    near = near.where("fa or fb").where(f"(fa and fb) or 100 * common >= {PERCENT - (100 - PERCENT)} * {_UNION}")
+    near = near.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
+    near = cut(near.select(F.when(F.col("fa"), F.col("a")).otherwise(F.col("b")).alias("ga"), F.when(F.col("fa"), F.col("b")).otherwise(F.col("a")).alias("gb")).distinct())
     if not near.isEmpty():
-        one = named.select("token", "group", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "pos")])
-        two = named.select("token", "group", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos")])
-        members = near.join(one.withColumnRenamed("group", "ga"), "ga").join(two.withColumnRenamed("group", "gb"), ["gb", "token"]).where(_sizes_fit(F.col("x_n"), F.col("y_n")))
-        members = members.groupBy("x_node", "y_node", "x_n", "y_n").agg(_positions_fit("x", "y").alias("fit")).where("fit").select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
-        third = verified(docs, nodes, cut(members))
-        links = links.unionByName(third.where(_LINKED).select("a", "b"))
-        comp = components(links)
+        third = cut(_expanded(docs, nodes, near, home))
+        if not third.isEmpty():
+            comp = components(links.unionByName(third))
     named_doc = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named_doc.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
     out = named_doc.join(least, "component", "left")
