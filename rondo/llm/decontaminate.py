@@ -141,10 +141,10 @@ def _automata(benchmark: DataFrame, window: int, block_words: int) -> Iterator[A
         yield Automaton(sorted(own, key=lambda x: (x[0] or "", len(x[1]))), window)
 
 
-def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS) -> DataFrame:
+def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_words: int = BLOCK_WORDS, names: tuple[str, str, str] = ("n_words", "hit_words", "item_ids")) -> DataFrame:
     """The documents with n_words, ``hit_words`` (indices of the words hit, ascending) and ``item_ids``."""
     spark = docs.sparkSession
-    schema = plus(docs.schema, ("n_words", "long"), ("hit_words", "array<int>"), ("item_ids", "array<string>"))
+    schema = plus(docs.schema, *zip(names, ("long", "array<int>", "array<string>"), strict=True))
     out = docs
     for k, automaton in enumerate(_automata(benchmark, window, block_words)):
         shared = spark.sparkContext.broadcast(automaton)
@@ -160,12 +160,12 @@ def match(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_wor
                 items = [set() for _ in rows]
                 own = batch.slice(rows.start, len(rows))
                 if more:
-                    hit = [set(x) for x in own.column("hit_words").to_pylist()]
-                    items = [set(x) for x in own.column("item_ids").to_pylist()]
+                    hit = [set(x) for x in own.column(names[1]).to_pylist()]
+                    items = [set(x) for x in own.column(names[2]).to_pylist()]
                 for doc, a, b, found in automaton.hits(words):
                     hit[doc].update(range(a - int(first[doc]), b - int(first[doc])))
                     items[doc].update(x for x in found if x is not None)
-                yield through(own, {"n_words": count, "hit_words": pa.array([sorted(x) for x in hit], pa.list_(pa.int32())), "item_ids": pa.array([sorted(x) for x in items], pa.list_(pa.string()))})
+                yield through(own, {names[0]: count, names[1]: pa.array([sorted(x) for x in hit], pa.list_(pa.int32())), names[2]: pa.array([sorted(x) for x in items], pa.list_(pa.string()))})
 
         out = map_arrow(out, run, schema)
         if k % 4 == 3:
@@ -179,9 +179,10 @@ def remove(docs: DataFrame, benchmark: DataFrame, max_coverage: float = MAX_COVE
     A text that would lose more than ``max_coverage`` of its words is left out whole. ``n_chars``, where the
     table has it, follows the text.
     """
-    found = match(docs, benchmark, window)
-    found = found.where(F.size("hit_words") <= max_coverage * F.col("n_words"))
-    text, at = found.columns.index("text"), found.columns.index("hit_words")
+    names = ("_n_words", "_hit_words", "_item_ids")
+    found = match(docs, benchmark, window, names=names)
+    found = found.where(F.size(names[1]) <= max_coverage * F.col(names[0]))
+    text, at = found.columns.index("text"), found.columns.index(names[1])
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         for rows, data, offs in bs.slices(batch.column(text)):
@@ -199,8 +200,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, max_coverage: float = MAX_COVE
                         new[i] = data[offs[i] : offs[i + 1]][~gone].tobytes().decode()
             yield through(own, {"text": pa.array(new, pa.string())})
 
-    names = found.columns
-    out = map_arrow(found, run, found.schema).select(*[x for x in names if x in docs.columns and x not in ("n_words", "hit_words", "item_ids")])
+    order = [F.col(c) for c in docs.columns]
+    out = map_arrow(found, run, plus(found.schema, ("text", "string"))).select(*order)
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text")).otherwise(F.col("n_chars"))) if "n_chars" in out.columns else out
 
 
