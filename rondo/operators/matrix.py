@@ -230,12 +230,16 @@ def fang(updates: DataFrame, stop: float = 1e-5) -> DataFrame:
     return per_round(updates, _vector(run), _COORDS)
 
 
-def hdbscan(d: np.ndarray, least: int, single: bool = False) -> np.ndarray:
-    """Clusters of a distance matrix: mutual reachability, minimum spanning tree, condensed tree by stability."""
+def hdbscan(d: np.ndarray, least: int, single: bool = False, samples: int | None = None) -> np.ndarray:
+    """Clusters of a distance matrix: mutual reachability, minimum spanning tree, condensed tree by stability.
+
+    ``least`` is the size of the smallest cluster, ``samples`` (the same if not given) the neighbours that a
+    core distance spans.
+    """
     n = len(d)
     if n < 2:
         return np.zeros(n, int) if single else np.full(n, -1)
-    core = np.sort(d, 1)[:, min(least, n) - 1]
+    core = np.sort(d, 1)[:, min(samples or least, n) - 1]
     reach = np.maximum(d, np.maximum(core[:, None], core[None]))
     inside, best, via = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int)
     now, edges = 0, []
@@ -320,6 +324,40 @@ def auror(updates: DataFrame, start: int = 36, threshold: float = 0.002) -> Data
     return per_round(updates, _vector(run), _COORDS)
 
 
+@register
+def deep_sight(updates: DataFrame, start: int = 36, classes: int = 4, width: int = 6, tau: float = 1 / 3, seeds: int = 3, samples: int = 200, eps: float = 1e-6) -> DataFrame:
+    """Clusters met from output-layer energies, output ratios on random inputs and bias cosines; clusters with few suspects stay.
+
+    The output layer is the model: the ratios compare each client's linear scores with those of the round's mean.
+    """
+
+    def run(m: np.ndarray, bad: np.ndarray, number: int) -> np.ndarray:
+        split = start + classes * width
+        weight, bias = m[:, start:split].reshape(len(m), classes, width), m[:, split : split + classes]
+        energy = (np.abs(bias) + np.abs(weight).sum(2)) ** 2
+        neup = energy / np.maximum(energy.sum(1, keepdims=True), 1e-12)
+        over = (neup > max(0.01, 1 / classes) * neup.max(1, keepdims=True)).sum(1)
+        apart = lambda label: (label[:, None] != label[None]).astype(float)
+        clustered = lambda d: apart(hdbscan(d, 5, samples=3))
+        ratios = []
+        for seed in range(seeds):
+            x = np.random.default_rng((seed, number)).random((samples, width))
+            whole = x @ weight.mean(0).T + bias.mean(0)
+            ratios.append(clustered(distances(((np.einsum("sw,ncw->nsc", x, weight) + bias[:, None]) / (whole + eps)).mean(1))))
+        joined = np.mean([np.mean(ratios, 0), clustered(distances(neup)), clustered(_cosine_distances(bias))], 0)
+        label = hdbscan(joined, 5, True, 3)
+        suspect = over <= np.median(over) / 2
+        kept = np.zeros(len(m), bool)
+        for k in range(label.max() + 1):
+            if suspect[label == k].sum() < tau * (label == k).sum():
+                kept |= label == k
+        kept = kept if kept.any() else np.ones(len(m), bool)
+        norm = np.linalg.norm(m, axis=1)
+        return (m[kept] * np.minimum(1, np.median(norm) / (norm[kept] + 1e-6))[:, None]).mean(0)
+
+    return per_round(updates, _vector(run), _COORDS)
+
+
 @register
 def my_defense(updates: DataFrame, f: int = 10, clip: float = 10.0, votes: int = 5, seed: int = 3) -> DataFrame:
     """Sanitised (non-finite to 0, clipped at ten median norms), voted on by spectral scores, averaged by the layer of survivors."""

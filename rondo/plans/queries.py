@@ -94,7 +94,7 @@ on_updates(
     ", root AS (SELECT round, vec AS root FROM u WHERE client_id = 49), t AS (SELECT u.round, client_id, sqrt(list_inner_product(vec, vec)) AS norm, sqrt(list_inner_product(root, root)) AS rn, greatest(0.0, list_inner_product(vec, root) / (sqrt(list_inner_product(vec, vec)) * sqrt(list_inner_product(root, root)))) AS trust FROM u JOIN root USING (round))"
     ", w AS (SELECT round, client_id, CASE WHEN sum(trust) OVER (PARTITION BY round) > 1e-9 THEN trust / sum(trust) OVER (PARTITION BY round) ELSE 1.0 / count(*) OVER (PARTITION BY round) END * rn / norm AS w FROM t) SELECT l.round, coord, " + _VALUE.format("sum(w * value)") + " FROM l JOIN w USING (round, client_id) GROUP BY ALL",
 )
-for _name, _f in (("bulyan", X.bulyan), ("dnc", X.dnc), ("simple_clustering", lambda u: X.simple_clustering(u, eps=9.0)), ("signguard", X.sign_guard), ("flame", X.flame), ("auror", X.auror), ("mydefense", X.my_defense), ("minmax", X.min_max), ("minsum", X.min_sum), ("fang", X.fang)):
+for _name, _f in (("bulyan", X.bulyan), ("dnc", X.dnc), ("simple_clustering", lambda u: X.simple_clustering(u, eps=9.0)), ("signguard", X.sign_guard), ("flame", X.flame), ("deepsight", X.deep_sight), ("auror", X.auror), ("mydefense", X.my_defense), ("minmax", X.min_max), ("minsum", X.min_sum), ("fang", X.fang)):
     on_updates(_name, _f)
 for _name in X.CLUSTERINGS:
     on_updates(f"{_name}_labels", lambda u, m=_name: X.cluster_labels(u, m, 9.0))
@@ -257,14 +257,14 @@ query(
 
 
 # streams
-def _running_centre(spark, d: str) -> DataFrame:
+def _update_stream(spark, d: str) -> DataFrame:
     rows = T.streamed(spark, d, "embeddings")
     client = (F.col("vec_id") % S.CLIENTS).cast("int")
-    updates = rows.select(F.lit(0).alias("run"), F.floor(F.col("vec_id") / S.CLIENTS).cast("int").alias("round"), client.alias("client_id"), F.col("embedding").cast("array<double>").alias("vec"))
-    return rounded(T.drained(T.centred_clipping(updates, 3.0), "append"))
+    return rows.select(F.lit(0).alias("run"), F.floor(F.col("vec_id") / S.CLIENTS).cast("int").alias("round"), client.alias("client_id"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
-query("stream_centered_clip", _running_centre)
+query("stream_centered_clip", lambda spark, d: rounded(T.drained(T.centred_clipping(_update_stream(spark, d), 3.0), "append")))
+query("stream_detector", lambda spark, d: rounded(T.drained(T.detector(_update_stream(spark, d)), "append")))
 query(
     "stream_event_windows", lambda spark, d: rounded(T.drained(T.event_windows(T.streamed(spark, d, "events")), "complete")),
     "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY ALL",

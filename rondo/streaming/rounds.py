@@ -74,3 +74,92 @@ def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+
+
+def curvature_product(weights: np.ndarray, gradients: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The compact L-BFGS product B v; ``weights`` and ``gradients`` hold one difference a row, the last the newest.
+
+    B = s I - [s W' G'] M^-1 [s W; G] with M = [[s W W', L], [L', -D]], D the diagonal and L the strictly lower
+    part of W G'.
+    """
+    wg = weights @ gradients.T
+    s = float(gradients[-1] @ weights[-1]) / (float(weights[-1] @ weights[-1]) + 1e-12)
+    lower = np.tril(wg, -1)
+    m = np.block([[s * (weights @ weights.T), lower], [lower.T, -np.diag(np.diag(wg))]])
+    rhs = np.concatenate([s * (weights @ v), gradients @ v])
+    try:
+        solved = np.linalg.solve(m, rhs)
+    except np.linalg.LinAlgError:
+        solved = np.linalg.solve(m + 1e-6 * np.eye(len(m)), rhs)
+    return s * v - np.concatenate([s * weights, gradients]).T @ solved
+
+
+def _scatter(x: np.ndarray, k: int, r: np.random.Generator) -> tuple[np.ndarray, float]:
+    """Best labels of k means on numbers, and the sum of squared distances to their centres."""
+    best = (np.zeros(len(x), int), np.inf)
+    for _ in range(10):
+        centres = r.choice(x, k, replace=False)
+        for _ in range(30):
+            label = np.abs(x[:, None] - centres[None]).argmin(1)
+            new = np.array([x[label == j].mean() if (label == j).any() else centres[j] for j in range(k)])
+            if np.allclose(new, centres):
+                break
+            centres = new
+        cost = float(((x - centres[label]) ** 2).sum())
+        if cost < best[1]:
+            best = (label, cost)
+    return best
+
+
+def gap_clusters(score: np.ndarray, most: int = 10, samples: int = 20, seed: int = 0) -> int:
+    """The gap statistic's number of clusters of scores scaled to [0, 1]."""
+    r = np.random.default_rng(seed)
+    x = (score - score.min()) / max(float(np.ptp(score)), 1e-12)
+    most = min(most, len(np.unique(x)))
+    gap, spread = [], []
+    for k in range(1, most + 1):
+        own = np.log(max(_scatter(x, k, r)[1], 1e-12))
+        other = [np.log(max(_scatter(r.random(len(x)), k, r)[1], 1e-12)) for _ in range(samples)]
+        gap.append(np.mean(other) - own)
+        spread.append(np.std(other) * np.sqrt(1 + 1 / samples))
+    for k in range(1, most):
+        if gap[k - 1] >= gap[k] - spread[k]:
+            return k
+    return max(1, most)
+
+
+def detector(updates: DataFrame, window: int = 3, start: int = 0) -> DataFrame:
+    """(run, round, coord, value): the mean of the clients whose updates follow the predicted ones.
+
+    A client's update is predicted as its last one plus the curvature times the last aggregate; the distances,
+    normalised in a round and averaged over ``window`` rounds, are split in two where the gap statistic sees
+    clusters, and the cluster of lower distance is kept. The state is the last ``window`` rounds' vectors.
+    """
+
+    def step(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(groups)).sort_values(["round", "client_id"])
+        last, vector, weights, gradients, scores = (np.array(x) for x in state.get) if state.exists else (np.zeros(0),) * 5
+        out = []
+        for number, own in rows.groupby("round"):
+            m = np.stack(own["vec"].to_numpy())
+            n, d = m.shape
+            vector = vector if len(vector) else np.zeros(d)
+            w, g, s = weights.reshape(-1, d), gradients.reshape(-1, d), scores.reshape(-1, n)
+            kept = np.ones(n, bool)
+            if len(last) and number - start > window and len(w):
+                gone = np.linalg.norm(last.reshape(n, d) + curvature_product(w, g, vector) - m, axis=1)
+                s = np.concatenate([s, (gone / (gone.sum() + 1e-12))[None]])[-window - 1 :]
+            if len(s) > window:
+                mean = s[-window:].mean(0)
+                if gap_clusters(mean) >= 2:
+                    label = _scatter(mean, 2, np.random.default_rng(0))[0]
+                    kept = label == int(mean[label == 0].mean() > mean[label == 1].mean())
+            new = m[kept].mean(0)
+            w, g = np.concatenate([w, new[None]])[-window:], np.concatenate([g, (new - vector)[None]])[-window:]
+            last, vector, weights, gradients, scores = m.ravel(), new, w.ravel(), g.ravel(), s.ravel()
+            out.append(pd.DataFrame({"run": key[0], "round": number, "coord": np.arange(d), "value": new}))
+        state.update(tuple(x.tolist() for x in (last, vector, weights, gradients, scores)))
+        yield pd.concat(out)
+
+    kept = ", ".join(f"{c} array<double>" for c in ("last", "vector", "weights", "gradients", "scores"))
+    return updates.groupBy("run").applyInPandasWithState(step, "run int, round int, coord int, value double", kept, "append", GroupStateTimeout.NoTimeout)

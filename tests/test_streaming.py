@@ -19,3 +19,24 @@ def test_running_centre_over_batches(spark, tmp_path):
     assert np.allclose([got[0, c] for c in range(5)], centre)
     one = spark.createDataFrame([(0, c, "benign", m[0, c].tolist()) for c in range(6)], "round int, client_id int, role string, vec array<double>")
     assert np.allclose([x["value"] for x in A.centered_clipping(one, 1.0).orderBy("coord").collect()], centre)
+
+
+def test_detector_drops_erratic_clients(spark, tmp_path):
+    r = np.random.default_rng(5)
+    base = r.normal(0, 1, 8)
+    rows = []
+    for k in range(9):
+        for c in range(20):
+            v = base * (1 - 0.05 * k) + r.normal(0, 0.01, 8) if c >= 4 else r.normal(0, 5, 8)
+            rows.append((0, k, c, v.tolist()))
+    schema = "run int, round int, client_id int, vec array<double>"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in.parquet"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in.parquet"))
+    last = [x["value"] for x in T.drained(T.detector(stream), "append").where("round = 8").orderBy("coord").collect()]
+    assert np.abs(np.array(last) - base * 0.6).max() < 0.05
+
+
+def test_curvature_of_a_quadratic():
+    h = np.diag([1.0, 2.0, 3.0])
+    w = np.eye(3)
+    assert np.allclose(T.curvature_product(w, w @ h, np.array([1.0, 1.0, 1.0])), [1, 2, 3])
