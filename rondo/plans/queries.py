@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from rondo.operators import matrix as X
 from rondo.operators import metrics as E
 from rondo.operators import partitioners as P
 from rondo.operators import perturbations as M
+from rondo.operators import training as R
 from rondo.sources import fixtures as S
 from rondo.streaming import rounds as T
 
@@ -269,3 +271,26 @@ query(
     "stream_event_windows", lambda spark, d: rounded(T.drained(T.event_windows(T.streamed(spark, d, "events")), "complete")),
     "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY ALL",
 )
+
+
+# local training
+def _first_step(spark, d: str) -> DataFrame:
+    rows = S.samples(spark, d).withColumn("client_id", (F.col("sample_id") % 10).cast("int"))
+    steps = R.local_updates(rows, np.zeros((10, S.DIM + 1)), 0.05)
+    return rounded(steps.select("client_id", F.posexplode("vec").alias("coord", "value")))
+
+
+query(
+    "local_step", _first_step,
+    _SM + ", x AS (SELECT sample_id % 10 AS client_id, label, unnest(list_append(f, 1.0)) AS v, unnest(range(65)) AS k FROM sm), c AS (SELECT unnest(range(10)) AS c) "
+    "SELECT client_id::INTEGER AS client_id, (c * 65 + k)::INTEGER AS coord, round(-0.05 * avg((0.1 - (label = c)::INT) * v), 6) + 0.0 AS value FROM x CROSS JOIN c GROUP BY ALL",
+)
+
+
+def _trained(spark, d: str) -> DataFrame:
+    rows = S.samples(spark, d)
+    weights = R.train(rows.withColumn("client_id", (F.col("sample_id") % 10).cast("int")), A.median, 3, 0.5, 10, S.DIM)
+    return rounded(R.evaluated(rows, weights).agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc"), F.avg("loss").alias("loss")))
+
+
+query("train_rounds", _trained)
