@@ -18,6 +18,7 @@ each; a null id is kept; texts of any length are encoded whole.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import unicodedata
 from collections import Counter
@@ -25,27 +26,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rondo.llm.common import map_arrow, map_arrow_all, most_frequent, written
+from rondo.llm.common import map_arrow, map_arrow_all, most_frequent, cut
 
-#: The tokenizer's split pattern.
-PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The tokenizer's split pattern, for ASCII and for the Latin texts of _PLAIN, whose letters and numbers are listed.
 ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
+_LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u0233", "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+LATIN_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 _SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIALS)) + ")")
 #: Words in the broadcast table at most.
 HOT_WORDS = 1 << 19
-_FLUSH = 400_000
+_FLUSH = 200_000
 
 
 #: Outside these, Unicode tables of different versions may differ: the library's own normaliser and splitter serve.
-_PLAIN = re.compile("[\x00-\u024f\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
+_PLAIN = re.compile("[\x00-\u0233\u2010-\u2027\u2030-\u205e\u20a0-\u20bf]*")
 
 
 class Splitter:
@@ -67,7 +68,7 @@ class Splitter:
             return [text[a:b] for _, (a, b) in self.encoder.pre_tokenizer.pre_tokenize_str(text)]
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        return PATTERN.findall(text.lower())
+        return LATIN_PATTERN.findall(text.lower())
 
 
 def _texts(batch: pa.RecordBatch, k: int) -> Iterator[str]:
@@ -102,10 +103,11 @@ def word_table(docs: DataFrame, vocabulary: Broadcast) -> DataFrame:
             ids = [np.array(x.ids, np.uint16).tobytes() for x in encoder.encode_batch(words, add_special_tokens=False)]
             yield {"word": batch.column(0), "n": batch.column(1), "ids": ids}
 
-    return written(map_arrow_all(word_counts(docs, vocabulary), run, "word string, n long, ids binary"))
+    return cut(map_arrow_all(word_counts(docs, vocabulary), run, "word string, n long, ids binary"))
 
 
 def _encoder(vocabulary: str) -> Tokenizer:
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     encoder = Tokenizer.from_str(vocabulary)
     encoder.no_truncation()
     encoder.no_padding()
@@ -130,8 +132,9 @@ def encoded(docs: DataFrame, path: str, finish, schema: str, hot_words: int = HO
         for batch in batches:
             out = {"row": [], "pos": [], "word": []}
             for row, text in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
-                for pos, word in enumerate(split(text)):
-                    if word not in known:
+                words = split(text)
+                if others := set(words) - known:
+                    for pos, word in [x for x in enumerate(words) if x[1] in others]:
                         out["row"].append(row)
                         out["pos"].append(pos)
                         out["word"].append(word)
