@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 from rondo.llm import bpe, compression, decontaminate, jaccard_join, line_dedup
-from rondo.llm.common import fold, small_batches, table, written
+from rondo.llm.common import fold, small_batches, table, cut
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,5 +60,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = written(docs)
+            docs = cut(docs)
     return docs
