@@ -24,9 +24,6 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus
 
 
-written = cut
-
-
 def _checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
