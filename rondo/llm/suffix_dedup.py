@@ -36,8 +36,10 @@ from rondo.llm.common import Counter64, KeyFilter, cut, map_arrow, map_arrow_all
 
 WIDTH = 200
 GRAM = 48
-#: Bytes of contexts in a shard, about.
-SHARD_BYTES = 4 << 20
+#: Bytes of contexts in a shard, about: its arrays take some hundred times that.
+SHARD_BYTES = 1 << 20
+#: Bytes of contexts in a partition; its shards are built one after the other.
+PARTITION_BYTES = 64 << 20
 
 
 def _window_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -232,7 +234,7 @@ def _shard(pieces: pa.Array, width: int) -> dict[str, np.ndarray]:
 def duplicates(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(doc_id, tk, start, n): runs of starts of a text whose width-byte string also starts elsewhere."""
     contexts, size = _contexts(rows, width, gram)
-    parts = parts_for(rows.sparkSession, size, shard_bytes)
+    parts = parts_for(rows.sparkSession, size, PARTITION_BYTES)
     dealt = contexts.repartitionByRange(parts, "anchor", "doc_id", "tk", "start").sortWithinPartitions("anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -242,7 +244,7 @@ def duplicates(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_byte
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
-            if size > 2 * shard_bytes:
+            if size > shard_bytes:
                 whole = pa.Table.from_batches(held).combine_chunks()
                 key = whole.column("anchor").to_numpy()
                 inner = np.flatnonzero(key[1:] != key[:-1]) + 1
@@ -300,11 +302,11 @@ def duplicates(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_byte
 
 
 def _covered(docs: DataFrame, width: int, gram: int, shard_bytes: int) -> DataFrame:
-    """The documents with ``tk`` and ``runs``, the duplicate starts of each as (start, n)."""
-    rows = docs.withColumn("tk", F.xxhash64("text"))
-    runs = duplicates(rows.select("doc_id", "tk", "text"), width, gram, shard_bytes)
-    runs = runs.groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_tk")).agg(F.collect_list(F.struct("start", "n")).alias("runs"))
-    return rows.join(runs.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tk") == F.col("_tk")), "left").drop("_id", "_tk")
+    """The documents with ``_runs``, the duplicate starts of each as (start, n)."""
+    rows = docs.withColumn("_tk", F.xxhash64("text"))
+    runs = duplicates(rows.select("doc_id", F.col("_tk").alias("tk"), "text"), width, gram, shard_bytes)
+    runs = runs.groupBy(F.col("doc_id").alias("_id"), F.col("tk").alias("_key")).agg(F.collect_list(F.struct("start", "n")).alias("_runs"))
+    return rows.join(runs.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tk") == F.col("_key")), "left").drop("_id", "_key", "_tk")
 
 
 def _gone(size: int, runs: list[dict] | None, width: int) -> np.ndarray:
@@ -328,14 +330,14 @@ def report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: i
                 out[name].append(v)
         yield {"doc_id": batch.column(0)} | out
 
-    rows = _covered(docs.select("doc_id", "text"), width, gram, shard_bytes).select("doc_id", "text", "runs")
+    rows = _covered(docs.select("doc_id", "text"), width, gram, shard_bytes).select("doc_id", "text", "_runs")
     return map_arrow(rows, run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def clean(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """The documents without the bytes; what is left of a cut character is dropped. ``n_chars`` follows."""
-    rows = _covered(docs.drop("tk", "runs"), width, gram, shard_bytes).drop("tk")
-    text, runs = rows.columns.index("text"), rows.columns.index("runs")
+    rows = _covered(docs, width, gram, shard_bytes)
+    text, runs = rows.columns.index("text"), rows.columns.index("_runs")
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
         new = []
@@ -344,5 +346,5 @@ def clean(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: in
             new.append(None if data is None else np.frombuffer(data, np.uint8)[~_gone(len(data), r.as_py(), width)].tobytes().decode(errors="ignore"))
         yield through(batch, {"text": pa.array(new, pa.string())})
 
-    out = map_arrow(rows, run, rows.schema).select(*[c for c in docs.columns if c not in ("tk", "runs")])
+    out = map_arrow(rows, run, rows.schema).drop("_runs")
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in out.columns else out
