@@ -40,8 +40,8 @@ SHINGLE = 5
 #: Similarity in percent.
 PERCENT = 80
 #: Shingles counted this often are ordered by frequency; the list is held to MAX_FREQUENT by doubling this.
-FREQUENT = 24
-MAX_FREQUENT = 1 << 20
+FREQUENT = 8
+MAX_FREQUENT = 1 << 21
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -306,6 +306,11 @@ def _positions_fit(left: str, right: str) -> Column:
     return (F.count_if(F.col(f"{left}_pos") >= 0) + rest) * _NEED >= PERCENT * (F.col(f"{left}_n") + F.col(f"{right}_n"))
 
 
+def _place_fits() -> Column:
+    """A common shingle's places leave room for enough common ones before and after it."""
+    return F.expr(f"(least(x_pos, y_pos) + 1 + least(x_n - x_pos, y_n - y_pos) - 1) * {_NEED} >= {PERCENT} * (x_n + y_n)")
+
+
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; see the module's text."""
     nodes = cut(nodes_of(docs))
@@ -316,7 +321,7 @@ def similar(docs: DataFrame) -> DataFrame:
     rank = F.col("rare") * F.lit(1 << 40) + F.pmod("node", F.lit(1 << 40))
     centre = post_b.groupBy("token", "band").agg(*[F.min_by(c, rank).alias(f"x_{c}") for c in ("node", "n", "pos")], F.count("*").alias("many")).where("many > 1").drop("many")
     own = post_b.select("token", "band", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos")])
-    stars = own.join(centre, ["token", "band"]).where((F.col("x_node") != F.col("y_node")) & _sizes_fit(F.col("x_n"), F.col("y_n")))
+    stars = own.join(centre, ["token", "band"]).where((F.col("x_node") != F.col("y_node")) & _sizes_fit(F.col("x_n"), F.col("y_n")) & _place_fits())
     stars = stars.groupBy("x_node", "y_node", "x_n", "y_n").agg(_positions_fit("x", "y").alias("fit")).where("fit")
     stars = cut(stars.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
     checked = verified(docs, nodes, stars)
@@ -339,6 +344,7 @@ def similar(docs: DataFrame) -> DataFrame:
     met = x.join(y, "token").where(
         (F.col("x_group") < F.col("y_group")) & (F.col("x_component") != F.col("y_component"))
         & (100 * F.col("x_high") >= PERCENT * F.col("y_low")) & (100 * F.col("y_high") >= PERCENT * F.col("x_low"))
+        & (F.col("x_full") | F.col("y_full") | _place_fits())
     )
     pairs = met.groupBy("x_group", "y_group", "x_n", "y_n", "x_full", "y_full").agg(_positions_fit("x", "y").alias("fit"))
     pairs = pairs.where(F.col("x_full") | F.col("y_full") | F.col("fit")).select(F.col("x_group").alias("a"), F.col("y_group").alias("b"), F.col("x_full"), F.col("y_full")).groupBy("a", "b").agg(F.max("x_full").alias("x_full"), F.max("y_full").alias("y_full"))
