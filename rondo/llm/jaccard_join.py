@@ -8,7 +8,7 @@ order: shingles seen often come last, then by hash. Two sets can only be similar
 2. Nodes are collapsed into groups. In each bucket of nodes that share a prefix shingle and a size band, and in
    each bucket of equal prefix and size, the node with the fewest shingles of its own is the centre; every
    other one is verified against the centre, not against each other. A node within 0.2 joins one centre.
-3. Group pairs that share a prefix shingle are filtered by size and position, then their centres verified.
+3. Group pairs that share a prefix shingle are filtered by size, position and bitmap, then their centres verified.
    As distance is a metric, groups of radius r1 and r2 whose centres are further than 0.2 + r1 + r2 apart
    have no similar members; that settles almost all pairs.
 4. What is left and not connected yet is expanded: the members' differences from the centre are compared in
@@ -81,14 +81,38 @@ def _texts(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[tuple[pa.Re
             yield batch, rows, shingle_sets(data, offs)
 
 
+#: 64-bit words of a node's bitmap.
+BITMAP = 16
+
+
+def _bitmap(shingles: np.ndarray) -> np.ndarray:
+    flags = np.zeros(64 * BITMAP, bool)
+    flags[(shingles & np.uint64(64 * BITMAP - 1)).astype(np.int64)] = True
+    return np.packbits(flags).view(np.int64)
+
+
+def _may_reach(pairs: DataFrame, bitmaps: DataFrame, percent: Column | int) -> DataFrame:
+    """The pairs (a, b) whose bitmaps allow a similarity of ``percent``.
+
+    A bit that differs stands for a shingle that one set has alone, at least, so this bounds the intersection
+    from above and drops no pair that reaches it; it moves 128 bytes a node in place of its set.
+    """
+    side = lambda x: bitmaps.select(F.col("node").alias(x), F.col("n").alias(f"{x}_size"), F.col("bits").alias(f"{x}_bits"))
+    both = pairs.withColumn("percent", F.lit(percent) if isinstance(percent, int) else percent).join(side("a"), "a").join(side("b"), "b")
+    apart = F.aggregate(F.zip_with("a_bits", "b_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
+    total = F.col("a_size") + F.col("b_size")
+    fits = (F.col("percent") + 100) * (total - apart) >= 2 * F.col("percent") * total
+    return both.where(fits).select("a", "b")
+
+
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node) of every document."""
+    """(doc_id, n, node, bits) of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch, rows, sets in _texts(batches, 1):
-            yield {"doc_id": batch.column(0).slice(rows.start, len(rows)), "n": [len(x) for x in sets], "node": [signature(x) for x in sets]}
+            yield {"doc_id": batch.column(0).slice(rows.start, len(rows)), "n": [len(x) for x in sets], "node": [signature(x) for x in sets], "bits": [_bitmap(x) for x in sets]}
 
-    return map_arrow_all(docs.select("doc_id", "text"), run, "doc_id long, n long, node long")
+    return map_arrow_all(docs.select("doc_id", "text"), run, "doc_id long, n long, node long, bits array<long>")
 
 
 class Order:
@@ -314,6 +338,8 @@ def _place_fits() -> Column:
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; see the module's text."""
     nodes = cut(nodes_of(docs))
+    bitmaps = cut(nodes.dropDuplicates(["node"]).select("node", "n", "bits"))
+    nodes = nodes.drop("bits")
     post = postings(docs, frequency_order(docs))
     # 2. stars
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / PERCENT))).cast("int")
@@ -323,7 +349,7 @@ def similar(docs: DataFrame) -> DataFrame:
     own = post_b.select("token", "band", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos")])
     stars = own.join(centre, ["token", "band"]).where((F.col("x_node") != F.col("y_node")) & _sizes_fit(F.col("x_n"), F.col("y_n")) & _place_fits())
     stars = stars.groupBy("x_node", "y_node", "x_n", "y_n").agg(_positions_fit("x", "y").alias("fit")).where("fit")
-    stars = cut(stars.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")))
+    stars = cut(_may_reach(stars.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")), bitmaps, PERCENT))
     checked = verified(docs, nodes, stars)
     links = checked.where(_LINKED).select("a", "b")
     group = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("group"))
@@ -349,7 +375,10 @@ def similar(docs: DataFrame) -> DataFrame:
     pairs = met.groupBy("x_group", "y_group", "x_n", "y_n", "x_full", "y_full").agg(_positions_fit("x", "y").alias("fit"))
     pairs = pairs.where(F.col("x_full") | F.col("y_full") | F.col("fit")).select(F.col("x_group").alias("a"), F.col("y_group").alias("b"), F.col("x_full"), F.col("y_full")).groupBy("a", "b").agg(F.max("x_full").alias("x_full"), F.max("y_full").alias("y_full"))
     pairs = cut(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti").join(checked.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-    second = verified(docs, nodes, pairs.select("a", "b"))
+    # unconnected groups of several members are still of interest when their centres are further apart
+    gap = 100 - PERCENT
+    worth = F.when(F.col("x_full") & F.col("y_full"), PERCENT - 2 * gap).when(F.col("x_full") | F.col("y_full"), PERCENT - gap).otherwise(PERCENT)
+    second = verified(docs, nodes, cut(_may_reach(pairs, bitmaps, worth)))
     more = second.where(_LINKED).select("a", "b")
     # 4. groups of several members whose centres are near, yet not connected
     links = cut(links.unionByName(more))
