@@ -397,7 +397,8 @@ def similar(docs: DataFrame) -> DataFrame:
         if not third.isEmpty():
             comp = components(links.unionByName(third))
     named_doc = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = named_doc.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    # written out, so that the join below is one of two plain shuffles, of which Spark splits a hot component
+    least = cut(named_doc.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))
     out = named_doc.join(least, "component", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
