@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import os
 import tempfile
@@ -65,6 +66,14 @@ def parts_for(spark: SparkSession, amount: float, each: float) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(amount / each))
 
 
+def _hand_back() -> None:
+    """What a finished task has freed goes back to the machine; Spark keeps the worker for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc; elsewhere there is nothing to call
+    if trim:
+        trim(0)
+
+
 def map_arrow_all(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow with dictionaries of columns in place of record batches; columns are cast to ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -79,6 +88,8 @@ def map_arrow_all(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterato
                 x = columns[field.name]
                 arrays.append(x.cast(field.type) if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, field.type))
             yield pa.RecordBatch.from_arrays(arrays, schema=out)
+            del columns, arrays, x
+        _hand_back()
 
     return df.mapInArrow(run, spark_schema)
 
