@@ -114,6 +114,28 @@ def _encoder(vocabulary: str) -> Tokenizer:
     return encoder
 
 
+class HotWords:
+    """The ids of the most frequent words: three flat values to broadcast, a dictionary built once in a worker.
+
+    No word holds a line feed, which ends every word of the tokenizer.
+    """
+
+    def __init__(self, words: list[str], ids: list[bytes]):
+        self.words, self.ids, self.sizes = "\n".join(words), b"".join(ids), np.array([len(x) for x in ids], np.int64)
+        self._table: dict[str, bytes] | None = None
+
+    def table(self) -> dict[str, bytes]:
+        if self._table is None:
+            stop = np.cumsum(self.sizes)
+            spans = zip((stop - self.sizes).tolist(), stop.tolist(), strict=True)
+            self._table = dict(zip(self.words.split("\n"), (self.ids[a:b] for a, b in spans), strict=True)) if len(self.sizes) else {}
+        return self._table
+
+
+#: Tokens in a batch of results, about.
+_TOKENS = 200_000
+
+
 def encoded(docs: DataFrame, path: str, finish, schema: str, hot_words: int = HOT_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``finish(ids, id_text, pieces)`` makes a dictionary of result columns from the ids of each text."""
     spark = docs.sparkSession
@@ -122,18 +144,18 @@ def encoded(docs: DataFrame, path: str, finish, schema: str, hot_words: int = HO
     table = word_table(docs, vocabulary)
     hot, least = most_frequent(table, hot_words)
     rows = hot.select("word", "ids").toArrow()
-    shared = spark.sparkContext.broadcast((rows.column("word").to_pylist(), rows.column("ids").to_pylist()))  # hot_words words at most
+    shared = spark.sparkContext.broadcast(HotWords(rows.column("word").to_pylist(), rows.column("ids").to_pylist()))  # hot_words words at most
     encoder = _encoder(vocabulary.value)
     pieces = spark.sparkContext.broadcast([encoder.id_to_token(i) or "" for i in range(encoder.get_vocab_size(with_added_tokens=True))])
     named = docs.select(*dict.fromkeys(("doc_id", *keep)), "text", F.xxhash64("doc_id", "text").alias("row"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known, split = set(shared.value[0]), Splitter(_encoder(vocabulary.value))
+        known, split = shared.value.table(), Splitter(_encoder(vocabulary.value))
         for batch in batches:
             out = {"row": [], "pos": [], "word": []}
             for row, text in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
                 words = split(text)
-                if others := set(words) - known:
+                if others := set(words).difference(known):
                     for pos, word in [x for x in enumerate(words) if x[1] in others]:
                         out["row"].append(row)
                         out["pos"].append(pos)
@@ -156,22 +178,26 @@ def encoded(docs: DataFrame, path: str, finish, schema: str, hot_words: int = HO
     b = both.columns.index("blob")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        ids_of = dict(zip(*shared.value, strict=True))
+        ids_of = shared.value.table()
         piece, split = pieces.value, Splitter(_encoder(vocabulary.value))
         number = [str(i) for i in range(len(piece))]
         unpress = zstandard.ZstdDecompressor()
         for batch in batches:
             out: list[dict] = []
-            for blob, others in zip(batch.column(b), batch.column(b + 1), strict=True):
+            tokens, at = 0, 0
+            for i, (blob, others) in enumerate(zip(batch.column(b), batch.column(b + 1), strict=True), 1):
                 words = split(unpress.decompress(blob.as_py()).decode())
                 parts = list(map(ids_of.get, words))
                 for x in others.as_py() or ():
                     parts[x["pos"]] = x["ids"]
                 ids = np.frombuffer(b"".join(parts), np.uint16).tolist()
                 out.append(finish(ids, number, piece))
-            yield {k: batch.column(i) for i, k in enumerate(batch.schema.names) if k in ("doc_id", *keep)} | {k: [x[k] for x in out] for k in out[0]} if out else {k: [] for k in names}
+                tokens += len(ids)
+                if tokens > _TOKENS or i == len(batch):
+                    own = {k: batch.column(j).slice(at, i - at) for j, k in enumerate(batch.schema.names) if k in ("doc_id", *keep)}
+                    yield own | {k: [x[k] for x in out] for k in out[0]}
+                    out, tokens, at = [], 0, i
 
-    names = [x.split()[0].strip("`") for x in schema.split(", ")]
     return map_arrow_all(both, run, schema)
 
 
