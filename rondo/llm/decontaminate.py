@@ -181,7 +181,8 @@ def remove(docs: DataFrame, benchmark: DataFrame, max_coverage: float = MAX_COVE
     """
     names = ("_n_words", "_hit_words", "_item_ids")
     found = match(docs, benchmark, window, names=names)
-    found = found.where(F.size(names[1]) <= max_coverage * F.col(names[0]))
+    # written out, or each task would hold two Python workers
+    found = cut(found.where(F.size(names[1]) <= max_coverage * F.col(names[0])))
     text, at = found.columns.index("text"), found.columns.index(names[1])
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
