@@ -32,8 +32,8 @@ def _checkpoint_dir(spark: SparkSession) -> None:
         sc.setCheckpointDir(folder)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage by a table of Parquet files in the folder that ``spark.checkpoint.dir`` names.
+def cut(df: DataFrame, **options: str) -> DataFrame:
+    """Cuts the lineage by a table of Parquet files in the folder that ``spark.checkpoint.dir`` names; ``options`` are the writer's.
 
     Every executor reads it, so a lost one costs its running tasks only; its size is known to the planner.
     Where the setting is unset (tests, a notebook), a folder of this machine is used, which fits local mode only.
@@ -41,7 +41,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     _checkpoint_dir(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,17 +1,17 @@
 """LM scoring with a log-frequency Bloom filter.
 
-Counts of one and two words are aggregated over all training texts, in tasks before the shuffle, and stored as
-quantised levels, 1 + floor(log2(count)): an n-gram of level q is in the filter as the q items (n-gram, 1) ...
-(n-gram, q). A count is read back by repeated membership probes, level after level until one fails. The filter is
-dealt into blocks by the n-gram's hash, so each block is built by one task from its own n-grams. It holds at
-most 2**MAX_BITS bits and is broadcast; if a block's items exceed it at BITS_PER_ITEM bits each, its rarest n-grams stay out (an
-absent n-gram is smoothed like an unseen one), so the error rate of the probes keeps its bound at every size.
+The texts are cut into chunks of about CHUNK tokens, each one row of a written table: the hashes of its distinct
+words and the place of every token in them. A chunk sends its distinct words and word pairs, with their counts in
+training texts, to blocks dealt by the n-gram's hash. The task of a block sums the counts. Pairs are stored as
+quantised levels, 1 + floor(log2(count)): a pair of level q is in the block's filter as the q items (pair, 1) ...
+(pair, q), and its level is read back by repeated membership probes, level after level until one fails. The task
+answers each chunk with the exact counts of its words and the filter's levels of its pairs; a second shuffle brings
+the answers back. There are as many blocks as hold about BLOCK tokens each, and a block has BITS_PER_ITEM bits or more
+for each of its items, so all that was counted is kept and the error rate of the probes keeps its bound at every size.
 
 A text's score sums log10 of the smoothed probability of each word after the one before it,
-``(c(v w) + MU * p(w)) / (c(v) + MU)`` with ``p(w) = (c(w) + 1) / (N + V + 1)``, the end of the text as last word.
-
-The base score uses exact counts: those of the most frequent words from a broadcast table of HOT_WORDS rows,
-those of the others by a shuffled join of the distinct texts' rare words.
+``(c(v w) + MU * p(w)) / (c(v) + MU)`` with ``p(w) = (c(w) + 1) / (N + V + 1)``, the end of the text as last word;
+c(v w) is the middle of the pair's level. The base score sums log10 p(w). N, V and counts of single words are exact.
 
 Defined cases: a null or wordless text is one end; without training texts N = V = 0 and every count is 0;
 rows of equal id and text are scored each and, in training, counted each; a null id is in the training part.
@@ -23,17 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rondo.llm import bytescan as bs
-from rondo.llm.common import Counter64, fold, map_arrow, map_arrow_all, most_frequent, cut
+from rondo.llm.common import cut, fold, map_arrow_all, parts_for, small_batches
 
-MAX_BITS = 28
 BITS_PER_ITEM = 8
 PROBES = 4
 MU = 1000.0
-HOT_WORDS = 1 << 18
+CHUNK = 1 << 20
+BLOCK = 1 << 20
+#: Chunks are rows of megabytes: the writer looks at its sizes after each.
+_BIG_ROWS = {"parquet.block.size": str(1 << 25), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6B27D4EB4F)
 _ONE, _LEVEL = np.uint64(0x2545F4914F6CDD1D), 0xA0761D6478BD642F
 
@@ -72,6 +75,9 @@ class LogFrequencyFilter:
 
     def counts(self, key: np.ndarray) -> np.ndarray:
         """The middle of the level of each n-gram, 0 for one that is not in the filter."""
+        return middle(self.levels(key))
+
+    def levels(self, key: np.ndarray) -> np.ndarray:
         level = np.zeros(len(key), np.int64)
         live, block = np.arange(len(key)), block_of(key, len(self.blocks))
         q = 0
@@ -82,131 +88,152 @@ class LogFrequencyFilter:
                 found = (self.blocks[block[live], place >> 3] >> (place & 7).astype(np.uint8)) & 1
                 live = live[found == 1]
             level[live] = q
-        return np.where(level > 1, 1.5 * 2.0 ** (level - 1), level.astype(float))
+        return level
+
+
+def middle(level: np.ndarray) -> np.ndarray:
+    return np.where(level > 1, 1.5 * 2.0 ** (level - 1), level.astype(float))
 
 
 def block_of(key: np.ndarray, blocks: int) -> np.ndarray:
     return (key >> np.uint64(65 - blocks.bit_length())).astype(np.int64) if blocks > 1 else np.zeros(len(key), np.int64)
 
 
-def build_block(key: np.ndarray, count: np.ndarray, bits: int) -> np.ndarray:
-    """One block of the filter from the counts of its n-grams, which may come in parts."""
+def build_block(key: np.ndarray, count: np.ndarray, bits: int = 0) -> np.ndarray:
+    """One block of the filter from the counts of its n-grams, which may come in parts; 2**bits bits, or more if its items need them."""
     order = np.argsort(key)
     key, count = key[order], count[order]
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
     key, total = key[head], np.add.reduceat(count, head) if len(key) else count
     level = 1 + np.log2(np.maximum(total, 1)).astype(np.int64)
-    least = 1
-    while level[level >= least].sum() * BITS_PER_ITEM > 1 << bits:
-        least += 1
+    bits = max(bits, 10, int(np.ceil(np.log2(max(1, level.sum() * BITS_PER_ITEM)))))
     flags = np.zeros(1 << bits, bool)
     for q in range(1, int(level.max(initial=0)) + 1):
-        own = key[(level >= least) & (level >= q)]
+        own = key[level >= q]
         for probe in range(PROBES):
             flags[_place(own, q, probe, bits)] = True
     return np.packbits(flags, bitorder="little")
 
 
-def unigrams(train: DataFrame) -> DataFrame:
-    """(key, n): the exact count of each token of the training texts."""
+def chunks(docs: DataFrame, size: int) -> DataFrame:
+    """(chunk, ids, held, sizes, words, places) of ``docs`` (doc_id, held_out, text): runs of texts of about ``size`` tokens.
+
+    ``words`` are the hashes of the distinct tokens in the order of ``single``, ``places`` has the index of each token in them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen = Counter64()
+        number, parts, total = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
-            for _, data, offs in bs.slices(batch.column(0)):
-                yield from seen.add(tokens(data, offs)[0])
-        yield from seen.flush()
-
-    return cut(map_arrow_all(train.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-
-
-def build_filter(train: DataFrame, n_tokens: int, max_bits: int = MAX_BITS) -> LogFrequencyFilter:
-    """The filter of the training texts' words and word pairs; 2**max_bits bits at most."""
-    blocks = 1 << int(np.clip(np.ceil(np.log2(max(1, n_tokens) / (1 << 20))), 4, 14))
-    total = int(np.clip(np.ceil(np.log2(max(1, n_tokens) * BITS_PER_ITEM * 2)), 16, max_bits))
-    bits = total - (blocks.bit_length() - 1)
+            for rows, data, offs in bs.slices(batch.column(2), min(bs.SLICE_BYTES, 8 * size)):
+                token, doc = tokens(data, offs)
+                ids, held = (batch.column(k).slice(rows.start, len(rows)) for k in (0, 1))
+                parts.append((ids, held, np.bincount(doc, minlength=len(rows)), token))
+                total += len(token)
+                if total >= size:
+                    yield row(number, parts)
+                    number, parts, total = number + 1, [], 0
+        if parts:
+            yield row(number, parts)
+
+    def row(number: int, parts: list) -> dict:
+        ids, held, sizes, token = (list(x) for x in zip(*parts, strict=True))
+        token = np.concatenate(token)
+        _, first, places = np.unique(single(token), return_index=True, return_inverse=True)
+        listed = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+        return {
+            "chunk": [number], "ids": listed(pa.concat_arrays(ids)), "held": listed(pa.concat_arrays(held)), "sizes": listed(pa.array(np.concatenate(sizes))),
+            "words": [token[first].tobytes()], "places": [places.astype(np.uint32).tobytes()], "n_tokens": [len(token)],
+        }
+
+    schema = "chunk long, ids array<long>, held array<boolean>, sizes array<long>, words binary, places binary, n_tokens long"
+    return cut(map_arrow_all(docs, run, schema), **_BIG_ROWS)
+
+
+def answers(table: DataFrame, blocks: int) -> DataFrame:
+    """(chunk, block, one, two, n, v): the counts of a chunk's words and the levels of its pairs that belong to a block.
+
+    n and v sum to the numbers of tokens and of distinct tokens of the training texts.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen = Counter64(limit=1 << 22)
         for batch in batches:
-            for _, data, offs in bs.slices(batch.column(0)):
-                token, doc = tokens(data, offs)
-                for columns in seen.add(np.concatenate([single(token), pairs(token, doc)[1]])):
-                    yield dealt(columns)
-        for columns in seen.flush():
-            yield dealt(columns)
-
-    def dealt(columns: dict) -> dict:
-        key, n = columns["key"].view(np.uint64), columns["n"].astype(np.uint32)
-        bound = np.searchsorted(block_of(key, blocks), np.arange(blocks + 1))  # keys are sorted
-        cuts = list(zip(bound[:-1], bound[1:], strict=True))
-        return {"block": np.arange(blocks), "keys": [key[a:b].tobytes() for a, b in cuts], "counts": [n[a:b].tobytes() for a, b in cuts]}
+            for chunk, held, sizes, words, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                words, places = np.frombuffer(words, np.uint64), np.frombuffer(places, np.uint32)
+                doc = np.repeat(np.arange(len(sizes)), sizes)
+                trained = ~np.array(held, bool)[doc]
+                pair, back = np.unique(pairs(words[places], doc)[1], return_inverse=True)
+                out = {"block": np.arange(blocks), "chunk": np.full(blocks, chunk)}
+                for name, key, at in (("word", single(words), places), ("pair", pair, back)):
+                    n = np.bincount(at[trained], minlength=len(key)).astype(np.uint32)
+                    bound = np.searchsorted(block_of(key, blocks), np.arange(blocks + 1))  # keys are sorted
+                    cuts = list(zip(bound[:-1], bound[1:], strict=True))
+                    out |= {f"{name}s": [key[a:b].tobytes() for a, b in cuts], f"{name}_n": [n[a:b].tobytes() for a, b in cuts]}
+                yield out
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: dict[int, list] = {}
         for batch in batches:
-            for block, keys, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                held.setdefault(block, []).append((np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.uint32)))
-        for block, parts in held.items():
-            yield {"block": [block], "set": [build_block(np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts]).astype(np.int64), bits).tobytes()]}
-
-    rows = map_arrow_all(train.select("text"), count, "block int, keys binary, counts binary").repartition(blocks, "block")
-    out = np.zeros((blocks, (1 << bits) // 8), np.uint8)
-    for r in map_arrow_all(rows, build, "block int, set binary").toLocalIterator():  # 2**max_bits bits in all
-        out[r["block"]] = np.frombuffer(r["set"], np.uint8)
-    return LogFrequencyFilter(out)
-
-
-def score(docs: DataFrame, hot_words: int = HOT_WORDS, mu: float = MU) -> DataFrame:
+            for block, *part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.setdefault(block, []).append(part)
+        while held:
+            block, parts = held.popitem()
+            chunk, words, word_n, both, pair_n = zip(*parts, strict=True)
+            key, at = np.unique(np.frombuffer(b"".join(words), np.uint64), return_inverse=True)
+            total = np.bincount(at, np.frombuffer(b"".join(word_n), np.uint32), len(key)).astype(np.int64)
+            pair, n = np.frombuffer(b"".join(both), np.uint64), np.frombuffer(b"".join(pair_n), np.uint32)
+            level = LogFrequencyFilter(build_block(pair[n > 0], n[n > 0].astype(np.int64)).reshape(1, -1)).levels(pair).astype(np.uint8)
+            dealt = lambda x, of: [p.tobytes() for p in np.split(x, np.cumsum([len(y) // 8 for y in of])[:-1])]
+            first = np.arange(len(parts)) == 0
+            yield {"chunk": chunk, "block": [block] * len(parts), "one": dealt(total[at], words), "two": dealt(level, both), "n": first * total.sum(), "v": first * (total > 0).sum()}
+
+    sent = map_arrow_all(table.select("chunk", "held", "sizes", "words", "places"), count, "block int, chunk long, words binary, word_n binary, pairs binary, pair_n binary")
+    sent = sent.where((F.length("words") > 0) | (F.length("pairs") > 0)).repartition(blocks, "block")
+    spark = table.sparkSession
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    small_batches(spark, 16)
+    try:
+        return cut(map_arrow_all(sent, build, "chunk long, block int, one binary, two binary, n long, v long"))
+    finally:
+        small_batches(spark, int(rows))
+
+
+def score(docs: DataFrame, chunk: int = CHUNK, mu: float = MU) -> DataFrame:
     """op3: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
-    spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
-    train = docs.where(F.coalesce(fold("doc_id", 7), F.lit(0)) != 2)
-    table = unigrams(train)
-    n, v = (x or 0 for x in table.agg(F.sum("n"), F.count("*")).head())
-    ends = table.where(F.col("key") == int(np.array([END]).view(np.int64)[0])).head()
-    texts = ends["n"] if ends else 0
-    hot, least = most_frequent(table, hot_words)
-    rows = hot.toArrow()
-    keys, counts = rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    order = np.argsort(keys)
-    # hot_words entries and 2**MAX_BITS bits at most
-    shared = spark.sparkContext.broadcast((keys[order], counts[order], build_filter(train, n)))
+    table = chunks(docs.select("doc_id", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "text"), chunk)
+    n_tokens = table.agg(F.sum("n_tokens")).head()[0] or 0
+    answered = answers(table, 1 << max(4, int(np.ceil(np.log2(max(1, n_tokens) / BLOCK)))))
+    n, v = (x or 0 for x in answered.agg(F.sum("n"), F.sum("v")).head())
     base = float(n + v + 1)
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        hot_keys, hot_counts, model = shared.value
-        for rows, data, offs in bs.slices(batch.column(2)):
-            token, doc = tokens(data, offs)
-            m = len(rows)
-            word, at = np.unique(token, return_inverse=True)
-            spot = np.minimum(np.searchsorted(hot_keys, word), max(0, len(hot_keys) - 1))
-            known = (hot_keys[spot] == word) if len(hot_keys) else np.zeros(len(word), bool)
-            exact = np.where(known, np.log10((hot_counts[spot] + 1) / base) if len(hot_keys) else 0.0, 0.0)
-            is_hot = known[at]
-            bound = np.searchsorted(doc[~is_hot], np.arange(m + 1))
-            one = model.counts(single(word))
-            before, pair = pairs(token, doc)
-            p_one = (one + 1) / base
-            own, back = np.unique(pair, return_inverse=True)
-            both = model.counts(own)[back]
-            previous = np.searchsorted(word, before)
-            c_before = np.where(before == BEGIN, float(texts), one[np.minimum(previous, len(word) - 1)])
-            p = (np.minimum(both, c_before) + mu * p_one[at]) / (c_before + mu)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        texts, met = {}, {}
+        for batch in batches:
+            for number, block, one, two, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block is None:
+                    texts[number] = own
+                else:
+                    met.setdefault(number, []).append((block, one, two))
+        while texts:
+            number, (ids, held, sizes, words, at) = texts.popitem()
+            _, one, two = zip(*sorted(met.pop(number)), strict=True)
+            words, at = np.frombuffer(words, np.uint64), np.frombuffer(at, np.uint32)
+            count, level = np.frombuffer(b"".join(one), np.int64), np.frombuffer(b"".join(two), np.uint8).astype(np.int64)
+            m = len(ids)
+            doc = np.repeat(np.arange(m), sizes)
+            before, pair = pairs(words[at], doc)
+            back = np.unique(pair, return_inverse=True)[1]
+            p_one = (count + 1) / base
+            c_before = count[np.append(at[:1], at[:-1])].astype(float)
+            c_before[before == BEGIN] = count[words == END][0]  # each training text has one end
+            p = (np.minimum(middle(level)[back], c_before) + mu * p_one[at]) / (c_before + mu)
             yield {
-                "doc_id": batch.column(0).slice(rows.start, m), "row": batch.column(1).slice(rows.start, m), "n_tokens": np.bincount(doc, minlength=m),
-                "known": np.bincount(doc[is_hot], minlength=m), "base": np.bincount(doc, exact[at], m), "score": np.bincount(doc, np.log10(p), m),
-                "rare": pa.LargeListArray.from_arrays(pa.array(bound), pa.array(token[~is_hot].view(np.int64))),
+                "doc_id": ids, "held_out": held, "n_tokens": sizes, "n_known": np.bincount(doc[count[at] > 0], minlength=m),
+                "base_score": np.bincount(doc, np.log10(p_one)[at], m), "score": np.bincount(doc, np.log10(p), m),
             }
 
-    schema = "doc_id long, row long, n_tokens long, known long, base double, score double, rare array<long>"
-    slim = cut(map_arrow(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text"), run, schema))
-    asked = slim.select("row", F.explode("rare").alias("key"))
-    met = asked.join(table.where(F.col("n") < least), "key", "left").groupBy("row").agg(F.sum(F.log10((F.coalesce("n", F.lit(0)) + 1) / base)).alias("more"), F.count("n").alias("more_known"))
-    copies = slim.groupBy("row").agg(F.count("*").alias("copies"))  # rows of equal id and text share a key
-    out = slim.drop("rare").join(met, "row", "left").join(copies, "row")
-    return out.select(
-        "doc_id", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "n_tokens",
-        (F.col("known") + F.coalesce((F.col("more_known") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0))).alias("base_score"), "score",
-    )
+    none = lambda x, names: [F.lit(None).cast(x.schema[c].dataType).alias(c) for c in names]
+    replies, own = ("block", "one", "two"), ("ids", "held", "sizes", "words", "places")
+    rows = table.select("chunk", *none(answered, replies), *own).unionByName(answered.select("chunk", *replies, *none(table, own)))
+    rows = rows.repartition(parts_for(docs.sparkSession, n_tokens, 2 * CHUNK), "chunk")
+    out = map_arrow_all(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -175,6 +175,36 @@ def test_log_frequency_filter_reads_levels_back():
     assert (f.counts(r.integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.05
 
 
+def test_log_frequency_filter_drops_nothing():
+    import numpy as np
+
+    key = np.random.default_rng(2).integers(0, 2**63, 50000, dtype=np.uint64)
+    f = language_model.LogFrequencyFilter(language_model.build_block(key, np.ones(len(key), np.int64), 16).reshape(1, -1))
+    assert (f.counts(key) >= 1).all()
+
+
+@pytest.mark.parametrize("chunk", [5, 1 << 18])
+def test_language_model_scores(spark, texts, chunk):
+    tokens = [[*re.findall(WORD, fold_case(t)), None] for t in texts]
+    one, two = collections.Counter(), collections.Counter()
+    for i, own in enumerate(tokens):
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            one.update(own)
+            two.update(zip(["", *own], own))
+    base, mu = sum(one.values()) + len(one) + 1, 1000.0
+    middle = lambda n: n if n < 2 else 1.5 * 2.0 ** int(math.log2(n))
+    got = {r.doc_id: r.score for r in language_model.score(frame(spark, texts), chunk).collect()}
+    assert len(got) == len(texts)
+    gaps = []
+    for i, own in enumerate(tokens):
+        want = 0.0
+        for v, w in zip(["", *own], own):
+            c = one[None] if v == "" else one[v]
+            want += math.log10((min(middle(two[v, w]), c) + mu * (one[w] + 1) / base) / (c + mu))
+        gaps.append(got[i] - want)  # a probe that passes wrongly can only raise a level
+    assert min(gaps) > -1e-6 and sum(gaps) < 0.05 * sum(map(len, tokens)) / 10 and sorted(gaps)[len(gaps) // 2] < 0.01
+
+
 def test_rule_measures(spark, texts):
     def brute(t):
         t = t or ""
