@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from rondo.operators.aggregators import register
+from rondo.sources.fixtures import LAYOUT
 
 
 def per_round(updates: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray, int], dict], schema: str) -> DataFrame:
@@ -358,23 +359,76 @@ def deep_sight(updates: DataFrame, start: int = 36, classes: int = 4, width: int
     return per_round(updates, _vector(run), _COORDS)
 
 
+def _sanitised(m: np.ndarray) -> np.ndarray:
+    """Non-finite values to 0, norms clipped at ten median norms."""
+    m = np.where(np.isfinite(m), m, 0.0)
+    norm = np.linalg.norm(m, axis=1)
+    return m * np.minimum(1, max(10 * np.median(norm), 1e-6) / np.maximum(norm, 1e-12))[:, None]
+
+
+def voted(m: np.ndarray, f: float, mode: str, r: np.random.Generator, share: float = 0.2, votes: int = 5, drop: float = 1.0, scale: float = 4.0, keep_ratio: float = 0.6, keep_least: int = 3) -> np.ndarray:
+    """The rows of low spectral score in every coordinate sample; of the most votes if those are too few."""
+    n = len(m)
+    least = max(1, min(n, max(keep_least, int(np.ceil(keep_ratio * n)))))
+    target = max(max(1, min(n, int(n - drop * f))), least) if mode == "topk" else least
+    count = np.zeros(n, int)
+    for _ in range(votes):
+        cols = r.choice(m.shape[1], max(1, int(share * m.shape[1])), replace=False)
+        own = m[:, cols]
+        if np.linalg.norm(own - own.mean(0)) <= 1e-12:
+            count += 1
+            continue
+        score = spectral_scores(own)
+        chosen = np.argsort(score, kind="stable")[:target]
+        if mode == "mad":
+            middle = lower_median(score)
+            near = np.flatnonzero(score <= middle + scale * max(lower_median(np.abs(score - middle)), 1e-12))
+            chosen = near if len(near) >= target else chosen
+        count[chosen] += 1
+    always = np.flatnonzero(count == votes)
+    return always if len(always) >= least else np.sort(np.argsort(-count, kind="stable")[:least])
+
+
+def lower_median(x: np.ndarray) -> float:
+    return np.sort(x)[(len(x) - 1) // 2]
+
+
+def _near(x: np.ndarray, bound: float) -> np.ndarray:
+    return np.abs(x - lower_median(x)) / (x.std() + 1e-12) < bound
+
+
+def layer_filtered(m: np.ndarray, layers: list[tuple[int, int, int]], norm_bound: float = 2.0, sign_bound: float = 1.0, sparsity: float = 0.3) -> np.ndarray:
+    """The mean, layer by layer, of the clipped rows whose norm and signs in the layer are near the median.
+
+    ``layers`` has (start, len, ndim). Matrices are made sparse for the two scores, at the k-th largest absolute value of
+    the client's matrices; all rows count where none passes.
+    """
+    norm = np.linalg.norm(m, axis=1)
+    clipped = m / (norm + 1e-12)[:, None] * np.minimum(norm, np.median(norm))[:, None]
+    sparse = m.copy()
+    dense = np.concatenate([np.arange(a, a + n) for a, n, ndim in layers if ndim in (2, 4)] or [np.zeros(0, int)])
+    if len(dense) and sparsity:
+        size = np.abs(m[:, dense])
+        limit = np.sort(size, axis=1)[:, -max(1, int(len(dense) * (1 - sparsity)))]
+        sparse[:, dense] = np.where(size <= limit[:, None], 0.0, m[:, dense])
+    out = np.zeros(m.shape[1])
+    for a, n, _ in layers:
+        own, sign = sparse[:, a : a + n], np.sign(sparse[:, a : a + n])
+        share = 0.5 * sign.sum(1) / (np.abs(sign).sum(1) + 1e-12) * (1 - sparsity)
+        good = _near(np.linalg.norm(own, axis=1), norm_bound) & _near(share, sign_bound)
+        out[a : a + n] = clipped[good if good.any() else np.ones(len(m), bool), a : a + n].mean(0)
+    return out
+
+
 @register
-def my_defense(updates: DataFrame, f: int = 10, clip: float = 10.0, votes: int = 5, seed: int = 3) -> DataFrame:
-    """Sanitised (non-finite to 0, clipped at ten median norms), voted on by spectral scores, averaged by the layer of survivors."""
+def my_defense(updates: DataFrame, f: int = 10, mode: str = "topk", seed: int = 3, layers: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """Sanitised, voted on by spectral scores (``topk`` drops the f highest, ``mad`` those far from the median), then filtered and averaged layer by layer."""
+    if mode not in ("topk", "mad"):
+        raise ValueError(f"unknown filter mode {mode!r}")
+    layers = layers or [(start, size, ndim) for _, _, start, size, ndim, _ in LAYOUT]
 
     def run(m: np.ndarray, bad: np.ndarray, number: int) -> np.ndarray:
-        m = np.where(np.isfinite(m), m, 0.0)
-        norm = np.linalg.norm(m, axis=1)
-        limit = clip * np.sort(norm)[(len(norm) - 1) // 2]
-        m = m * np.minimum(1, limit / np.maximum(norm, 1e-12))[:, None]
-        r, vote = np.random.default_rng((seed, number)), np.zeros(len(m))
-        for _ in range(votes):
-            cols = r.choice(m.shape[1], max(1, m.shape[1] // 5), replace=False)
-            score = spectral_scores(m[:, cols])
-            middle = np.median(score)
-            spread = np.median(np.abs(score - middle)) + 1e-12
-            vote += score <= middle + 3 * spread
-        kept = vote > votes / 2
-        return m[kept if kept.any() else np.ones(len(m), bool)].mean(0)
+        m = _sanitised(m)
+        return layer_filtered(_sanitised(m[voted(m, f, mode, np.random.default_rng((seed, number)))]), layers)
 
     return per_round(updates, _vector(run), _COORDS)

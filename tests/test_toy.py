@@ -102,3 +102,25 @@ def test_median_resists_noise(spark):
 
 def test_helpers():
     assert V.count_or_share(0.2, 50) == 10 and V.count_or_share(7, 50) == 7
+
+
+def test_my_defense_drops_a_client_poisoned_in_one_layer(spark):
+    r = np.random.default_rng(4)
+    m = np.abs(r.normal(1, 0.05, (12, 64)))
+    m[:, 60:] = r.normal(0.5, 0.01, (12, 4))
+    m[5, 60:] = -0.5  # small beside the whole vector
+    rows = [(0, c, "benign", m[c].tolist()) for c in range(12)]
+    one = spark.createDataFrame(rows, "round int, client_id int, role string, vec array<double>")
+    for mode in ("topk", "mad"):
+        got = np.array([x["value"] for x in X.my_defense(one, 0, mode).orderBy("coord").collect()])
+        assert got.shape == (64,) and abs(got[60:] - 0.5).max() < 0.02
+    norm = np.linalg.norm(m, axis=1)
+    clipped = m * np.minimum(1, np.median(norm) / norm)[:, None]
+    kept = X.voted(m, 3, "topk", np.random.default_rng(1))
+    assert 8 <= len(kept) <= 9
+    assert len(X.voted(m, 11, "topk", np.random.default_rng(1))) >= 8  # 0.6 of 12 clients at least
+    whole = X.layer_filtered(m, [(0, 60, 1), (60, 4, 1)], 1e9, 1e9)
+    assert np.allclose(whole, clipped.mean(0))
+    sign = 0.35 * np.sign(m[:, 60:]).sum(1) / 4
+    good = np.abs(sign - np.sort(sign)[5]) / sign.std() < 1
+    assert not good[5] and np.allclose(X.layer_filtered(m, [(0, 60, 1), (60, 4, 1)], 1e9, 1)[60:], clipped[good, 60:].mean(0))
