@@ -7,8 +7,13 @@ lines by their content; level j+1 groups the pairs of names at i and i + 2**j. P
 bucket drop out, so a level handles repeated blocks only. The intervals of every level reveal the repeated
 runs: each run is covered by the blocks of the level below its length.
 
-A line goes if some block of 1, 2, 4, ... 2**LEVELS lines that holds it, of MIN_CHARS characters at least,
-also begins at an earlier position; so the first copy of a run stays and later copies are deleted.
+By ``repeated_runs`` (the pipeline, op10_maximal_line_runs) a line goes if some block of lines that holds it, of any
+number of lines and of MIN_CHARS characters at least, also begins at an earlier position; so the first copy of a run
+stays and later copies are deleted. Such a block is covered by the shortest blocks of MIN_CHARS characters that begin
+or end at its lines, so only these, at most two for each line, are looked up: one of w lines, 2**j <= w < 2**(j+1), is
+named by the names of its first and its last 2**j lines. Levels go on until no bucket has two positions.
+
+By ``repeated_lines`` (op10_line_prefix_doubling, as its SQL says) only blocks of 1, 2, 4, ... 2**LEVELS lines count.
 
 Only counts and first positions of equal blocks are shuffled, aggregated before the shuffle; a hot line's
 rows meet one bucket row in a join that Spark splits by size.
@@ -20,8 +25,11 @@ characters. Other columns pass through, ``n_chars`` follows the text.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rondo.llm.common import cut
 
@@ -39,7 +47,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _named(rows: DataFrame) -> DataFrame:
     """Rows whose (a, b) occurs at two positions or more, with the first of them as ``name``."""
     buckets = rows.groupBy("a", "b").agg(F.min("pos").alias("name"), F.max("pos").alias("last")).where("name < last").drop("last")
-    return rows.join(buckets, ["a", "b"]).select("doc_id", "i", "pos", "chars", "name")
+    return rows.join(buckets, ["a", "b"]).drop("a", "b")
 
 
 def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, levels: int = LEVELS) -> DataFrame:
@@ -61,6 +69,49 @@ def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, levels: int = LE
     return lines.groupBy("doc_id").agg(F.collect_set("line").alias("_gone_lines"))
 
 
+def _placed(docs: DataFrame, min_chars: int) -> DataFrame:
+    """Lines, and a last row for each text's end, with the bounds of the shortest blocks of ``min_chars`` characters.
+
+    ``to`` is the line after the block that begins at line ``i``, ``since`` the first line of the block that ends before it.
+    """
+    hashed = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(x, F.lit(1)).alias("b"), F.length(x).alias("chars")))
+    end = F.struct(F.lit(None).cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(0).alias("chars"))
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.monotonically_increasing_id().alias("row"), F.concat(hashed, F.array(end)).alias("lines"))
+    rows = rows.select("doc_id", "row", F.posexplode("lines").alias("i", "x")).select("doc_id", "row", "i", "x.*")
+    own = Window.partitionBy("row")
+    rows = rows.withColumn("before", F.coalesce(F.sum("chars").over(own.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    far = lambda order: own.orderBy(order).rangeBetween(Window.unboundedPreceding, -min_chars)
+    return rows.select("doc_id", "row", "i", "a", "b", "chars", F.min("i").over(far(F.col("before").desc())).alias("to"), F.max("i").over(far(F.col("before"))).alias("since"))
+
+
+def repeated_runs(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(doc_id, _gone_lines) as ``repeated_lines``, of runs of any length."""
+    place = lambda i: (F.col("doc_id").cast("decimal(38,0)") * _LINE + F.col(i)).cast("decimal(38,0)").alias("pos")
+    lines = cut(_placed(docs, min_chars))
+    ahead = lines.where("to IS NOT NULL").select("doc_id", "row", F.col("i").alias("start"), (F.col("to") - F.col("i")).alias("size"))
+    behind = lines.where("since IS NOT NULL").select("doc_id", "row", F.col("since").alias("start"), (F.col("i") - F.col("since")).alias("size"))
+    blocks = ahead.unionByName(behind).select("*", place("start"))
+    most = blocks.agg(F.max("size")).head()[0] or 0
+    now = cut(_named(lines.where("a IS NOT NULL").select("doc_id", "row", "i", place("i"), "a", "b", "chars", F.col("chars").alias("head"), F.col("chars").alias("tail"))))
+    found = now.where((F.col("chars") >= min_chars) & (F.col("name") < F.col("pos"))).select("doc_id", F.col("i").alias("start"), F.lit(1).alias("size"))
+    size = 1
+    while size <= most and not now.isEmpty():
+        own = blocks.where((F.col("size") > 1) & (F.col("size") >= size) & (F.col("size") < 2 * size)).withColumn("last", F.col("start") + F.col("size") - size)
+        own = own.join(now.select("row", F.col("i").alias("start"), F.col("name").alias("a")), ["row", "start"])
+        own = own.join(now.select("row", F.col("i").alias("last"), F.col("name").alias("b")), ["row", "last"])
+        first = own.groupBy("size", "a", "b").agg(F.min("pos").alias("name"), F.max("pos").alias("end")).where("name < end").drop("end")
+        found = found.unionByName(own.join(first, ["size", "a", "b"]).where("name < pos").select("doc_id", "start", "size"))
+        after = now.select("row", (F.col("i") - size).alias("i"), F.col("name").alias("b"), F.col("chars").alias("more"), F.col("tail").alias("end"))
+        pairs = now.join(after, ["row", "i"]).select("doc_id", "row", "i", "pos", F.col("name").alias("a"), "b", (F.col("chars") + F.col("more")).alias("chars"), "head", F.col("end").alias("tail"))
+        # a part of a shortest block falls below min_chars without its first or its last line
+        now = cut(_named(pairs.where(F.col("chars") - F.greatest("head", "tail") < min_chars)))
+        size *= 2
+    reach = F.coalesce(F.max(F.col("start") + F.col("size")).over(Window.partitionBy("doc_id").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = found.withColumn("from", F.greatest("start", reach)).where("from < start + size")
+    lines = spans.select("doc_id", F.explode(F.sequence("from", F.col("start") + F.col("size") - 1)).alias("line"))
+    return lines.groupBy("doc_id").agg(F.collect_list("line").alias("_gone_lines"))
+
+
 def _cleaned(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The documents with ``_gone_lines`` (null if none) and ``_kept_text``, the array of the lines that stay."""
     lines = F.split("text", "\n", -1)
@@ -71,16 +122,16 @@ def _cleaned(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 def dedup(docs: DataFrame) -> DataFrame:
     """The documents with repeated runs deleted; one whose every word went is left out."""
-    found = _cleaned(docs, repeated_lines(docs))
+    found = _cleaned(docs, repeated_runs(docs))
     found = found.where(F.col("_gone_lines").isNull() | F.col("_kept_text").rlike("[^\\x20\\x09-\\x0D]"))
     cols = [F.col("_kept_text").alias("text") if c == "text" else F.when(F.col("_gone_lines").isNull(), F.col(c)).otherwise(F.length("_kept_text")).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes if c not in ("_gone_lines", "_kept_text")]
     return found.select(*cols)
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, repeated: Callable[[DataFrame], DataFrame] = repeated_lines) -> DataFrame:
     """op10: (doc_id, n_lines, n_removed, n_kept_chars, kept_sha256) of every document."""
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    found = _cleaned(docs, repeated_lines(docs))
+    found = _cleaned(docs, repeated(docs))
     return found.select(
         "doc_id", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"), F.coalesce(F.size("_gone_lines"), F.lit(0)).cast("long").alias("n_removed"),
         F.length("_kept_text").cast("long").alias("n_kept_chars"), F.sha2("_kept_text", 256).alias("kept_sha256"),
@@ -99,3 +150,12 @@ ORACLE = (
 k AS (SELECT doc_id, len(lines) AS n, coalesce(len(gone), 0) AS m, array_to_string(list_transform(list_filter(range(1, len(lines) + 1), lambda i: gone IS NULL OR NOT list_contains(gone, i)), lambda i: lines[i]), chr(10)) AS kept FROM d LEFT JOIN g USING (doc_id))
 SELECT doc_id, n::BIGINT AS n_lines, m::BIGINT AS n_removed, length(coalesce(kept, ''))::BIGINT AS n_kept_chars, sha256(coalesce(kept, '')) AS kept_sha256 FROM k"""
 )
+RUNS_ORACLE = (
+    f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i, length(unnest(lines)) AS n FROM d),
+c AS (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS upto FROM l),
+w AS (SELECT x.doc_id, x.i, y.i AS e, x.lines[x.i : y.i] AS b FROM c x JOIN c y ON x.doc_id = y.doc_id AND y.i >= x.i AND y.upto - x.upto + x.n >= {MIN_CHARS} AND (y.upto - y.n - x.upto + x.n < {MIN_CHARS} OR y.upto - x.upto < {MIN_CHARS})),
+f AS (SELECT *, min(doc_id::HUGEINT * 1000000000 + i) OVER (PARTITION BY b) AS name FROM w),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, e + 1)) AS i FROM f WHERE name < doc_id::HUGEINT * 1000000000 + i)"""
+    + ORACLE[ORACLE.index(", g AS (") :]
+)

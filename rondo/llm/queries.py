@@ -31,6 +31,10 @@ def op10_line_prefix_doubling(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op10_maximal_line_runs(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"), line_dedup.repeated_runs)
+
+
 def op6_secret_ownership(spark, sf_dir):
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -55,5 +59,5 @@ def op3_log_frequency_filter(spark, sf_dir):
     return language_model.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_quality, op2_ngram_rules, op5_suffix_automaton, op4_sampled_splitters, op10_line_prefix_doubling, op6_secret_ownership, op8_grouped_prefix_join, op7_suffix_arrays, op9_distinct_word_bpe, op3_log_frequency_filter)}
-ORACLES: dict[str, str] = {"op5_suffix_automaton": decontaminate.ORACLE, "op4_sampled_splitters": sharding.ORACLE, "op10_line_prefix_doubling": line_dedup.ORACLE, "op6_secret_ownership": secret_scan.ORACLE, "op8_grouped_prefix_join": jaccard_join.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_compression_quality, op2_ngram_rules, op5_suffix_automaton, op4_sampled_splitters, op10_line_prefix_doubling, op10_maximal_line_runs, op6_secret_ownership, op8_grouped_prefix_join, op7_suffix_arrays, op9_distinct_word_bpe, op3_log_frequency_filter)}
+ORACLES: dict[str, str] = {"op5_suffix_automaton": decontaminate.ORACLE, "op4_sampled_splitters": sharding.ORACLE, "op10_line_prefix_doubling": line_dedup.ORACLE, "op10_maximal_line_runs": line_dedup.RUNS_ORACLE, "op6_secret_ownership": secret_scan.ORACLE, "op8_grouped_prefix_join": jaccard_join.ORACLE}
