@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 20
 
@@ -90,16 +91,41 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """H with H[j] - H[i], times the inverse power at i, the polynomial hash of data[i:j]."""
+    """H with H[j] - H[i], times the inverse power at i, the polynomial hash of data[i:j].
+
+    For windows of one small size over all places; it is weak for long strings of structure, so spans go by ``span_hash``.
+    """
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * _powers(len(data))[0], out=out[1:])
     return out
 
 
-def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, prefix: np.ndarray | None = None) -> np.ndarray:
-    h = prefix_hash(data) if prefix is None else prefix
-    inverse = _powers(len(data) + 1)[1]
-    return mix((h[end] - h[start]) * inverse[start] + (end - start).astype(np.uint64))
+_LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Longer spans are hashed one by one.
+_LONG = 64
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the spans: eight bytes at a time are mixed in, so up to eight bytes no two spans of a size share one."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
+    size = end - start
+    h = mix(eight[start] & _LOW[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(_P)
+    live, k = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(live):
+        rest = size[live] - k
+        h[live] = mix(h[live] + (eight[start[live] + k] & _LOW[np.minimum(rest, 8)]))
+        live, k = live[rest > 8], k + 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]].tobytes())
+    return mix(h)
+
+
+def distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted, each once."""
+    h = np.sort(h)
+    return h[np.append(True, h[1:] != h[:-1])] if len(h) else h
 
 
 def ngrams(words: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,6 +158,3 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[range,
         yield range(at, to), data[own[0] : own[-1]], own - own[0]
         at = to
 
-
-def signed(h: np.ndarray) -> np.ndarray:
-    return h.view(np.int64)

@@ -1,21 +1,21 @@
 """Grouped prefix join: documents whose sets of word shingles have a Jaccard similarity of 0.8 or more.
 
 A set is the distinct ``SHINGLE``-word shingles of a text, A-Z in lower case, as 64-bit hashes in one global
-order: shingles seen often come last, then by hash. Two sets can only be similar if their prefixes (the first
-``n - ceil(0.8 n) + 1`` shingles) meet and their sizes are within the ratio.
-
-1. Equal sets are one *node* from the start, however many copies there are.
-2. Nodes are collapsed into groups. In each bucket of nodes that share a prefix shingle and a size band, and in
-   each bucket of equal prefix and size, the node with the fewest shingles of its own is the centre; every
-   other one is verified against the centre, not against each other. A node within 0.2 joins one centre.
-3. Group pairs that share a prefix shingle are filtered by size, position and bitmap, then their centres verified.
-   As distance is a metric, groups of radius r1 and r2 whose centres are further than 0.2 + r1 + r2 apart
-   have no similar members; that settles almost all pairs.
-4. What is left and not connected yet is expanded: the members' differences from the centre are compared in
-   blocks of bounded size, which gives their exact intersections.
-
-So every similar pair is either verified, or inside one group, or between groups already connected by verified
-links: the components are exact. Only prefix shingles found twice are shuffled; sets only of nodes to verify.
+order: shingles seen often come last, then by hash. The first shingle that two similar sets share stands among the
+first ``n - ceil(0.8 n) + 1`` of either (its prefix), and in the smaller set even among the first ``n / 9``.
+
+1. Equal sets are one *node*, however many copies there are. Nodes of identical prefix and size are a group: its
+   key stands beside the prefix shingles in the postings. Only shingles found in two prefixes are posted.
+2. Group pairs: in each group, and among the nodes of a size band that share a prefix shingle, the node with the
+   fewest shingles of its own is the centre, and the others are verified against it. That is linear in a group
+   and connects most of a family of near copies. It is done again with other centres where a shingle still has
+   nodes of several components.
+3. What is left is the prefix join of nodes of different components: the smaller set's first shingles meet the
+   larger's prefix, and a pair must pass size, place and bitmap bounds before it leaves the join.
+4. Pairs are expanded to their members' sets and verified by the exact intersection of all 64 bits.
+
+So every similar pair is either verified, or inside one component of verified links: the components are exact. Sets
+are moved of nodes to verify only.
 
 Defined cases: a null or wordless text has no shingles and is linked with nothing, its component its own id; a
 text of one to four words has one shingle, the whole sequence; null ids are never a component's name unless
@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +41,8 @@ PERCENT = 80
 #: Shingles counted this often are ordered by frequency; the list is held to MAX_FREQUENT by doubling this.
 FREQUENT = 8
 MAX_FREQUENT = 1 << 21
+#: Beyond this many nodes of a shingle, other centres are tried and pairs must pass the bitmaps inside the join.
+HOT = 32
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> list[np.ndarray]:
@@ -54,7 +55,7 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, size: int = SHINGLE) -> lis
     out = []
     for i, n in enumerate(count):
         if n >= size:
-            out.append(np.unique(grams[bound[i] : bound[i + 1]]))
+            out.append(bs.distinct(grams[bound[i] : bound[i + 1]]))
         elif n:
             whole, _ = bs.ngrams(words.hash[first[i] : first[i + 1]], np.zeros(n, int), int(n))
             out.append(bs.mix(whole + np.uint64(n)))
@@ -105,14 +106,24 @@ def _may_reach(pairs: DataFrame, bitmaps: DataFrame, percent: Column | int) -> D
     return both.where(fits).select("a", "b")
 
 
-def nodes_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node, bits) of every document."""
+def scanned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, node, bits) of every document; (key, seen) of the shingles that a task meets twice or more, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch, rows, sets in _texts(batches, 1):
-            yield {"doc_id": batch.column(0).slice(rows.start, len(rows)), "n": [len(x) for x in sets], "node": [signature(x) for x in sets], "bits": [_bitmap(x) for x in sets]}
+        met = Counter64(least=2)
 
-    return map_arrow_all(docs.select("doc_id", "text"), run, "doc_id long, n long, node long, bits array<long>")
+        def rows(many: int, **columns) -> dict:
+            return {k: columns.get(k, pa.nulls(many)) for k in ("doc_id", "n", "node", "bits", "key", "seen")}
+
+        for batch, at, sets in _texts(batches, 1):
+            yield rows(len(at), doc_id=batch.column(0).slice(at.start, len(at)), n=[len(x) for x in sets], node=[signature(x) for x in sets], bits=[_bitmap(x) for x in sets])
+            for x in met.add(np.concatenate(sets)):
+                yield rows(len(x["n"]), key=x["key"], seen=x["n"])
+        for x in met.flush():
+            yield rows(len(x["n"]), key=x["key"], seen=x["n"])
+
+    both = cut(map_arrow_all(docs.select("doc_id", "text"), run, "doc_id long, n long, node long, bits array<long>, key long, seen long"))
+    return both.where("node IS NOT NULL").select("doc_id", "n", "node", "bits"), both.where("key IS NOT NULL").select("key", "seen")
 
 
 class Order:
@@ -131,16 +142,9 @@ class Order:
         return shingles[np.argsort(level, kind="stable")[:k]]
 
 
-def frequency_order(docs: DataFrame) -> Order:
-    """Counts of the shingles that one task meets twice or more: enough to order them, and never a result."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        seen = Counter64(least=2)
-        for _, _, sets in _texts(batches, 0):
-            yield from seen.add(np.concatenate(sets))
-        yield from seen.flush()
-
-    counts = cut(map_arrow_all(docs.select("text"), run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT))
+def frequency_order(counted: DataFrame) -> Order:
+    """The order by the counts of ``scanned``: enough to order shingles, and never a result."""
+    counts = cut(counted.groupBy("key").agg(F.sum("seen").alias("n")).where(F.col("n") >= FREQUENT))
     least = FREQUENT
     while counts.where(F.col("n") >= least).count() > MAX_FREQUENT:
         least *= 2
@@ -149,10 +153,10 @@ def frequency_order(docs: DataFrame) -> Order:
 
 
 def postings(docs: DataFrame, order: Order) -> DataFrame:
-    """(token, node, n, pos, rare): the prefix shingles that two documents or more have.
+    """(token, node, n, pos, shared, rare): the prefix shingles that two documents or more have.
 
-    ``rare`` is how many shingles of the node's prefix no other document has; pos -1 rows hold the hash of the
-    whole prefix and the size, the key of documents of identical prefix.
+    ``shared`` is how many of these the node has before this one, ``rare`` how many shingles of its prefix no other
+    document has; pos -1 rows hold the hash of the whole prefix and the size, the key of a group.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(order)  # MAX_FREQUENT entries at most
@@ -176,7 +180,7 @@ def postings(docs: DataFrame, order: Order) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for _, _, sets in _texts(batches, 0):
-            out = {k: [] for k in ("token", "node", "n", "pos", "rare")}
+            out = {k: [] for k in ("token", "node", "n", "pos", "shared", "rare")}
             for x, p in zip(sets, prefixes(sets), strict=True):
                 if not len(x):
                     continue
@@ -187,13 +191,14 @@ def postings(docs: DataFrame, order: Order) -> DataFrame:
                 at = np.flatnonzero(ok)
                 out["token"].append(token[at].view(np.int64))
                 out["pos"].append(at - 1)
+                out["shared"].append(np.cumsum(at >= 1) - 1)
                 rare = len(p) - int(ok[1:].sum())
                 for name, v in (("node", signature(x)), ("n", len(x)), ("rare", rare)):
                     out[name].append(np.full(len(at), v, np.int64))
             if out["token"]:
                 yield {k: np.concatenate(v) for k, v in out.items()}
 
-    rows = map_arrow_all(docs.select("text"), run, "token long, node long, n long, pos int, rare int")
+    rows = map_arrow_all(docs.select("text"), run, "token long, node long, n long, pos int, shared int, rare int")
     return cut(rows.distinct())
 
 
@@ -207,7 +212,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
         batch = batch.filter(pa.array(passes.value.passes(batch.column(0).to_numpy())))
         for rows, data, offs in bs.slices(batch.column(1)):
             sets = shingle_sets(data, offs)
-            yield {"key": batch.column(0).slice(rows.start, len(rows)), "node": [signature(x) for x in sets], "own": [_pack(x) for x in sets]}
+            yield {"key": batch.column(0).slice(rows.start, len(rows)), "node": [signature(x) for x in sets], "own": [x.tobytes() for x in sets]}
 
     found = map_arrow(docs.select(F.xxhash64("doc_id").alias("key"), "text"), run, "key long, node long, own binary")
     return found.join(one, ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", "own")
@@ -229,9 +234,9 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
         last, x = None, None
         out = {k: [] for k in ("na", "nb", "common")}
         for own, other in zip(batch.column(2), batch.column(3), strict=True):
-            own, y = own.as_py(), _unpack(other.as_py())
+            own, y = own.as_py(), np.frombuffer(other.as_py(), np.uint64)
             if own != last:
-                last, x = own, _unpack(own)
+                last, x = own, np.frombuffer(own, np.uint64)
             small, large = (x, y) if len(x) < len(y) else (y, x)
             for name, v in (("na", len(x)), ("nb", len(y)), ("common", int(_meet(small, large).sum()))):
                 out[name].append(v)
@@ -240,162 +245,89 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return cut(map_arrow(both.select("a", "b", "x", "y"), meet, "a long, b long, na long, nb long, common long"))
 
 
-#: Members of either side in a block of the expansion.
-BLOCK = 2000
+def _sizes_fit(n: Column, m: Column) -> Column:
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
 
-def _expanded(docs: DataFrame, nodes: DataFrame, near: DataFrame, home: DataFrame) -> DataFrame:
-    """Links (a, b) between the members of ``ga`` and of ``gb``: one for each member of gb that has any.
+_LINKED = f"100 * common >= {PERCENT} * (na + nb - common)"
+_NEED = 100 + PERCENT  # common >= PERCENT / _NEED * (na + nb)
 
-    All members of ga are linked with its centre, so a set is what it lacks of the centre and what it has
-    besides. Two sets' intersection follows from the sizes and the differences they share; these are counted block by block, so a
-    member moves once for each block of the other side and no table of pairs is made.
-    """
-    sides = near.select(F.col("ga").alias("g"), F.col("ga").alias("group"), F.lit(True).alias("inner")).distinct()
-    sides = sides.unionByName(near.select(F.col("ga").alias("g"), F.col("gb").alias("group"), F.lit(False).alias("inner")).distinct())
-    asked = cut(sides.join(home, "group").select("g", "node", "inner"))
-    sets = _sets(docs, nodes, asked.select("node").unionByName(asked.select(F.col("g").alias("node"))))
-    both = asked.join(sets, "node").join(sets.select(F.col("node").alias("g"), F.col("own").alias("centre")), "g")
-
-    def differ(batch: pa.RecordBatch) -> Iterator[dict]:
-        out = {k: [] for k in ("n", "nc", "extra", "miss")}
-        for own, centre in zip(batch.column(3), batch.column(4), strict=True):
-            x, c = _unpack(own.as_py()), _unpack(centre.as_py())
-            for name, v in (("n", len(x)), ("nc", len(c)), ("extra", x[~_meet(x, c)].tobytes()), ("miss", c[~_meet(c, x)].tobytes())):
-                out[name].append(v)
-        yield {"g": batch.column(0), "node": batch.column(1), "inner": batch.column(2)} | out
-
-    rows = cut(map_arrow(both.select("g", "node", "inner", "own", "centre"), differ, "g long, node long, inner boolean, n long, nc long, extra binary, miss binary"))
-    sizes = rows.groupBy("g").agg(F.ceil(F.count_if("inner") / BLOCK).alias("ka"), F.ceil(F.count_if(~F.col("inner")) / BLOCK).alias("kx")).where("ka > 0 and kx > 0")
-    mine = F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("ka")).otherwise(F.col("kx")))
-    rows = rows.join(sizes, "g").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col("inner"), F.col("kx")).otherwise(F.col("ka")) - 1)))
-    rows = rows.withColumn("ba", F.when(F.col("inner"), F.col("mine")).otherwise(F.col("other"))).withColumn("bx", F.when(F.col("inner"), F.col("other")).otherwise(F.col("mine")))
-
-    def block(table: pa.Table) -> pa.Table:
-        inner = table.column("inner").combine_chunks()
-        side = []
-        for part in (table.filter(inner), table.filter(pa.compute.invert(inner))):
-            extra = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("extra")]
-            miss = [np.frombuffer(x.as_py(), np.uint64) for x in part.column("miss")]
-            token = np.concatenate([np.zeros(0, np.uint64), *(np.append(e, ~m) for e, m in zip(extra, miss, strict=True))])
-            owner = np.repeat(np.arange(len(extra)), [len(e) + len(m) for e, m in zip(extra, miss, strict=True)])
-            side.append((part.column("node").to_numpy(), part.column("n").to_numpy(), np.array([len(m) for m in miss], np.int64), token, owner))
-        (a, na, ma, ta, oa), (x, nx, mx, tx, ox) = side
-        links: list[tuple[int, int]] = []
-        if len(a) and len(x):
-            nc = table.column("nc")[0].as_py()
-            order = np.argsort(tx, kind="stable")
-            tx, ox = tx[order], ox[order]
-            low, high = np.searchsorted(tx, ta, "left"), np.searchsorted(tx, ta, "right")
-            shared = np.zeros(len(a) * len(x), np.int64)
-            for k in range(0, len(ta), 20_000):
-                many = high[k : k + 20_000] - low[k : k + 20_000]
-                at = np.repeat(low[k : k + 20_000] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                shared += np.bincount(np.repeat(oa[k : k + 20_000], many) * len(x) + ox[at], minlength=len(shared))
-            common = nc - ma[:, None] - mx[None, :] + shared.reshape(len(a), len(x))
-            ok = 100 * common >= PERCENT * (na[:, None] + nx[None, :] - common)
-            links = [(int(a[ok[:, j].argmax()]), int(x[j])) for j in np.flatnonzero(ok.any(0))]
-        return pa.table({"a": pa.array([p for p, _ in links], pa.int64()), "b": pa.array([q for _, q in links], pa.int64())})
-
-    return rows.select("g", "ba", "bx", "inner", "node", "n", "nc", "extra", "miss").groupBy("g", "ba", "bx").applyInArrow(block, "a long, b long")
-
-
-_PACKED = 5
-
-
-def _pack(shingles: np.ndarray) -> bytes:
-    """The top 40 bits of each hash: two texts' shingles meet wrongly once in millions of pairs."""
-    return np.ascontiguousarray(shingles.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_PACKED]).tobytes()
-
-
-def _unpack(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // _PACKED, 8), np.uint8)
-    out[:, 8 - _PACKED :] = np.frombuffer(data, np.uint8).reshape(-1, _PACKED)
-    return out.reshape(-1).view(">u8").astype(np.uint64)
 
+def _place_fits() -> Column:
+    """A common shingle's places leave room for enough common ones: shared ones before it, any behind it."""
+    return F.expr(f"(least(x_shared, y_shared) + least(x_n - x_pos, y_n - y_pos)) * {_NEED} >= {PERCENT} * (x_n + y_n)")
 
-def _sizes_fit(n: Column, m: Column) -> Column:
-    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m))
 
+def _bits_fit() -> Column:
+    """A bit that differs stands for a shingle that one set has alone, at least: this bounds the intersection from above."""
+    apart = F.aggregate(F.zip_with("x_bits", "y_bits", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, v: t + v)
+    total = F.col("x_n") + F.col("y_n")
+    return _NEED * (total - apart) >= 2 * PERCENT * total
 
-_UNION = "(na + nb - common)"
-_LINKED = f"100 * common >= {PERCENT} * {_UNION}"
-_NEAR = f"NOT ({_LINKED}) AND 100 * common >= {PERCENT - 2 * (100 - PERCENT)} * {_UNION}"
-_NEED = 100 + PERCENT  # common >= PERCENT / _NEED * (na + nb)
 
+def _pair(met: DataFrame) -> DataFrame:
+    return met.select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
 
-def _positions_fit(left: str, right: str) -> Column:
-    """After grouping a pair's common prefix shingles: the most that they can have in common is enough."""
-    rest = F.least(F.col(f"{left}_n") - F.max(f"{left}_pos") - 1, F.col(f"{right}_n") - F.max(f"{right}_pos") - 1)
-    return (F.count_if(F.col(f"{left}_pos") >= 0) + rest) * _NEED >= PERCENT * (F.col(f"{left}_n") + F.col(f"{right}_n"))
 
+def _unchecked(pairs: DataFrame, checked: DataFrame) -> DataFrame:
+    return pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
 
-def _place_fits() -> Column:
-    """A common shingle's places leave room for enough common ones before and after it."""
-    return F.expr(f"(least(x_pos, y_pos) + 1 + least(x_n - x_pos, y_n - y_pos) - 1) * {_NEED} >= {PERCENT} * (x_n + y_n)")
+
+def _stars(post: DataFrame, rank: Column, *by: str) -> DataFrame:
+    """Each bucket's centre, the node of least rank, as x with its nodes as y that fit it by size and place."""
+    columns = [c for c in post.columns if c not in ("token", *by)]
+    centre = post.groupBy("token", *by).agg(*[F.min_by(c, rank).alias(f"x_{c}") for c in columns], F.count("*").alias("many")).where("many > 1").drop("many")
+    own = post.select("token", *by, *[F.col(c).alias(f"y_{c}") for c in columns])
+    return own.join(cut(centre), ["token", *by]).where(_sizes_fit(F.col("x_n"), F.col("y_n")) & _place_fits())
+
+
+def _component(post: DataFrame, comp: DataFrame) -> DataFrame:
+    return post.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _several(post: DataFrame, comp: DataFrame) -> DataFrame:
+    """The postings of the tokens that nodes of several components have, with their node's component and, as many, the token's nodes."""
+    named = _component(post, comp)
+    several = named.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("many"))
+    return named.join(cut(several.where("c0 < c1").select("token", "many")), "token")
+
+
+def _prefix_join(left: DataFrame) -> DataFrame:
+    """The smaller set as x, by its first shingles, and the larger as y, by its prefix: of different components, by size and place."""
+    columns = [c for c in left.columns if c not in ("token", "many", "rare")]
+    side = lambda rows, k: rows.select("token", *[F.col(c).alias(f"{k}_{c}") for c in columns])
+    ordered = F.expr("(x_n < y_n OR (x_n = y_n AND x_node < y_node)) AND x_component != y_component")
+    return side(left.where("9 * pos <= n"), "x").join(side(left, "y"), "token").where(ordered & _sizes_fit(F.col("x_n"), F.col("y_n")) & _place_fits())
 
 
 def similar(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document; see the module's text."""
-    nodes = cut(nodes_of(docs))
+    nodes, counted = scanned(docs)
     bitmaps = cut(nodes.dropDuplicates(["node"]).select("node", "n", "bits"))
     nodes = nodes.drop("bits")
-    post = postings(docs, frequency_order(docs))
-    # 2. stars
+    post = postings(docs, frequency_order(counted))
+    # 2. stars, in every bucket, then by other centres in those of several components
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / PERCENT))).cast("int")
-    post_b = post.withColumn("band", band)
     rank = F.col("rare") * F.lit(1 << 40) + F.pmod("node", F.lit(1 << 40))
-    centre = post_b.groupBy("token", "band").agg(*[F.min_by(c, rank).alias(f"x_{c}") for c in ("node", "n", "pos")], F.count("*").alias("many")).where("many > 1").drop("many")
-    own = post_b.select("token", "band", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "pos")])
-    stars = own.join(centre, ["token", "band"]).where((F.col("x_node") != F.col("y_node")) & _sizes_fit(F.col("x_n"), F.col("y_n")) & _place_fits())
-    stars = stars.groupBy("x_node", "y_node", "x_n", "y_n").agg(_positions_fit("x", "y").alias("fit")).where("fit")
-    stars = cut(_may_reach(stars.select(F.col("x_node").alias("a"), F.col("y_node").alias("b")), bitmaps, PERCENT))
-    checked = verified(docs, nodes, stars)
+    met = _stars(post.withColumn("band", band), rank, "band").where("x_node != y_node")
+    checked = verified(docs, nodes, cut(_may_reach(_pair(met), bitmaps, PERCENT)))
     links = checked.where(_LINKED).select("a", "b")
-    group = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("group"))
-    group = cut(group.join(group.select(F.col("group").alias("node")).distinct(), "node", "left_anti"))  # a centre stays in its own
     comp = components(links)
-    # 3. group pairs
-    named = post.join(group, "node", "left").withColumn("group", F.coalesce("group", "node"))
-    comps = comp.withColumnRenamed("node", "group")
-    named = cut(named.join(comps, "group", "left").withColumn("component", F.coalesce("component", "group")))
-    heads = named.groupBy("token", "group").agg(
-        F.first("component").alias("component"), F.min("n").alias("low"), F.max("n").alias("high"), F.max("n").alias("n"), F.min("pos").alias("pos"), (F.count("*") > 1).alias("many")
-    )
-    heads = heads.join(named.where(F.col("node") != F.col("group")).select("group").distinct().withColumn("full", F.lit(True)), "group", "left").withColumn("full", F.coalesce("full", F.lit(False)))
-    several = heads.groupBy("token").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 < c1").select("token")
-    heads = heads.join(several, "token", "left_semi")
-    x = heads.select("token", *[F.col(c).alias(f"x_{c}") for c in ("group", "component", "low", "high", "n", "pos", "full")])
-    y = heads.select("token", *[F.col(c).alias(f"y_{c}") for c in ("group", "component", "low", "high", "n", "pos", "full")])
-    met = x.join(y, "token").where(
-        (F.col("x_group") < F.col("y_group")) & (F.col("x_component") != F.col("y_component"))
-        & (100 * F.col("x_high") >= PERCENT * F.col("y_low")) & (100 * F.col("y_high") >= PERCENT * F.col("x_low"))
-        & (F.col("x_full") | F.col("y_full") | _place_fits())
-    )
-    pairs = met.groupBy("x_group", "y_group", "x_n", "y_n", "x_full", "y_full").agg(_positions_fit("x", "y").alias("fit"))
-    pairs = pairs.where(F.col("x_full") | F.col("y_full") | F.col("fit")).select(F.col("x_group").alias("a"), F.col("y_group").alias("b"), F.col("x_full"), F.col("y_full")).groupBy("a", "b").agg(F.max("x_full").alias("x_full"), F.max("y_full").alias("y_full"))
-    pairs = cut(pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti").join(checked.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
-    # unconnected groups of several members are still of interest when their centres are further apart
-    gap = 100 - PERCENT
-    worth = F.when(F.col("x_full") & F.col("y_full"), PERCENT - 2 * gap).when(F.col("x_full") | F.col("y_full"), PERCENT - gap).otherwise(PERCENT)
-    second = verified(docs, nodes, cut(_may_reach(pairs, bitmaps, worth)))
-    more = second.where(_LINKED).select("a", "b")
-    # 4. groups of several members whose centres are near, yet not connected
-    links = cut(links.unionByName(more))
+    left = cut(_several(post, comp))
+    met = _stars(left.where(F.col("many") > HOT), F.xxhash64("token", "node")).where("x_component != y_component")
+    again = verified(docs, nodes, cut(_may_reach(_unchecked(_pair(met), checked), bitmaps, PERCENT)))
+    checked = checked.unionByName(again)
+    links = cut(links.unionByName(again.where(_LINKED).select("a", "b")))
     comp = components(links)
-    full = named.where(F.col("node") != F.col("group")).select(F.col("group").alias("g")).distinct()
-    at = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c{side}"))
-    home = cut(named.select("node", "group").distinct())
-    of = lambda side: home.select(F.col("node").alias(side), F.col("group").alias(f"g{side}"))
-    near = checked.unionByName(second).where(_NEAR).join(of("a"), "a").join(of("b"), "b").where("a = ga and b = gb")
-    near = near.join(full.select(F.col("g").alias("a"), F.lit(True).alias("fa")), "a", "left").join(full.select(F.col("g").alias("b"), F.lit(True).alias("fb")), "b", "left")
-    near = near.where("fa or fb").where(f"(fa and fb) or 100 * common >= {PERCENT - (100 - PERCENT)} * {_UNION}")
-    near = near.join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
-    near = cut(near.select(F.when(F.col("fa"), F.col("a")).otherwise(F.col("b")).alias("ga"), F.when(F.col("fa"), F.col("b")).otherwise(F.col("a")).alias("gb")).distinct())
-    if not near.isEmpty():
-        third = cut(_expanded(docs, nodes, near, home))
-        if not third.isEmpty():
-            comp = components(links.unionByName(third))
+    # 3. the prefix join of what is left; bitmaps move with the nodes of frequent shingles only, where they save most
+    left = _component(left.where("pos >= 0").drop("component"), comp)
+    cold = _may_reach(_pair(_prefix_join(left.where(F.col("many") <= HOT))), bitmaps, PERCENT)
+    hot = cut(left.where(F.col("many") > HOT).join(bitmaps.select("node", "bits"), "node"))
+    pairs = cold.unionByName(_pair(_prefix_join(hot).where(_bits_fit()))).distinct()
+    last = verified(docs, nodes, cut(_unchecked(pairs, checked)))
+    more = cut(last.where(_LINKED).select("a", "b"))
+    if not more.isEmpty():
+        comp = components(links.unionByName(more))
     named_doc = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
     # written out, so that the join below is one of two plain shuffles, of which Spark splits a hot component
     least = cut(named_doc.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))
