@@ -78,12 +78,12 @@ def krum(updates: DataFrame, f: int = 10) -> DataFrame:
 
 
 @register
-def multi_krum(updates: DataFrame, f: int = 10, share: float = 0.2, clients: int = 50) -> DataFrame:
-    m = int(share * clients)
-    if m < 1:
-        raise ValueError("the share selects no client")
-    picked = V.ranked(krum_scores(updates, f), "score", "round").where(F.col("rank") <= m).select("round", "client_id")
-    return mean(updates.join(picked, ["round", "client_id"]))
+def multi_krum(updates: DataFrame, f: int = 10, share: float = 0.2) -> DataFrame:
+    """The mean of the int(n share) clients of lowest score; a round without as many as one gives an error."""
+    m = F.floor(F.count("*").over(Window.partitionBy("round")) * F.lit(share))
+    m = F.when(m < 1, F.raise_error(F.lit("the share selects no client"))).otherwise(m)
+    picked = V.ranked(krum_scores(updates, f), "score", "round").withColumn("m", m).where("rank <= m")
+    return mean(updates.join(picked.select("round", "client_id"), ["round", "client_id"]))
 
 
 @register
@@ -130,14 +130,14 @@ def centered_clipping(updates: DataFrame, tau: float = 100.0, centre: DataFrame
 
 
 @register
-def bucketing(updates: DataFrame, size: int = 2, f: int = 10) -> DataFrame:
-    """Clients in md5 order, the means of consecutive buckets, then Krum over the buckets."""
+def bucketing(updates: DataFrame, size: int = 2, f: int = 10, inner: str = "krum") -> DataFrame:
+    """Clients in md5 order, the means of consecutive buckets, then another aggregator over the buckets."""
     order = F.row_number().over(Window.partitionBy("round").orderBy(V.uniform("bucket", "round", "client_id"), "client_id"))
     dealt = updates.withColumn("bucket", F.floor((order - 1) / size).cast("int"))
     means = to_long(dealt.drop("client_id").withColumnRenamed("bucket", "client_id")).groupBy("round", F.col("client_id"), "coord").agg(F.avg("value").alias("value"))
     cells = means.groupBy("round", "client_id").agg(F.array_sort(F.collect_list(F.struct("coord", "value"))).alias("cells"))
     wide = cells.select("round", "client_id", F.lit("bucket").alias("role"), F.transform("cells", lambda x: x["value"]).alias("vec"))
-    return krum(wide, f)
+    return krum(wide, f) if inner == "krum" else AGGREGATORS[inner](wide)
 
 
 @register

@@ -10,8 +10,6 @@ from rondo.functions import vectors as V
 from rondo.operators.aggregators import register
 from rondo.sources.fixtures import to_long
 
-ROUND = ("round",)
-
 
 def with_layer(long: DataFrame, layout: DataFrame) -> DataFrame:
     """Adds layer, ndim and kind: a range join with a layout of a few rows."""
@@ -39,79 +37,102 @@ def cosine_with_last(updates: DataFrame) -> DataFrame:
     return rows.select("round", "client_id", F.when(size > 0, V.dot("vec", "before") / size).alias("cosine"))
 
 
-def top_k_mask(updates: DataFrame, share: float = 0.1, dim: int = 64) -> DataFrame:
-    """The coordinates of the k largest absolute values of each client."""
-    k = max(1, int(share * dim))
-    rows = to_long(updates).withColumn("rank", F.row_number().over(Window.partitionBy("round", "client_id").orderBy(F.abs("value").desc(), "coord")))
-    return rows.where(F.col("rank") <= k).select("round", "client_id", "coord", "value")
+def top_k_mask(updates: DataFrame, share: float = 0.1) -> DataFrame:
+    """The coordinates of the k largest absolute values of each client; of equal ones the first."""
+    k = F.greatest(F.lit(1), F.floor(F.size("vec") * F.lit(share))).cast("int")
+    cells = F.transform("vec", lambda x, i: F.struct((-F.abs(x)).alias("key"), i.alias("coord"), x.alias("value")))
+    rows = updates.select("round", "client_id", F.inline(F.slice(F.array_sort(cells), F.lit(1), k)))
+    return rows.select("round", "client_id", "coord", "value")
 
 
 def sign_features(updates: DataFrame) -> DataFrame:
     """Shares of positive, zero and negative coordinates, each over the round's largest."""
-    rows = to_long(updates).groupBy("round", "client_id").agg(*[F.avg((F.signum("value") == s).cast("double")).alias(name) for name, s in (("pos", 1), ("zero", 0), ("neg", -1))])
+    share = lambda s: F.size(F.filter("vec", lambda x: F.signum(x) == s)) / F.size("vec")
+    rows = updates.select("round", "client_id", *[share(s).alias(name) for name, s in (("pos", 1), ("zero", 0), ("neg", -1))])
     top = Window.partitionBy("round")
     return rows.select("round", "client_id", *[(F.col(c) / (F.max(c).over(top) + 1e-8)).alias(c) for c in ("pos", "zero", "neg")])
 
 
 def norm_filter(updates: DataFrame, low: float = 0.1, high: float = 3.0) -> DataFrame:
     """(round, client_id, norm, kept): norm strictly between low and high times the lower median."""
-    norms = V.client_norms(to_long(updates))
+    norms = updates.select("round", "client_id", V.norm("vec").alias("norm"))
     middle = norms.groupBy("round").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY norm)").alias("middle"))
     return norms.join(middle, "round").select("round", "client_id", "norm", ((F.col("norm") > low * F.col("middle")) & (F.col("norm") < high * F.col("middle"))).alias("kept"))
 
 
 @register
-def lasa(updates: DataFrame, layout: DataFrame, norm_bound: float = 2.0, sign_bound: float = 1.0, sparsity: float = 0.3, dim: int = 64) -> DataFrame:
-    """Clip to the median norm, sparsify, keep per layer the clients whose norm and sign score are near the median, average.
+def lasa(updates: DataFrame, layout: DataFrame, norm_bound: float = 2.0, sign_bound: float = 1.0, sparsity: float = 0.3) -> DataFrame:
+    """Per layer the mean, clipped to the median norm, of the clients whose norm and sign score are near the median.
 
-    The threshold of a client is the k-th largest absolute value of its whole vector; matrices below it are
-    zeroed for the two scores. The layer mean is of the clipped values; all clients count where none passes.
+    For the two scores a client's matrices (layers of two or four dimensions) are made sparse: what is not above the k-th largest
+    absolute value of all of them is zeroed. All clients count in a layer where none passes. Thresholds come from the
+    wide row; the long form is made once.
     """
-    long = to_long(updates)
-    norms = V.client_norms(long)
-    middle = norms.groupBy("round").agg(F.median("norm").alias("middle"))
-    clip = norms.join(middle, "round").select("round", "client_id", F.least(F.lit(1.0), F.col("middle") / F.col("norm")).alias("clip"))
-    rows = long.join(clip, ["round", "client_id"]).withColumn("value", F.col("value") * F.col("clip")).drop("clip")
-    k = max(1, int(dim * (1 - sparsity)))
-    rank = F.row_number().over(Window.partitionBy("round", "client_id").orderBy(F.abs("value").desc(), "coord"))
-    limit = rows.withColumn("rank", rank).where(F.col("rank") == k).select("round", "client_id", F.abs("value").alias("limit"))
-    rows = with_layer(rows.join(limit, ["round", "client_id"]), layout)
-    sparse = F.when((F.col("ndim") > 1) & (F.abs("value") <= F.col("limit")), 0.0).otherwise(F.col("value"))
-    rows = rows.withColumn("sparse", sparse)
-    signs = F.sum(F.signum("sparse")) / F.sum(F.abs(F.signum("sparse")))
-    score = rows.groupBy("round", "layer", "client_id").agg(F.sqrt(F.sum(F.col("sparse") * F.col("sparse"))).alias("norm"), (F.lit(0.5) * (1 + F.coalesce(signs, F.lit(0.0))) * (1 - sparsity)).alias("sign"))
+    matrices = layout.where("ndim IN (2, 4)").agg(F.collect_list(F.struct("start", "len")).alias("matrices"))  # one row
+    rows = updates.select("round", "client_id", "vec", V.norm("vec").alias("norm")).join(F.broadcast(matrices))
+    sizes = F.sort_array(F.flatten(F.transform("matrices", lambda x: F.transform(F.slice("vec", x["start"] + 1, x["len"]), F.abs))), False)
+    k = F.greatest(F.lit(1), F.floor(F.size(sizes) * F.lit(1 - sparsity))).cast("int")
+    rows = rows.withColumn("limit", F.coalesce(F.try_element_at(sizes, k), F.lit(-1.0)) if sparsity else F.lit(-1.0))
+    middle = rows.groupBy("round").agg(F.median("norm").alias("middle"))
+    rows = rows.join(middle, "round").withColumn("scale", F.least("norm", "middle") / (F.col("norm") + 1e-12))
+    cells = with_layer(rows.select("round", "client_id", "scale", "limit", F.posexplode("vec").alias("coord", "value")), layout)
+    cells = cells.withColumn("sparse", F.when(F.col("ndim").isin(2, 4) & (F.abs("value") <= F.col("limit")), 0.0).otherwise(F.col("value")))
+    signs = F.sum(F.signum("sparse")) / (F.sum(F.abs(F.signum("sparse"))) + 1e-12)
+    score = cells.groupBy("round", "layer", "client_id").agg(F.sqrt(F.sum(F.col("sparse") * F.col("sparse"))).alias("norm"), (0.5 * signs * (1 - sparsity)).alias("sign"))
     stats = score.groupBy("round", "layer").agg(*[x for c in ("norm", "sign") for x in (F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {c})").alias(f"{c}_mid"), F.stddev_pop(c).alias(f"{c}_sd"))])
-    near = lambda c, bound: F.abs(F.col(c) - F.col(f"{c}_mid")) <= bound * F.col(f"{c}_sd") + 1e-12
+    near = lambda c, bound: F.abs(F.col(c) - F.col(f"{c}_mid")) / (F.col(f"{c}_sd") + 1e-12) < bound
     score = score.join(stats, ["round", "layer"]).select("round", "layer", "client_id", (near("norm", norm_bound) & near("sign", sign_bound)).alias("good"))
     score = score.withColumn("any", F.max("good").over(Window.partitionBy("round", "layer")))
     kept = score.where(F.col("good") | ~F.col("any")).select("round", "layer", "client_id")
-    return rows.join(kept, ["round", "layer", "client_id"]).groupBy("round", "coord").agg(F.avg("value").alias("value"))
+    return cells.join(kept, ["round", "layer", "client_id"]).groupBy("round", "coord").agg(F.avg(F.col("value") * F.col("scale")).alias("value"))
+
 
+def indicative_mask(model: DataFrame, start: int = 36, classes: int = 4, width: int = 6, share: float = 0.1) -> DataFrame:
+    """(round, coord): of each class the ``int(classes share)`` largest weights of the output layer of the global model (round, coord, value).
+
+    All of them if that is none. As the mask is padded in front only, it stands at the end of the vector, past the place
+    of the weights by as many coordinates as there are biases.
+    """
+    k = int(classes * share)
+    weights = model.where(F.col("coord").between(start, start + classes * width - 1)).withColumn("class", F.floor((F.col("coord") - start) / width))
+    rank = F.row_number().over(Window.partitionBy("round", "class").orderBy(F.col("value").desc(), "coord"))
+    kept = weights.withColumn("rank", rank).where(F.col("rank") <= k) if k else weights
+    return kept.select("round", (F.col("coord") + classes).alias("coord"))
 
-def fools_gold_weights(updates: DataFrame) -> DataFrame:
-    """(round, client_id, weight) from the cosine similarity of running sums of the clients' updates."""
-    scaled = to_long(updates).join(V.client_norms(to_long(updates)).select("round", "client_id", "norm"), ["round", "client_id"])
-    scaled = scaled.withColumn("value", F.col("value") / F.greatest(F.col("norm"), F.lit(1.0)))
-    history = scaled.withColumn("value", F.sum("value").over(Window.partitionBy("client_id", "coord").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)))
-    cells = history.groupBy("round", "client_id").agg(F.array_sort(F.collect_list(F.struct("coord", "value"))).alias("cells"))
-    wide = cells.select("round", "client_id", F.transform("cells", lambda x: x["value"]).alias("vec")).withColumn("norm", V.norm("vec"))
+
+def fools_gold_weights(updates: DataFrame, model: DataFrame, start: int = 36, classes: int = 4, width: int = 6, share: float = 0.1, eps: float = 1e-6) -> DataFrame:
+    """(round, client_id, weight) from the cosine similarity of running sums of the clients' updates, on the telling coordinates.
+
+    Similar clients weigh little; one is pardoned against another that is more like the rest than itself.
+    """
+    scaled = updates.select("round", "client_id", V.norm("vec").alias("norm"), "vec")
+    tail = F.slice("vec", start + classes + 1, classes * width)  # only coordinates that a mask can name
+    cells = scaled.select("round", "client_id", F.greatest("norm", F.lit(1.0)).alias("by"), F.posexplode(tail).alias("at", "x"))
+    cells = cells.select("round", "client_id", (F.col("at") + start + classes).alias("coord"), (F.col("x") / F.col("by")).alias("value"))
+    history = cells.withColumn("value", F.sum("value").over(Window.partitionBy("client_id", "coord").orderBy("round").rowsBetween(Window.unboundedPreceding, 0)))
+    told = history.join(indicative_mask(model, start, classes, width, share), ["round", "coord"])
+    wide = told.groupBy("round", "client_id").agg(F.array_sort(F.collect_list(F.struct("coord", "value"))).alias("cells"))
+    wide = wide.select("round", "client_id", F.transform("cells", lambda x: x["value"]).alias("vec")).withColumn("norm", V.norm("vec"))
     a = wide.select("round", F.col("client_id").alias("i"), F.col("vec").alias("vi"), F.col("norm").alias("ni"))
     b = wide.select("round", F.col("client_id").alias("j"), F.col("vec").alias("vj"), F.col("norm").alias("nj"))
-    half = a.join(b, "round").where("i < j").select("round", "i", "j", (V.dot("vi", "vj") / F.greatest(F.col("ni") * F.col("nj"), F.lit(1e-12))).alias("cs"))
-    pairs = half.unionByName(half.select("round", F.col("j").alias("i"), F.col("i").alias("j"), "cs"))
-    most = pairs.groupBy("round", "i").agg((F.max("cs") + 1e-6).alias("most"))
-    both = pairs.join(most, ["round", "i"]).join(most.select("round", F.col("i").alias("j"), F.col("most").alias("other")), ["round", "j"])
+    size = F.col("ni") * F.col("nj")
+    pairs = a.join(b, "round").where("i <> j").select("round", "i", "j", F.when(size > 0, V.dot("vi", "vj") / size).otherwise(0.0).alias("cs"))
+    # a client's cosine with itself counts as 0
+    pairs = pairs.withColumn("most", F.greatest(F.max("cs").over(Window.partitionBy("round", "i")), F.lit(0.0)) + eps)
+    pairs = pairs.withColumn("other", F.greatest(F.max("cs").over(Window.partitionBy("round", "j")), F.lit(0.0)) + eps)
     pardoned = F.when(F.col("most") < F.col("other"), F.col("cs") * F.col("most") / F.col("other")).otherwise(F.col("cs"))
-    w = both.groupBy("round", "i").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.max(pardoned))).alias("w"))
-    w = w.withColumn("w", F.col("w") / F.greatest(F.max("w").over(Window.partitionBy("round")), F.lit(1e-12))).withColumn("w", F.when(F.col("w") == 1, 0.99).otherwise(F.col("w")))
-    logit = F.ln(F.col("w") / (1 - F.col("w"))) + 0.5
-    return w.select("round", F.col("i").alias("client_id"), F.when(F.col("w") <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), logit))).alias("weight"))
+    w = pairs.groupBy("round", "i").agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.greatest(F.max(pardoned), F.lit(0.0)))).alias("w"))
+    w = w.withColumn("w", F.col("w") / (F.max("w").over(Window.partitionBy("round")) + eps)).withColumn("w", F.when(F.col("w") == 1, 0.99).otherwise(F.col("w")))
+    logit = F.ln(F.col("w") / (1 - F.col("w")) + eps) + 0.5
+    return w.select("round", F.col("i").alias("client_id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), logit)).alias("weight"))
 
 
 @register
-def fools_gold(updates: DataFrame) -> DataFrame:
-    rows = to_long(updates).join(fools_gold_weights(updates), ["round", "client_id"])
-    return rows.groupBy("round", "coord").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
+def fools_gold(updates: DataFrame, model: DataFrame, **more) -> DataFrame:
+    """The sum, not the mean, of the weighted updates, each scaled to a norm of 1 at most."""
+    cells = updates.withColumn("by", F.greatest(V.norm("vec"), F.lit(1.0))).select("round", "client_id", "by", F.posexplode("vec").alias("coord", "value"))
+    rows = cells.join(fools_gold_weights(updates, model, **more), ["round", "client_id"])
+    return rows.groupBy("round", "coord").agg(F.sum(F.col("weight") * F.col("value") / F.col("by")).alias("value"))
 
 
 def neuron_energy(updates: DataFrame, start: int = 36, classes: int = 4, width: int = 6) -> DataFrame:

@@ -10,36 +10,51 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from rondo.operators.aggregators import register
 from rondo.sources.fixtures import LAYOUT
 
 
-def per_round(updates: DataFrame, f: Callable[[np.ndarray, np.ndarray, np.ndarray, int], dict], schema: str) -> DataFrame:
-    """f(matrix, client ids, attackers, round) gives the columns of the round's rows."""
+def per_round(updates: DataFrame, f: Callable[..., dict], schema: str, extra: str | None = None) -> DataFrame:
+    """f(matrix, client ids, attackers, round) gives the columns of the round's rows; ``extra`` names a column, the same in a round, that it gets too."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("client_id")
         matrix = np.stack(group["vec"].to_numpy())
         number = int(group["round"].iloc[0])
-        return pd.DataFrame({"round": number} | f(matrix, group["client_id"].to_numpy(), (group["role"] == "attacker").to_numpy(), number))
+        more = () if extra is None else (np.asarray(group[extra].iloc[0]),)
+        return pd.DataFrame({"round": number} | f(matrix, group["client_id"].to_numpy(), (group["role"] == "attacker").to_numpy(), number, *more))
 
     return updates.groupBy("round").applyInPandas(run, schema)
 
 
-def _vector(f: Callable[[np.ndarray, np.ndarray, int], np.ndarray]) -> Callable:
-    def run(m: np.ndarray, ids: np.ndarray, bad: np.ndarray, number: int) -> dict:
-        v = f(m, bad, number)
+def _vector(f: Callable[..., np.ndarray]) -> Callable:
+    def run(m: np.ndarray, ids: np.ndarray, bad: np.ndarray, number: int, *more: np.ndarray) -> dict:
+        v = f(m, bad, number, *more)
         return {"coord": np.arange(len(v)), "value": v}
 
     return run
 
 
 _COORDS = "round int, coord int, value double"
+#: (start, len, ndim) of the fixture's layers.
+_LAYERS = [(start, size, ndim) for _, _, start, size, ndim, _ in LAYOUT]
 
 
-def distances(m: np.ndarray) -> np.ndarray:
-    return np.sqrt(((m[:, None, :] - m[None, :, :]) ** 2).sum(-1))
+#: Numbers in a block of differences.
+_BLOCK = 1 << 22
+
+
+def distances(m: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Of each row from each row of ``other``, or of its own, in blocks of coordinates."""
+    other = m if other is None else other
+    total = np.zeros((len(m), len(other)))
+    step = max(1, _BLOCK // max(1, total.size))
+    for k in range(0, m.shape[1], step):
+        gap = m[:, None, k : k + step] - other[None, :, k : k + step]
+        total += np.einsum("ijk,ijk->ij", gap, gap)
+    return np.sqrt(total)
 
 
 def krum_choice(d: np.ndarray, f: int) -> int:
@@ -106,7 +121,7 @@ def two_means(m: np.ndarray, steps: int = 50, seed: int = 0) -> np.ndarray:
     centres = m[np.random.default_rng(seed).permutation(len(m))[:2]].copy()
     label = np.full(len(m), -1)
     for _ in range(steps):
-        new = ((m[:, None] - centres[None]) ** 2).sum(-1).argmin(1)
+        new = distances(m, centres).argmin(1)
         if (new == label).all():
             break
         label = new
@@ -121,7 +136,7 @@ def mean_shift(m: np.ndarray, steps: int = 20) -> np.ndarray:
     width = max(float(np.median(distances(m))), 1e-3)
     now = m.copy()
     for _ in range(steps):
-        near = np.sqrt(((now[:, None] - m[None]) ** 2).sum(-1)) <= width
+        near = distances(now, m) <= width
         now = (near @ m) / np.maximum(near.sum(1), 1)[:, None]
     label, modes = np.full(len(m), -1), []
     for i, x in enumerate(now):
@@ -152,10 +167,24 @@ def cluster_labels(updates: DataFrame, method: str = "dbscan", eps: float = 0.05
     return per_round(updates, lambda m, ids, bad, number: {"client_id": ids, "label": f(m, eps, least)}, "round int, client_id int, label int")
 
 
+def projected(m: np.ndarray, dims: int, seed: int = 0) -> np.ndarray:
+    """On ``dims`` sparse random directions, where the rows are longer; a share of 1 / sqrt(d) of their entries is not 0."""
+    d = m.shape[1]
+    if d <= dims:
+        return m
+    r, density = np.random.default_rng(seed), 1 / np.sqrt(d)
+    out = np.empty((len(m), dims))
+    for k in range(dims):
+        at = np.flatnonzero(r.random(d) < density)
+        out[:, k] = m[:, at] @ r.choice([-1.0, 1.0], len(at))
+    return out / np.sqrt(density * dims)
+
+
 @register
-def simple_clustering(updates: DataFrame, method: str = "dbscan", eps: float = 0.05, least: int = 3) -> DataFrame:
+def simple_clustering(updates: DataFrame, method: str = "dbscan", eps: float = 0.05, least: int = 3, dims: int = 256) -> DataFrame:
+    """The mean of the largest cluster; long rows are clustered on a random projection. Mean shift is that of ``sign_guard``."""
     f = CLUSTERINGS[method]
-    return per_round(updates, _vector(lambda m, bad, number: m[largest(f(m, eps, least))].mean(0)), _COORDS)
+    return per_round(updates, _vector(lambda m, bad, number: m[largest(f(projected(m, dims), eps, least))].mean(0)), _COORDS)
 
 
 @register
@@ -186,17 +215,17 @@ DIRECTIONS = {
 }
 
 
-def _searched(updates: DataFrame, within: Callable[[np.ndarray, np.ndarray], bool], direction: str, gamma: float, stop: float) -> DataFrame:
+def _searched(updates: DataFrame, bound: Callable[[np.ndarray], float], reach: Callable[[np.ndarray, np.ndarray], float], direction: str, gamma: float, stop: float) -> DataFrame:
     """Halving search for the largest move along the direction that stays within the benign bound."""
     towards = DIRECTIONS[direction]
 
     def run(m: np.ndarray, bad: np.ndarray, number: int) -> np.ndarray:
         benign = m[~bad]
-        mu, dev = benign.mean(0), towards(benign)
+        mu, dev, most = benign.mean(0), towards(benign), bound(benign)
         lam, step, best = gamma, gamma, 0.0
         while abs(best - lam) > stop:
             step /= 2
-            if within(benign, mu - lam * dev):
+            if reach(benign, mu - lam * dev) <= most:
                 best, lam = lam, lam + step
             else:
                 lam -= step
@@ -207,12 +236,12 @@ def _searched(updates: DataFrame, within: Callable[[np.ndarray, np.ndarray], boo
 
 def min_max(updates: DataFrame, direction: str = "unit", gamma: float = 10.0, stop: float = 1e-5) -> DataFrame:
     """The benign mean less the largest multiple of the direction that is no further from any benign row than they are from each other."""
-    return _searched(updates, lambda b, v: np.linalg.norm(b - v, axis=1).max() <= distances(b).max(), direction, gamma, stop)
+    return _searched(updates, lambda b: distances(b).max(), lambda b, v: np.linalg.norm(b - v, axis=1).max(), direction, gamma, stop)
 
 
 def min_sum(updates: DataFrame, direction: str = "unit", gamma: float = 10.0, stop: float = 1e-5) -> DataFrame:
     """The same with sums of squared distances."""
-    return _searched(updates, lambda b, v: ((b - v) ** 2).sum() <= (distances(b) ** 2).sum(1).max(), direction, gamma, stop)
+    return _searched(updates, lambda b: (distances(b) ** 2).sum(1).max(), lambda b, v: ((b - v) ** 2).sum(), direction, gamma, stop)
 
 
 def fang(updates: DataFrame, stop: float = 1e-5) -> DataFrame:
@@ -235,7 +264,8 @@ def hdbscan(d: np.ndarray, least: int, single: bool = False, samples: int | None
     """Clusters of a distance matrix: mutual reachability, minimum spanning tree, condensed tree by stability.
 
     ``least`` is the size of the smallest cluster, ``samples`` (the same if not given) the neighbours that a
-    core distance spans.
+    core distance spans, the row itself included. Where ``single`` allows it all to be one cluster, its members are those that
+    hold together up to its end; the rest is noise.
     """
     n = len(d)
     if n < 2:
@@ -270,13 +300,15 @@ def hdbscan(d: np.ndarray, least: int, single: bool = False, samples: int | None
                 below = sum(p for p, _ in parts)
                 if below > stable or (node == 2 * n - 2 and not single):
                     return below, [c for _, own in parts for c in own]
-                return stable, [members[node]]
+                return stable, [members[at if node == 2 * n - 2 else node]]
             gone = sum(len(members[x]) for x in (a, b) if x not in big)
             stable += (lam - birth) * gone
             if not big:
                 break
             at = big[0]
-        return stable, [members[node]] if (node != 2 * n - 2 or single) else []
+        if node == 2 * n - 2:
+            return stable, [members[at]] if single else []
+        return stable, [members[node]]
 
     label = np.full(n, -1)
     for k, own in enumerate(sorted(condensed(2 * n - 2, 0.0)[1], key=min)):
@@ -290,43 +322,60 @@ def _cosine_distances(m: np.ndarray) -> np.ndarray:
 
 
 @register
-def flame(updates: DataFrame, gamma: float = 1.2e-5, seed: int = 7) -> DataFrame:
-    """The majority cluster by cosine, clipped to the median norm, averaged, with noise."""
+def flame(updates: DataFrame, gamma: float = 1.2e-5, seed: int = 7, layers: list[tuple[int, int, int]] | None = None) -> DataFrame:
+    """The majority cluster of the clients' models by cosine, its updates clipped to the median norm, averaged, with noise.
 
-    def run(m: np.ndarray, bad: np.ndarray, number: int) -> np.ndarray:
-        kept = hdbscan(_cosine_distances(m), len(m) // 2 + 1, True) == 0
+    ``updates`` has also ``model``, the global vector that the round began with: a client's model is that and its update. The noise of a
+    layer goes by the deviation of the new model's values in it. Everyone counts where there is no such cluster.
+    """
+    layers = layers or _LAYERS
+
+    def run(m: np.ndarray, bad: np.ndarray, number: int, model: np.ndarray) -> np.ndarray:
+        kept = hdbscan(_cosine_distances(m + model), len(m) // 2 + 1, True, 1) == 0
         kept = kept if kept.any() else np.ones(len(m), bool)
         norm = np.linalg.norm(m, axis=1)
         middle = float(np.median(norm))
-        out = (m[kept] * np.minimum(1, middle / np.maximum(norm[kept], 1e-12))[:, None]).mean(0)
-        return out + np.random.default_rng((seed, number)).normal(0, gamma * middle * max(out.std(), 1e-12), len(out))
-
-    return per_round(updates, _vector(run), _COORDS)
+        out = (m[kept] * np.minimum(1, middle / (norm[kept] + 1e-6))[:, None]).mean(0)
+        new, r = model + out, np.random.default_rng((seed, number))
+        for a, n, _ in layers:
+            if n > 1:
+                out[a : a + n] += r.normal(0, 1, n) * gamma * middle * new[a : a + n].std(ddof=1)
+        return out
+
+    return per_round(updates, _vector(run), _COORDS, "model")
+
+
+def telling(m: np.ndarray, start: int, threshold: float) -> list[int]:
+    """The coordinates from ``start`` on whose two means lie ``threshold`` apart or more; exact, by the sorted values."""
+    found = []
+    for c in range(start, m.shape[1]):
+        x = np.sort(m[:, c])
+        n, total = len(x), np.cumsum(x)
+        k = np.arange(1, n)
+        low, high = total[:-1] / k, (total[-1] - total[:-1]) / (n - k)
+        cut = (k * (n - k) * (high - low) ** 2).argmax()  # the split of least inner variance
+        if high[cut] - low[cut] >= threshold:
+            found.append(c)
+    return found
 
 
 @register
-def auror(updates: DataFrame, start: int = 36, threshold: float = 0.002) -> DataFrame:
-    """Two means per output coordinate find the telling ones; two means on those, the majority's mean."""
+def auror(updates: DataFrame, start: int = 36, threshold: float = 0.002, find: int = 10) -> DataFrame:
+    """Two means on the telling output coordinates, the majority's mean; after ``find`` rounds the coordinates of the last of these stay."""
+    early = updates.where(F.col("round") < find)
+    told = per_round(early, lambda m, ids, bad, number: {"told": [telling(m, start, threshold)]}, "round int, told array<int>")
+    final = told.where(F.col("round") == find - 1).select(F.col("told").alias("last"))  # one row at most
+    rows = updates.join(F.broadcast(told), "round", "left").join(F.broadcast(final), how="left")  # find rows at most
+    rows = rows.withColumn("told", F.coalesce("told", "last", F.array().cast("array<int>"))).drop("last")
 
-    def run(m: np.ndarray, bad: np.ndarray, number: int) -> np.ndarray:
-        tell = []
-        for c in range(start, m.shape[1]):
-            x = np.sort(m[:, c])
-            n, total = len(x), np.cumsum(x)
-            k = np.arange(1, n)
-            low, high = total[:-1] / k, (total[-1] - total[:-1]) / (n - k)
-            cut = (k * (n - k) * (high - low) ** 2).argmax()  # the split of least inner variance
-            if high[cut] - low[cut] >= threshold:
-                tell.append(c)
-        if not tell:
-            return m.mean(0)
-        return m[largest(two_means(m[:, tell]))].mean(0)
+    def run(m: np.ndarray, bad: np.ndarray, number: int, told: np.ndarray) -> np.ndarray:
+        return m[largest(two_means(m[:, told.astype(int)]))].mean(0) if len(told) else m.mean(0)
 
-    return per_round(updates, _vector(run), _COORDS)
+    return per_round(rows, _vector(run), _COORDS, "told")
 
 
 @register
-def deep_sight(updates: DataFrame, start: int = 36, classes: int = 4, width: int = 6, tau: float = 1 / 3, seeds: int = 3, samples: int = 200, eps: float = 1e-6) -> DataFrame:
+def deep_sight(updates: DataFrame, start: int = 36, classes: int = 4, width: int = 6, tau: float = 1 / 3, seeds: int = 3, samples: int = 20_000, eps: float = 1e-6) -> DataFrame:
     """Clusters met from output-layer energies, output ratios on random inputs and bias cosines; clusters with few suspects stay.
 
     The output layer is the model: the ratios compare each client's linear scores with those of the round's mean.
@@ -342,9 +391,12 @@ def deep_sight(updates: DataFrame, start: int = 36, classes: int = 4, width: int
         clustered = lambda d: apart(hdbscan(d, 5, samples=3))
         ratios = []
         for seed in range(seeds):
-            x = np.random.default_rng((seed, number)).random((samples, width))
-            whole = x @ weight.mean(0).T + bias.mean(0)
-            ratios.append(clustered(distances(((np.einsum("sw,ncw->nsc", x, weight) + bias[:, None]) / (whole + eps)).mean(1))))
+            r, total = np.random.default_rng((seed, number)), np.zeros((len(m), classes))
+            for k in range(0, samples, 1000):  # inputs at a time
+                x = r.random((min(1000, samples - k), width))
+                whole = x @ weight.mean(0).T + bias.mean(0)
+                total += ((np.einsum("sw,ncw->snc", x, weight) + bias) / (whole + eps)[:, None]).sum(0)
+            ratios.append(clustered(distances(total / samples)))
         joined = np.mean([np.mean(ratios, 0), clustered(distances(neup)), clustered(_cosine_distances(bias))], 0)
         label = hdbscan(joined, 5, True, 3)
         suspect = over <= np.median(over) / 2
@@ -425,7 +477,7 @@ def my_defense(updates: DataFrame, f: int = 10, mode: str = "topk", seed: int =
     """Sanitised, voted on by spectral scores (``topk`` drops the f highest, ``mad`` those far from the median), then filtered and averaged layer by layer."""
     if mode not in ("topk", "mad"):
         raise ValueError(f"unknown filter mode {mode!r}")
-    layers = layers or [(start, size, ndim) for _, _, start, size, ndim, _ in LAYOUT]
+    layers = layers or _LAYERS
 
     def run(m: np.ndarray, bad: np.ndarray, number: int) -> np.ndarray:
         m = _sanitised(m)

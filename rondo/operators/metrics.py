@@ -35,6 +35,25 @@ def confidence(samples: DataFrame, target: int = 6) -> DataFrame:
     return samples.select("sample_id", (F.exp(F.get(head, target)) / total).alias("confidence"))
 
 
+def target_fraction(predictions: DataFrame, target: int = 6) -> DataFrame:
+    """(round, fraction): the confidence of several malicious rows, the share of them predicted as the target."""
+    return predictions.where("triggered").groupBy("round").agg(F.avg((F.col("pred") == target).cast("double")).alias("fraction"))
+
+
+def client_means(predictions: DataFrame) -> DataFrame:
+    """(round, train_acc, train_loss): the means over clients, each counting the same, of rows with ``client_id``."""
+    own = predictions.groupBy("round", "client_id").agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc"), F.avg("loss").alias("loss"))
+    return own.groupBy("round").agg(F.avg("acc").alias("train_acc"), F.avg("loss").alias("train_loss"))
+
+
+def time_budget(rounds: DataFrame, minutes: float = 300.0) -> DataFrame:
+    """(first, elapsed): the first round (round, ts) that ends ``minutes`` or more after the first of all, and how many."""
+    begin = rounds.agg(F.min("ts").alias("begin"))  # one row
+    elapsed = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("begin").cast("timestamp"))) / 60e6
+    late = rounds.join(F.broadcast(begin)).withColumn("elapsed", elapsed).where(F.col("elapsed") >= minutes)
+    return late.agg(F.min_by("round", F.struct("elapsed", "round")).alias("first"), F.min("elapsed").alias("elapsed")).where("first IS NOT NULL")
+
+
 def low_streak(accuracy_by_round: DataFrame, below: float = 0.18, length: int = 2) -> DataFrame:
     """The first run of ``length`` rounds or more below the limit: (first, last, rounds)."""
     own = Window.partitionBy().orderBy("round")  # a row a round
@@ -77,6 +96,17 @@ def grid_rates(spark: SparkSession) -> DataFrame:
     return rows.select(*GRID, "rounds", lr.alias("lr"))
 
 
+def log_lines(metrics: DataFrame) -> DataFrame:
+    """(line): a line for each round (epoch, train_acc, train_loss, test_acc, test_loss, asr, asr_loss), as ``parsed_log`` reads it."""
+    attack = F.when(F.col("asr").isNotNull(), F.format_string("\tASR: %.4f\tASR loss: %.4f", "asr", "asr_loss")).otherwise("")
+    return metrics.select(F.concat(F.format_string("Epoch %d    Train Acc: %.4f  Train loss: %.4f  Test Acc: %.4f\tTest loss: %.4f", "epoch", "train_acc", "train_loss", "test_acc", "test_loss"), attack).alias("line"))
+
+
+def timing_lines(timings: DataFrame) -> DataFrame:
+    """(line): a line for each worker and method with the mean seconds and the calls, of ``timing``."""
+    return timings.select(F.format_string("%s\t%s\t%.6f\t%d", F.col("worker_id").cast("string"), "method", "mean", "calls").alias("line"))
+
+
 LOG_PATTERN = r"^Epoch (\d+)\s+Train Acc: ([0-9.]+)\s+Train loss: ([0-9.]+)\s+Test Acc: ([0-9.]+)\s+Test loss: ([0-9.]+)(?:\s+ASR: ([0-9.]+)\s+ASR loss: ([0-9.]+))?"
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -33,6 +34,14 @@ def dirichlet(samples: DataFrame, shares: DataFrame) -> DataFrame:
     return met.where((F.col("rank") > F.floor(F.col("low") * F.col("n"))) & (F.col("rank") <= F.when(F.col("high") == 2.0, F.col("n")).otherwise(F.floor(F.col("high") * F.col("n"))))).select("sample_id", "label", "client_id")
 
 
+def dirichlet_shares(spark: SparkSession, labels: int = 10, clients: int = 10, alpha: float = 0.5, seed: int = 42) -> DataFrame:
+    """(label, client_id, frac): for each label a draw of Dir(alpha, ..., alpha), as many numbers as labels and clients."""
+    if alpha <= 0:
+        raise ValueError("alpha must be positive")
+    drawn = np.random.default_rng(seed).dirichlet([alpha] * clients, labels)
+    return spark.createDataFrame([(k, c, float(x)) for k, row in enumerate(drawn) for c, x in enumerate(row)], "label int, client_id int, frac double")
+
+
 def class_imbalanced(assignment: DataFrame, gamma: float = 0.5, classes: int = 10, seed: str = "imbalance") -> DataFrame:
     """Of class i a client keeps max(1, int(gamma ** (i / (classes - 1)) * n)) of its rows."""
     own = Window.partitionBy("client_id", "label")
@@ -42,12 +51,24 @@ def class_imbalanced(assignment: DataFrame, gamma: float = 0.5, classes: int = 1
 
 
 def split(samples: DataFrame, mode: str, **more) -> DataFrame:
-    modes = {"iid": iid, "dirichlet": dirichlet}
+    gamma = {"gamma": more.pop("gamma")} if "gamma" in more else {}
+    modes = {"iid": iid, "dirichlet": dirichlet, "class-imbalanced": lambda rows, **own: class_imbalanced(iid(rows, **own), **gamma)}
     if mode not in modes:
         raise ValueError(f"unknown partition mode {mode}")
     return modes[mode](samples, **more)
 
 
+def subset(samples: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id is among ``ids`` (sample_id)."""
+    return samples.join(ids.select("sample_id"), "sample_id", "left_semi")
+
+
+def labels_of_both(assignment: DataFrame, one: int, other: int) -> DataFrame:
+    """(label): those that both clients have."""
+    own = lambda c: assignment.where(F.col("client_id") == c).select("label")
+    return own(one).intersect(own(other))
+
+
 def label_histogram(assignment: DataFrame) -> DataFrame:
     return assignment.groupBy("client_id", "label").agg(F.count("*").alias("n"))
 
@@ -66,11 +87,23 @@ def stratified_sample(samples: DataFrame, size: int = 100, seed: str = "stratum"
     return _shuffled(samples, seed).join(F.broadcast(quota), "label").where("rank <= quota").select("sample_id", "label")
 
 
-def mixed(poison: DataFrame, clean: DataFrame, ratio: float = 0.5, cap: int = 100, total: int = 400, seed: str = "mix") -> DataFrame:
-    """min(int(total ratio), cap) poisoned rows and as many clean ones as the ratio asks for."""
-    n = min(int(total * ratio), cap)
-    pick = lambda rows, k, kind: rows.select("sample_id", "label").orderBy(uniform(seed, "sample_id"), "sample_id").limit(k).withColumn("kind", F.lit(kind))
-    return pick(poison, n, "poison").unionByName(pick(clean, int(n / ratio - n), "clean"))
+def mixed(poison: DataFrame, clean: DataFrame, ratio: float = 0.5, cap: int = 100, target: int = 6, seed: str = "mix") -> DataFrame:
+    """(sample_id, label, kind): min(int(N ratio), cap) poisoned rows, labelled ``target``, and as many clean ones as the ratio asks for.
+
+    N is the number of rows of both tables.
+    """
+    total = poison.select("sample_id").unionByName(clean.select("sample_id")).agg(F.count("*").alias("total"))
+    n = F.least(F.floor(F.col("total") * ratio), F.lit(cap))
+    sizes = total.select(n.alias("poison"), F.floor(n / ratio - n).alias("clean"))  # one row
+
+    def pick(rows: DataFrame, kind: str) -> DataFrame:
+        # cap and ratio bound what is taken, so a first cut by a limit sorts no whole table in one task
+        most = int(cap / ratio) + 1
+        first = rows.select("sample_id", "label", uniform(seed, "sample_id").alias("u")).orderBy("u", "sample_id").limit(most)
+        ranked = first.withColumn("rank", F.row_number().over(Window.orderBy("u", "sample_id")))
+        return ranked.join(F.broadcast(sizes), F.col("rank") <= F.col(kind)).select("sample_id", "label", F.lit(kind).alias("kind"))
+
+    return pick(poison, "poison").withColumn("label", F.lit(target)).unionByName(pick(clean, "clean"))
 
 
 def rewritten_label(label: Column, mode: str, target: int = 6, source: int = 2, classes: int = 10) -> Column:
@@ -92,6 +125,39 @@ def with_trigger(samples: DataFrame, side: int = 8, top: int = -3, left: int = -
     return samples.withColumn("features", F.transform("features", lambda x, i: F.when(inside(i), F.lit(value)).otherwise(x)))
 
 
+def with_pattern(samples: DataFrame, pattern: list[list[float]], side: int = 8, mean: float = 0.0, sd: float = 1.0) -> DataFrame:
+    """A pattern of pixels, normalised as the images are, written over the bottom right corner."""
+    height, width = len(pattern), len(pattern[0])
+    flat = F.array(*[F.lit((float(x) - mean) / sd) for row in pattern for x in row])
+    y, x = lambda i: F.floor(i / side) - (side - height), lambda i: i % side - (side - width)
+    cell = lambda v, i: F.when((y(i) >= 0) & (x(i) >= 0), F.get(flat, (y(i) * width + x(i)).cast("int"))).otherwise(v)
+    return samples.withColumn("features", F.transform("features", cell))
+
+
+def with_strips(samples: DataFrame, client: Column | None = None, side: int = 8, width: int = 2, gap: int = 2, shift: int = 0, value: float = 1.0) -> DataFrame:
+    """A trigger in four strips of one row: a client writes the strip ``client % 4``; without a client all four are written."""
+    row, col = lambda k: F.floor(k / 2) * (1 + gap) + shift, lambda k: k % 2 * (width + gap) + shift
+    inside = lambda i, k: (F.floor(i / side) == row(k)) & (i % side >= col(k)) & (i % side < col(k) + width)
+    strips = [F.lit(k) for k in range(4)] if client is None else [client % 4]
+
+    def cell(v: Column, i: Column) -> Column:
+        hit = inside(i, strips[0])
+        for k in strips[1:]:
+            hit = hit | inside(i, k)
+        return F.when(hit, F.lit(value)).otherwise(v)
+
+    return samples.withColumn("features", F.transform("features", cell))
+
+
+def poisoned_batches(samples: DataFrame, batch: int = 16, ratio: float = 0.32, mode: str = "all2one", train: bool = True, **trigger) -> DataFrame:
+    """All samples; the chosen ones of each batch, or every one in a test, get the trigger and the rewritten label."""
+    chosen = batch_choice(samples, batch, ratio if train else 1.0).select("sample_id", F.lit(True).alias("poisoned"))
+    rows = samples.join(chosen, "sample_id", "left").withColumn("poisoned", F.coalesce("poisoned", F.lit(False)))
+    marked = with_trigger(rows.withColumn("clean", F.col("features")), **trigger)
+    pick = lambda yes, no: F.when(F.col("poisoned"), yes).otherwise(no)
+    return marked.select("sample_id", pick(rewritten_label(F.col("label"), mode), F.col("label")).alias("label"), pick(F.col("features"), F.col("clean")).alias("features"), "poisoned")
+
+
 def normalised(samples: DataFrame, mean: float, sd: float) -> DataFrame:
     return samples.withColumn("features", F.transform("features", lambda x: (x - mean) / sd))
 

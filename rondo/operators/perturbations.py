@@ -9,9 +9,6 @@ from pyspark.sql.window import Window
 from rondo.functions import vectors as V
 from rondo.sources.fixtures import to_long
 
-_ATTACKER = F.col
-
-
 def _replaced(long: DataFrame, value: Column) -> DataFrame:
     return long.withColumn("value", F.when(F.col("role") == "attacker", value).otherwise(F.col("value")))
 
@@ -34,13 +31,23 @@ def inner_product(updates: DataFrame, scale: float = 0.1) -> DataFrame:
     return _replaced(long.join(_benign(long), ["round", "coord"]), -scale * F.col("mu")).drop("mu", "sd")
 
 
-def little_is_enough(updates: DataFrame, clients: int = 50, f: int = 10, z: float | None = None) -> DataFrame:
+def little_is_enough(updates: DataFrame, z: float | None = None) -> DataFrame:
     """The benign mean moved by z deviations, z the quantile that enough benign clients lie beyond."""
-    if z is None:
-        s = clients // 2 + 1 - f
-        z = V.normal_quantile((clients - f - s) / (clients - f))
     long = to_long(updates)
-    return _replaced(long.join(_benign(long), ["round", "coord"]), F.col("mu") + z * F.col("sd")).drop("mu", "sd")
+    if z is None:
+        counts = updates.groupBy("round").agg(F.count("*").alias("clients"), F.count_if(F.col("role") == "attacker").alias("f"))
+        sizes = [(r.clients, r.f) for r in counts.select("clients", "f").distinct().collect()]  # a row for each size of a round
+        by = F.create_map(*[F.lit(x) for n, f in sizes if n > f for x in (f"{n},{f}", _quantile(n, f))])
+        z_of = counts.select("round", F.get(F.array(F.element_at(by, F.concat_ws(",", "clients", "f"))), 0).alias("z")) if sizes else counts.select("round", F.lit(0.0).alias("z"))
+        long = long.join(F.broadcast(z_of), "round")  # a row a round
+    else:
+        long = long.withColumn("z", F.lit(z))
+    return _replaced(long.join(_benign(long), ["round", "coord"]), F.col("mu") + F.col("z") * F.col("sd")).drop("mu", "sd", "z")
+
+
+def _quantile(clients: int, f: int) -> float:
+    share = (clients - f - (clients // 2 + 1 - f)) / (clients - f)
+    return V.normal_quantile(share) if 0 < share < 1 else 0.0
 
 
 def mimic(updates: DataFrame, choice: int = 0) -> DataFrame:
@@ -54,20 +61,26 @@ def scaled(updates: DataFrame, scale: float = 50.0) -> DataFrame:
     return _replaced(to_long(updates), scale * F.col("value"))
 
 
-def least_moved(updates: DataFrame, share: float = 0.1, bound: float = 0.2, dim: int = 64) -> DataFrame:
-    """Attackers keep the k coordinates of smallest absolute value and are clipped to a norm."""
-    k = max(1, int(share * dim))
-    rank = F.row_number().over(Window.partitionBy("round", "client_id").orderBy(F.abs("value"), "coord"))
-    rows = to_long(updates).withColumn("masked", F.when(rank <= k, F.col("value")).otherwise(0.0))
-    length = F.sqrt(F.sum(F.col("masked") * F.col("masked")).over(Window.partitionBy("round", "client_id")))
-    return _replaced(rows, F.col("masked") * V.clip_factor(length, F.lit(bound))).drop("masked")
+def least_moved(updates: DataFrame, share: float = 0.1, bound: float = 0.2) -> DataFrame:
+    """Attackers keep the k coordinates of smallest absolute value, of equal ones the first, and are clipped to a norm."""
+    rows = updates.withColumn("k", F.greatest(F.lit(1), F.floor(F.size("vec") * F.lit(share))).cast("int"))
+    rows = rows.withColumn("cells", F.array_sort(F.transform("vec", lambda x, i: F.struct(F.abs(x).alias("size"), i.alias("coord"), x.alias("value")))))
+    kept = F.transform(F.slice("cells", F.lit(1), F.col("k")), lambda c: c["size"])
+    rows = rows.withColumn("factor", V.clip_factor(V.norm(kept), F.lit(bound)))
+    cells = rows.select("round", "client_id", "role", "k", "factor", F.posexplode("cells").alias("at", "c")).select("*", "c.coord", "c.value")
+    return _replaced(cells, F.when(F.col("at") < F.col("k"), F.col("value") * F.col("factor")).otherwise(0.0)).select("round", "client_id", "role", "coord", "value")
 
 
 def ball_projection(updates: DataFrame, eps: float = 0.25) -> DataFrame:
     """Attackers' updates brought into an l2 ball."""
-    rows = to_long(updates)
-    length = F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy("round", "client_id")))
-    return _replaced(rows, F.col("value") * F.least(F.lit(1.0), eps / length))
+    factor = F.coalesce(F.least(F.lit(1.0), F.try_divide(F.lit(eps), V.norm("vec"))), F.lit(1.0))
+    cells = updates.withColumn("factor", factor).select("round", "client_id", "role", "factor", F.posexplode("vec").alias("coord", "value"))
+    return _replaced(cells, F.col("value") * F.col("factor")).drop("factor")
+
+
+def box_projection(updates: DataFrame, eps: float = 0.25) -> DataFrame:
+    """Attackers' updates brought into a box: each value into [-eps, eps]."""
+    return _replaced(to_long(updates), F.greatest(F.lit(-eps), F.least(F.lit(eps), F.col("value"))))
 
 
 def boosted(updates: DataFrame, boost: float = 10.0) -> DataFrame:
@@ -87,3 +100,18 @@ def scheduled(rows: DataFrame, kind: str, start: int = 0, frequency: int = 1) ->
     """The rounds in which an attack is on."""
     on = {"continuous": F.col("round") >= start, "single": F.col("round") == start, "frequency": F.col("round") % frequency == 0}
     return rows.where(on[kind])
+
+
+#: What an attack poisons, fixed values: (name, attributes).
+ATTACKS = [
+    ("label_flipping", ["data_poisoning"]), ("trigger_patch", ["data_poisoning"]), ("trigger_strips", ["data_poisoning"]),
+    ("scaling", ["data_poisoning", "model_poisoning"]), ("ball_projection", ["data_poisoning", "model_poisoning"]), ("least_moved", ["data_poisoning", "model_poisoning"]),
+    ("gaussian_noise", ["model_poisoning"]), ("sign_flip", ["model_poisoning"]), ("inner_product", ["model_poisoning"]), ("little_is_enough", ["model_poisoning"]), ("mimic", ["model_poisoning"]),
+]
+
+
+def categories(attacks: DataFrame) -> DataFrame:
+    """(category, name) of attacks (name, attributes): data, hybrid (data and model) and model (no data) attacks; a hybrid one is a data attack too."""
+    has = lambda x: F.array_contains("attributes", f"{x}_poisoning")
+    kinds = F.array(F.when(has("data"), F.lit("data")), F.when(has("data") & has("model"), F.lit("hybrid")), F.when(~has("data"), F.lit("model")))
+    return attacks.select(F.explode(F.array_compact(kinds)).alias("category"), "name")

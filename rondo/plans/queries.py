@@ -20,6 +20,7 @@ from rondo.operators import partitioners as P
 from rondo.operators import perturbations as M
 from rondo.operators import training as R
 from rondo.sources import fixtures as S
+from rondo.sources import sinks as K
 from rondo.streaming import rounds as T
 
 QUERIES: dict[str, Callable] = {}
@@ -65,7 +66,7 @@ on_updates(
     _NORM + ", k AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY norm, client_id) AS r, count(*) OVER (PARTITION BY round) AS m FROM n), c AS (SELECT round, avg(norm) FILTER (r <= m - 10) AS cap FROM k GROUP BY round) SELECT l.round, coord, " + _VALUE.format("avg(value * (least(norm, cap) / (norm + 1e-7)))") + " FROM l JOIN n USING (round, client_id) JOIN c USING (round) GROUP BY l.round, coord",
 )
 on_updates("pairwise_l2", lambda u: V.pairwise_distances(u), _DIST + " SELECT round, a, b, " + _R.format("distance", "distance") + " FROM d WHERE a < b")
-on_updates("client_norms", lambda u: V.client_norms(S.to_long(u)), _NORM + " SELECT round, client_id, role, " + _R.format("norm", "norm") + " FROM n")
+on_updates("client_norms", lambda u: u.select("round", "client_id", "role", V.norm("vec").alias("norm")), _NORM + " SELECT round, client_id, role, " + _R.format("norm", "norm") + " FROM n")
 on_updates("krum_scores", A.krum_scores, _SCORE + " SELECT round, client_id, " + _R.format("score", "score") + " FROM s")
 on_updates("agg_krum", A.krum, _SCORE + _PICK + " SELECT l.round, coord, " + _VALUE.format("value") + " FROM l JOIN p USING (round, client_id) WHERE r = 1")
 on_updates("agg_multikrum", A.multi_krum, _SCORE + _PICK + " SELECT l.round, coord, " + _VALUE.format("avg(value)") + " FROM l JOIN p USING (round, client_id) WHERE r <= 10 GROUP BY ALL")
@@ -96,7 +97,7 @@ on_updates(
     ", root AS (SELECT round, vec AS root FROM u WHERE client_id = 49), t AS (SELECT u.round, client_id, sqrt(list_inner_product(vec, vec)) AS norm, sqrt(list_inner_product(root, root)) AS rn, greatest(0.0, list_inner_product(vec, root) / (sqrt(list_inner_product(vec, vec)) * sqrt(list_inner_product(root, root)))) AS trust FROM u JOIN root USING (round))"
     ", w AS (SELECT round, client_id, CASE WHEN sum(trust) OVER (PARTITION BY round) > 1e-9 THEN trust / sum(trust) OVER (PARTITION BY round) ELSE 1.0 / count(*) OVER (PARTITION BY round) END * rn / norm AS w FROM t) SELECT l.round, coord, " + _VALUE.format("sum(w * value)") + " FROM l JOIN w USING (round, client_id) GROUP BY ALL",
 )
-for _name, _f in (("bulyan", X.bulyan), ("dnc", X.dnc), ("simple_clustering", lambda u: X.simple_clustering(u, eps=9.0)), ("signguard", X.sign_guard), ("flame", X.flame), ("deepsight", X.deep_sight), ("auror", X.auror), ("mydefense", X.my_defense), ("minmax", X.min_max), ("minsum", X.min_sum), ("fang", X.fang)):
+for _name, _f in (("bulyan", X.bulyan), ("dnc", X.dnc), ("simple_clustering", lambda u: X.simple_clustering(u, eps=9.0)), ("signguard", X.sign_guard), ("flame", lambda u: X.flame(_with_model(u))), ("deepsight", X.deep_sight), ("auror", X.auror), ("mydefense", X.my_defense), ("minmax", X.min_max), ("minsum", X.min_sum), ("fang", X.fang)):
     on_updates(_name, _f)
 for _name in X.CLUSTERINGS:
     on_updates(f"{_name}_labels", lambda u, m=_name: X.cluster_labels(u, m, 9.0))
@@ -120,22 +121,25 @@ on_updates(
 )
 with_layout(
     "agg_lasa", L.lasa,
-    _NORM + ", q AS (SELECT round, median(norm) AS mid FROM n GROUP BY round), c AS (SELECT l.round, l.client_id, coord, value * least(1.0, mid / norm) AS value FROM l JOIN n USING (round, client_id) JOIN q USING (round))"
-    ", k AS (SELECT *, row_number() OVER (PARTITION BY round, client_id ORDER BY abs(value) DESC, coord) AS r FROM c), t AS (SELECT round, client_id, abs(value) AS lim FROM k WHERE r = 44)"
-    ", y AS (SELECT c.*, layer, CASE WHEN ndim > 1 AND abs(value) <= lim THEN 0.0 ELSE value END AS sp FROM c JOIN t USING (round, client_id) JOIN lay ON coord >= a AND coord < a + lay.n)"
-    ", s AS (SELECT round, layer, client_id, sqrt(sum(sp * sp)) AS norm, 0.5 * (1 + coalesce(sum(sign(sp)) / nullif(sum(abs(sign(sp))), 0), 0.0)) * (1 - 0.3::DOUBLE) AS sg FROM y GROUP BY ALL)"
+    _NORM + ", q AS (SELECT round, median(norm) AS mid FROM n GROUP BY round), y AS (SELECT l.round, l.client_id, coord, layer, ndim, value, value * least(norm, mid) / (norm + 1e-12) AS clipped FROM l JOIN n USING (round, client_id) JOIN q USING (round) JOIN lay ON coord >= a AND coord < a + lay.n)"
+    ", k AS (SELECT *, row_number() OVER (PARTITION BY round, client_id ORDER BY abs(value) DESC, coord) AS r, count(*) OVER (PARTITION BY round, client_id) AS m FROM y WHERE ndim IN (2, 4)), t AS (SELECT round, client_id, abs(value) AS lim FROM k WHERE r = greatest(1, floor(m * (1 - 0.3::DOUBLE))))"
+    ", z AS (SELECT y.*, CASE WHEN ndim IN (2, 4) AND abs(value) <= lim THEN 0.0 ELSE value END AS sp FROM y JOIN t USING (round, client_id))"
+    ", s AS (SELECT round, layer, client_id, sqrt(sum(sp * sp)) AS norm, 0.5 * sum(sign(sp)) / (sum(abs(sign(sp))) + 1e-12) * (1 - 0.3::DOUBLE) AS sg FROM z GROUP BY ALL)"
     ", g AS (SELECT round, layer, quantile_disc(norm, 0.5) AS nm, stddev_pop(norm) AS ns, quantile_disc(sg, 0.5) AS sm, stddev_pop(sg) AS ss FROM s GROUP BY ALL)"
-    ", o AS (SELECT s.round, s.layer, client_id, abs(norm - nm) <= 2.0 * ns + 1e-12 AND abs(sg - sm) <= 1.0 * ss + 1e-12 AS good FROM s JOIN g USING (round, layer))"
-    ", p AS (SELECT *, bool_or(good) OVER (PARTITION BY round, layer) AS anyone FROM o) SELECT y.round, coord, " + _VALUE.format("avg(value)") + " FROM y JOIN p USING (round, layer, client_id) WHERE good OR NOT anyone GROUP BY ALL",
+    ", o AS (SELECT s.round, s.layer, client_id, abs(norm - nm) / (ns + 1e-12) < 2.0 AND abs(sg - sm) / (ss + 1e-12) < 1.0 AS good FROM s JOIN g USING (round, layer))"
+    ", p AS (SELECT *, bool_or(good) OVER (PARTITION BY round, layer) AS anyone FROM o) SELECT z.round, coord, " + _VALUE.format("avg(clipped)") + " FROM z JOIN p USING (round, layer, client_id) WHERE good OR NOT anyone GROUP BY ALL",
 )
 _FG = (
-    _NORM + ", h AS (SELECT l.round, l.client_id, coord, sum(value / greatest(norm, 1.0)) OVER (PARTITION BY l.client_id, coord ORDER BY l.round ROWS UNBOUNDED PRECEDING) AS value FROM l JOIN n USING (round, client_id))"
-    ", hw AS (SELECT round, client_id, list(value ORDER BY coord) AS vec FROM h GROUP BY ALL), cs AS (SELECT x.round, x.client_id AS i, y.client_id AS j, list_inner_product(x.vec, y.vec) / greatest(sqrt(list_inner_product(x.vec, x.vec)) * sqrt(list_inner_product(y.vec, y.vec)), 1e-12) AS cs FROM hw x JOIN hw y ON x.round = y.round AND x.client_id <> y.client_id)"
+    _NORM + ", md AS (SELECT DISTINCT l.round, l.coord, coalesce(m.v, 0.0) AS v FROM l LEFT JOIN (SELECT round + 1 AS round, coord, avg(value) AS v FROM l GROUP BY ALL) m ON m.round = l.round AND m.coord = l.coord WHERE l.coord BETWEEN 36 AND 59)"
+    ", mk AS (SELECT round, coord + 4 AS coord FROM (SELECT *, row_number() OVER (PARTITION BY round, (coord - 36) // 6 ORDER BY v DESC, coord) AS r FROM md) WHERE r <= 2)"
+    ", h AS (SELECT l.round, l.client_id, coord, sum(value / greatest(norm, 1.0)) OVER (PARTITION BY l.client_id, coord ORDER BY l.round ROWS UNBOUNDED PRECEDING) AS value FROM l JOIN n USING (round, client_id))"
+    ", hw AS (SELECT round, client_id, list(value ORDER BY coord) AS vec FROM h JOIN mk USING (round, coord) GROUP BY ALL), hn AS (SELECT *, sqrt(list_inner_product(vec, vec)) AS nn FROM hw)"
+    ", cs AS (SELECT x.round, x.client_id AS i, y.client_id AS j, CASE WHEN x.client_id = y.client_id OR x.nn * y.nn = 0 THEN 0.0 ELSE list_inner_product(x.vec, y.vec) / (x.nn * y.nn) END AS cs FROM hn x JOIN hn y ON x.round = y.round)"
     ", mx AS (SELECT round, i, max(cs) + 1e-6 AS m FROM cs GROUP BY ALL), w0 AS (SELECT cs.round, cs.i, greatest(0.0, least(1.0, 1 - max(CASE WHEN a.m < b.m THEN cs * a.m / b.m ELSE cs END))) AS w FROM cs JOIN mx a ON a.round = cs.round AND a.i = cs.i JOIN mx b ON b.round = cs.round AND b.i = cs.j GROUP BY ALL)"
-    ", w1 AS (SELECT round, i, w / greatest(max(w) OVER (PARTITION BY round), 1e-12) AS w FROM w0), w2 AS (SELECT round, i, CASE WHEN w = 1 THEN 0.99 ELSE w END AS w FROM w1), w3 AS (SELECT round, i AS client_id, CASE WHEN w <= 0 THEN 0.0 ELSE greatest(0.0, least(1.0, ln(w / (1 - w)) + 0.5)) END AS weight FROM w2)"
+    ", w1 AS (SELECT round, i, w / (max(w) OVER (PARTITION BY round) + 1e-6) AS w FROM w0), w2 AS (SELECT round, i, CASE WHEN w = 1 THEN 0.99 ELSE w END AS w FROM w1), w3 AS (SELECT round, i AS client_id, greatest(0.0, least(1.0, ln(w / (1 - w) + 1e-6) + 0.5)) AS weight FROM w2)"
 )
-on_updates("foolsgold_weights", L.fools_gold_weights, _FG + " SELECT round, client_id, " + _R.format("weight", "weight") + " FROM w3")
-on_updates("agg_foolsgold", L.fools_gold, _FG + " SELECT l.round, coord, " + _VALUE.format("sum(weight * value)") + " FROM l JOIN w3 USING (round, client_id) GROUP BY ALL")
+on_updates("foolsgold_weights", lambda u: L.fools_gold_weights(u, _model(u), share=0.5), _FG + " SELECT round, client_id, " + _R.format("weight", "weight") + " FROM w3")
+on_updates("agg_foolsgold", lambda u: L.fools_gold(u, _model(u), share=0.5), _FG + " SELECT l.round, coord, " + _VALUE.format("sum(weight * value / greatest(norm, 1.0))") + " FROM l JOIN w3 USING (round, client_id) JOIN n USING (round, client_id) GROUP BY ALL")
 on_updates(
     "neup_te", L.neuron_energy,
     ", c AS (SELECT round, client_id, (CASE WHEN coord < 60 THEN (coord - 36) // 6 ELSE coord - 60 END)::INTEGER AS class, pow(sum(abs(value)), 2) AS e FROM l WHERE coord >= 36 GROUP BY ALL), p AS (SELECT *, e / sum(e) OVER (PARTITION BY round, client_id) AS neup FROM c), q AS (SELECT *, 0.25 * max(neup) OVER (PARTITION BY round, client_id) AS lim FROM p) SELECT round, client_id, class, " + _R.format("neup", "neup") + ", (sum((neup > lim)::INT) OVER (PARTITION BY round, client_id))::BIGINT AS te FROM q",
@@ -155,11 +159,18 @@ on_updates(
     ", k AS (SELECT *, row_number() OVER (PARTITION BY round, client_id ORDER BY abs(value), coord) AS r FROM l), m AS (SELECT *, CASE WHEN r <= 6 THEN value ELSE 0.0 END AS v FROM k), q AS (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY round, client_id)) AS norm FROM m)" + _HIT.format("v * least(1.0, 0.2 / (norm + 1e-6))", "q"),
 )
 on_updates("atk_ball_projection", M.ball_projection, ", q AS (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY round, client_id)) AS norm FROM l)" + _HIT.format("value * least(1.0, 0.25 / norm)", "q"))
+on_updates("atk_box_projection", M.box_projection, _HIT.format("greatest(-0.25, least(0.25, value))", "l"))
 on_updates("atk_boost", M.boosted, ", q AS (SELECT *, coalesce(lag(value) OVER (PARTITION BY client_id, coord ORDER BY round), 0.0) AS pre FROM l)" + _HIT.format("pre + 10 * (value - pre)", "q"))
 on_updates("atk_sign_alignment", M.sign_alignment, f" SELECT round, client_id, count(*) FILTER (sign(value) = CASE WHEN {V.uniform_sql('sign', 'coord')} > 0.5 THEN 1 ELSE -1 END)::BIGINT AS aligned FROM l GROUP BY ALL")
 on_updates("sched_fixed_frequency", lambda u: M.scheduled(u, "frequency", frequency=3).select("round", "client_id"), " SELECT round, client_id FROM u WHERE round % 3 = 0")
 on_updates("sched_from_start", lambda u: M.scheduled(u, "continuous", start=4).select("round", "client_id"), " SELECT round, client_id FROM u WHERE round >= 4")
 
+on_updates("sched_single", lambda u: M.scheduled(u, "single", start=5).select("round", "client_id"), " SELECT round, client_id FROM u WHERE round = 5")
+query(
+    "attack_categories", lambda spark, d: M.categories(spark.createDataFrame(M.ATTACKS, "name string, attributes array<string>")),
+    "WITH a(name, attrs) AS (VALUES " + ", ".join(f"('{n}', {at!r})" for n, at in M.ATTACKS) + ") SELECT 'data' AS category, name FROM a WHERE list_contains(attrs, 'data_poisoning') UNION ALL SELECT 'hybrid', name FROM a WHERE list_contains(attrs, 'data_poisoning') AND list_contains(attrs, 'model_poisoning') UNION ALL SELECT 'model', name FROM a WHERE NOT list_contains(attrs, 'data_poisoning')",
+)
+
 # update rules
 _LAST = ", m AS (SELECT round + 1 AS round, coord, avg(value) AS w FROM l GROUP BY ALL), j AS (SELECT l.*, coalesce(w, 0.0) AS w FROM l LEFT JOIN m USING (round, coord))"
 
@@ -170,6 +181,18 @@ def _with_global(u: DataFrame) -> DataFrame:
     return S.to_long(u).join(before, ["round", "coord"], "left").withColumn("w", F.coalesce("w", F.lit(0.0)))
 
 
+def _model(u: DataFrame) -> DataFrame:
+    """(round, coord, value): the global vector that the round began with."""
+    return _with_global(u).groupBy("round", "coord").agg(F.first("w").alias("value"))
+
+
+def _with_model(u: DataFrame) -> DataFrame:
+    """The updates with the global vector of their round as ``model``."""
+    cells = _model(u).groupBy("round").agg(F.array_sort(F.collect_list(F.struct("coord", "value"))).alias("cells"))
+    return u.join(cells.select("round", F.transform("cells", lambda x: x["value"]).alias("model")), "round")
+
+
+on_updates("model_form", lambda u: _with_global(u).select("round", "client_id", "coord", (F.col("value") + F.col("w")).alias("value")), _LAST + " SELECT round, client_id, coord, " + _VALUE.format("value + w") + " FROM j")
 on_updates("grad_form", lambda u: _with_global(u).select("round", "client_id", "coord", (F.col("value") - F.col("w")).alias("value")), _LAST + " SELECT round, client_id, coord, " + _VALUE.format("value - w") + " FROM j")
 on_updates("fedavg_step", lambda u: _with_global(u).groupBy("round", "coord").agg((F.first("w") + F.avg(F.col("value") - F.col("w"))).alias("value")), _LAST + " SELECT round, coord, " + _VALUE.format("any_value(w) + avg(value - w)") + " FROM j GROUP BY ALL")
 on_updates("fedsgd_step", lambda u: _with_global(u).groupBy("round", "coord").agg((F.first("w") + F.avg("value")).alias("value")), _LAST + " SELECT round, coord, " + _VALUE.format("any_value(w) + avg(value)") + " FROM j GROUP BY ALL")
@@ -214,12 +237,33 @@ on_samples("stratified_sample", P.stratified_sample, _SM + _SHUFFLE.format(u=V.u
 on_samples("batch_choice", P.batch_choice, _SM + f", b AS (SELECT sample_id, label, sample_id // 16 AS batch FROM sm), k AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY {V.uniform_sql('batch', 'sample_id')}, sample_id) AS r, count(*) OVER (PARTITION BY batch) AS n FROM b) SELECT batch, sample_id, label FROM k WHERE r <= floor(n * 0.32::DOUBLE)")
 on_samples(
     "poison_mix", lambda s: P.mixed(s.where("label = 3"), s.where("label <> 3"), 0.5, 20),
-    _SM + f", k AS (SELECT sample_id, label, label = 3 AS p, row_number() OVER (PARTITION BY label = 3 ORDER BY {V.uniform_sql('mix', 'sample_id')}, sample_id) AS r FROM sm) SELECT sample_id, label, CASE WHEN p THEN 'poison' ELSE 'clean' END AS kind FROM k WHERE r <= 20",
+    _SM + f", k AS (SELECT sample_id, label, label = 3 AS p, row_number() OVER (PARTITION BY label = 3 ORDER BY {V.uniform_sql('mix', 'sample_id')}, sample_id) AS r, least(floor(count(*) OVER () * 0.5), 20) AS m FROM sm) SELECT sample_id, CASE WHEN p THEN 6 ELSE label END AS label, CASE WHEN p THEN 'poison' ELSE 'clean' END AS kind FROM k WHERE r <= m",
 )
 for _mode, _sql in (("all2one", "6"), ("all2all", "9 - label"), ("targeted", "CASE WHEN label = 2 THEN 6 ELSE label END"), ("random", f"floor({V.uniform_sql('label', 'sample_id')} * 10 * 0.999999)::INTEGER")):
     on_samples(f"label_rewrite_{_mode}", lambda s, m=_mode: s.select("sample_id", P.rewritten_label(F.col("label"), m).alias("label")), _SM + f" SELECT sample_id, {_sql} AS label FROM sm")
 _CELLS = " SELECT sample_id, unnest(range(64))::INTEGER AS coord, unnest(f) AS x FROM sm"
 on_samples("trigger_patch", lambda s: P.with_trigger(s).select("sample_id", F.posexplode("features").alias("coord", "x")), _SM + f", c AS ({_CELLS}) SELECT sample_id, coord, round(CASE WHEN coord // 8 IN (5, 6) AND coord % 8 IN (5, 6) THEN 1.0 ELSE x END, 6) + 0.0 AS x FROM c")
+_HIT_STRIP = "coord // 8 = (k // 2) * 3 AND coord % 8 >= (k % 2) * 4 AND coord % 8 < (k % 2) * 4 + 2"
+on_samples(
+    "trigger_strip_of_client", lambda s: P.with_strips(s, F.col("sample_id") % 7).select("sample_id", F.posexplode("features").alias("coord", "x")),
+    _SM + f", c AS ({_CELLS}), k AS (SELECT *, (sample_id % 7) % 4 AS k FROM c) SELECT sample_id, coord, round(CASE WHEN {_HIT_STRIP} THEN 1.0 ELSE x END, 6) + 0.0 AS x FROM k",
+)
+on_samples(
+    "trigger_all_strips", lambda s: P.with_strips(s).select("sample_id", F.posexplode("features").alias("coord", "x")),
+    _SM + f", c AS ({_CELLS}), h AS (SELECT DISTINCT coord FROM (SELECT unnest(range(64)) AS coord) CROSS JOIN (SELECT unnest(range(4)) AS k) WHERE {_HIT_STRIP}) SELECT sample_id, coord, round(CASE WHEN coord IN (SELECT coord FROM h) THEN 1.0 ELSE x END, 6) + 0.0 AS x FROM c",
+)
+_PATTERN = [[0.0, 0.5, 1.0], [1.0, 0.0, 0.25]]
+on_samples(
+    "trigger_pattern", lambda s: P.with_pattern(s, _PATTERN, mean=0.5, sd=0.25).select("sample_id", F.posexplode("features").alias("coord", "x")),
+    _SM + f", c AS ({_CELLS}) SELECT sample_id, coord, round(CASE WHEN coord // 8 >= 6 AND coord % 8 >= 5 THEN ([0.0, 0.5, 1.0, 1.0, 0.0, 0.25][(coord // 8 - 6) * 3 + coord % 8 - 5 + 1] - 0.5) / 0.25 ELSE x END, 6) + 0.0 AS x FROM c",
+)
+on_samples(
+    "poisoned_batches", lambda s: P.poisoned_batches(s).select("sample_id", "label", "poisoned", F.posexplode("features").alias("coord", "x")),
+    _SM + f", b AS (SELECT sample_id, label, f, sample_id // 16 AS batch FROM sm), k AS (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY {V.uniform_sql('batch', 'sample_id')}, sample_id) <= floor(count(*) OVER (PARTITION BY batch) * 0.32::DOUBLE) AS poisoned FROM b), c AS (SELECT sample_id, label, poisoned, unnest(range(64))::INTEGER AS coord, unnest(f) AS x FROM k)"
+    " SELECT sample_id, CASE WHEN poisoned THEN 6 ELSE label END AS label, poisoned, coord, round(CASE WHEN poisoned AND coord // 8 IN (5, 6) AND coord % 8 IN (5, 6) THEN 1.0 ELSE x END, 6) + 0.0 AS x FROM c",
+)
+query("subset_by_id", lambda spark, d: P.subset(S.samples(spark, d), S.table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"))).select("sample_id", "label"), _SM + " SELECT sample_id, label FROM sm SEMI JOIN labels ON sample_id = doc_id")
+on_samples("labels_of_both", lambda s: P.labels_of_both(P.iid(s), 1, 2), _IID + " SELECT label FROM a WHERE client_id = 1 INTERSECT SELECT label FROM a WHERE client_id = 2")
 on_samples("normalise", lambda s: P.normalised(s, 0.5, 0.25).select("sample_id", F.posexplode("features").alias("coord", "x")), _SM + f", c AS ({_CELLS}) SELECT sample_id, coord, round((x - 0.5) / 0.25, 6) + 0.0 AS x FROM c")
 
 # evaluation
@@ -234,6 +278,12 @@ on_predictions("acc_by_round", E.accuracy, ", b AS (SELECT round, sample_id // 1
 on_predictions("tail_acc", E.tail_accuracy, " SELECT round, round(coalesce(avg((pred = label)::INT) FILTER (label >= 7), 0.0), 6) + 0.0 AS tail_acc FROM p GROUP BY round")
 on_predictions("asr", E.attack_success, " SELECT round, round(avg((pred = 6)::INT), 6) + 0.0 AS asr, count(*) AS n FROM p WHERE triggered GROUP BY round")
 on_predictions("asr_targeted", lambda p: E.attack_success(p, 6, 2), " SELECT round, round(avg((pred = 6)::INT), 6) + 0.0 AS asr, count(*) AS n FROM p WHERE triggered AND source_label = 2 GROUP BY round")
+on_predictions("target_fraction", E.target_fraction, " SELECT round, round(avg((pred = 6)::INT), 6) + 0.0 AS fraction FROM p WHERE triggered GROUP BY round")
+on_predictions("client_means", lambda p: E.client_means(p.withColumn("client_id", F.col("sample_id") % 10)), ", c AS (SELECT round, sample_id % 10 AS client, avg((pred = label)::INT) AS acc, avg(loss) AS loss FROM p GROUP BY ALL) SELECT round, round(avg(acc), 6) + 0.0 AS train_acc, round(avg(loss), 6) + 0.0 AS train_loss FROM c GROUP BY round")
+query(
+    "time_budget", lambda spark, d: rounded(E.time_budget(S.table(spark, d, "events").select(F.floor(F.col("event_id") / 10).alias("round"), "ts").groupBy("round").agg(F.max("ts").alias("ts")))),
+    "WITH r AS (SELECT event_id // 10 AS round, max(ts) AS ts FROM events GROUP BY ALL), e AS (SELECT round, epoch_us(ts) / 60e6 - (SELECT min(epoch_us(ts)) FROM r) / 60e6 AS elapsed FROM r) SELECT arg_min(round, (elapsed, round)) AS first, round(min(elapsed), 6) + 0.0 AS elapsed FROM e WHERE elapsed >= 300",
+)
 on_predictions("low_acc_streak", lambda p: E.low_streak(E.accuracy(p).select("round", "acc")), ", a AS (SELECT round, avg((pred = label)::INT) AS acc FROM p GROUP BY round), k AS (SELECT round, round - row_number() OVER (ORDER BY round) AS island FROM a WHERE acc < 0.18) SELECT min(round) AS first, max(round) AS last, count(*) AS rounds FROM k GROUP BY island HAVING count(*) >= 2 ORDER BY first LIMIT 1")
 on_samples("target_confidence", E.confidence, _SM + " SELECT sample_id, round(exp(f[7]) / list_sum(list_transform(f[1:10], lambda x: exp(x))), 6) + 0.0 AS confidence FROM sm")
 query(
@@ -252,6 +302,32 @@ query(
     "WITH g(line) AS (VALUES " + ", ".join(f"('{x}')" for x in _LOG) + f"), m AS (SELECT line FROM g WHERE regexp_matches(line, '{E.LOG_PATTERN}')) SELECT regexp_extract(line, '{E.LOG_PATTERN}', 1)::INTEGER AS epoch, "
     + ", ".join(f"nullif(regexp_extract(line, '{E.LOG_PATTERN}', {k}), '')::DOUBLE AS {n}" for k, n in enumerate(("train_acc", "train_loss", "test_acc", "test_loss", "asr", "asr_loss"), 2)) + " FROM m",
 )
+
+
+def _run_log(spark, d: str) -> DataFrame:
+    """Written as a text file, and read back."""
+    p = S.predictions(spark, d)
+    rows = E.accuracy(p).select(F.col("round").alias("epoch"), F.col("acc").alias("train_acc"), F.col("mean_loss").alias("train_loss"), F.col("acc").alias("test_acc"), F.col("loss").alias("test_loss"))
+    asr = E.attack_success(p).select(F.col("round").alias("epoch"), "asr", F.lit(0.5).alias("asr_loss")).where("epoch % 2 = 0")
+    path = f"{T.scratch(spark)}/log"
+    K.write_lines(E.log_lines(rows.join(asr, "epoch", "left")), path)
+    return K.read_log(spark, path)
+
+
+_CURVE = ", b AS (SELECT round, sample_id // 16 AS batch, count(*) AS n, sum((pred = label)::INT) AS hits, avg(loss) AS bl, sum(loss) AS sl FROM p GROUP BY ALL), m AS (SELECT round, sum(hits) / sum(n) AS acc, sum(bl) / sum(n) AS loss, sum(sl) / sum(n) AS mean_loss FROM b GROUP BY round), s AS (SELECT round, avg((pred = 6)::INT) AS asr FROM p WHERE triggered AND round % 2 = 0 GROUP BY round)"
+query("run_log", _run_log, _PRED + _CURVE + " SELECT m.round AS epoch, " + ", ".join(f"printf('%.4f', {c})::DOUBLE AS {n}" for c, n in (("acc", "train_acc"), ("mean_loss", "train_loss"), ("acc", "test_acc"), ("loss", "test_loss"), ("asr", "asr"))) + ", CASE WHEN asr IS NOT NULL THEN 0.5::DOUBLE END AS asr_loss FROM m LEFT JOIN s ON s.round = m.round")
+
+
+def _timing_log(spark, d: str) -> DataFrame:
+    rows = E.timing(S.table(spark, d, "events").select(F.col("user_id").alias("worker_id"), F.col("event_type").alias("method"), F.col("value").alias("seconds")))
+    path = f"{T.scratch(spark)}/time_log"
+    K.write_lines(E.timing_lines(rows), path)
+    part = lambda k: F.get(F.split("line", "\t"), k)
+    return K.read_lines(spark, path).select(part(0).cast("long").alias("worker_id"), part(1).alias("method"), part(2).cast("double").alias("mean"), part(3).cast("long").alias("calls"))
+
+
+query("timing_log", _timing_log, "SELECT user_id AS worker_id, event_type AS method, printf('%.6f', avg(value))::DOUBLE AS mean, count(*) AS calls FROM events GROUP BY ALL")
+query("partition_cache", lambda spark, d: K.kept(spark, f"{T.scratch(spark)}/iid", lambda: P.iid(S.samples(spark, d))), _IID + " SELECT sample_id, label, client_id FROM a")
 query(
     "attack_report_cube", lambda spark, d: rounded(E.attack_report(S.updates(spark, d).select(F.concat(F.lit("a"), F.col("round") % 3).alias("attack"), F.concat(F.lit("d"), F.col("client_id") % 4).alias("defense"), F.get("vec", 0).alias("value")))),
     f"WITH {S.UPDATES_SQL} SELECT 'a' || (round % 3) AS attack, 'd' || (client_id % 4) AS defense, round(avg(vec[1]), 6) + 0.0 AS value, count(*) AS n FROM u GROUP BY CUBE ('a' || (round % 3), 'd' || (client_id % 4))",
