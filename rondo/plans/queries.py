@@ -338,11 +338,11 @@ query(
 def _update_stream(spark, d: str) -> DataFrame:
     rows = T.streamed(spark, d, "embeddings")
     client = (F.col("vec_id") % S.CLIENTS).cast("int")
-    return rows.select(F.lit(0).alias("run"), F.floor(F.col("vec_id") / S.CLIENTS).cast("int").alias("round"), client.alias("client_id"), F.col("embedding").cast("array<double>").alias("vec"))
+    return rows.select(F.floor(F.col("vec_id") / S.CLIENTS).cast("int").alias("round"), client.alias("client_id"), F.lit("client").alias("role"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
-query("stream_centered_clip", lambda spark, d: rounded(T.drained(T.centred_clipping(_update_stream(spark, d), 3.0), "append")))
-query("stream_detector", lambda spark, d: rounded(T.drained(T.detector(_update_stream(spark, d)), "append")))
+query("stream_centered_clip", lambda spark, d: rounded(T.centred_clipping(_update_stream(spark, d), 3.0)))
+query("stream_detector", lambda spark, d: rounded(T.detector(_update_stream(spark, d))))
 query(
     "stream_event_windows", lambda spark, d: rounded(T.drained(T.event_windows(T.streamed(spark, d, "events")), "complete")),
     "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY ALL",

@@ -1,27 +1,28 @@
-"""State across rounds with Structured Streaming: running centres, and windows over events.
+"""State across rounds with Structured Streaming: running centres, a detector, and windows over events.
 
-A round arrives whole in a micro-batch; the state of a run is one vector. Results of a bounded run are written
-as Parquet beside the checkpoint and read back.
+A round arrives whole in a micro-batch. Rounds of a batch are taken in order; each is a Spark job over the round's clients,
+and what it hands on is the written table of its result, so a lost executor or a second try of a batch repeats rounds
+only. Results of a bounded run are written as Parquet beside the checkpoint and read back.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from rondo.functions import vectors as V
+from rondo.operators import aggregators as A
+from rondo.sources.shared import shared_folder
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder in the one that ``spark.checkpoint.dir`` names, or of this machine where it is unset."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "rondo-stream")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    """A new folder in the shared one."""
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
@@ -38,26 +39,51 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
     return spark.read.schema(schema).parquet(out)
 
 
-def centred_clipping(updates: DataFrame, tau: float = 100.0) -> DataFrame:
-    """(round, coord, value) of the running centre: after each round it moves by the mean of the clipped gaps.
+_RESULT = "round int, coord int, value double"
+
+
+def by_round(updates: DataFrame, step: Callable[[int, DataFrame], DataFrame]) -> DataFrame:
+    """(round, coord, value): ``step(number, rows)`` of each round of a stream (round, client_id, role, vec), in order.
 
-    ``updates`` streams (run, round, client_id, vec); the state of a run is its centre.
+    A round's result is written before the next begins.
     """
+    spark = updates.sparkSession
+    folder = scratch(spark)
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows = rows.persist()
+        try:
+            for k in sorted(x["round"] for x in rows.select("round").distinct().collect()):  # the rounds of a batch
+                step(k, rows.where(F.col("round") == k)).write.mode("overwrite").parquet(f"{folder}/out/number={k}")
+        finally:
+            rows.unpersist()
+
+    updates.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(batch).start().awaitTermination()
+    try:
+        return spark.read.schema(_RESULT).parquet(f"{folder}/out")
+    except AnalysisException:  # no round came
+        return spark.createDataFrame([], _RESULT)
 
-    def step(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(groups)).sort_values(["round", "client_id"])
-        centre = np.array(state.get[0]) if state.exists else None
-        out = []
-        for number, own in rows.groupby("round"):
-            m = np.stack(own["vec"].to_numpy())
-            centre = np.zeros(m.shape[1]) if centre is None else centre
-            gap = m - centre
-            centre = centre + (gap * np.minimum(1, tau / (np.linalg.norm(gap, axis=1) + 1e-12))[:, None]).mean(0)
-            out.append(pd.DataFrame({"run": key[0], "round": number, "coord": np.arange(len(centre)), "value": centre}))
-        state.update((centre.tolist(),))
-        yield pd.concat(out)
 
-    return updates.groupBy("run").applyInPandasWithState(step, "run int, round int, coord int, value double", "centre array<double>", "append", GroupStateTimeout.NoTimeout)
+def _vector(rows: DataFrame) -> np.ndarray:
+    """A result's values in order: as long as the model."""
+    return np.array([x["value"] for x in rows.select("coord", "value").orderBy("coord").collect()])
+
+
+def _as_rows(spark: SparkSession, number: int, v: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(number, k, float(x)) for k, x in enumerate(v)], _RESULT)
+
+
+def centred_clipping(updates: DataFrame, tau: float = 100.0) -> DataFrame:
+    """(round, coord, value) of the running centre: after each round it moves by the mean of the clipped gaps. The state is the centre."""
+    spark, state = updates.sparkSession, {}
+
+    def step(number: int, rows: DataFrame) -> DataFrame:
+        centre = _as_rows(spark, number, state["centre"]) if "centre" in state else None
+        state["centre"] = _vector(A.centered_clipping(rows, tau, centre))
+        return _as_rows(spark, number, state["centre"])
+
+    return by_round(updates, step)
 
 
 def event_windows(events: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:
@@ -129,37 +155,39 @@ def gap_clusters(score: np.ndarray, most: int = 10, samples: int = 20, seed: int
 
 
 def detector(updates: DataFrame, window: int = 3, start: int = 0) -> DataFrame:
-    """(run, round, coord, value): the mean of the clients whose updates follow the predicted ones.
+    """(round, coord, value): the mean of the clients whose updates follow the predicted ones.
 
     A client's update is predicted as its last one plus the curvature times the last aggregate; the distances,
     normalised in a round and averaged over ``window`` rounds, are split in two where the gap statistic sees
-    clusters, and the cluster of lower distance is kept. The state is the last ``window`` rounds' vectors.
+    clusters, and the cluster of lower distance is kept. The state is the last ``window`` aggregates and their differences, the
+    clients' scores, a number each, and the rows of the last round, which stay in Spark.
     """
+    spark = updates.sparkSession
+    state: dict = {"vector": None, "w": [], "g": [], "scores": [], "last": None}
+
+    def step(number: int, rows: DataFrame) -> DataFrame:
+        ids = [x["client_id"] for x in rows.select("client_id").orderBy("client_id").collect()]  # a number a client
+        if state["vector"] is not None and number - start > window and state["w"]:
+            moved = curvature_product(np.array(state["w"]), np.array(state["g"]), state["vector"])
+            moved = F.broadcast(spark.createDataFrame([(moved.tolist(),)], "moved array<double>"))  # one vector
+            both = rows.join(state["last"].withColumnRenamed("vec", "before"), "client_id").join(moved)
+            gap = both.select("client_id", F.zip_with(F.zip_with("before", "moved", lambda a, b: a + b), "vec", lambda a, b: a - b).alias("gap"))
+            gone = {x["client_id"]: x["far"] for x in gap.select("client_id", V.norm("gap").alias("far")).collect()}
+            own = np.array([gone.get(i, 0.0) for i in ids])
+            state["scores"] = [*state["scores"], own / (own.sum() + 1e-12)][-window - 1 :]
+        kept = np.ones(len(ids), bool)
+        if len(state["scores"]) > window:
+            mean = np.mean(state["scores"][-window:], 0)
+            if gap_clusters(mean) >= 2:
+                label = _scatter(mean, 2, np.random.default_rng(0))[0]
+                kept = label == int(mean[label == 0].mean() > mean[label == 1].mean())
+        new = _vector(A.mean(rows.where(F.col("client_id").isin([i for i, k in zip(ids, kept.tolist(), strict=True) if k]))))
+        before = np.zeros(len(new)) if state["vector"] is None else state["vector"]
+        state["w"], state["g"] = [*state["w"], new][-window:], [*state["g"], new - before][-window:]
+        path = f"{folder}/last-{number}"
+        rows.select("client_id", "vec").write.mode("overwrite").parquet(path)
+        state["vector"], state["last"] = new, spark.read.parquet(path)
+        return _as_rows(spark, number, new)
 
-    def step(key: tuple, groups: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(groups)).sort_values(["round", "client_id"])
-        last, vector, weights, gradients, scores = (np.array(x) for x in state.get) if state.exists else (np.zeros(0),) * 5
-        out = []
-        for number, own in rows.groupby("round"):
-            m = np.stack(own["vec"].to_numpy())
-            n, d = m.shape
-            vector = vector if len(vector) else np.zeros(d)
-            w, g, s = weights.reshape(-1, d), gradients.reshape(-1, d), scores.reshape(-1, n)
-            kept = np.ones(n, bool)
-            if len(last) and number - start > window and len(w):
-                gone = np.linalg.norm(last.reshape(n, d) + curvature_product(w, g, vector) - m, axis=1)
-                s = np.concatenate([s, (gone / (gone.sum() + 1e-12))[None]])[-window - 1 :]
-            if len(s) > window:
-                mean = s[-window:].mean(0)
-                if gap_clusters(mean) >= 2:
-                    label = _scatter(mean, 2, np.random.default_rng(0))[0]
-                    kept = label == int(mean[label == 0].mean() > mean[label == 1].mean())
-            new = m[kept].mean(0)
-            w, g = np.concatenate([w, new[None]])[-window:], np.concatenate([g, (new - vector)[None]])[-window:]
-            last, vector, weights, gradients, scores = m.ravel(), new, w.ravel(), g.ravel(), s.ravel()
-            out.append(pd.DataFrame({"run": key[0], "round": number, "coord": np.arange(d), "value": new}))
-        state.update(tuple(x.tolist() for x in (last, vector, weights, gradients, scores)))
-        yield pd.concat(out)
-
-    kept = ", ".join(f"{c} array<double>" for c in ("last", "vector", "weights", "gradients", "scores"))
-    return updates.groupBy("run").applyInPandasWithState(step, "run int, round int, coord int, value double", kept, "append", GroupStateTimeout.NoTimeout)
+    folder = scratch(spark)
+    return by_round(updates, step)

@@ -7,16 +7,21 @@ from rondo.streaming import rounds as T
 def test_running_centre_over_batches(spark, tmp_path):
     r = np.random.default_rng(3)
     m = r.normal(0, 1, (4, 6, 5))
-    schema = "run int, round int, client_id int, vec array<double>"
+    schema = "role string, round int, client_id int, vec array<double>"
     for k in range(4):
-        spark.createDataFrame([(0, k, c, m[k, c].tolist()) for c in range(6)], schema).coalesce(1).write.parquet(str(tmp_path / "in.parquet" / f"round={k}x"))
+        spark.createDataFrame([("benign", k, c, m[k, c].tolist()) for c in range(6)], schema).coalesce(1).write.parquet(str(tmp_path / "in.parquet" / f"round={k}x"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in.parquet"))
-    got = {(x["round"], x["coord"]): x["value"] for x in T.drained(T.centred_clipping(stream, 1.0), "append").collect()}
+    got = {(x["round"], x["coord"]): x["value"] for x in T.centred_clipping(stream, 1.0).collect()}
     centre, seen = np.zeros(5), sorted({k for k, _ in got})
     assert seen == [0, 1, 2, 3]
     first = m[0] * np.minimum(1, 1 / np.linalg.norm(m[0], axis=1))[:, None]
     centre = first.mean(0)
     assert np.allclose([got[0, c] for c in range(5)], centre)
+    for k in range(1, 4):
+        gap = m[k] - centre
+        centre = centre + (gap * np.minimum(1, 1 / np.linalg.norm(gap, axis=1))[:, None]).mean(0)
+        assert np.allclose([got[k, c] for c in range(5)], centre)
+    centre = first.mean(0)
     one = spark.createDataFrame([(0, c, "benign", m[0, c].tolist()) for c in range(6)], "round int, client_id int, role string, vec array<double>")
     assert np.allclose([x["value"] for x in A.centered_clipping(one, 1.0).orderBy("coord").collect()], centre)
 
@@ -28,11 +33,11 @@ def test_detector_drops_erratic_clients(spark, tmp_path):
     for k in range(9):
         for c in range(20):
             v = base * (1 - 0.05 * k) + r.normal(0, 0.01, 8) if c >= 4 else r.normal(0, 5, 8)
-            rows.append((0, k, c, v.tolist()))
-    schema = "run int, round int, client_id int, vec array<double>"
+            rows.append(("benign", k, c, v.tolist()))
+    schema = "role string, round int, client_id int, vec array<double>"
     spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in.parquet"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in.parquet"))
-    last = [x["value"] for x in T.drained(T.detector(stream), "append").where("round = 8").orderBy("coord").collect()]
+    last = [x["value"] for x in T.detector(stream).where("round = 8").orderBy("coord").collect()]
     assert np.abs(np.array(last) - base * 0.6).max() < 0.05
 
 
