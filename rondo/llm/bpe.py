@@ -1,15 +1,13 @@
 """BPE encoding and decoding over a table of distinct words.
 
 1. Texts are normalised and split into words in Arrow batches as the tokenizer does it (NFC, lower case letter
-   by letter, its pattern; the strings of special tokens are cut out first). Words are counted, pre-aggregated
-   in each task, so that a row of the word table is one distinct word.
-2. Each distinct word is encoded once by the tokenizers library.
-3. Ids are joined back by position: words counted often enough to be among HOT_WORDS come from a broadcast
-   table of that bounded size, every other occurrence (row, position, word) through a shuffled join.
-4. Ids are decoded through the id-to-piece table of the vocabulary, pieces joined by one space, which is what
-   the library does for this tokenizer without a decoder.
-
-Texts move once, compressed, to meet the rare words of their row.
+   by letter, its pattern; the strings of special tokens are cut out first), each text once. A run of texts of about
+   CHUNK words is a row of a written table: its distinct words, and the place of every word of its texts in them.
+2. Chunks send their distinct words to tasks dealt by the word's hash; there each distinct word of all texts is encoded
+   once by the tokenizers library. A word comes from a chunk once, so a frequent one is no larger than any other.
+3. The ids go back to the chunks that asked, a join by chunk, and are put at the words' places.
+4. Ids are decoded by the id-to-piece table of the vocabulary, pieces joined by one space, which is what the
+   library does for this tokenizer without a decoder. The table is as small as the vocabulary, so it is broadcast.
 
 Defined cases: a null or empty text has no ids and decodes to an empty string; repeated rows are encoded
 each; a null id is kept; texts of any length are encoded whole.
@@ -21,18 +19,20 @@ import hashlib
 import os
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark import Broadcast
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from rondo.llm.common import map_arrow, map_arrow_all, most_frequent, cut
+from rondo.llm import bytescan as bs
+from rondo.llm.common import BIG_ROWS, cut, map_arrow_all, parts_for
 
 #: The tokenizer's split pattern, for ASCII and for the Latin texts of _PLAIN, whose letters and numbers are listed.
 ASCII_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+", re.ASCII)
@@ -40,9 +40,10 @@ _LETTERS, _NUMBERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u0233", "0-9\u00
 LATIN_PATTERN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\t-\r \x85\xa0{_LETTERS}{_NUMBERS}]+")
 SPECIALS = ("<|startoftext|>", "<|endoftext|>")
 _SPECIAL = re.compile("(" + "|".join(map(re.escape, SPECIALS)) + ")")
-#: Words in the broadcast table at most.
-HOT_WORDS = 1 << 19
-_FLUSH = 200_000
+#: Words in a chunk, about.
+CHUNK = 1 << 22
+#: Words sent to a task, about: its table of distinct words is no larger.
+TASK_WORDS = 400_000
 
 
 #: Outside these, Unicode tables of different versions may differ: the library's own normaliser and splitter serve.
@@ -76,36 +77,6 @@ def _texts(batch: pa.RecordBatch, k: int) -> Iterator[str]:
         yield x.as_py() or ""
 
 
-def word_counts(docs: DataFrame, vocabulary: Broadcast) -> DataFrame:
-    """(word, n) of the distinct words of all texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        split = Splitter(_encoder(vocabulary.value))
-        seen: Counter = Counter()
-        for batch in batches:
-            for text in _texts(batch, 0):
-                seen.update(split(text))
-                if len(seen) > _FLUSH:
-                    yield {"word": list(seen), "n": list(seen.values())}
-                    seen.clear()
-        yield {"word": list(seen), "n": list(seen.values())}
-
-    return map_arrow_all(docs.select("text"), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def word_table(docs: DataFrame, vocabulary: Broadcast) -> DataFrame:
-    """(word, n, ids): each distinct word of the texts encoded once; ids are 16-bit numbers."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder = _encoder(vocabulary.value)
-        for batch in batches:
-            words = batch.column(0).to_pylist()
-            ids = [np.array(x.ids, np.uint16).tobytes() for x in encoder.encode_batch(words, add_special_tokens=False)]
-            yield {"word": batch.column(0), "n": batch.column(1), "ids": ids}
-
-    return cut(map_arrow_all(word_counts(docs, vocabulary), run, "word string, n long, ids binary"))
-
-
 def _encoder(vocabulary: str) -> Tokenizer:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     encoder = Tokenizer.from_str(vocabulary)
@@ -114,89 +85,159 @@ def _encoder(vocabulary: str) -> Tokenizer:
     return encoder
 
 
-class HotWords:
-    """The ids of the most frequent words: three flat values to broadcast, a dictionary built once in a worker.
+def _pack(x: np.ndarray) -> bytes:
+    """Numbers below 2**32 by zstandard: a byte for each small one, and planes of bytes, almost all zeros, for the others."""
+    small = np.minimum(x, _SMALL).astype(np.uint8)
+    rest = (x[small == _SMALL] - _SMALL).astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zstandard.ZstdCompressor(level=9).compress(len(x).to_bytes(8, "little") + small.tobytes() + rest.tobytes())
 
-    No word holds a line feed, which ends every word of the tokenizer.
-    """
 
-    def __init__(self, words: list[str], ids: list[bytes]):
-        self.words, self.ids, self.sizes = "\n".join(words), b"".join(ids), np.array([len(x) for x in ids], np.int64)
-        self._table: dict[str, bytes] | None = None
+def _unpack(data: bytes) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(raw[:8], "little")
+    small = np.frombuffer(raw, np.uint8, n, 8)
+    out = small.astype(np.uint32)
+    out[small == _SMALL] += np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=8 + n).reshape(4, -1).T).view("<u4").reshape(-1)
+    return out
 
-    def table(self) -> dict[str, bytes]:
-        if self._table is None:
-            stop = np.cumsum(self.sizes)
-            spans = zip((stop - self.sizes).tolist(), stop.tolist(), strict=True)
-            self._table = dict(zip(self.words.split("\n"), (self.ids[a:b] for a, b in spans), strict=True)) if len(self.sizes) else {}
-        return self._table
 
+_SMALL = 240
 
-#: Tokens in a batch of results, about.
-_TOKENS = 200_000
 
+def _pack_words(words: list[str]) -> bytes:
+    """No word holds a line feed, which ends every word of the tokenizer."""
+    return zstandard.ZstdCompressor(level=9).compress("\n".join(words).encode())
 
-def encoded(docs: DataFrame, path: str, finish, schema: str, hot_words: int = HOT_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``finish(ids, id_text, pieces)`` makes a dictionary of result columns from the ids of each text."""
-    spark = docs.sparkSession
-    with open(path, encoding="utf-8") as f:  # the driver's own file: the path is a parameter
-        vocabulary = spark.sparkContext.broadcast(f.read())  # the tokenizer's file
-    table = word_table(docs, vocabulary)
-    hot, least = most_frequent(table, hot_words)
-    rows = hot.select("word", "ids").toArrow()
-    shared = spark.sparkContext.broadcast(HotWords(rows.column("word").to_pylist(), rows.column("ids").to_pylist()))  # hot_words words at most
-    encoder = _encoder(vocabulary.value)
-    pieces = spark.sparkContext.broadcast([encoder.id_to_token(i) or "" for i in range(encoder.get_vocab_size(with_added_tokens=True))])
-    named = docs.select(*dict.fromkeys(("doc_id", *keep)), "text", F.xxhash64("doc_id", "text").alias("row"))
 
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        known, split = shared.value.table(), Splitter(_encoder(vocabulary.value))
+def _unpack_words(data: bytes) -> list[str]:
+    return zstandard.ZstdDecompressor().decompress(data).decode().split("\n")
+
+
+def chunks(docs: DataFrame, vocabulary: Broadcast, keep: tuple[str, ...], size: int) -> DataFrame:
+    """(chunk, rows, sizes, words, n_words, places): runs of texts; ``rows`` has the columns ``keep`` of each text, ``sizes`` its words."""
+    own = docs.select(*keep, "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        split, number = Splitter(_encoder(vocabulary.value)), TaskContext.get().partitionId() << 32
+        place, rows, sizes, places = defaultdict(count().__next__), [], [], []
+
+        def row() -> dict:
+            at = np.concatenate(places)
+            often = np.argsort(-np.bincount(at, minlength=len(place)), kind="stable")  # frequent words get small numbers
+            rank = np.empty(len(often), np.uint32)
+            rank[often] = np.arange(len(often))
+            known = list(place)
+            words = [known[i] for i in often.tolist()]
+            return {"chunk": [number], "rows": pa.array([[x for part in rows for x in part.to_pylist()]]), "sizes": [sizes], "words": [_pack_words(words)], "n_words": [len(words)], "places": [_pack(rank[at])]}
+
+        total = 0
         for batch in batches:
-            out = {"row": [], "pos": [], "word": []}
-            for row, text in zip(batch.column(0).to_pylist(), _texts(batch, 1), strict=True):
+            begin = 0
+            for i, text in enumerate(_texts(batch, len(keep)), 1):
                 words = split(text)
-                if others := set(words).difference(known):
-                    for pos, word in [x for x in enumerate(words) if x[1] in others]:
-                        out["row"].append(row)
-                        out["pos"].append(pos)
-                        out["word"].append(word)
+                places.append(np.fromiter(map(place.__getitem__, words), np.uint32, len(words)))
+                sizes.append(len(words))
+                total += len(words)
+                if total >= size or i == len(batch):
+                    part = batch.slice(begin, i - begin)
+                    rows.append(pa.StructArray.from_arrays([part.column(k) for k in range(len(keep))], names=list(keep)))
+                    begin = i
+                if total >= size:
+                    yield row()
+                    number, total = number + 1, 0
+                    place, rows, sizes, places = defaultdict(count().__next__), [], [], []
+        if sizes:
+            yield row()
+
+    kinds = ", ".join(f"`{n}`: {t}" for n, t in own.dtypes if n != "text")
+    return cut(map_arrow_all(own, run, f"chunk long, rows array<struct<{kinds}>>, sizes array<int>, words binary, n_words long, places binary"), **BIG_ROWS)
+
+
+def word_ids(table: DataFrame, vocabulary: Broadcast) -> DataFrame:
+    """(chunk, at, many, ids): for words of a chunk, by their place ``at`` in its table, how many ids each has and these."""
+    spark = table.sparkSession
+    parts = parts_for(spark, table.agg(F.sum("n_words")).head()[0] or 0, TASK_WORDS)
+    blocks = 2 * parts
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                words = _unpack_words(packed)
+                (_, data, offs), *_ = bs.slices(pa.array(words), 1 << 62)
+                block = (bs.span_hash(data, offs[:-1], offs[1:]) % np.uint64(blocks)).astype(np.int64)
+                order = np.argsort(block, kind="stable")
+                bound = np.flatnonzero(np.append(True, np.diff(block[order]) > 0))  # only blocks that the chunk has words of
+                parts_ = np.split(order, bound[1:])
+                yield {
+                    "block": block[order[bound]], "chunk": np.full(len(bound), chunk), "at": [_pack(np.diff(x, prepend=0)) for x in parts_],  # ascending
+                    "words": [_pack_words([words[i] for i in x.tolist()]) for x in parts_],
+                }
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        encoder = _encoder(vocabulary.value)
+        kind = _id_type(encoder)
+        known: dict[str, bytes] = {}
+        for batch in batches:
+            out = {"chunk": batch.column(0), "at": batch.column(1), "many": [], "ids": []}
+            for packed in batch.column(2).to_pylist():
+                words = _unpack_words(packed)
+                new = [w for w in words if w not in known]
+                known.update((w, np.array(x.ids, kind).tobytes()) for w, x in zip(new, encoder.encode_batch(new, add_special_tokens=False), strict=True))
+                ids = [known[w] for w in words]
+                out["many"].append(_pack(np.fromiter(map(len, ids), np.uint32, len(ids)) // kind.itemsize))
+                out["ids"].append(zstandard.ZstdCompressor(level=9).compress(b"".join(ids)))
             yield out
 
-    asked = map_arrow_all(named.select("row", "text"), rare, "row long, pos int, word string")
-    found = asked.join(table.where(F.col("n") < least).select("word", "ids"), "word").select("row", "pos", "ids")
-    found = found.groupBy("row").agg(F.collect_list(F.struct("pos", "ids")).alias("rare"))
+    asked = map_arrow_all(table.where("n_words > 0").select("chunk", "words"), ask, "block long, chunk long, at binary, words binary")
+    return map_arrow_all(asked.repartition(parts, "block").select("chunk", "at", "words"), encode, "chunk long, at binary, many binary, ids binary")
 
-    at = named.columns.index("text")
 
-    def packed(batch: pa.RecordBatch) -> Iterator[dict]:
-        press = zstandard.ZstdCompressor(level=3)
-        yield {name: batch.column(k) for k, name in enumerate(batch.schema.names) if k != at} | {"blob": [press.compress(x.encode()) for x in _texts(batch, at)]}
+def _id_type(encoder: Tokenizer) -> np.dtype:
+    return np.dtype(np.uint16 if encoder.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.uint32)
 
-    kept = [x for x in named.columns if x != "text"]
-    slim = map_arrow(named, packed, ", ".join(f"`{n}` {t}" for n, t in named.dtypes if n != "text") + ", blob binary")
-    both = slim.join(found.hint("shuffle_hash"), "row", "left").select(*kept, "blob", "rare")
-    b = both.columns.index("blob")
+
+#: Ids in a batch of results, about.
+_IDS = 200_000
+
+
+def encoded(docs: DataFrame, path: str, finish: Callable[[list[int], list[str], list[str]], dict], schema: str, chunk: int = CHUNK, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``finish(ids, id_text, pieces)`` makes a dictionary of result columns from the ids of each text; columns ``keep`` stay."""
+    spark = docs.sparkSession
+    with open(path, encoding="utf-8") as f:  # the driver's own file: the path is a parameter
+        vocabulary = spark.sparkContext.broadcast(f.read())  # the tokenizer's file
+    encoder = _encoder(vocabulary.value)
+    kind = _id_type(encoder)
+    pieces = spark.sparkContext.broadcast([encoder.id_to_token(i) or "" for i in range(encoder.get_vocab_size(with_added_tokens=True))])
+    keep = tuple(dict.fromkeys(("doc_id", *keep)))
+    table = chunks(docs, vocabulary, keep, chunk)
+    found = word_ids(table, vocabulary).groupBy("chunk").agg(F.collect_list(F.struct("at", "many", "ids")).alias("found"))
+    both = table.join(found.hint("shuffle_hash"), "chunk", "left").select("rows", "sizes", "places", "found")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        ids_of = shared.value.table()
-        piece, split = pieces.value, Splitter(_encoder(vocabulary.value))
+        piece = pieces.value
         number = [str(i) for i in range(len(piece))]
-        unpress = zstandard.ZstdDecompressor()
         for batch in batches:
-            out: list[dict] = []
-            tokens, at = 0, 0
-            for i, (blob, others) in enumerate(zip(batch.column(b), batch.column(b + 1), strict=True), 1):
-                words = split(unpress.decompress(blob.as_py()).decode())
-                parts = list(map(ids_of.get, words))
-                for x in others.as_py() or ():
-                    parts[x["pos"]] = x["ids"]
-                ids = np.frombuffer(b"".join(parts), np.uint16).tolist()
-                out.append(finish(ids, number, piece))
-                tokens += len(ids)
-                if tokens > _TOKENS or i == len(batch):
-                    own = {k: batch.column(j).slice(at, i - at) for j, k in enumerate(batch.schema.names) if k in ("doc_id", *keep)}
-                    yield own | {k: [x[k] for x in out] for k in out[0]}
-                    out, tokens, at = [], 0, i
+            for k in range(len(batch)):
+                rows, sizes = batch.column(0)[k].values, np.array(batch.column(1)[k].as_py(), np.int64)
+                answers = batch.column(3)[k].as_py() or []
+                joined = lambda f, name: np.concatenate([np.zeros(0, np.int64), *(f(x[name]) for x in answers)])  # noqa: E731, B023
+                at, many = joined(lambda x: np.cumsum(_unpack(x), dtype=np.int64), "at").astype(np.int64), joined(_unpack, "many").astype(np.int64)
+                flat = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x["ids"]) for x in answers), kind)
+                first, length = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+                first[at], length[at] = np.cumsum(many) - many, many
+                places = _unpack(batch.column(2)[k].as_py())
+                bound = np.append(0, np.cumsum(sizes))
+                begin = 0
+                while begin < len(sizes):  # whole texts of some _IDS words
+                    end = max(begin + 1, int(np.searchsorted(bound, bound[begin] + _IDS, "right")) - 1)
+                    word = places[bound[begin] : bound[end]]
+                    stop = np.cumsum(length[word])
+                    ids = flat[np.repeat(first[word] - (stop - length[word]), length[word]) + np.arange(stop[-1] if len(stop) else 0)].tolist()
+                    edge = np.append(0, stop)[bound[begin : end + 1] - bound[begin]].tolist()
+                    out = [finish(ids[a:b], number, piece) for a, b in zip(edge[:-1], edge[1:], strict=True)]
+                    part = rows.slice(begin, end - begin)
+                    yield {name: part.field(name) for name in keep} | {name: [x[name] for x in out] for name in out[0]}
+                    begin = end
 
     return map_arrow_all(both, run, schema)
 
@@ -209,11 +250,11 @@ def text_digest(ids: list[int], number: list[str], piece: list[str]) -> dict:
     }
 
 
-def digest(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
+def digest(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """op9: (doc_id, n_tokens, ids_sha256, decoded_sha256) of every document."""
-    return encoded(docs, path, text_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", hot_words)
+    return encoded(docs, path, text_digest, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", chunk)
 
 
-def encode(docs: DataFrame, path: str, hot_words: int = HOT_WORDS) -> DataFrame:
+def encode(docs: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
     """(doc_id, ids, decoded): the ids themselves and the decoded text."""
-    return encoded(docs, path, lambda ids, _, piece: {"ids": ids, "decoded": " ".join([piece[i] for i in ids])}, "doc_id long, ids array<int>, decoded string", hot_words)
+    return encoded(docs, path, lambda ids, _, piece: {"ids": ids, "decoded": " ".join([piece[i] for i in ids])}, "doc_id long, ids array<int>, decoded string", chunk)
