@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import math
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -15,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rondo.sources.shared import shared_folder
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -25,35 +25,19 @@ def fold(doc_id: str | Column, modulus: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % modulus
 
 
-def _checkpoint_dir(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "rondo-checkpoint")
-        sc.setCheckpointDir(folder)
-
-
 def cut(df: DataFrame, **options: str) -> DataFrame:
     """Cuts the lineage by a table of Parquet files in the folder that ``spark.checkpoint.dir`` names; ``options`` are the writer's.
 
     Every executor reads it, so a lost one costs its running tasks only; its size is known to the planner.
-    Where the setting is unset (tests, a notebook), a folder of this machine is used, which fits local mode only.
     """
     spark = df.sparkSession
-    _checkpoint_dir(spark)
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def most_frequent(table: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """The rows counted ``least`` times or more: the smallest power of two for which they fit ``most``."""
-    sizes = {r["level"]: r["words"] for r in table.groupBy(F.floor(F.log2("n")).cast("int").alias("level")).agg(F.count("*").alias("words")).collect()}
-    level = max(sizes, default=0) + 1
-    total = 0
-    while level > 0 and total + sizes.get(level - 1, 0) <= most:
-        level -= 1
-        total += sizes.get(level, 0)
-    return table.where(F.col("n") >= (1 << level)), 1 << level
+#: Writer's options for rows of megabytes: it looks at its sizes after each.
+BIG_ROWS = {"parquet.block.size": str(1 << 25), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

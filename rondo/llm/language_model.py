@@ -28,15 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rondo.llm import bytescan as bs
-from rondo.llm.common import cut, fold, map_arrow_all, parts_for, small_batches
+from rondo.llm.common import BIG_ROWS, cut, fold, map_arrow_all, parts_for, small_batches
 
 BITS_PER_ITEM = 8
 PROBES = 4
 MU = 1000.0
 CHUNK = 1 << 20
 BLOCK = 1 << 20
-#: Chunks are rows of megabytes: the writer looks at its sizes after each.
-_BIG_ROWS = {"parquet.block.size": str(1 << 25), "parquet.block.size.row.check.min": "1", "parquet.page.size.row.check.min": "1"}
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6B27D4EB4F)
 _ONE, _LEVEL = np.uint64(0x2545F4914F6CDD1D), 0xA0761D6478BD642F
 
@@ -146,7 +144,7 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
         }
 
     schema = "chunk long, ids array<long>, held array<boolean>, sizes array<long>, words binary, places binary, n_tokens long"
-    return cut(map_arrow_all(docs, run, schema), **_BIG_ROWS)
+    return cut(map_arrow_all(docs, run, schema), **BIG_ROWS)
 
 
 def answers(table: DataFrame, blocks: int) -> DataFrame:
@@ -162,12 +160,13 @@ def answers(table: DataFrame, blocks: int) -> DataFrame:
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 trained = ~np.array(held, bool)[doc]
                 pair, back = np.unique(pairs(words[places], doc)[1], return_inverse=True)
-                out = {"block": np.arange(blocks), "chunk": np.full(blocks, chunk)}
-                for name, key, at in (("word", single(words), places), ("pair", pair, back)):
+                keys = {"word": (single(words), places), "pair": (pair, back)}  # sorted, so that a block's are in a row
+                own = np.unique(np.concatenate([block_of(key, blocks) for key, _ in keys.values()]))  # the blocks that the chunk needs
+                out = {"block": own, "chunk": np.full(len(own), chunk)}
+                for name, (key, at) in keys.items():
                     n = np.bincount(at[trained], minlength=len(key)).astype(np.uint32)
-                    bound = np.searchsorted(block_of(key, blocks), np.arange(blocks + 1))  # keys are sorted
-                    cuts = list(zip(bound[:-1], bound[1:], strict=True))
-                    out |= {f"{name}s": [key[a:b].tobytes() for a, b in cuts], f"{name}_n": [n[a:b].tobytes() for a, b in cuts]}
+                    cuts = [np.searchsorted(block_of(key, blocks), own, side) for side in ("left", "right")]
+                    out |= {f"{name}s": [key[a:b].tobytes() for a, b in zip(*cuts, strict=True)], f"{name}_n": [n[a:b].tobytes() for a, b in zip(*cuts, strict=True)]}
                 yield out
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -187,7 +186,7 @@ def answers(table: DataFrame, blocks: int) -> DataFrame:
             yield {"chunk": chunk, "block": [block] * len(parts), "one": dealt(total[at], words), "two": dealt(level, both), "n": first * total.sum(), "v": first * (total > 0).sum()}
 
     sent = map_arrow_all(table.select("chunk", "held", "sizes", "words", "places"), count, "block int, chunk long, words binary, word_n binary, pairs binary, pair_n binary")
-    sent = sent.where((F.length("words") > 0) | (F.length("pairs") > 0)).repartition(blocks, "block")
+    sent = sent.repartition(blocks, "block")
     spark = table.sparkSession
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     small_batches(spark, 16)
