@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rondo.llm import bytescan as bs
 from rondo.llm.common import Counter64, KeyFilter, cut, map_arrow, map_arrow_all
@@ -107,23 +108,25 @@ def _may_reach(pairs: DataFrame, bitmaps: DataFrame, percent: Column | int) -> D
 
 
 def scanned(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, node, bits) of every document; (key, seen) of the shingles that a task meets twice or more, in parts."""
+    """(doc_id, text_key, n, node, bits) of every document; (key, seen) of the shingles that a task meets twice or more, in parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         met = Counter64(least=2)
 
         def rows(many: int, **columns) -> dict:
-            return {k: columns.get(k, pa.nulls(many)) for k in ("doc_id", "n", "node", "bits", "key", "seen")}
+            return {k: columns.get(k, pa.nulls(many)) for k in ("doc_id", "text_key", "n", "node", "bits", "key", "seen")}
 
-        for batch, at, sets in _texts(batches, 1):
-            yield rows(len(at), doc_id=batch.column(0).slice(at.start, len(at)), n=[len(x) for x in sets], node=[signature(x) for x in sets], bits=[_bitmap(x) for x in sets])
+        for batch, at, sets in _texts(batches, 2):
+            doc_id, text_key = (batch.column(k).slice(at.start, len(at)) for k in (0, 1))
+            yield rows(len(at), doc_id=doc_id, text_key=text_key, n=[len(x) for x in sets], node=[signature(x) for x in sets], bits=[_bitmap(x) for x in sets])
             for x in met.add(np.concatenate(sets)):
                 yield rows(len(x["n"]), key=x["key"], seen=x["n"])
         for x in met.flush():
             yield rows(len(x["n"]), key=x["key"], seen=x["n"])
 
-    both = cut(map_arrow_all(docs.select("doc_id", "text"), run, "doc_id long, n long, node long, bits array<long>, key long, seen long"))
-    return both.where("node IS NOT NULL").select("doc_id", "n", "node", "bits"), both.where("key IS NOT NULL").select("key", "seen")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_key"), "text")
+    both = cut(map_arrow_all(rows, run, "doc_id long, text_key long, n long, node long, bits array<long>, key long, seen long"))
+    return both.where("node IS NOT NULL").select("doc_id", "text_key", "n", "node", "bits"), both.where("key IS NOT NULL").select("key", "seen")
 
 
 class Order:
@@ -203,9 +206,9 @@ def postings(docs: DataFrame, order: Order) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """(node, own): the packed shingles of the nodes asked for."""
+    """(node, own): the packed shingles of the nodes asked for; ``nodes`` has one document of each."""
     spark = docs.sparkSession
-    one = cut(nodes.join(asked.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("doc_id")).select("node", F.xxhash64("doc_id").alias("key")))
+    one = cut(nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", F.xxhash64("doc_id").alias("key")))
     passes = spark.sparkContext.broadcast(KeyFilter.of(one, "key", one.count()))
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
@@ -300,22 +303,22 @@ def _prefix_join(left: DataFrame) -> DataFrame:
     return side(left.where("9 * pos <= n"), "x").join(side(left, "y"), "token").where(ordered & _sizes_fit(F.col("x_n"), F.col("y_n")) & _place_fits())
 
 
-def similar(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every document; see the module's text."""
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_key, n, component) of every document, n its shingles; see the module's text."""
     nodes, counted = scanned(docs)
-    bitmaps = cut(nodes.dropDuplicates(["node"]).select("node", "n", "bits"))
+    bitmaps = cut(nodes.dropDuplicates(["node"]))  # one document of each node
     nodes = nodes.drop("bits")
     post = postings(docs, frequency_order(counted))
     # 2. stars, in every bucket, then by other centres in those of several components
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / PERCENT))).cast("int")
     rank = F.col("rare") * F.lit(1 << 40) + F.pmod("node", F.lit(1 << 40))
     met = _stars(post.withColumn("band", band), rank, "band").where("x_node != y_node")
-    checked = verified(docs, nodes, cut(_may_reach(_pair(met), bitmaps, PERCENT)))
+    checked = verified(docs, bitmaps, cut(_may_reach(_pair(met), bitmaps, PERCENT)))
     links = checked.where(_LINKED).select("a", "b")
     comp = components(links)
     left = cut(_several(post, comp))
     met = _stars(left.where(F.col("many") > HOT), F.xxhash64("token", "node")).where("x_component != y_component")
-    again = verified(docs, nodes, cut(_may_reach(_unchecked(_pair(met), checked), bitmaps, PERCENT)))
+    again = verified(docs, bitmaps, cut(_may_reach(_unchecked(_pair(met), checked), bitmaps, PERCENT)))
     checked = checked.unionByName(again)
     links = cut(links.unionByName(again.where(_LINKED).select("a", "b")))
     comp = components(links)
@@ -324,21 +327,32 @@ def similar(docs: DataFrame) -> DataFrame:
     cold = _may_reach(_pair(_prefix_join(left.where(F.col("many") <= HOT))), bitmaps, PERCENT)
     hot = cut(left.where(F.col("many") > HOT).join(bitmaps.select("node", "bits"), "node"))
     pairs = cold.unionByName(_pair(_prefix_join(hot).where(_bits_fit()))).distinct()
-    last = verified(docs, nodes, cut(_unchecked(pairs, checked)))
+    last = verified(docs, bitmaps, cut(_unchecked(pairs, checked)))
     more = cut(last.where(_LINKED).select("a", "b"))
     if not more.isEmpty():
         comp = components(links.unionByName(more))
-    named_doc = nodes.join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    return nodes.join(comp, "node", "left").select("doc_id", "text_key", "n", F.coalesce("component", "node").alias("component"))
+
+
+def similar(docs: DataFrame) -> DataFrame:
+    """op8: (doc_id, n_shingles, component_id) of every document."""
+    rows = grouped(docs)
     # written out, so that the join below is one of two plain shuffles, of which Spark splits a hot component
-    least = cut(named_doc.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))
-    out = named_doc.join(least, "component", "left")
+    least = cut(rows.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id")))
+    out = rows.join(least, "component", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One document of each component stays: the one whose id names it. Null ids stay."""
-    keep = similar(docs).where("doc_id = component_id").select("doc_id").distinct().hint("shuffle_hash")
-    return docs.join(keep, "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
+    """One row of each component stays, of least id, rows without an id last, then by text; of equal rows one. Rows without words all stay."""
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_key").alias("key"))
+    first = grouped(docs).where("n > 0").groupBy("component").agg(F.min(order).alias("first")).select("first.*")
+    names = {"no_id": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "key": F.xxhash64("text")}
+    rows = docs.withColumns({f"_{k}": v for k, v in names.items()})
+    met = rows.join(first.select(*[F.col(k).alias(f"_{k}") for k in names]).hint("shuffle_hash"), [f"_{k}" for k in names])
+    one = met.withColumn("_place", F.row_number().over(Window.partitionBy(*[f"_{k}" for k in names]).orderBy(F.lit(0)))).where("_place = 1")
+    wordless = docs.where(F.col("text").isNull() | ~F.col("text").rlike("[^\\x20\\x09-\\x0D]"))
+    return one.select(*docs.columns).unionByName(wordless)
 
 
 ORACLE = r"""
