@@ -1,14 +1,16 @@
 """Sharding by sampled splitters under the ``bytes`` law, in DataFrame operations only.
 
 Records are ordered by a key: the md5 of the text, then the md5 of the id and the id. Size-weighted samples
-of the key give quantile boundaries; records are range-partitioned by them, and a range that comes out overfull is
-subdivided in equal parts of its key interval. A running sum of sizes inside the ranges, and of the ranges'
-sums, gives every record its byte offset in that order; the shard is the eighth of all bytes in which its
-offset lies, the slot its place in the shard.
+of the key, as many as MAX_RANGES ranges ask for at most, give quantile boundaries; records are range-partitioned by
+them, and a range that comes out overfull is subdivided in equal parts of its key interval, of which a larger input
+has more. Running sums of sizes inside the parts, of the parts' sums inside a range, and of the ranges' sums give
+every record its byte offset in that order; the shard is the eighth of all bytes in which its offset lies, the slot
+its place in the shard.
 
 Copies of a text have equal keys, so they are neighbours. A group of up to a hundredth of a shard stays in the
 shard where it begins; a larger one (there are at most 100 per shard) may be cut, so a hot text doesn't
-unbalance the shards. The result depends on the order only, not on the sample.
+unbalance the shards. A group of many rows, large or not, is dealt to several parts by the id, so no task holds it whole. The
+result depends on the order only, not on the sample.
 
 Defined cases: a null text has the size 1, crc32 0 and groups with the empty text; a null id sorts as an
 empty string; repeated rows get a slot each; an empty table gives no rows; other columns are not returned.
@@ -30,6 +32,9 @@ SHARDS = 8
 WHOLE = 100
 ROWS_PER_RANGE = 100_000
 SAMPLES_PER_RANGE = 20
+MAX_RANGES = 2048
+#: A group of more rows than this share of all has ranges of its own.
+HOT_SHARE = 1 << 14
 _BUCKET_BITS = 12
 _KEY_BITS = 60
 
@@ -46,15 +51,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def _ranges(rows: DataFrame, n: int, total: int) -> DataFrame:
-    """Adds ``range``: the number of the sampled range that holds (key, tie)."""
+def _ranges(rows: DataFrame, n: int, total: int, hot: list[int]) -> DataFrame:
+    """Adds ``range``: the number of the sampled range that holds (key, tie); each ``hot`` key is apart from others."""
     spark = rows.sparkSession
-    wanted = max(32, -(-n // ROWS_PER_RANGE))
+    wanted = min(MAX_RANGES, max(32, -(-n // ROWS_PER_RANGE)))
     draw = F.pmod(F.xxhash64("own", "key", F.lit("draw")), F.lit(1 << 53)) / float(1 << 53)
     sample = rows.where(draw < F.col("size") * (wanted * SAMPLES_PER_RANGE / max(1, total))).select("key", "tie")
-    # about SAMPLES_PER_RANGE rows a range
+    # about SAMPLES_PER_RANGE rows a range, of MAX_RANGES ranges at most
     drawn = sorted((r["key"], r["tie"]) for r in sample.collect())
-    splits = sorted({drawn[len(drawn) * k // wanted] for k in range(1, wanted)}) if drawn else []
+    splits = {drawn[len(drawn) * k // wanted] for k in range(1, wanted)} if drawn else set()
+    splits = sorted(splits.union((k + end, 0) for k in hot for end in (0, 1)))
     width = 1 << (_KEY_BITS - _BUCKET_BITS)
     keys = [k for k, _ in splits]
     buckets = [(b, bisect_left(keys, b * width), [(k, t) for k, t in splits[bisect_left(keys, b * width) : bisect_right(keys, (b + 1) * width - 1)]]) for b in range(1 << _BUCKET_BITS)]
@@ -70,9 +76,12 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = cut(keyed(docs))
     n, total = rows.agg(F.count("*"), F.sum("size")).head()
     total = total or 0
-    large = rows.groupBy("key").agg(F.sum("size").alias("bytes")).where(F.col("bytes") * shards * WHOLE > total).select("key", F.lit(True).alias("large"))
-    rows = rows.join(F.broadcast(large), "key", "left").withColumn("tie", F.when(F.col("large"), F.col("own")).otherwise(F.lit(0)))  # at most shards * WHOLE keys
-    rows = _ranges(rows, n, total)
+    # by bytes a group is cut over shards; by rows it is dealt to several parts, in ranges of its own
+    large, many = F.col("bytes") * shards * WHOLE > total, F.col("rows") > max(ROWS_PER_RANGE, n // HOT_SHARE)
+    hot = rows.groupBy("key").agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).where(large | many).select("key", large.alias("large")).collect()
+    table = rows.sparkSession.createDataFrame([tuple(x) for x in hot], "key long, large boolean")  # shards * WHOLE and HOT_SHARE rows at most
+    rows = rows.join(F.broadcast(table), "key", "left").withColumn("tie", F.when(F.col("large").isNotNull(), F.col("own")).otherwise(F.lit(0)))
+    rows = _ranges(rows, n, total, [x["key"] for x in hot])
     # overfull ranges are cut into equal parts of their interval of keys (of ties, where the key is one)
     full = rows.groupBy("range").agg(F.count("*").alias("rows"), F.min("key").alias("k0"), F.max("key").alias("k1"), F.min("tie").alias("t0"), F.max("tie").alias("t1"))
     full = full.withColumn("parts", F.ceil(F.col("rows") / (2 * ROWS_PER_RANGE)))
@@ -80,15 +89,23 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     rows = rows.join(F.broadcast(full), "range").withColumn("part", F.least(F.floor(at * F.col("parts")), F.col("parts") - 1)).drop("rows", "k0", "k1", "t0", "t1", "parts")
     rows = cut(rows)
     cells = rows.groupBy("range", "part").agg(F.count("*").alias("cell_rows"), F.sum("size").alias("cell_bytes"))
-    before = Window.orderBy("range", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
-    cells = cells.select("range", "part", F.coalesce(F.sum("cell_rows").over(before), F.lit(0)).alias("row0"), F.coalesce(F.sum("cell_bytes").over(before), F.lit(0)).alias("byte0"))
+    # two levels of running sums: over the ranges, one row each, and over the parts of a range
+    sums = cells.groupBy("range").agg(F.sum("cell_rows").alias("rows"), F.sum("cell_bytes").alias("bytes"))
+    upto = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("range", upto("rows", Window.orderBy("range")).alias("rows"), upto("bytes", Window.orderBy("range")).alias("bytes"))
+    own = Window.partitionBy("range").orderBy("part")
+    cells = cells.join(F.broadcast(sums), "range").select("range", "part", (F.col("rows") + upto("cell_rows", own)).alias("row0"), (F.col("bytes") + upto("cell_bytes", own)).alias("byte0"))
     inside = Window.partitionBy("range", "part").orderBy("key", "own", "doc_id")
-    rows = rows.join(F.broadcast(cells), ["range", "part"])
+    rows = rows.join(cells, ["range", "part"])
     rows = rows.withColumn("place", F.col("row0") + F.row_number().over(inside) - 1).withColumn("start", F.col("byte0") + F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     rows = rows.withColumn("first", F.min("start").over(Window.partitionBy("range", "part", "key", "tie")))
-    whole = F.when(F.col("large"), F.col("start")).otherwise(F.col("first"))
+    rows = cut(rows.select("doc_id", "size", "text_crc32", "key", "large", "place", "start", "first"))
+    # where a group that is not cut over shards lies in several parts, its first start is that of all of them
+    begin = rows.where("NOT large").groupBy("key").agg(F.min("start").alias("begin"))
+    rows = rows.join(F.broadcast(begin), "key", "left")  # HOT_SHARE rows at most
+    whole = F.when(F.col("large"), F.col("start")).otherwise(F.coalesce("begin", "first"))
     rows = rows.withColumn("shard", F.least(F.floor(whole * shards / F.lit(max(1, total))), F.lit(shards - 1)).cast("int"))
-    rows = cut(rows.select("doc_id", "size", "text_crc32", "shard", "place"))
+    rows = rows.select("doc_id", "size", "text_crc32", "shard", "place")
     firsts = rows.groupBy("shard").agg(F.min("place").alias("place0"))
     return rows.join(F.broadcast(firsts), "shard").select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("place") - F.col("place0")).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
