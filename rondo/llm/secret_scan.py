@@ -4,7 +4,7 @@ Candidates are found by pattern: the three base kinds (an assigned value, an acc
 a fourth, ``opaque``: a run of 20 or more characters of ``[A-Za-z0-9+/_-]`` with lower case, upper case and
 digits, as keys and tokens are written. The hash of each candidate value is aggregated over the corpus by
 distinct repositories (here a source and language) and owners (a source). A value that more than MAX_OWNERS
-owners have is a widely copied example; any other is owner-specific and looks live. Base matches are always
+owners or more than MAX_REPOSITORIES repositories have is a widely copied example; any other is owner-specific and looks live. Base matches are always
 reported; opaque ones only if they look live, as added spans.
 
 Positions come from the pieces between the matches: their lengths, summed in a window over the matches of one
@@ -23,6 +23,7 @@ from pyspark.sql.window import Window
 from rondo.llm.common import cut
 
 MAX_OWNERS = 3
+MAX_REPOSITORIES = 6
 #: Fixed patterns of the contract; letters of the key words in either case.
 _WORDS = "|".join(["password", "passwd", "secret", "token", "api_?key"])
 _ANY_CASE = "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in _WORDS)
@@ -74,7 +75,7 @@ def ownership(rows: DataFrame) -> DataFrame:
     return once.groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
 
 
-def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = ("source", "lang"), max_owners: int = MAX_OWNERS, max_repositories: int = MAX_REPOSITORIES) -> DataFrame:
     """op6: one row a document: counts and digest of the base spans, all spans, live and example counts."""
     found = F.filter(F.concat(*[F.coalesce(_found(k, p), F.array().cast(_TYPE)) for k, p in enumerate(KINDS.values())]), lambda x: x["kind"] >= 0)
     text = docs.select(
@@ -83,7 +84,7 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
     )
     slim = cut(text.select("doc_id", F.xxhash64("text").alias("tk"), "owner", "repository", found.alias("found")))
     rows = candidates(slim.where(F.size("found") > 0))
-    rows = rows.join(ownership(rows), "value").withColumn("live", F.col("owners") <= max_owners)
+    rows = rows.join(ownership(rows), "value").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
     rows = rows.where((F.col("kind") < 3) | F.col("live"))
     spans = F.array_sort(F.collect_list(F.struct("start", "kind", "end")))
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -116,7 +117,7 @@ def _sql(kind: int, name: str, pattern: str) -> str:
 
 ORACLE = (
     "WITH f AS (SELECT * FROM (" + " UNION ALL ".join(_sql(k, name, p) for k, (name, p) in enumerate(KINDS.items())) + ") WHERE fits)"
-    + f""", o AS (SELECT v, count(DISTINCT coalesce(source, '')) <= {MAX_OWNERS} AS live FROM f GROUP BY v),
+    + f""", o AS (SELECT v, count(DISTINCT coalesce(source, '')) <= {MAX_OWNERS} AND count(DISTINCT coalesce(source, '') || '/' || coalesce(lang, '')) <= {MAX_REPOSITORIES} AS live FROM f GROUP BY v),
 r AS (SELECT f.*, live, name || ':' || (stop - size)::BIGINT || ':' || stop::BIGINT AS said FROM f JOIN o USING (v) WHERE kind < 3 OR live),
 g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
   string_agg(said, ',' ORDER BY stop - size, kind) FILTER (kind < 3) AS base, string_agg(said, ',' ORDER BY stop - size, kind) AS spans,
