@@ -1,4 +1,4 @@
-"""Local steps of a softmax regression, one pandas group a client, and rounds of them with any aggregator.
+"""Local steps of a softmax regression by sums of gradients, and rounds of them with any aggregator.
 
 The weights are a (classes x (features + 1)) matrix, flattened by class, the bias last: bounded by the model.
 """
@@ -6,12 +6,13 @@ The weights are a (classes x (features + 1)) matrix, flattened by class, the bia
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def learning_rate(base: float, round_: int, schedule: str = "constant", rounds: int = 100) -> float:
@@ -29,28 +30,55 @@ def scores(features: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return np.column_stack([features, np.ones(len(features))]) @ weights.T
 
 
-def local_updates(assigned: DataFrame, weights: np.ndarray, rate: float, classes: int = 10, batch: int = 0, round_: int = 0) -> DataFrame:
-    """(round, client_id, role, vec): each client's step from ``weights`` on its rows (or one batch of them).
+def _batch_of(assigned: DataFrame, batch: int, round_: int) -> DataFrame:
+    """The round's rows of each client: ``batch`` of them by id from where the round before ended, around the end of its rows."""
+    own = Window.partitionBy("client_id")
+    rows = assigned.withColumn("place", F.row_number().over(own.orderBy("sample_id")) - 1).withColumn("rows", F.count("*").over(own))
+    return rows.where(F.pmod(F.col("place") - F.lit(round_ * batch), F.col("rows")) < batch).drop("place", "rows")
 
-    ``assigned`` has (client_id, sample_id, label, features); a batch is the round's slice of its rows by id.
-    """
-    shape = weights.shape
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values("sample_id")
-        if batch:
-            start = round_ * batch % len(own)
-            own = own.iloc[[(start + k) % len(own) for k in range(min(batch, len(own)))]]
-        x, y = np.stack(own["features"].to_numpy()), own["label"].to_numpy()
-        z = scores(x, weights)
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        p[np.arange(len(y)), y] -= 1
-        gradient = p.T @ np.column_stack([x, np.ones(len(x))]) / len(x)
-        return pd.DataFrame({"round": [round_], "client_id": [int(own["client_id"].iloc[0])], "role": ["benign"], "vec": [(-rate * gradient).reshape(-1).tolist()]})
+def local_updates(assigned: DataFrame, weights: np.ndarray, rate: float, classes: int = 10, batch: int = 0, round_: int = 0, epochs: int = 1) -> DataFrame:
+    """(round, client_id, role, vec): each client's way from ``weights`` in ``epochs`` steps on its rows (or one batch of them).
 
+    ``assigned`` has (client_id, sample_id, label, features). Every partition sums its gradients by client, and the sums meet by
+    client and coordinate, so no task holds a client's rows. Between epochs the clients' weights, a model each, are at the driver.
+    """
+    shape = weights.shape
     assert shape[0] == classes
-    return assigned.groupBy("client_id").applyInPandas(run, "round int, client_id int, role string, vec array<double>")
+    spark = assigned.sparkSession
+    rows = (_batch_of(assigned, batch, round_) if batch else assigned).select("client_id", "label", "features")
+    own: dict[int, np.ndarray] = {}
+
+    def summed(now: dict[int, np.ndarray]) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total: dict[int, np.ndarray] = {}
+            count: dict[int, int] = {}
+            for frame in frames:
+                for client, part in frame.groupby("client_id"):
+                    x, y = np.stack(part["features"].to_numpy()), part["label"].to_numpy()
+                    z = scores(x, now.get(client, weights))
+                    p = np.exp(z - z.max(1, keepdims=True))
+                    p /= p.sum(1, keepdims=True)
+                    p[np.arange(len(y)), y] -= 1
+                    total[client] = total.get(client, 0) + p.T @ np.column_stack([x, np.ones(len(x))])
+                    count[client] = count.get(client, 0) + len(x)
+            yield pd.DataFrame({"client_id": list(total), "n": [count[c] for c in total], "vec": [total[c].reshape(-1).tolist() for c in total]})
+
+        parts = rows.mapInPandas(run, "client_id int, n long, vec array<double>")
+        cells = parts.select("client_id", "n", F.posexplode("vec").alias("coord", "value"))
+        return cells.groupBy("client_id", "coord").agg((-rate * F.sum("value") / F.sum("n")).alias("value"))
+
+    for _ in range(epochs - 1):
+        moved: dict[int, np.ndarray] = {}
+        for x in summed(own).collect():
+            moved.setdefault(x["client_id"], np.zeros(weights.size))[x["coord"]] = x["value"]
+        own = {c: own.get(c, weights) + v.reshape(shape) for c, v in moved.items()}
+    cells = summed(own)
+    if own:
+        before = [(c, k, float(v)) for c, w in own.items() for k, v in enumerate((w - weights).reshape(-1))]
+        cells = cells.join(spark.createDataFrame(before, "client_id int, coord int, before double"), ["client_id", "coord"]).select("client_id", "coord", (F.col("value") + F.col("before")).alias("value"))
+    wide = cells.groupBy("client_id").agg(F.array_sort(F.collect_list(F.struct("coord", "value"))).alias("cells"))
+    return wide.select(F.lit(round_).alias("round"), "client_id", F.lit("benign").alias("role"), F.transform("cells", lambda x: x["value"]).alias("vec"))
 
 
 def evaluated(samples: DataFrame, weights: np.ndarray) -> DataFrame:

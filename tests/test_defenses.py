@@ -8,6 +8,7 @@ from rondo.operators import layers as L
 from rondo.operators import matrix as X
 from rondo.operators import partitioners as P
 from rondo.operators import perturbations as M
+from rondo.operators import training as R
 
 LAYOUT = [(0, "a", 0, 6, 2, "weight"), (1, "b", 6, 2, 1, "bias"), (2, "c", 8, 8, 2, "weight"), (3, "d", 16, 4, 1, "bias")]
 LAYERS = [(start, size, ndim) for _, _, start, size, ndim, _ in LAYOUT]
@@ -190,3 +191,23 @@ def test_dirichlet_shares(spark):
     samples = spark.createDataFrame([(i, i % 4) for i in range(100)], "sample_id long, label int")
     assert P.split(samples, "dirichlet", shares=P.dirichlet_shares(spark, 4, 5, 0.3)).count() == 100
     assert P.split(samples, "class-imbalanced", clients=5, gamma=0.5).count() < 100
+
+
+@pytest.mark.parametrize(("batch", "epochs"), [(0, 1), (0, 3), (5, 1), (20, 2)])
+def test_local_updates(spark, batch, epochs):
+    r = np.random.default_rng(4)
+    x, y, start = r.normal(size=(40, 3)), r.integers(0, 2, 40), r.normal(size=(2, 4))
+    rows = spark.createDataFrame([(i % 3, i, int(y[i]), x[i].tolist()) for i in range(40)], "client_id int, sample_id long, label int, features array<double>").repartition(4)
+    got = {u.client_id: u.vec for u in R.local_updates(rows, start, 0.5, 2, batch, 2, epochs).collect()}
+    for c in range(3):
+        own = [i for i in range(40) if i % 3 == c]
+        if batch:
+            own = [own[(2 * batch + k) % len(own)] for k in range(min(batch, len(own)))]
+        w = start.copy()
+        for _ in range(epochs):
+            z = np.column_stack([x[own], np.ones(len(own))])
+            p = np.exp(z @ w.T)
+            p /= p.sum(1, keepdims=True)
+            p[np.arange(len(own)), y[own]] -= 1
+            w = w - 0.5 * p.T @ z / len(own)
+        assert np.allclose(got[c], (w - start).reshape(-1))
