@@ -12,8 +12,8 @@ one anchor occurrence form an interval; the bytes they read, ``WIDTH - 1`` more
 3. Each shard builds the suffix array of its contexts in numpy by Larsson-Sadakane refinement (ranks of 8, 16,
    ... bytes, only groups that are still tied are sorted again) and the common prefixes of neighbours by
    Kasai's rule; starts with a common prefix of WIDTH bytes are duplicates.
-4. The first and the last anchor of a shard may go on in the next one. Their distinct strings are merged across
-   shards: sorted runs of fingerprints, each looked up in the others by binary search.
+4. A very common anchor is cut over shards, as may be the first and the last anchor of a partition. The distinct strings
+   of such anchors are merged across shards: sorted runs of 128-bit blake2b digests, looked up by binary search.
 5. The duplicate starts of a document become intervals, joined to its text.
 
 Defined cases: a null text is empty; a text shorter than WIDTH bytes loses nothing; the rows of equal id and
@@ -40,6 +40,8 @@ GRAM = 48
 SHARD_BYTES = 1 << 20
 #: Bytes of contexts in a partition; its shards are built one after the other.
 PARTITION_BYTES = 64 << 20
+#: Bits of a place in a slice, the same for each, so that equal windows have equal anchors everywhere.
+_PLACE_BITS = 31
 
 
 def _window_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -63,7 +65,7 @@ def anchors(data: np.ndarray, offs: np.ndarray, width: int = WIDTH, gram: int =
         none = np.zeros(0, np.int64)
         return none, none.astype(np.uint64), none, none, none
     hashes = all_hashes(data, gram)
-    low = np.uint64(max(20, len(hashes).bit_length()))
+    low = np.uint64(_PLACE_BITS)
     spot = _window_min((hashes >> low << low) | np.arange(len(hashes), dtype=np.uint64), width - gram + 1) & ((np.uint64(1) << low) - np.uint64(1))
     least = hashes[spot]
     doc = np.repeat(np.arange(len(offs) - 1, dtype=np.int32), np.diff(offs))
@@ -189,10 +191,11 @@ def _contexts(rows: DataFrame, width: int, gram: int) -> tuple[DataFrame, int]:
 
 
 def _shard(pieces: pa.Array, width: int) -> dict[str, np.ndarray]:
-    """The starts of one shard's contexts: ``flags`` of the duplicates, and a ``print`` of each string.
+    """The starts of one shard's contexts: ``flags`` of the duplicates, and a digest of the ``strings`` at some of them.
 
-    Equal contexts are one from here on (``of`` tells which), all of whose starts are duplicates. The suffix
-    array holds the different ones that have a string in common by its print; the array then decides.
+    Equal contexts are one from here on (``of`` tells which), all of whose starts are duplicates. A context without
+    a string whose fingerprint recurs in the shard shares none, as equal strings have equal fingerprints; the suffix array
+    holds all others, and it alone decides for them.
     """
     coded = pieces.dictionary_encode()
     of = coded.indices.to_numpy()
@@ -228,7 +231,13 @@ def _shard(pieces: pa.Array, width: int) -> dict[str, np.ndarray]:
         shift = np.zeros(len(starts), np.int64)
         shift[some] = own_end - own - offs[some]
         flags[inside] |= twice[first[inside] + shift[owner[inside]]]
-    return {"of": of, "bound": bound, "flags": flags, "prints": prints}
+
+    def strings(at: np.ndarray) -> np.ndarray:
+        """128 bits of digest, as two numbers, of the string of each start."""
+        raw = data.tobytes()
+        return np.frombuffer(b"".join(hashlib.blake2b(raw[i : i + width], digest_size=16).digest() for i in first[at].tolist()), np.int64).reshape(-1, 2)
+
+    return {"of": of, "bound": bound, "flags": flags, "strings": strings}
 
 
 def duplicates(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -238,9 +247,9 @@ def duplicates(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_byte
     dealt = contexts.repartitionByRange(parts, "anchor", "doc_id", "tk", "start").sortWithinPartitions("anchor")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        """A shard in pieces of bounded size: whole anchors, or parts of a large one."""
+        """A partition's shards, one after the other: whole anchors, or parts of a large one, which stay open to other shards."""
         held: list[pa.RecordBatch] = []
-        size = 0
+        size, open_ = 0, True  # the first anchor may have begun in the partition before
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
@@ -249,13 +258,14 @@ def duplicates(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_byte
                 key = whole.column("anchor").to_numpy()
                 inner = np.flatnonzero(key[1:] != key[:-1]) + 1
                 k = int(inner[-1]) if len(inner) else len(key)
-                yield from piece(whole.slice(0, k))
+                yield from piece(whole.slice(0, k), open_, not len(inner))
+                open_ = not len(inner)
                 held = whole.slice(k).combine_chunks().to_batches() if k < len(key) else []
                 size = sum(b.nbytes for b in held)
         if held:
-            yield from piece(pa.Table.from_batches(held).combine_chunks())
+            yield from piece(pa.Table.from_batches(held).combine_chunks(), open_, True)
 
-    def piece(table: pa.Table) -> Iterator[dict]:
+    def piece(table: pa.Table, first_open: bool, last_open: bool) -> Iterator[dict]:
         if not len(table):
             return
         names = {k: table.column(k).combine_chunks() for k in ("doc_id", "tk", "anchor", "start", "piece")}
@@ -269,29 +279,38 @@ def duplicates(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_byte
         r, s = row[flag], start[row[flag]] + place[flag]
         if len(r):
             head = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (s[1:] != s[:-1] + 1)))
-            yield {"doc_id": names["doc_id"].take(pa.array(r[head])), "tk": names["tk"].take(pa.array(r[head])), "start": s[head], "n": np.diff(np.append(head, len(r))), "print": np.zeros(len(head), np.int64)}
-        # anchors at the edges may go on in another shard: their strings, each once, with its place if it is alone
-        edge = (anchor == anchor[0]) | (anchor == anchor[-1])
+            yield {"doc_id": names["doc_id"].take(pa.array(r[head])), "tk": names["tk"].take(pa.array(r[head])), "start": s[head], "n": np.diff(np.append(head, len(r))), "print": np.zeros(len(head), np.int64), "print2": np.zeros(len(head), np.int64)}
+        # open anchors may go on in another shard: their strings, each once, with its place if it is alone
+        edge = np.zeros(len(anchor), bool)
+        if first_open:
+            edge |= anchor == anchor[0]
+        if last_open:
+            edge |= anchor == anchor[-1]
         _, one = np.unique(of, return_index=True)
         one = one[edge[one]]
         if len(one):
             at = np.concatenate([np.arange(bound[of[i]], bound[of[i] + 1]) for i in one])
             r = np.repeat(one, np.diff(bound)[of[one]])
             s = start[r] + at - bound[of[r]]
-            prints, alone = found["prints"][at], ~flags[at]
-            _, pick = np.unique(prints, return_index=True)
-            yield {"doc_id": names["doc_id"].take(pa.array(r[pick])), "tk": names["tk"].take(pa.array(r[pick])), "start": s[pick], "n": np.where(alone[pick], -1, -2), "print": prints[pick].view(np.int64)}
+            prints = found["strings"](at)
+            _, pick = np.unique(prints, axis=0, return_index=True)
+            r, s, at, prints = r[pick], s[pick], at[pick], prints[pick]
+            yield {"doc_id": names["doc_id"].take(pa.array(r)), "tk": names["tk"].take(pa.array(r)), "start": s, "n": np.where(flags[at], -2, -1), "print": prints[:, 0], "print2": prints[:, 1]}
 
-    out = cut(map_arrow_all(dealt, run, "doc_id long, tk long, start long, n long, print long"))
+    out = cut(map_arrow_all(dealt, run, "doc_id long, tk long, start long, n long, print long, print2 long"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         """Looks each string that was alone in its shard up in the sorted strings of all shards."""
         held = list(batches)
         if held:
             table = pa.Table.from_batches(held).combine_chunks()
-            prints = table.column("print").to_numpy()
-            sorted_ = np.sort(prints)
-            times = np.searchsorted(sorted_, prints, "right") - np.searchsorted(sorted_, prints, "left")
+            prints = np.stack([table.column(k).to_numpy() for k in ("print", "print2")], 1)
+            order = np.lexsort((prints[:, 1], prints[:, 0]))
+            head = np.append(True, (prints[order][1:] != prints[order][:-1]).any(1))
+            runs = np.flatnonzero(head)
+            at = np.searchsorted(runs, np.arange(len(order)), "right") - 1
+            times = np.empty(len(order), np.int64)
+            times[order] = np.diff(np.append(runs, len(order)))[at]
             hit = table.filter(pa.array((times > 1) & (table.column("n").to_numpy() == -1)))
             yield {k: hit.column(k).combine_chunks() for k in ("doc_id", "tk", "start")} | {"n": np.ones(len(hit), np.int64)}
 
