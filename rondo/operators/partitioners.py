@@ -10,9 +10,32 @@ from pyspark.sql.window import Window
 from rondo.functions.vectors import uniform
 
 
-def _shuffled(samples: DataFrame, seed: str) -> DataFrame:
+#: Parts of a class that are ordered by tasks of their own.
+PARTS = 64
+
+
+def _numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """Adds rank, a row's place in its class, and n, the class's rows; ``part`` of the rows (label, part) must follow the order.
+
+    Parts are sorted each by itself; where a part begins follows from counts, a row a class and part.
+    """
     own = Window.partitionBy("label")
-    return samples.select("sample_id", "label").withColumn("rank", F.row_number().over(own.orderBy(uniform(seed, "sample_id"), "sample_id"))).withColumn("n", F.count("*").over(own))
+    before = F.coalesce(F.sum("cell").over(own.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = rows.groupBy("label", "part").agg(F.count("*").alias("cell")).select("label", "part", before.alias("before"), F.sum("cell").over(own).alias("n"))
+    inside = Window.partitionBy("label", "part").orderBy(*order)
+    return rows.join(F.broadcast(cells), ["label", "part"]).withColumn("rank", F.col("before") + F.row_number().over(inside)).drop("before", "part")
+
+
+def _shuffled(samples: DataFrame, seed: str) -> DataFrame:
+    rows = samples.select("sample_id", "label").withColumn("u", uniform(seed, "sample_id"))
+    return _numbered(rows.withColumn("part", F.least(F.floor(F.col("u") * PARTS), F.lit(PARTS - 1))), "u", "sample_id").drop("u")
+
+
+def _in_order(samples: DataFrame) -> DataFrame:
+    ends = samples.agg(F.min("sample_id").alias("low"), F.max("sample_id").alias("high"))  # one row
+    rows = samples.select("sample_id", "label").join(F.broadcast(ends))
+    part = F.floor((F.col("sample_id") - F.col("low")) / (F.col("high") - F.col("low") + 1) * PARTS)
+    return _numbered(rows.withColumn("part", part).drop("low", "high"), "sample_id")
 
 
 def iid(samples: DataFrame, clients: int = 10, seed: str = "iid") -> DataFrame:
@@ -26,7 +49,7 @@ def iid(samples: DataFrame, clients: int = 10, seed: str = "iid") -> DataFrame:
 def dirichlet(samples: DataFrame, shares: DataFrame) -> DataFrame:
     """Rows of a class in order of id, cut at the running shares (label, client_id, frac)."""
     own = Window.partitionBy("label")
-    rows = samples.select("sample_id", "label").withColumn("rank", F.row_number().over(own.orderBy("sample_id"))).withColumn("n", F.count("*").over(own))
+    rows = _in_order(samples)
     upto = F.sum("frac").over(own.orderBy("client_id").rowsBetween(Window.unboundedPreceding, 0))
     last = F.max("client_id").over(own) == F.col("client_id")
     cuts = shares.withColumn("high", F.when(last, 2.0).otherwise(upto)).withColumn("low", F.coalesce(F.lag("high").over(own.orderBy("client_id")), F.lit(0.0)))

@@ -36,12 +36,21 @@ def one_hot_label(columns: list[Column]) -> Column:
     return (F.array_position(values, F.array_max(values)) - 1).cast("int")
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """Adds ``sample_id``, the number of a row from 1 on: its place in its partition, and the rows of the partitions before."""
+    at = F.monotonically_increasing_id()
+    rows = rows.withColumn("at", at).withColumn("part", F.shiftright("at", 33)).withColumn("place", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))  # a row a partition
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(F.broadcast(before), "part").withColumn("sample_id", F.col("before") + F.col("place") + 1).drop("at", "part", "place", "before")
+
+
 def delimited(spark: SparkSession, features: str, labels: str, size: int, classes: int) -> DataFrame:
     """(sample_id, label, features) from two files of numbers, one line a sample, labels one-hot; joined by line number."""
+
     def lines(path: str, width: int, name: str) -> DataFrame:
         rows = spark.read.csv(path, schema=", ".join(f"c{k} double" for k in range(width)))
-        at = rows.select(F.monotonically_increasing_id().alias("at"), F.array(*[F.col(f"c{k}") for k in range(width)]).alias(name))
-        return at.select(F.row_number().over(Window.partitionBy().orderBy("at")).cast("long").alias("sample_id"), name)
+        return _numbered(rows.select(F.array(*[F.col(f"c{k}") for k in range(width)]).alias(name)))
 
     both = lines(features, size, "features").join(lines(labels, classes, "hot"), "sample_id")
     return both.select("sample_id", (F.array_position("hot", F.array_max("hot")) - 1).cast("int").alias("label"), "features")
