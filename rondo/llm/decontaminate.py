@@ -137,7 +137,8 @@ def _automata(benchmark: DataFrame, window: int, block_words: int) -> Iterator[A
         own = []
         for part in bs.slices(rows.column("text")):
             words = bs.Words(part[1], part[2], bs.NOT_ALNUM)
-            own += [(rows.column("item_id")[r].as_py(), words.hash[words.doc == i]) for i, r in enumerate(part[0])]
+            bound = np.searchsorted(words.doc, np.arange(len(part[0]) + 1))
+            own += [(rows.column("item_id")[r].as_py(), words.hash[bound[i] : bound[i + 1]]) for i, r in enumerate(part[0])]
         yield Automaton(sorted(own, key=lambda x: (x[0] or "", len(x[1]))), window)
 
 
