@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -113,6 +114,18 @@ def build_block(key: np.ndarray, count: np.ndarray, bits: int = 0) -> np.ndarray
     return np.packbits(flags, bitorder="little")
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Zstandard over planes of bytes, of the gaps if they are sorted keys: upper bytes are mostly zeros."""
+    x = np.diff(x, prepend=np.uint64(0)) if x.dtype == np.uint64 else x
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    x = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
+    return np.cumsum(x, dtype=np.uint64) if kind is np.uint64 else x
+
+
 def chunks(docs: DataFrame, size: int) -> DataFrame:
     """(chunk, ids, held, sizes, words, places) of ``docs`` (doc_id, held_out, text): runs of texts of about ``size`` tokens.
 
@@ -166,7 +179,7 @@ def answers(table: DataFrame, blocks: int) -> DataFrame:
                 for name, (key, at) in keys.items():
                     n = np.bincount(at[trained], minlength=len(key)).astype(np.uint32)
                     cuts = [np.searchsorted(block_of(key, blocks), own, side) for side in ("left", "right")]
-                    out |= {f"{name}s": [key[a:b].tobytes() for a, b in zip(*cuts, strict=True)], f"{name}_n": [n[a:b].tobytes() for a, b in zip(*cuts, strict=True)]}
+                    out |= {f"{name}s": [_pack(key[a:b]) for a, b in zip(*cuts, strict=True)], f"{name}_n": [_pack(n[a:b]) for a, b in zip(*cuts, strict=True)]}
                 yield out
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -176,12 +189,13 @@ def answers(table: DataFrame, blocks: int) -> DataFrame:
                 held.setdefault(block, []).append(part)
         while held:
             block, parts = held.popitem()
-            chunk, words, word_n, both, pair_n = zip(*parts, strict=True)
-            key, at = np.unique(np.frombuffer(b"".join(words), np.uint64), return_inverse=True)
-            total = np.bincount(at, np.frombuffer(b"".join(word_n), np.uint32), len(key)).astype(np.int64)
-            pair, n = np.frombuffer(b"".join(both), np.uint64), np.frombuffer(b"".join(pair_n), np.uint32)
+            chunk, *packed = zip(*parts, strict=True)
+            words, word_n, both, pair_n = ([_unpack(x, kind) for x in own] for own, kind in zip(packed, (np.uint64, np.uint32) * 2, strict=True))
+            key, at = np.unique(np.concatenate(words), return_inverse=True)
+            total = np.bincount(at, np.concatenate(word_n), len(key)).astype(np.int64)
+            pair, n = np.concatenate(both), np.concatenate(pair_n)
             level = LogFrequencyFilter(build_block(pair[n > 0], n[n > 0].astype(np.int64)).reshape(1, -1)).levels(pair).astype(np.uint8)
-            dealt = lambda x, of: [p.tobytes() for p in np.split(x, np.cumsum([len(y) // 8 for y in of])[:-1])]
+            dealt = lambda x, of: [p.tobytes() for p in np.split(x, np.cumsum([len(y) for y in of])[:-1])]
             first = np.arange(len(parts)) == 0
             yield {"chunk": chunk, "block": [block] * len(parts), "one": dealt(total[at], words), "two": dealt(level, both), "n": first * total.sum(), "v": first * (total > 0).sum()}
 
