@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from rondo.llm import bpe, collocations, compression, decontaminate, divergence, jaccard_join, language_model, line_dedup, rules, secret_scan, sharding, suffix_dedup
+from rondo.llm import bpe, collocations, compression, decontaminate, divergence, jaccard_join, language_model, line_dedup, personal_data, rules, secret_scan, sharding, suffix_dedup
 from rondo.llm.common import small_batches, table
 
 
@@ -60,10 +60,15 @@ def op11_prefix_growth(spark, sf_dir):
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op12_span_field(spark, sf_dir):
+    small_batches(spark)
+    return personal_data.find(table(spark, sf_dir, "documents"))
+
+
 def op13_term_tiles(spark, sf_dir):
     small_batches(spark)
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_compression_quality, op2_ngram_rules, op5_suffix_automaton, op4_sampled_splitters, op10_line_prefix_doubling, op6_secret_ownership, op8_grouped_prefix_join, op7_suffix_arrays, op9_distinct_word_bpe, op3_log_frequency_filter, op11_prefix_growth, op13_term_tiles)}
+QUERIES = {f.__name__: f for f in (op1_compression_quality, op2_ngram_rules, op5_suffix_automaton, op4_sampled_splitters, op10_line_prefix_doubling, op6_secret_ownership, op8_grouped_prefix_join, op7_suffix_arrays, op9_distinct_word_bpe, op3_log_frequency_filter, op11_prefix_growth, op12_span_field, op13_term_tiles)}
 ORACLES: dict[str, str] = {"op5_suffix_automaton": decontaminate.ORACLE, "op4_sampled_splitters": sharding.ORACLE, "op10_line_prefix_doubling": line_dedup.ORACLE, "op6_secret_ownership": secret_scan.ORACLE, "op8_grouped_prefix_join": jaccard_join.ORACLE, "op11_prefix_growth": collocations.ORACLE, "op13_term_tiles": divergence.ORACLE}
