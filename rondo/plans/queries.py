@@ -21,6 +21,7 @@ from rondo.operators import perturbations as M
 from rondo.operators import training as R
 from rondo.sources import fixtures as S
 from rondo.sources import sinks as K
+from rondo.streaming import keyed as Y
 from rondo.streaming import rounds as T
 
 QUERIES: dict[str, Callable] = {}
@@ -347,6 +348,23 @@ query(
     "stream_event_windows", lambda spark, d: rounded(T.drained(T.event_windows(T.streamed(spark, d, "events")), "complete")),
     "SELECT date_trunc('day', ts)::TIMESTAMP AS start, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY ALL",
 )
+query(
+    "stream_event_rounds", lambda spark, d: rounded(T.drained(T.event_rounds(T.streamed(spark, d, "events")), "append")),
+    "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, user_id AS client_id, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY ALL HAVING start + INTERVAL '6 hours' <= (SELECT max(ts) FROM events) - INTERVAL '2 hours'",
+)
+
+
+def _client_history(spark, d: str) -> DataFrame:
+    folder = T.scratch(spark)
+    Y.client_history(_update_stream(spark, d), folder, size=16).awaitTermination()
+    return rounded(Y.history(spark, folder))
+
+
+query(
+    "stream_client_history", _client_history,
+    f"WITH {S.UPDATES_SQL}, k AS (SELECT *, lag(vec) OVER (PARTITION BY client_id ORDER BY round) AS b FROM u), h AS (SELECT round, client_id, sum(value) OVER (PARTITION BY client_id, coord ORDER BY round ROWS UNBOUNDED PRECEDING) AS s FROM l), t AS (SELECT round, client_id, sqrt(sum(s * s)) AS travelled FROM h GROUP BY ALL)"
+    " SELECT round, client_id, " + _R.format("list_inner_product(vec, b) / (sqrt(list_inner_product(vec, vec)) * sqrt(list_inner_product(b, b)))", "cosine") + ", " + _R.format("sqrt(list_inner_product(vec, vec))", "norm") + ", " + _R.format("travelled", "travelled") + " FROM k JOIN t USING (round, client_id)",
+)
 
 
 # local training

@@ -1,9 +1,11 @@
-"""The folder that the driver and all executors see."""
+"""The folder that the driver and all executors see, and settings for a while."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -18,3 +20,16 @@ def shared_folder(spark: SparkSession) -> str:
     if master == "local" or master.startswith("local["):
         return os.path.join(tempfile.gettempdir(), "rondo-shared")
     raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings inside the block; afterwards they are what they were."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)

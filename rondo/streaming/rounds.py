@@ -1,23 +1,25 @@
 """State across rounds with Structured Streaming: running centres, a detector, and windows over events.
 
-A round arrives whole in a micro-batch. Rounds of a batch are taken in order; each is a Spark job over the round's clients,
-and what it hands on is the written table of its result, so a lost executor or a second try of a batch repeats rounds
-only. Results of a bounded run are written as Parquet beside the checkpoint and read back.
+Batches are written by round and each round is stepped when it is whole, as a Spark job over its clients. What goes from round to
+round are written tables, so a lost executor, a second try of a batch or a new start of the stream repeats unfinished rounds
+only. Results of a bounded run are written as Parquet beside the checkpoint and read back. State by key is in ``keyed``.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
+from typing import Any
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rondo.functions import vectors as V
 from rondo.operators import aggregators as A
-from rondo.sources.shared import shared_folder
+from rondo.sources.shared import settings, shared_folder
 
 
 def scratch(spark: SparkSession) -> str:
@@ -25,16 +27,21 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
+#: A row is late by the latest event of the batch before its own: right for a single stateful operator.
+_LATE_AT_ONCE = {"spark.sql.streaming.statefulOperator.allowMultiple": "false"}
+
+
 def drained(stream: DataFrame, mode: str) -> DataFrame:
     """Runs the stream over what its source has now and gives the result table."""
     spark = stream.sparkSession
     folder = scratch(spark)
     out, schema = f"{folder}/out", stream.schema
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode)
-    if mode == "append":
-        query = writer.format("parquet").option("path", out).start()
-    else:
-        query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
+    with settings(spark, _LATE_AT_ONCE):
+        if mode == "append":
+            query = writer.format("parquet").option("path", out).start()
+        else:
+            query = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out)).start()
     query.awaitTermination()
     return spark.read.schema(schema).parquet(out)
 
@@ -42,27 +49,84 @@ def drained(stream: DataFrame, mode: str) -> DataFrame:
 _RESULT = "round int, coord int, value double"
 
 
-def by_round(updates: DataFrame, step: Callable[[int, DataFrame], DataFrame]) -> DataFrame:
-    """(round, coord, value): ``step(number, rows)`` of each round of a stream (round, client_id, role, vec), in order.
+def _listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that match."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return [x.getPath().toString() for x in found or []]
+
+
+class Rounds:
+    """What a stream of rounds has in its folder: the rows of each round as they came, and tables of what was made of it.
+
+    A table is there when its write has ended; nothing else is state, so a stream that was stopped goes on from here.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, schema: StructType):
+        self.spark, self.folder, self.schema = spark, folder, schema
+
+    def done(self, name: str = "out") -> list[int]:
+        """The rounds that have the table ``name``, in order."""
+        return sorted(int(x.split("/round=")[-1].split("/")[0]) for x in _listed(self.spark, f"{self.folder}/{name}/round=*/_SUCCESS"))
+
+    def keep(self, rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").partitionBy("round").parquet(f"{self.folder}/rounds/batch={batch}")
+
+    def counts(self) -> DataFrame:
+        """(batch, round, n) of the rows kept."""
+        if not _listed(self.spark, f"{self.folder}/rounds/batch=*/round=*"):
+            return self.spark.createDataFrame([], "batch int, round int, n long")
+        return self.spark.read.parquet(f"{self.folder}/rounds").groupBy("batch", "round").agg(F.count("*").alias("n"))
+
+    def rows(self, number: int) -> DataFrame:
+        """A round's rows, from its own files."""
+        reader = self.spark.read.option("basePath", f"{self.folder}/rounds").schema(self.schema)
+        return reader.parquet(*_listed(self.spark, f"{self.folder}/rounds/batch=*/round={number}")).select(*self.schema.names)
+
+    def table(self, name: str, number: int) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}/round={number}")
+
+    def write(self, rows: DataFrame, name: str, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{self.folder}/{name}/round={number}")
+
+
+def by_round(updates: DataFrame, step: Callable[[Rounds, int], DataFrame], clients: int | None = None, folder: str | None = None, finish: bool = True) -> DataFrame:
+    """(round, coord, value): ``step(rounds, number)`` makes (coord, value) of each round of a stream (round, client_id, role, vec), in order.
 
-    A round's result is written before the next begins.
+    Batches are written by round first, so a round may come in parts. It is stepped once it is whole: when rows of a later
+    round are there, or ``clients`` of its own if that is given; with ``finish`` the end of the source makes the rest
+    whole. Rows of a round that was stepped before are late and left out. With the ``folder`` of a stream that was stopped,
+    the new one goes on where that ended and gives the rows of one run.
     """
     spark = updates.sparkSession
-    folder = scratch(spark)
+    rounds = Rounds(spark, folder or scratch(spark), updates.schema)
+    seen = {(x["batch"], x["round"]): x["n"] for x in rounds.counts().collect()}  # a number a batch and round
+
+    def advance(end: bool) -> None:
+        stepped = set(rounds.done())
+        waiting = sorted({k for _, k in seen} - stepped)
+        last = max((k for _, k in seen), default=0)
+        for k in waiting:
+            whole = k < last if clients is None else sum(n for (_, r), n in seen.items() if r == k) >= clients
+            if not (whole or end):
+                return  # rounds go in order
+            if not stepped or k > max(stepped):
+                rounds.write(step(rounds, k), "out", k)
+                stepped.add(k)
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows = rows.persist()
-        try:
-            for k in sorted(x["round"] for x in rows.select("round").distinct().collect()):  # the rounds of a batch
-                step(k, rows.where(F.col("round") == k)).write.mode("overwrite").parquet(f"{folder}/out/number={k}")
-        finally:
-            rows.unpersist()
-
-    updates.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").foreachBatch(batch).start().awaitTermination()
-    try:
-        return spark.read.schema(_RESULT).parquet(f"{folder}/out")
-    except AnalysisException:  # no round came
+        rounds.keep(rows, number)
+        for key in [x for x in seen if x[0] == number]:
+            del seen[key]
+        seen.update({(number, x["round"]): x["n"] for x in rounds.counts().where(F.col("batch") == number).collect()})
+        advance(False)
+
+    updates.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{rounds.folder}/checkpoint").foreachBatch(batch).start().awaitTermination()
+    if finish:
+        advance(True)
+    if not rounds.done():
         return spark.createDataFrame([], _RESULT)
+    return spark.read.schema(_RESULT).parquet(f"{rounds.folder}/out").select("round", "coord", "value")
 
 
 def _vector(rows: DataFrame) -> np.ndarray:
@@ -70,28 +134,38 @@ def _vector(rows: DataFrame) -> np.ndarray:
     return np.array([x["value"] for x in rows.select("coord", "value").orderBy("coord").collect()])
 
 
-def _as_rows(spark: SparkSession, number: int, v: np.ndarray) -> DataFrame:
-    return spark.createDataFrame([(number, k, float(x)) for k, x in enumerate(v)], _RESULT)
+def centred_clipping(updates: DataFrame, tau: float = 100.0, **options: Any) -> DataFrame:
+    """(round, coord, value) of the running centre: after each round it moves by the mean of the clipped gaps.
 
+    The state is the centre, the table of the round before; no vector comes to the driver. ``options`` are those of ``by_round``.
+    """
 
-def centred_clipping(updates: DataFrame, tau: float = 100.0) -> DataFrame:
-    """(round, coord, value) of the running centre: after each round it moves by the mean of the clipped gaps. The state is the centre."""
-    spark, state = updates.sparkSession, {}
-
-    def step(number: int, rows: DataFrame) -> DataFrame:
-        centre = _as_rows(spark, number, state["centre"]) if "centre" in state else None
-        state["centre"] = _vector(A.centered_clipping(rows, tau, centre))
-        return _as_rows(spark, number, state["centre"])
+    def step(rounds: Rounds, number: int) -> DataFrame:
+        before = rounds.done()
+        return A.centered_clipping(rounds.rows(number), tau, rounds.table("out", before[-1]) if before else None).select("coord", "value")
 
-    return by_round(updates, step)
+    return by_round(updates, step, **options)
 
 
 def event_windows(events: DataFrame, width: str = "1 day", late: str = "2 hours") -> DataFrame:
-    """Counts and sums by event type in tumbling windows of event time (an extension); late rows are dropped."""
+    """(start, event_type, n, total) in tumbling windows of event time (an extension).
+
+    In append mode a window is given once it ends ``late`` before the latest event of the batches before, and rows of such a window
+    are dropped; in complete mode all windows are kept and no row is late.
+    """
     rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), "event_type")
     return rows.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
+def event_rounds(events: DataFrame, width: str = "6 hours", late: str = "2 hours") -> DataFrame:
+    """(start, client_id, n, total): rounds as tumbling windows of event time, an update of each client in a round (an extension).
+
+    For append mode: a round closes when an event ``late`` after its end has come, and rows for a closed round are dropped.
+    """
+    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width).alias("w"), F.col("user_id").alias("client_id"))
+    return rows.agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), "client_id", "n", "total")
+
+
 def streamed(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A table as a stream: the folder of its files, or the one file of it in ``folder``."""
     path = f"{folder}/{name}.parquet"
@@ -154,40 +228,46 @@ def gap_clusters(score: np.ndarray, most: int = 10, samples: int = 20, seed: int
     return max(1, most)
 
 
-def detector(updates: DataFrame, window: int = 3, start: int = 0) -> DataFrame:
+def detector(updates: DataFrame, window: int = 3, start: int = 0, **options: Any) -> DataFrame:
     """(round, coord, value): the mean of the clients whose updates follow the predicted ones.
 
     A client's update is predicted as its last one plus the curvature times the last aggregate; the distances,
     normalised in a round and averaged over ``window`` rounds, are split in two where the gap statistic sees
-    clusters, and the cluster of lower distance is kept. The state is the last ``window`` aggregates and their differences, the
-    clients' scores, a number each, and the rows of the last round, which stay in Spark.
+    clusters, and the cluster of lower distance is kept. The state is in tables: the aggregates of the last rounds, the clients'
+    distances of each round, and the rows of the last one. At the driver are ``window`` vectors of the model and a number a
+    client. ``options`` are those of ``by_round``.
     """
-    spark = updates.sparkSession
-    state: dict = {"vector": None, "w": [], "g": [], "scores": [], "last": None}
-
-    def step(number: int, rows: DataFrame) -> DataFrame:
-        ids = [x["client_id"] for x in rows.select("client_id").orderBy("client_id").collect()]  # a number a client
-        if state["vector"] is not None and number - start > window and state["w"]:
-            moved = curvature_product(np.array(state["w"]), np.array(state["g"]), state["vector"])
+    vectors: dict[int, np.ndarray] = {}
+
+    def step(rounds: Rounds, number: int) -> DataFrame:
+        spark, rows, before = rounds.spark, rounds.rows(number), rounds.done()
+        last = before[-window - 1 :]
+        for k in set(last) - set(vectors):
+            vectors[k] = _vector(rounds.table("out", k))
+        for k in set(vectors) - set(last):
+            del vectors[k]
+        if last and number - start > window:
+            own = [vectors[k] for k in last]
+            steps = [b - a for a, b in zip([np.zeros_like(own[0]), *own[:-1]], own, strict=True)]
+            if len(before) > window:  # the first of them only tells where the second began
+                own, steps = own[1:], steps[1:]
+            moved = curvature_product(np.array(own), np.array(steps), own[-1])
             moved = F.broadcast(spark.createDataFrame([(moved.tolist(),)], "moved array<double>"))  # one vector
-            both = rows.join(state["last"].withColumnRenamed("vec", "before"), "client_id").join(moved)
-            gap = both.select("client_id", F.zip_with(F.zip_with("before", "moved", lambda a, b: a + b), "vec", lambda a, b: a - b).alias("gap"))
-            gone = {x["client_id"]: x["far"] for x in gap.select("client_id", V.norm("gap").alias("far")).collect()}
-            own = np.array([gone.get(i, 0.0) for i in ids])
-            state["scores"] = [*state["scores"], own / (own.sum() + 1e-12)][-window - 1 :]
-        kept = np.ones(len(ids), bool)
-        if len(state["scores"]) > window:
-            mean = np.mean(state["scores"][-window:], 0)
-            if gap_clusters(mean) >= 2:
-                label = _scatter(mean, 2, np.random.default_rng(0))[0]
-                kept = label == int(mean[label == 0].mean() > mean[label == 1].mean())
-        new = _vector(A.mean(rows.where(F.col("client_id").isin([i for i, k in zip(ids, kept.tolist(), strict=True) if k]))))
-        before = np.zeros(len(new)) if state["vector"] is None else state["vector"]
-        state["w"], state["g"] = [*state["w"], new][-window:], [*state["g"], new - before][-window:]
-        path = f"{folder}/last-{number}"
-        rows.select("client_id", "vec").write.mode("overwrite").parquet(path)
-        state["vector"], state["last"] = new, spark.read.parquet(path)
-        return _as_rows(spark, number, new)
-
-    folder = scratch(spark)
-    return by_round(updates, step)
+            both = rows.join(rounds.rows(last[-1]).select("client_id", F.col("vec").alias("before")), "client_id", "left").join(moved)
+            gap = F.zip_with(F.zip_with("before", "moved", lambda a, b: a + b), "vec", lambda a, b: a - b)
+            far = both.select("client_id", F.when(F.col("before").isNotNull(), V.norm(gap)).otherwise(0.0).alias("far"))
+            total = far.agg(F.sum("far").alias("total"))  # one row
+            rounds.write(far.join(F.broadcast(total)).select("client_id", (F.col("far") / (F.col("total") + 1e-12)).alias("score")), "scores", number)
+        scored = [k for k in rounds.done("scores") if k <= number]
+        if len(scored) > window:
+            scores = [rounds.table("scores", k) for k in scored[-window:]]
+            mean = rows.select("client_id").join(reduce(DataFrame.unionByName, scores), "client_id").groupBy("client_id").agg(F.avg("score").alias("score"))
+            known = sorted((x["client_id"], x["score"]) for x in mean.collect())  # a number a client
+            score = np.array([x for _, x in known])
+            if len(score) and gap_clusters(score) >= 2:
+                label = _scatter(score, 2, np.random.default_rng(0))[0]
+                gone = label == int(score[label == 0].mean() <= score[label == 1].mean())
+                rows = rows.where(~F.col("client_id").isin([i for (i, _), g in zip(known, gone.tolist(), strict=True) if g]))
+        return A.mean(rows).select("coord", "value")
+
+    return by_round(updates, step, **options)
