@@ -141,12 +141,15 @@ def bucketing(updates: DataFrame, size: int = 2, f: int = 10, inner: str = "krum
 
 
 @register
-def fl_trust(updates: DataFrame, root_client: int = 49) -> DataFrame:
-    """Trust is the cosine with a root update, cut at 0; updates are rescaled to the root's length."""
-    root = updates.where(F.col("client_id") == root_client).select("round", F.col("vec").alias("root"))  # one row a round
-    rows = updates.join(root, "round").withColumn("norm", V.norm("vec")).withColumn("root_norm", V.norm("root"))
-    trust = F.greatest(F.lit(0.0), V.dot("vec", "root") / (F.col("norm") * F.col("root_norm")))
+def fl_trust(updates: DataFrame, root: DataFrame) -> DataFrame:
+    """Trust is the cosine with the round's root update (round, vec), cut at 0; updates are rescaled to the root's length.
+
+    A round without a root update gives nothing.
+    """
+    rows = updates.join(root.select("round", F.col("vec").alias("root")), "round").withColumn("norm", V.norm("vec")).withColumn("root_norm", V.norm("root"))
+    size = F.col("norm") * F.col("root_norm")
+    trust = F.when(size > 0, F.greatest(F.lit(0.0), V.dot("vec", "root") / size)).otherwise(0.0)
     rows = rows.withColumn("trust", trust).withColumn("total", F.sum("trust").over(Window.partitionBy("round"))).withColumn("n", F.count("*").over(Window.partitionBy("round")))
-    weight = F.when(F.col("total") > 1e-9, F.col("trust") / F.col("total")).otherwise(1 / F.col("n")) * F.col("root_norm") / F.col("norm")
+    weight = F.when(F.col("total") > 1e-9, F.col("trust") / F.col("total")).otherwise(1 / F.col("n")) * F.col("root_norm") / (F.col("norm") + 1e-9)
     cells = rows.select("round", weight.alias("w"), F.posexplode("vec").alias("coord", "value"))
     return cells.groupBy("round", "coord").agg(F.sum(F.col("w") * F.col("value")).alias("value"))

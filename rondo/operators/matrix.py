@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from rondo.operators.aggregators import register
 from rondo.sources.fixtures import LAYOUT
@@ -361,10 +362,14 @@ def telling(m: np.ndarray, start: int, threshold: float) -> list[int]:
 
 @register
 def auror(updates: DataFrame, start: int = 36, threshold: float = 0.002, find: int = 10) -> DataFrame:
-    """Two means on the telling output coordinates, the majority's mean; after ``find`` rounds the coordinates of the last of these stay."""
-    early = updates.where(F.col("round") < find)
+    """Two means on the telling output coordinates, the majority's mean; after ``find`` rounds the coordinates of the last of these stay.
+
+    Rounds are counted as they come, whatever their numbers.
+    """
+    turns = updates.select("round").distinct().withColumn("turn", F.row_number().over(Window.orderBy("round")))  # a row a round
+    early = updates.join(turns.where(F.col("turn") <= find).select("round"), "round", "left_semi")
     told = per_round(early, lambda m, ids, bad, number: {"told": [telling(m, start, threshold)]}, "round int, told array<int>")
-    final = told.where(F.col("round") == find - 1).select(F.col("told").alias("last"))  # one row at most
+    final = told.join(turns.where(F.col("turn") == find), "round").select(F.col("told").alias("last"))  # one row at most
     rows = updates.join(F.broadcast(told), "round", "left").join(F.broadcast(final), how="left")  # find rows at most
     rows = rows.withColumn("told", F.coalesce("told", "last", F.array().cast("array<int>"))).drop("last")
 

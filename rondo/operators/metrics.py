@@ -54,6 +54,23 @@ def time_budget(rounds: DataFrame, minutes: float = 300.0) -> DataFrame:
     return late.agg(F.min_by("round", F.struct("elapsed", "round")).alias("first"), F.min("elapsed").alias("elapsed")).where("first IS NOT NULL")
 
 
+def half_window_trend(series: DataFrame, value: str, window: int = 6, *by: str) -> DataFrame:
+    """Adds ``first_half`` and ``second_half``, the means of the halves of the last ``window`` rounds, and ``trend``.
+
+    ``up``: the newer half has the higher mean and the newest value is above the window's first; ``down`` is the reverse,
+    anything else ``stable``. Null until the window is full. A series is (round, ``value``) for each ``by``; the older half
+    of an odd window is the smaller one.
+    """
+    own, half = Window.partitionBy(*by).orderBy("round"), window // 2
+    older, newer = own.rowsBetween(1 - window, half - window), own.rowsBetween(half - window + 1, 0)
+    full = F.count("*").over(own.rowsBetween(1 - window, 0)) == window
+    rows = series.withColumn("first_half", F.when(full, F.avg(value).over(older))).withColumn("second_half", F.when(full, F.avg(value).over(newer)))
+    begin, end = F.lag(value, window - 1).over(own), F.col(value)
+    up = (F.col("second_half") > F.col("first_half")) & (end > begin)
+    down = (F.col("second_half") < F.col("first_half")) & (end < begin)
+    return rows.withColumn("trend", F.when(full, F.when(up, "up").when(down, "down").otherwise("stable")))
+
+
 def low_streak(accuracy_by_round: DataFrame, below: float = 0.18, length: int = 2) -> DataFrame:
     """The first run of ``length`` rounds or more below the limit: (first, last, rounds)."""
     own = Window.partitionBy().orderBy("round")  # a row a round

@@ -10,8 +10,13 @@ from pyspark.sql.window import Window
 from rondo.functions.vectors import uniform
 
 
-#: Parts of a class that are ordered by tasks of their own.
-PARTS = 64
+#: Rows of a part, about; the parts of a class are ordered by tasks of their own.
+PART_ROWS = 200_000
+
+
+def _parts(samples: DataFrame) -> int:
+    """Parts of a class, if all rows were of one."""
+    return max(8, -(-samples.count() // PART_ROWS))
 
 
 def _numbered(rows: DataFrame, *order: str) -> DataFrame:
@@ -26,21 +31,23 @@ def _numbered(rows: DataFrame, *order: str) -> DataFrame:
     return rows.join(F.broadcast(cells), ["label", "part"]).withColumn("rank", F.col("before") + F.row_number().over(inside)).drop("before", "part")
 
 
-def _shuffled(samples: DataFrame, seed: str) -> DataFrame:
-    rows = samples.select("sample_id", "label").withColumn("u", uniform(seed, "sample_id"))
-    return _numbered(rows.withColumn("part", F.least(F.floor(F.col("u") * PARTS), F.lit(PARTS - 1))), "u", "sample_id").drop("u")
+def shuffled(samples: DataFrame, seed: str) -> DataFrame:
+    """(sample_id, label, rank, n): the place of each row in a random order of its class."""
+    rows, parts = samples.select("sample_id", "label").withColumn("u", uniform(seed, "sample_id")), _parts(samples)
+    return _numbered(rows.withColumn("part", F.least(F.floor(F.col("u") * parts), F.lit(parts - 1))), "u", "sample_id").drop("u")
 
 
 def _in_order(samples: DataFrame) -> DataFrame:
-    ends = samples.agg(F.min("sample_id").alias("low"), F.max("sample_id").alias("high"))  # one row
-    rows = samples.select("sample_id", "label").join(F.broadcast(ends))
-    part = F.floor((F.col("sample_id") - F.col("low")) / (F.col("high") - F.col("low") + 1) * PARTS)
-    return _numbered(rows.withColumn("part", part).drop("low", "high"), "sample_id")
+    """The same in order of ids: parts end at quantiles of the ids, so gaps between them don't matter."""
+    parts = _parts(samples)
+    ends = samples.agg(F.percentile_approx("sample_id", [k / parts for k in range(1, parts)], 10_000).alias("ends"))  # one row
+    part = F.size(F.filter("ends", lambda x: x < F.col("sample_id"))).cast("long")
+    return _numbered(samples.select("sample_id", "label").join(F.broadcast(ends)).withColumn("part", part).drop("ends"), "sample_id")
 
 
 def iid(samples: DataFrame, clients: int = 10, seed: str = "iid") -> DataFrame:
     """Equal slices of every class; what is left over is dealt from the end, one row a client."""
-    rows = _shuffled(samples, seed)
+    rows = shuffled(samples, seed)
     per = F.floor(F.col("n") / clients)
     client = F.when(F.col("rank") <= per * clients, F.floor((F.col("rank") - 1) / per)).otherwise(F.col("n") - F.col("rank"))
     return rows.select("sample_id", "label", client.cast("int").alias("client_id"))
@@ -107,7 +114,7 @@ def stratified_sample(samples: DataFrame, size: int = 100, seed: str = "stratum"
     """int(n size / total) rows of each class."""
     counts = samples.groupBy("label").agg(F.count("*").alias("n"))
     quota = counts.withColumn("quota", F.floor(F.col("n") * size / F.sum("n").over(Window.partitionBy()))).select("label", "quota")  # a row a class
-    return _shuffled(samples, seed).join(F.broadcast(quota), "label").where("rank <= quota").select("sample_id", "label")
+    return shuffled(samples, seed).join(F.broadcast(quota), "label").where("rank <= quota").select("sample_id", "label")
 
 
 def mixed(poison: DataFrame, clean: DataFrame, ratio: float = 0.5, cap: int = 100, target: int = 6, seed: str = "mix") -> DataFrame:

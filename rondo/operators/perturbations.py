@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from rondo.functions import vectors as V
 from rondo.sources.fixtures import to_long
 
+
 def _replaced(long: DataFrame, value: Column) -> DataFrame:
     return long.withColumn("value", F.when(F.col("role") == "attacker", value).otherwise(F.col("value")))
 
@@ -96,6 +99,70 @@ def sign_alignment(updates: DataFrame) -> DataFrame:
     return to_long(updates).groupBy("round", "client_id").agg(F.count_if(F.signum("value") == fixed).cast("long").alias("aligned"))
 
 
+def _sign(*key: str) -> Column:
+    """A fixed random sign."""
+    return F.when(V.uniform("sign", *key) > 0.5, 1.0).otherwise(-1.0)
+
+
+def binomial_bound(models: DataFrame, level: float = 0.99) -> DataFrame:
+    """One row (bound): the least k with P(X <= k) >= ``level``, X the heads of as many fair coins as the model has coordinates.
+
+    The terms' ratios (d - k + 1) / k are multiplied up within ten deviations of the mean, beyond which there are 1e-23 of all:
+    some 10 sqrt(d) rows.
+    """
+    size = models.agg(F.count_distinct("coord").alias("d"))
+    far = F.ceil(5 * F.sqrt("d"))
+    rows = size.select("d", F.explode(F.sequence(F.greatest(F.lit(0), F.floor(F.col("d") / 2) - far), F.least("d", F.ceil(F.col("d") / 2) + far))).alias("k"))
+    running = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.min("k").over(Window.partitionBy())
+    rows = rows.withColumn("log", F.sum(F.when(F.col("k") > first, F.ln((F.col("d") - F.col("k") + 1) / F.col("k"))).otherwise(0.0)).over(running))
+    rows = rows.withColumn("weight", F.exp(F.col("log") - F.max("log").over(Window.partitionBy())))
+    rows = rows.withColumn("below", F.sum("weight").over(running) / F.sum("weight").over(Window.partitionBy()))
+    return rows.where(F.col("below") >= level).agg(F.min("k").alias("bound"))
+
+
+def residual_scale(models: DataFrame, every: int = 50, factor: float = 8.0, decay: float = 0.7, least: float = 0.5, level: float = 0.99) -> DataFrame:
+    """(round, aligned, bound, factor, history, length) of a perturbation along fixed signs, from the models (round, coord, value) that rounds began with.
+
+    ``history`` is the length of the model's last move. Each ``every`` rounds the move since the snapshot ``every`` rounds before (the
+    first model if there is none) is compared with the fixed signs: ``aligned`` coordinates agree. With fewer than ``bound`` the
+    factor decays, unless it would fall below ``least``. ``length`` is factor times history. No row without a model before.
+    """
+    first = models.agg(F.min("round").alias("first"))  # one row
+    moves = models.withColumn("before", F.lag("value").over(Window.partitionBy("coord").orderBy("round")))
+    history = moves.where("before IS NOT NULL").groupBy("round").agg(F.sqrt(F.sum((F.col("value") - F.col("before")) * (F.col("value") - F.col("before")))).alias("history"))
+    checked = models.where(F.col("round") % every == 0).join(F.broadcast(first))
+    checked = checked.select("round", "coord", "value", F.greatest("first", F.col("round") - every).alias("then")).where("round > then")
+    snapshot = models.select(F.col("round").alias("then"), "coord", F.col("value").alias("kept"))
+    moved = checked.join(snapshot, ["then", "coord"]).withColumn("move", F.col("value") - F.col("kept"))
+    agrees = F.signum(F.when(F.col("move") == 0, F.col("value")).otherwise(F.col("move"))) == _sign("coord")
+    aligned = moved.groupBy("round").agg(F.count_if(agrees).alias("aligned"))
+    rows = history.join(aligned, "round", "left").join(F.broadcast(binomial_bound(models, level)))
+    fails = F.count_if(F.col("aligned") < F.col("bound")).over(Window.orderBy("round").rowsBetween(Window.unboundedPreceding, 0))  # a row a round
+    most = 0
+    while factor * decay ** (most + 1) >= least:
+        most += 1
+    rows = rows.withColumn("factor", factor * F.pow(F.lit(decay), F.least(fails, F.lit(most))))
+    return rows.select("round", "aligned", "bound", "factor", "history", (F.col("factor") * F.col("history")).alias("length"))
+
+
+def residual(updates: DataFrame, models: DataFrame, **scale: Any) -> DataFrame:
+    """(round, client_id, role, coord, value): attackers send the residual of the model's last move along the fixed signs.
+
+    The residual is the move less the attackers' mean update of the round before, stretched to the move's length; its
+    absolute values, with the fixed signs, are scaled to length 1 and then to ``residual_scale``. Rounds without a model and an
+    update before stay as they are.
+    """
+    size = lambda c: F.sqrt(F.sum(F.col(c) * F.col(c)).over(Window.partitionBy("round")))
+    moves = models.withColumn("move", F.col("value") - F.lag("value").over(Window.partitionBy("coord").orderBy("round"))).where("move IS NOT NULL").drop("value")
+    sent = to_long(updates.where("role = 'attacker'")).groupBy((F.col("round") + 1).alias("round"), "coord").agg(F.avg("value").alias("sent"))
+    rows = moves.join(sent, ["round", "coord"]).withColumn("gap", F.col("move") - F.col("sent") * (size("move") / (size("sent") + 1e-9)))
+    lengths = residual_scale(models, **scale).select("round", "length")
+    rows = rows.withColumn("unit", F.abs("gap") * _sign("coord") / (size("gap") + 1e-9)).join(lengths, "round")
+    new = rows.select("round", "coord", (F.col("unit") * F.col("length")).alias("new"))
+    return _replaced(to_long(updates).join(new, ["round", "coord"], "left"), F.coalesce("new", "value")).drop("new")
+
+
 def scheduled(rows: DataFrame, kind: str, start: int = 0, frequency: int = 1) -> DataFrame:
     """The rounds in which an attack is on."""
     on = {"continuous": F.col("round") >= start, "single": F.col("round") == start, "frequency": F.col("round") % frequency == 0}

@@ -93,11 +93,6 @@ on_updates(
     ", k AS (SELECT *, row_number() OVER (PARTITION BY round, a ORDER BY distance, b) AS r FROM d), s AS (SELECT round, a AS bucket, sum(distance) FILTER (r <= 25 - 10 - 1) AS score FROM k GROUP BY ALL)"
     ", p AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY score, bucket) AS r FROM s) SELECT b.round, coord, " + _VALUE.format("value") + " FROM b JOIN p USING (round, bucket) WHERE r = 1",
 )
-on_updates(
-    "agg_fltrust", A.fl_trust,
-    ", root AS (SELECT round, vec AS root FROM u WHERE client_id = 49), t AS (SELECT u.round, client_id, sqrt(list_inner_product(vec, vec)) AS norm, sqrt(list_inner_product(root, root)) AS rn, greatest(0.0, list_inner_product(vec, root) / (sqrt(list_inner_product(vec, vec)) * sqrt(list_inner_product(root, root)))) AS trust FROM u JOIN root USING (round))"
-    ", w AS (SELECT round, client_id, CASE WHEN sum(trust) OVER (PARTITION BY round) > 1e-9 THEN trust / sum(trust) OVER (PARTITION BY round) ELSE 1.0 / count(*) OVER (PARTITION BY round) END * rn / norm AS w FROM t) SELECT l.round, coord, " + _VALUE.format("sum(w * value)") + " FROM l JOIN w USING (round, client_id) GROUP BY ALL",
-)
 for _name, _f in (("bulyan", X.bulyan), ("dnc", X.dnc), ("simple_clustering", lambda u: X.simple_clustering(u, eps=9.0)), ("signguard", X.sign_guard), ("flame", lambda u: X.flame(_with_model(u))), ("deepsight", X.deep_sight), ("auror", X.auror), ("mydefense", X.my_defense), ("minmax", X.min_max), ("minsum", X.min_sum), ("fang", X.fang)):
     on_updates(_name, _f)
 for _name in X.CLUSTERINGS:
@@ -111,6 +106,11 @@ on_updates(
     "client_cosine_lag", L.cosine_with_last,
     ", k AS (SELECT *, lag(vec) OVER (PARTITION BY client_id ORDER BY round) AS b FROM u) SELECT round, client_id, " + _R.format("list_inner_product(vec, b) / (sqrt(list_inner_product(vec, vec)) * sqrt(list_inner_product(b, b)))", "cosine") + " FROM k",
 )
+on_updates(
+    "half_window_trend", lambda u: E.half_window_trend(u.select("round", "client_id", V.norm("vec").alias("norm")), "norm", 5, "client_id"),
+    _NORM + ", k AS (SELECT round, client_id, norm, count(*) OVER w AS c, avg(norm) OVER (PARTITION BY client_id ORDER BY round ROWS BETWEEN 4 PRECEDING AND 3 PRECEDING) AS a, avg(norm) OVER (PARTITION BY client_id ORDER BY round ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS b, first_value(norm) OVER w AS f FROM n WINDOW w AS (PARTITION BY client_id ORDER BY round ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))"
+    " SELECT round, client_id, " + _R.format("norm", "norm") + ", CASE WHEN c = 5 THEN round(a, 6) END AS first_half, CASE WHEN c = 5 THEN round(b, 6) END AS second_half, CASE WHEN c < 5 THEN NULL WHEN b > a AND norm > f THEN 'up' WHEN b < a AND norm < f THEN 'down' ELSE 'stable' END AS trend FROM k",
+)
 on_updates("topk_mask", L.top_k_mask, ", k AS (SELECT *, row_number() OVER (PARTITION BY round, client_id ORDER BY abs(value) DESC, coord) AS r FROM l) SELECT round, client_id, coord, " + _VALUE.format("value") + " FROM k WHERE r <= 6")
 on_updates(
     "sign_features", L.sign_features,
@@ -193,6 +193,37 @@ def _with_model(u: DataFrame) -> DataFrame:
     return u.join(cells.select("round", F.transform("cells", lambda x: x["value"]).alias("model")), "round")
 
 
+def _trusted(spark, d: str) -> DataFrame:
+    """A root client's step at the model of each round, and the updates weighed by it."""
+    u = S.updates(spark, d)
+    models = _with_model(u).select("round", "model").groupBy("round").agg(F.first("model").alias("model"))
+    return rounded(A.fl_trust(u, R.root_updates(S.samples(spark, d), models, 0.05)))
+
+
+query(
+    "agg_fltrust", _trusted,
+    f"WITH {S.UPDATES_SQL}, h AS (SELECT vec_id AS sample_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS f, row_number() OVER (PARTITION BY label ORDER BY {V.uniform_sql('stratum', 'vec_id')}, vec_id) AS r, count(*) OVER (PARTITION BY label) AS n, count(*) OVER () AS total FROM embeddings)"
+    ", rs AS (SELECT f, (label >= 5)::INT AS y FROM h WHERE r <= (n * 100) // total), m AS (SELECT round, coord, avg(value) AS v FROM l GROUP BY ALL), mm AS (SELECT DISTINCT l.round, l.coord, coalesce(m.v, 0.0) AS w FROM l LEFT JOIN m ON m.round + 1 = l.round AND m.coord = l.coord), mv AS (SELECT round, list(w ORDER BY coord) AS w FROM mm GROUP BY round)"
+    ", g AS (SELECT round, f, 1 / (1 + exp(-list_inner_product(w, f))) - y AS gap FROM mv, rs), gc AS (SELECT round, unnest(range(64)) AS coord, unnest(f) * gap AS v FROM g), rc AS (SELECT round, coord, -0.05 * avg(v) AS v FROM gc GROUP BY ALL), root AS (SELECT round, list(v ORDER BY coord) AS root FROM rc GROUP BY round)"
+    ", t AS (SELECT u.round, client_id, sqrt(list_inner_product(vec, vec)) AS norm, sqrt(list_inner_product(root, root)) AS rn, greatest(0.0, list_inner_product(vec, root) / (sqrt(list_inner_product(vec, vec)) * sqrt(list_inner_product(root, root)))) AS trust FROM u JOIN root USING (round))"
+    ", w AS (SELECT round, client_id, CASE WHEN sum(trust) OVER (PARTITION BY round) > 1e-9 THEN trust / sum(trust) OVER (PARTITION BY round) ELSE 1.0 / count(*) OVER (PARTITION BY round) END * rn / (norm + 1e-9) AS w FROM t) SELECT l.round, coord, " + _VALUE.format("sum(w * value)") + " FROM l JOIN w USING (round, client_id) GROUP BY ALL",
+)
+
+_SIGN = f"CASE WHEN {V.uniform_sql('sign', 'coord')} > 0.5 THEN 1.0 ELSE -1.0 END"
+_RESIDUAL = (
+    ", m AS (SELECT round, coord, avg(value) AS v FROM l GROUP BY ALL), mm AS (SELECT DISTINCT l.round, l.coord, coalesce(m.v, 0.0) AS v FROM l LEFT JOIN m ON m.round + 1 = l.round AND m.coord = l.coord), mv AS (SELECT *, v - lag(v) OVER (PARTITION BY coord ORDER BY round) AS move FROM mm)"
+    ", hi AS (SELECT round, sqrt(sum(move * move)) AS history FROM mv WHERE move IS NOT NULL GROUP BY round)"
+    ", bd AS (SELECT min(k) AS bound FROM (SELECT k, sum(exp(lgamma(65) - lgamma(k + 1) - lgamma(65 - k)) / pow(2.0, 64)) OVER (ORDER BY k) AS p FROM (SELECT unnest(range(65)) AS k)) WHERE p >= 0.99)"
+    f", al AS (SELECT a.round, count(*) FILTER (sign(CASE WHEN a.v = b.v THEN a.v ELSE a.v - b.v END) = {_SIGN.replace('coord', 'a.coord')})::BIGINT AS aligned FROM mm a JOIN mm b ON a.coord = b.coord AND b.round = greatest(a.round - 4, (SELECT min(round) FROM mm)) WHERE a.round % 4 = 0 AND a.round > b.round GROUP BY a.round)"
+    ", sc AS (SELECT hi.round, aligned, bound, 8.0 * pow(0.7, least(7, count(*) FILTER (aligned < bound) OVER (ORDER BY hi.round))) AS factor, history FROM hi LEFT JOIN al USING (round), bd)"
+)
+on_updates("atk_residual_scale", lambda u: M.residual_scale(_model(u), every=4).withColumn("aligned", F.col("aligned").cast("double")), _RESIDUAL + " SELECT round, aligned::DOUBLE AS aligned, bound::BIGINT AS bound, " + ", ".join(_R.format(c, n) for c, n in (("factor", "factor"), ("history", "history"), ("factor * history", "length"))) + " FROM sc")
+on_updates(
+    "atk_residual", lambda u: M.residual(u, _model(u), every=4),
+    _RESIDUAL + ", st AS (SELECT round + 1 AS round, coord, avg(value) AS sent FROM l WHERE role = 'attacker' GROUP BY ALL), x AS (SELECT mv.round, coord, move, sent, sqrt(sum(move * move) OVER (PARTITION BY mv.round)) AS nm, sqrt(sum(sent * sent) OVER (PARTITION BY mv.round)) AS ns FROM mv JOIN st USING (round, coord) WHERE move IS NOT NULL)"
+    f", y AS (SELECT *, move - sent * (nm / (ns + 1e-9)) AS gap FROM x), z AS (SELECT y.round, coord, abs(gap) * {_SIGN} / (sqrt(sum(gap * gap) OVER (PARTITION BY y.round)) + 1e-9) * factor * history AS new FROM y JOIN sc USING (round))"
+    " SELECT l.round, client_id, role, coord, round(CASE WHEN role = 'attacker' THEN coalesce(new, value) ELSE value END, 6) + 0.0 AS value FROM l LEFT JOIN z USING (round, coord)",
+)
 on_updates("model_form", lambda u: _with_global(u).select("round", "client_id", "coord", (F.col("value") + F.col("w")).alias("value")), _LAST + " SELECT round, client_id, coord, " + _VALUE.format("value + w") + " FROM j")
 on_updates("grad_form", lambda u: _with_global(u).select("round", "client_id", "coord", (F.col("value") - F.col("w")).alias("value")), _LAST + " SELECT round, client_id, coord, " + _VALUE.format("value - w") + " FROM j")
 on_updates("fedavg_step", lambda u: _with_global(u).groupBy("round", "coord").agg((F.first("w") + F.avg(F.col("value") - F.col("w"))).alias("value")), _LAST + " SELECT round, coord, " + _VALUE.format("any_value(w) + avg(value - w)") + " FROM j GROUP BY ALL")
@@ -342,7 +373,12 @@ def _update_stream(spark, d: str) -> DataFrame:
     return rows.select(F.floor(F.col("vec_id") / S.CLIENTS).cast("int").alias("round"), client.alias("client_id"), F.lit("client").alias("role"), F.col("embedding").cast("array<double>").alias("vec"))
 
 
-query("stream_centered_clip", lambda spark, d: rounded(T.centred_clipping(_update_stream(spark, d), 3.0)))
+query(
+    "stream_centered_clip", lambda spark, d: rounded(T.centred_clipping(_update_stream(spark, d), 3.0)),
+    f"WITH RECURSIVE {S.UPDATES_SQL}, r AS (SELECT -1::INTEGER AS round, list_transform(range(64), lambda x: 0.0::DOUBLE) AS m UNION ALL SELECT round, list(v ORDER BY coord) FROM (SELECT round, coord, any_value(m0) + avg(g * least(1.0, 3.0 / (norm + 1e-12))) AS v FROM ("
+    "SELECT u.round, unnest(range(64)) AS coord, unnest(r.m) AS m0, unnest(list_transform(list_zip(u.vec, r.m), lambda z: z[1] - z[2])) AS g, list_distance(u.vec, r.m) AS norm FROM u JOIN r ON u.round = r.round + 1) GROUP BY round, coord) GROUP BY round)"
+    " SELECT round, (unnest(range(64)))::INTEGER AS coord, round(unnest(m), 6) + 0.0 AS value FROM r WHERE round >= 0",
+)
 query("stream_detector", lambda spark, d: rounded(T.detector(_update_stream(spark, d))))
 query(
     "stream_event_windows", lambda spark, d: rounded(T.drained(T.event_windows(T.streamed(spark, d, "events")), "complete")),
@@ -350,7 +386,7 @@ query(
 )
 query(
     "stream_event_rounds", lambda spark, d: rounded(T.drained(T.event_rounds(T.streamed(spark, d, "events")), "append")),
-    "SELECT time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS start, user_id AS client_id, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM events GROUP BY ALL HAVING start + INTERVAL '6 hours' <= (SELECT max(ts) FROM events) - INTERVAL '2 hours'",
+    "WITH e AS (SELECT date_trunc('day', ts)::TIMESTAMP + INTERVAL 6 HOUR * (hour(ts) // 6) AS start, user_id AS client_id, value FROM events) SELECT start, client_id, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM e WHERE start + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY ALL",
 )
 
 
@@ -384,7 +420,7 @@ query(
 def _trained(spark, d: str) -> DataFrame:
     rows = S.samples(spark, d)
     weights = R.train(rows.withColumn("client_id", (F.col("sample_id") % 10).cast("int")), A.median, 3, 0.5, 10, S.DIM)
-    return rounded(R.evaluated(rows, weights).agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc"), F.avg("loss").alias("loss")))
+    return rounded(R.evaluated(rows, weights, 10).agg(F.avg((F.col("pred") == F.col("label")).cast("double")).alias("acc"), F.avg("loss").alias("loss")))
 
 
 query("train_rounds", _trained)

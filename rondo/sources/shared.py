@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,3 +34,10 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def written(rows: DataFrame) -> DataFrame:
+    """The rows as a new Parquet table of the shared folder: a step whose result a lost executor doesn't take along."""
+    path = f"{shared_folder(rows.sparkSession)}/step-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

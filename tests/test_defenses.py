@@ -1,11 +1,17 @@
 """Aggregators against plain numpy versions of their rules, and on rounds with clear outliers."""
 
+import hashlib
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rondo.operators import aggregators as A
 from rondo.operators import layers as L
 from rondo.operators import matrix as X
+from rondo.operators import metrics as E
 from rondo.operators import partitioners as P
 from rondo.operators import perturbations as M
 from rondo.operators import training as R
@@ -198,16 +204,103 @@ def test_local_updates(spark, batch, epochs):
     r = np.random.default_rng(4)
     x, y, start = r.normal(size=(40, 3)), r.integers(0, 2, 40), r.normal(size=(2, 4))
     rows = spark.createDataFrame([(i % 3, i, int(y[i]), x[i].tolist()) for i in range(40)], "client_id int, sample_id long, label int, features array<double>").repartition(4)
-    got = {u.client_id: u.vec for u in R.local_updates(rows, start, 0.5, 2, batch, 2, epochs).collect()}
+    place = lambda i: (int(hashlib.md5(f"loader:{i}".encode()).hexdigest()[:8], 16), i)
+    first = R.local_updates(rows, start, 0.5, 2, batch, 2, epochs, 0.9)
+    second = {u.client_id: u.vec for u in R.local_updates(rows, start, 0.25, 2, batch, 3, epochs, 0.9, first).collect()}
+    first = {u.client_id: u.vec for u in first.collect()}
     for c in range(3):
-        own = [i for i in range(40) if i % 3 == c]
-        if batch:
-            own = [own[(2 * batch + k) % len(own)] for k in range(min(batch, len(own)))]
-        w = start.copy()
-        for _ in range(epochs):
-            z = np.column_stack([x[own], np.ones(len(own))])
-            p = np.exp(z @ w.T)
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(own)), y[own]] -= 1
-            w = w - 0.5 * p.T @ z / len(own)
-        assert np.allclose(got[c], (w - start).reshape(-1))
+        own = sorted([i for i in range(40) if i % 3 == c], key=place)
+        velocity, turn = 0.0, 2 * epochs
+        for got, rate in ((first, 0.5), (second, 0.25)):
+            w = start.copy()
+            for _ in range(epochs):
+                some = [own[(turn * batch + k) % len(own)] for k in range(min(batch, len(own)))] if batch else own
+                z = np.column_stack([x[some], np.ones(len(some))])
+                p = np.exp(z @ w.T)
+                p /= p.sum(1, keepdims=True)
+                p[np.arange(len(some)), y[some]] -= 1
+                velocity = 0.9 * velocity + p.T @ z / len(some)
+                w, turn = w - rate * velocity, turn + 1
+            assert np.allclose(got[c], (w - start).reshape(-1))
+
+
+def test_gradients_of_a_client_in_slices(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = spark.createDataFrame([(int(i > 50), i, int(i) % 2, r.normal(size=3).tolist()) for i in range(60)], "client_id int, sample_id long, label int, features array<double>")
+    start = r.normal(size=(2, 4))
+    whole = {u.client_id: u.vec for u in R.local_updates(rows, start, 0.5, 2).collect()}
+    monkeypatch.setattr(R, "_GROUP_ROWS", 4)
+    assert all(np.allclose(u.vec, whole[u.client_id]) for u in R.local_updates(rows, start, 0.5, 2).collect())
+
+
+def test_trusted_root_leads(spark):
+    """Clients that go the root's way count by their cosine, those against it not at all; lengths are the root's."""
+    r = np.random.default_rng(3)
+    x = r.normal(size=(200, 6))
+    samples = spark.createDataFrame([(i, 9 if v[0] > 0 else 0, v.tolist()) for i, v in enumerate(x)], "sample_id long, label int, features array<double>")
+    models = spark.createDataFrame([(k, [0.1 * k] * 6) for k in range(2)], "round int, model array<double>")
+    root = {u["round"]: np.array(u.vec) for u in R.root_updates(samples, models, 0.5, 100).collect()}
+    chosen = [i.sample_id for i in P.stratified_sample(samples, 100).collect()]
+    for k, got in root.items():
+        z = x[chosen] @ np.full(6, 0.1 * k)
+        assert np.allclose(got, -0.5 * ((1 / (1 + np.exp(-z)) - (x[chosen][:, 0] > 0)) @ x[chosen]) / len(chosen))
+    m = [np.stack([3 * root[k], -root[k], 2 * root[k] + r.normal(size=6), np.zeros(6)]) for k in range(2)]
+    u = frame(spark, m)
+    got = vectors(A.fl_trust(u, spark.createDataFrame([(k, v.tolist()) for k, v in root.items()], "round int, vec array<double>")))
+    for k in range(2):
+        norm = np.linalg.norm(m[k], axis=1)
+        trust = np.maximum(0, np.divide(m[k] @ root[k], norm * np.linalg.norm(root[k]), out=np.zeros(4), where=norm > 0))
+        assert np.allclose(got[k], (trust / trust.sum() / (norm + 1e-9)) @ m[k] * np.linalg.norm(root[k]), atol=1e-6)
+
+
+def test_bound_is_the_quantile_of_fair_coins(spark):
+    for d in (1, 7, 64, 1000):
+        total, k = Fraction(0), -1
+        while total < Fraction(99, 100):
+            k += 1
+            total += Fraction(math.comb(d, k), 2**d)
+        models = spark.createDataFrame([(0, i, 0.0) for i in range(d)], "round int, coord int, value double")
+        assert M.binomial_bound(models).head().bound == k
+    large = spark.range(139_960).select(F.lit(0).alias("round"), F.col("id").alias("coord"), F.lit(0.0).alias("value"))
+    assert M.binomial_bound(large).head().bound == 70_415
+
+
+def test_factor_decays_to_its_floor(spark):
+    """The model moves against the fixed signs, so each check fails."""
+    sign = [r.s for r in spark.range(30).select(F.col("id").cast("int").alias("coord")).select(M._sign("coord").alias("s")).collect()]
+    models = spark.createDataFrame([(k, c, -float(k) * s) for k in range(25) for c, s in enumerate(sign)], "round int, coord int, value double")
+    rows = {r["round"]: r for r in M.residual_scale(models, every=2, factor=2.0).collect()}
+    assert min(rows) == 1 and rows[1].factor == 2.0 and rows[2].aligned == 0 and rows[3].aligned is None
+    assert abs(rows[2].factor - 1.4) < 1e-12 and abs(rows[24].factor - 2 * 0.7**3) < 1e-12  # a fourth step would be below a half
+    assert abs(rows[5].history - math.sqrt(30)) < 1e-9 and abs(rows[5].length - rows[5].factor * rows[5].history) < 1e-9
+
+
+@pytest.mark.parametrize("window", [1, 2, 5, 6])
+def test_trend_of_half_windows(spark, window):
+    r = np.random.default_rng(6)
+    series = {c: r.integers(0, 4, 12).astype(float).tolist() for c in range(4)}
+    rows = spark.createDataFrame([(k, c, v) for c, own in series.items() for k, v in enumerate(own)], "round int, c int, v double")
+    for x in E.half_window_trend(rows, "v", window, "c").collect():
+        own = series[x.c][max(0, x["round"] - window + 1) : x["round"] + 1]
+        if len(own) < window:
+            assert x.trend is None
+            continue
+        a, b = own[: window // 2], own[window // 2 :]
+        want = "stable"
+        if a and np.mean(b) > np.mean(a) and own[-1] > own[0]:
+            want = "up"
+        if a and np.mean(b) < np.mean(a) and own[-1] < own[0]:
+            want = "down"
+        assert x.trend == want
+
+
+def test_auror_counts_rounds_as_they_come(spark):
+    r = np.random.default_rng(2)
+    rounds = [0.0001 * r.normal(size=(8, 4)) for _ in range(4)]
+    for k, m in enumerate(rounds):
+        m[:3, 3 if k < 2 else 2] += 1
+    rounds[3][:2, 3] += 1
+    plain = vectors(X.auror(frame(spark, rounds), start=1, threshold=0.5, find=2))
+    gaps = frame(spark, rounds).withColumn("round", F.col("round") * 3 + 100)
+    later = {(r["round"], r.coord): r.value for r in X.auror(gaps, start=1, threshold=0.5, find=2).collect()}
+    assert all(np.allclose([later[100 + 3 * k, c] for c in range(4)], plain[k]) for k in range(4))

@@ -30,5 +30,5 @@ def test_training_learns(spark):
     x[:, 0] += np.where(y == 1, 2, -2)
     rows = spark.createDataFrame([(i % 5, i, int(y[i]), x[i].tolist()) for i in range(200)], "client_id int, sample_id long, label int, features array<double>")
     weights = R.train(rows, A.mean, 3, 1.0, 2, 4)
-    assert R.evaluated(rows, weights).where("pred = label").count() > 180
+    assert R.evaluated(rows, weights, 2).where("pred = label").count() > 180
     assert R.learning_rate(1.0, 80, "step") == 0.5 and R.learning_rate(1.0, 0, "cosine") == 1.0
