@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,6 +19,37 @@ def with_layer(long: DataFrame, layout: DataFrame) -> DataFrame:
     return long.join(table, (F.col("coord") >= F.col("start")) & (F.col("coord") < F.col("start") + F.col("len"))).drop("start", "len")
 
 
+def nested(vec: Column | str, start: int, shape: tuple[int, ...]) -> Column:
+    """A layer of a flat model as arrays in arrays of its shape, by slices: no row a coordinate."""
+    flat = F.col(vec) if isinstance(vec, str) else vec
+    if len(shape) == 1:
+        return F.slice(flat, F.lit(start + 1), F.lit(shape[0]))
+
+    def cut(at: Column, rest: tuple[int, ...]) -> Column:
+        if len(rest) == 1:
+            return F.slice(flat, at, F.lit(rest[0]))
+        step = math.prod(rest[1:])
+        return F.transform(F.sequence(F.lit(0), F.lit(rest[0] - 1)), lambda k: cut(at + k * step, rest[1:]))
+
+    return cut(F.lit(start + 1), shape)
+
+
+def flat(layers: list[tuple[Column | str, int]]) -> Column:
+    """The flat model of its nested layers (column, depth), end to end."""
+    parts = []
+    for layer, depth in layers:
+        own = F.col(layer) if isinstance(layer, str) else layer
+        for _ in range(depth - 1):
+            own = F.flatten(own)
+        parts.append(own)
+    return F.concat(*parts)
+
+
+def restored(updates: DataFrame, shapes: list[tuple[str, int, tuple[int, ...]]]) -> DataFrame:
+    """(round, client_id, role, and a nested column for each layer (name, start, shape))."""
+    return updates.select("round", "client_id", "role", *[nested("vec", start, shape).alias(name) for name, start, shape in shapes])
+
+
 def layer_norms(updates: DataFrame, layout: DataFrame) -> DataFrame:
     rows = with_layer(to_long(updates), layout)
     return rows.groupBy("round", "client_id", "layer").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))

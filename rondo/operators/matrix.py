@@ -380,10 +380,11 @@ def auror(updates: DataFrame, start: int = 36, threshold: float = 0.002, find: i
 
 
 @register
-def deep_sight(updates: DataFrame, start: int = 36, classes: int = 4, width: int = 6, tau: float = 1 / 3, seeds: int = 3, samples: int = 20_000, eps: float = 1e-6) -> DataFrame:
+def deep_sight(updates: DataFrame, start: int = 36, classes: int = 4, width: int = 6, tau: float = 1 / 3, seeds: int = 3, samples: int = 20_000, eps: float = 1e-6, hidden: tuple[int, int, int] | None = None) -> DataFrame:
     """Clusters met from output-layer energies, output ratios on random inputs and bias cosines; clusters with few suspects stay.
 
-    The output layer is the model: the ratios compare each client's linear scores with those of the round's mean.
+    The ratios compare each client's scores with those of the round's mean. ``hidden`` (start, units, inputs) names a layer
+    of weights and biases before the output, whose ``units`` are its inputs; without it the output layer is the model.
     """
 
     def run(m: np.ndarray, bad: np.ndarray, number: int) -> np.ndarray:
@@ -394,13 +395,24 @@ def deep_sight(updates: DataFrame, start: int = 36, classes: int = 4, width: int
         over = (neup > max(0.01, 1 / classes) * neup.max(1, keepdims=True)).sum(1)
         apart = lambda label: (label[:, None] != label[None]).astype(float)
         clustered = lambda d: apart(hdbscan(d, 5, samples=3))
+
+        def inner(models: np.ndarray, x: np.ndarray) -> np.ndarray:
+            """(models, inputs, width): what reaches the output layer."""
+            if not hidden:
+                return np.broadcast_to(x, (len(models), *x.shape))
+            begin, units, inputs = hidden
+            stop = begin + units * inputs
+            z = np.einsum("si,nui->nsu", x, models[:, begin:stop].reshape(-1, units, inputs)) + models[:, None, stop : stop + units]
+            return np.maximum(z, 0)
+
         ratios = []
         for seed in range(seeds):
             r, total = np.random.default_rng((seed, number)), np.zeros((len(m), classes))
             for k in range(0, samples, 1000):  # inputs at a time
-                x = r.random((min(1000, samples - k), width))
-                whole = x @ weight.mean(0).T + bias.mean(0)
-                total += ((np.einsum("sw,ncw->snc", x, weight) + bias) / (whole + eps)[:, None]).sum(0)
+                x = r.random((min(1000, samples - k), hidden[2] if hidden else width))
+                own, mean = inner(m, x), inner(m.mean(0)[None], x)[0]
+                whole = mean @ weight.mean(0).T + bias.mean(0)
+                total += ((np.einsum("nsw,ncw->snc", own, weight) + bias) / (whole + eps)[:, None]).sum(0)
             ratios.append(clustered(distances(total / samples)))
         joined = np.mean([np.mean(ratios, 0), clustered(distances(neup)), clustered(_cosine_distances(bias))], 0)
         label = hdbscan(joined, 5, True, 3)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -192,6 +194,74 @@ def normalised(samples: DataFrame, mean: float, sd: float) -> DataFrame:
     return samples.withColumn("features", F.transform("features", lambda x: (x - mean) / sd))
 
 
+def normalised_by(samples: DataFrame, statistics: DataFrame, key: str = "dataset") -> DataFrame:
+    """Features less the mean and over the deviation of their channel, from a table (``key``, mean, sd) of arrays; channels change fastest.
+
+    A sample whose key isn't in the table has null features.
+    """
+    table = statistics.select(key, F.col("mean").alias("_mean"), F.col("sd").alias("_sd"))
+    rows = samples.join(table, key, "left")
+    channel = lambda name, i: F.get(name, (i % F.size(name)).cast("int"))
+    made = F.transform("features", lambda x, i: (x - channel("_mean", i)) / channel("_sd", i))
+    return rows.withColumn("features", F.when(F.col("_mean").isNotNull(), made)).drop("_mean", "_sd")
+
+
+def _taps(size: int, new: int) -> list[list[tuple[int, float]]]:
+    """For each new place the old ones that it is made of and their shares: a triangle as wide as the step, of two old ones at least."""
+    step = size / new
+    reach = max(1.0, step)
+    out = []
+    for k in range(new):
+        middle = (k + 0.5) * step
+        own = [(i, 1 - abs(i + 0.5 - middle) / reach) for i in range(size)]
+        own = [(i, w) for i, w in own if w > 0]
+        total = sum(w for _, w in own)
+        out.append([(i, w / total) for i, w in own])
+    return out
+
+
+def resized(features: Column | str, size: tuple[int, int], new: tuple[int, int], channels: int = 1) -> Column:
+    """A flat image of ``size`` (height, width) in a new size, bilinear: between the old pixels where it grows, over all of them where it shrinks."""
+    (height, width), (rows, columns) = size, new
+
+    def taps(old: int, to: int) -> Column:
+        return F.array(*[F.array(*[F.struct(F.lit(i).alias("i"), F.lit(w).alias("w")) for i, w in own]) for own in _taps(old, to)])
+
+    def total(own: Column, value: Callable[[Column], Column]) -> Column:
+        return F.aggregate(own, F.lit(0.0), lambda s, t: s + t["w"] * value(t["i"]))
+
+    flat = F.col(features) if isinstance(features, str) else features
+    places = lambda n: F.sequence(F.lit(0), F.lit(n - 1))
+    part = lambda k, by, of: (F.floor(k / by) % of).cast("int")
+    across = taps(width, columns)
+    wide = F.transform(places(height * columns * channels), lambda k: total(F.get(across, part(k, channels, columns)), lambda x: F.get(flat, (part(k, columns * channels, height) * width + x) * channels + k % channels)))
+    down = taps(height, rows)
+    made = lambda own: F.transform(places(rows * columns * channels), lambda k: total(F.get(down, part(k, columns * channels, rows)), lambda y: F.get(own, (y * columns + part(k, channels, columns)) * channels + k % channels)))
+    return F.get(F.transform(F.array(wide), made), 0)  # so the first pass is made once
+
+
+def with_image(samples: DataFrame, image: DataFrame, side: int = 8) -> DataFrame:
+    """The picture of a one-row table (height, width, features) written over the bottom right corner of flat side x side images of one channel."""
+    rows = samples.join(F.broadcast(image.select(F.col("height").alias("_height"), F.col("width").alias("_width"), F.col("features").alias("_image"))))
+    y, x = lambda i: F.floor(i / side) - (side - F.col("_height")), lambda i: i % side - (side - F.col("_width"))
+    cell = lambda v, i: F.when((y(i) >= 0) & (x(i) >= 0), F.get("_image", (y(i) * F.col("_width") + x(i)).cast("int"))).otherwise(v)
+    return rows.withColumn("features", F.transform("features", cell)).drop("_height", "_width", "_image")
+
+
+def image_trigger(images: DataFrame, size: int, height: int, width: int, channels: int = 1, mean: float = 0.0, sd: float = 1.0) -> DataFrame:
+    """(height, width, features) of a decoded picture: grey by the usual weights, resized to ``size`` x ``size`` and normalised."""
+    shares = F.array(*[F.lit(w) for w in ((0.299, 0.587, 0.114) if channels >= 3 else (1.0,))])
+    pixel = lambda k: F.aggregate(F.sequence(F.lit(0), F.size(shares) - 1), F.lit(0.0), lambda s, c: s + F.get(shares, c) * F.get("features", k * channels + c))
+    grey = images.select(F.transform(F.sequence(F.lit(0), F.lit(height * width - 1)), pixel).alias("features"))
+    small = grey.select(resized("features", (height, width), (size, size)).alias("features"))
+    return small.select(F.lit(size).alias("height"), F.lit(size).alias("width"), F.transform("features", lambda v: (v - mean) / sd).alias("features"))
+
+
+def poisoned_test(poison: DataFrame, target: int = 6) -> DataFrame:
+    """(sample_id, label, kind): the test set of a mixed attack, all of its samples and no clean one, under the target's label."""
+    return poison.select("sample_id", F.lit(target).alias("label"), F.lit("poison").alias("kind"))
+
+
 def batch_choice(samples: DataFrame, batch: int = 16, ratio: float = 0.32, seed: str = "batch") -> DataFrame:
     """int(batch ratio) rows of each batch of consecutive ids."""
     rows = samples.select("sample_id", "label", F.floor(F.col("sample_id") / batch).alias("batch"))

@@ -19,7 +19,9 @@ from rondo.operators import metrics as E
 from rondo.operators import partitioners as P
 from rondo.operators import perturbations as M
 from rondo.operators import training as R
+from rondo.sources import configs as C
 from rondo.sources import fixtures as S
+from rondo.sources import images as I
 from rondo.sources import sinks as K
 from rondo.streaming import keyed as Y
 from rondo.streaming import rounds as T
@@ -171,6 +173,15 @@ query(
     "attack_categories", lambda spark, d: M.categories(spark.createDataFrame(M.ATTACKS, "name string, attributes array<string>")),
     "WITH a(name, attrs) AS (VALUES " + ", ".join(f"('{n}', {at!r})" for n, at in M.ATTACKS) + ") SELECT 'data' AS category, name FROM a WHERE list_contains(attrs, 'data_poisoning') UNION ALL SELECT 'hybrid', name FROM a WHERE list_contains(attrs, 'data_poisoning') AND list_contains(attrs, 'model_poisoning') UNION ALL SELECT 'model', name FROM a WHERE NOT list_contains(attrs, 'data_poisoning')",
 )
+_NAMED = [(name.replace(".", "_"), start, shape) for name, start, shape in S.SHAPES]
+on_updates(
+    "layer_round_trip", lambda u: L.restored(u, _NAMED).select("round", "client_id", F.posexplode(L.flat([(name, len(shape)) for name, _, shape in _NAMED])).alias("coord", "value")),
+    " SELECT round, client_id, coord, " + _VALUE.format("value") + " FROM l",
+)
+on_updates(
+    "layer_rows", lambda u: L.restored(u, _NAMED).select("round", "client_id", F.posexplode("fc2_weight").alias("unit", "row")).select("round", "client_id", "unit", F.get("row", 0).alias("first"), F.get("row", 5).alias("last"), V.norm("row").alias("norm")),
+    ", k AS (SELECT round, client_id, unnest(range(4))::INTEGER AS unit, vec FROM u) SELECT round, client_id, unit, " + _R.format("vec[37 + unit * 6]", "first") + ", " + _R.format("vec[42 + unit * 6]", "last") + ", " + _R.format("sqrt(list_inner_product(vec[37 + unit * 6:42 + unit * 6], vec[37 + unit * 6:42 + unit * 6]))", "norm") + " FROM k",
+)
 
 # update rules
 _LAST = ", m AS (SELECT round + 1 AS round, coord, avg(value) AS w FROM l GROUP BY ALL), j AS (SELECT l.*, coalesce(w, 0.0) AS w FROM l LEFT JOIN m USING (round, coord))"
@@ -298,6 +309,60 @@ query("subset_by_id", lambda spark, d: P.subset(S.samples(spark, d), S.table(spa
 on_samples("labels_of_both", lambda s: P.labels_of_both(P.iid(s), 1, 2), _IID + " SELECT label FROM a WHERE client_id = 1 INTERSECT SELECT label FROM a WHERE client_id = 2")
 on_samples("normalise", lambda s: P.normalised(s, 0.5, 0.25).select("sample_id", F.posexplode("features").alias("coord", "x")), _SM + f", c AS ({_CELLS}) SELECT sample_id, coord, round((x - 0.5) / 0.25, 6) + 0.0 AS x FROM c")
 
+_STATS = ", st AS (SELECT label, avg(x) AS mean, stddev_pop(x) AS sd FROM (SELECT label, unnest(f) AS x FROM sm) GROUP BY label)"
+
+
+def _by_statistics(s: DataFrame) -> DataFrame:
+    """Each label's samples by the statistics of the label."""
+    own = s.select("label", F.explode("features").alias("x")).groupBy("label").agg(F.array(F.avg("x")).alias("mean"), F.array(F.stddev_pop("x")).alias("sd"))
+    return P.normalised_by(s, own, "label").select("sample_id", F.posexplode("features").alias("coord", "x"))
+
+
+on_samples("normalise_by_statistics", _by_statistics, _SM + _STATS + ", c AS (SELECT sample_id, label, unnest(range(64))::INTEGER AS coord, unnest(f) AS x FROM sm) SELECT sample_id, coord, round((x - mean) / sd, 6) + 0.0 AS x FROM c JOIN st USING (label)")
+_TAPS = "SELECT o, i, w / sum(w) OVER (PARTITION BY o) AS w FROM (SELECT o, i, greatest(0.0, 1 - abs(i + 0.5 - (o + 0.5) * 8 / {n}.0) / greatest(1.0, 8 / {n}.0)) AS w FROM (SELECT unnest(range({n})) AS o), (SELECT unnest(range(8)) AS i)) WHERE w > 0"
+for _name, (_high, _wide) in (("resize_up", (12, 11)), ("resize_down", (5, 3))):
+    on_samples(
+        _name, lambda s, new=(_high, _wide): s.select("sample_id", F.posexplode(P.resized("features", (8, 8), new)).alias("coord", "x")),
+        _SM + f", ty AS ({_TAPS.format(n=_high)}), tx AS ({_TAPS.format(n=_wide)}), c AS ({_CELLS}) SELECT sample_id, (ty.o * {_wide} + tx.o)::INTEGER AS coord, round(sum(ty.w * tx.w * x), 6) + 0.0 AS x FROM c JOIN ty ON ty.i = coord // 8 JOIN tx ON tx.i = coord % 8 GROUP BY ALL",
+    )
+
+
+def _through_files(s: DataFrame) -> DataFrame:
+    """Samples written as image files, one a row, and decoded again."""
+    unit = s.select("sample_id", F.transform("features", lambda x: (x + 1) / 2).alias("features"))
+    return I.decoded(I.encoded(unit, 8, 8)).select("sample_id", "height", "width", "channels", F.posexplode("features").alias("coord", "x"))
+
+
+on_samples("image_decode", _through_files, _SM + f", c AS ({_CELLS}) SELECT sample_id, 8 AS height, 8 AS width, 1 AS channels, coord, round(floor(greatest(0.0, least(1.0, (x + 1) / 2)) * 255 + 0.5) / 255, 6) + 0.0 AS x FROM c")
+
+
+def _image_trigger(s: DataFrame) -> DataFrame:
+    """The first sample as an image file, the trigger of all others."""
+    unit = s.where("sample_id = 0").select("sample_id", F.transform("features", lambda x: (x + 1) / 2).alias("features"))
+    trigger = P.image_trigger(I.decoded(I.encoded(unit, 8, 8)), 3, 8, 8, mean=0.5, sd=0.25)
+    return P.with_image(s, trigger).select("sample_id", F.posexplode("features").alias("coord", "x"))
+
+
+on_samples(
+    "trigger_image", _image_trigger,
+    _SM + f", t3 AS ({_TAPS.format(n=3)}), z AS (SELECT unnest(range(64)) AS coord, unnest(list_transform(f, lambda x: floor(greatest(0.0, least(1.0, (x + 1) / 2)) * 255 + 0.5) / 255)) AS v FROM sm WHERE sample_id = 0)"
+    f", g AS (SELECT (ty.o + 5) * 8 + tx.o + 5 AS coord, (sum(ty.w * tx.w * v) - 0.5) / 0.25 AS v FROM z JOIN t3 ty ON ty.i = coord // 8 JOIN t3 tx ON tx.i = coord % 8 GROUP BY ALL), c AS ({_CELLS}) SELECT sample_id, c.coord, round(coalesce(v, x), 6) + 0.0 AS x FROM c LEFT JOIN g ON g.coord = c.coord",
+)
+on_samples("poison_test", lambda s: P.poisoned_test(s.where("label = 3")), _SM + " SELECT sample_id, 6 AS label, 'poison' AS kind FROM sm WHERE label = 3")
+
+
+def _settings(spark, d: str) -> DataFrame:
+    """The nations as a settings file of nested mappings, read by the settings source."""
+    body = F.format_string("  %s: # a nation\n    key: %d\n    region: [%d, '%s']", "n_name", "n_nationkey", "n_regionkey", "r_name")
+    nations = S.table(spark, d, "nation").join(S.table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("n_nationkey").alias("at"), body.alias("value"))
+    lines = spark.createDataFrame([(-1, "nations:")], "at long, value string").unionByName(nations)
+    path = f"{T.scratch(spark)}/settings"
+    lines.coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    return C.settings_table(spark, path).select("path", "value")
+
+
+query("settings_scan", _settings, "SELECT 'nations.' || n_name || x.k AS path, x.v AS value FROM (SELECT n_name, unnest([{'k': '.key', 'v': n_nationkey::VARCHAR}, {'k': '.region.0', 'v': n_regionkey::VARCHAR}, {'k': '.region.1', 'v': r_name}]) AS x FROM nation JOIN region ON n_regionkey = r_regionkey)")
+
 # evaluation
 _PRED = _SM + ", p AS (SELECT (sample_id // 50)::INTEGER AS round, sample_id, label, (list_position(f[1:10], list_max(f[1:10])) - 1)::INTEGER AS pred, ln(list_sum(list_transform(f[1:10], lambda x: exp(x)))) - f[label + 1] AS loss, sample_id % 5 = 0 AS triggered, (label + 1) % 10 AS source_label FROM sm)"
 

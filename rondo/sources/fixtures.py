@@ -16,6 +16,10 @@ CLASSES = 4
 LAYOUT = [(0, "fc1.weight", 0, 32, 2, "weight"), (1, "fc1.bias", 32, 4, 1, "bias"), (2, "fc2.weight", 36, 24, 2, "weight"), (3, "fc2.bias", 60, 4, 1, "bias")]
 
 
+#: The shapes of its layers: (layer, start, shape).
+SHAPES = [("fc1.weight", 0, (4, 8)), ("fc1.bias", 32, (4,)), ("fc2.weight", 36, (4, 6)), ("fc2.bias", 60, (4,))]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
