@@ -1,17 +1,21 @@
 """LM scoring with a log-frequency Bloom filter.
 
 The texts are cut into chunks of about CHUNK tokens, each one row of a written table: the hashes of its distinct
-words and the place of every token in them. A chunk sends its distinct words and word pairs, with their counts in
-training texts, to blocks dealt by the n-gram's hash. The task of a block sums the counts. Pairs are stored as
-quantised levels, 1 + floor(log2(count)): a pair of level q is in the block's filter as the q items (pair, 1) ...
-(pair, q), and its level is read back by repeated membership probes, level after level until one fails. The task
-answers each chunk with the exact counts of its words and the filter's levels of its pairs; a second shuffle brings
-the answers back. There are as many blocks as hold about BLOCK tokens each, and a block has BITS_PER_ITEM bits or more
-for each of its items, so all that was counted is kept and the error rate of the probes keeps its bound at every size.
+words and the place of every token in them. N-grams are dealt into blocks by their hash, as many as hold about BLOCK tokens
+each.
+
+The filter is built once: the chunks send the counts of their training word pairs to the pairs' blocks, and the sums are stored
+as quantised levels, 1 + floor(log2(count)): a pair of level q is in the block's filter as the q items (pair, 1) ...
+(pair, q), at BITS_PER_ITEM bits an item or more. Only these bits are written. Scoring has nothing else of the pairs: it
+reads a level back by repeated membership probes, level after level until one fails, so a pair that was never seen may
+pass by chance. A filter of at most BROADCAST_BYTES is broadcast to the workers whole; a larger one by its blocks, each to the
+task that answers the chunks' questions about its pairs, and a second shuffle brings the levels back. Both ways probe
+the same bits, and the error rate keeps its bound at every size.
 
 A text's score sums log10 of the smoothed probability of each word after the one before it,
 ``(c(v w) + MU * p(w)) / (c(v) + MU)`` with ``p(w) = (c(w) + 1) / (N + V + 1)``, the end of the text as last word;
-c(v w) is the middle of the pair's level. The base score sums log10 p(w). N, V and counts of single words are exact.
+c(v w) is the middle of the pair's level. The base score sums log10 p(w). N, V and counts of single words, which the base
+score needs, are exact: they meet by block and go back to the chunks that asked.
 
 Defined cases: a null or wordless text is one end; without training texts N = V = 0 and every count is 0;
 rows of equal id and text are scored each and, in training, counted each; a null id is in the training part.
@@ -19,7 +23,7 @@ rows of equal id and text are scored each and, in training, counted each; a null
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rondo.llm import bytescan as bs
-from rondo.llm.common import BIG_ROWS, cut, fold, map_arrow_all, parts_for, small_batches
+from rondo.llm.common import BIG_ROWS, cut, fold, map_arrow_all, parts_for
+from rondo.sources.shared import settings
 
 BITS_PER_ITEM = 8
 PROBES = 4
 MU = 1000.0
 CHUNK = 1 << 20
 BLOCK = 1 << 20
+#: A filter of so many bytes at most is broadcast as a whole.
+BROADCAST_BYTES = 16 << 20
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6B27D4EB4F)
 _ONE, _LEVEL = np.uint64(0x2545F4914F6CDD1D), 0xA0761D6478BD642F
 
@@ -67,29 +74,36 @@ def _place(key: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
 
 
 class LogFrequencyFilter:
-    """``blocks`` has a row of bytes for each block, chosen by the top bits of the n-gram's hash."""
-
-    def __init__(self, blocks: np.ndarray):
-        self.blocks, self.bits = blocks, (blocks.shape[1] * 8).bit_length() - 1
+    """The bits of each block, chosen by the top bits of the n-gram's hash; a block without items may be left out."""
 
-    def counts(self, key: np.ndarray) -> np.ndarray:
-        """The middle of the level of each n-gram, 0 for one that is not in the filter."""
-        return middle(self.levels(key))
+    def __init__(self, blocks: dict[int, np.ndarray], many: int):
+        self.blocks, self.many = blocks, many
 
     def levels(self, key: np.ndarray) -> np.ndarray:
+        """The level of each n-gram, 0 for one that is not in the filter."""
         level = np.zeros(len(key), np.int64)
-        live, block = np.arange(len(key)), block_of(key, len(self.blocks))
-        q = 0
-        while len(live):
-            q += 1
-            for probe in range(PROBES):
-                place = _place(key[live], q, probe, self.bits)
-                found = (self.blocks[block[live], place >> 3] >> (place & 7).astype(np.uint8)) & 1
-                live = live[found == 1]
-            level[live] = q
+        block = block_of(key, self.many)
+        order = np.argsort(block, kind="stable")
+        own, first = np.unique(block[order], return_index=True)
+        for k, at in zip(own.tolist(), np.split(order, first[1:]), strict=True):
+            if k in self.blocks:
+                level[at] = _probed(self.blocks[k], key[at])
         return level
 
 
+def _probed(flags: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Levels by probes of one block's bytes."""
+    bits = (len(flags) * 8).bit_length() - 1
+    level, live, q = np.zeros(len(key), np.int64), np.arange(len(key)), 0
+    while len(live):
+        q += 1
+        for probe in range(PROBES):
+            place = _place(key[live], q, probe, bits)
+            live = live[(flags[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1]
+        level[live] = q
+    return level
+
+
 def middle(level: np.ndarray) -> np.ndarray:
     return np.where(level > 1, 1.5 * 2.0 ** (level - 1), level.astype(float))
 
@@ -115,13 +129,15 @@ def build_block(key: np.ndarray, count: np.ndarray, bits: int = 0) -> np.ndarray
 
 
 def _pack(x: np.ndarray) -> bytes:
-    """Zstandard over planes of bytes, of the gaps if they are sorted keys: upper bytes are mostly zeros."""
+    """Planes of bytes, of the gaps if they are sorted keys, as upper bytes are mostly zeros: by Zstandard, or as they are if they are few."""
     x = np.diff(x, prepend=np.uint64(0)) if x.dtype == np.uint64 else x
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+    return b"z" + zstandard.ZstdCompressor(level=1).compress(planes) if len(planes) >= 256 else b"p" + planes
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    raw = zstandard.ZstdDecompressor().decompress(data[1:]) if data[:1] == b"z" else data[1:]
+    planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
     x = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
     return np.cumsum(x, dtype=np.uint64) if kind is np.uint64 else x
 
@@ -160,81 +176,158 @@ def chunks(docs: DataFrame, size: int) -> DataFrame:
     return cut(map_arrow_all(docs, run, schema), **BIG_ROWS)
 
 
-def answers(table: DataFrame, blocks: int) -> DataFrame:
-    """(chunk, block, one, two, n, v): the counts of a chunk's words and the levels of its pairs that belong to a block.
+def _by_block(key: np.ndarray, blocks: int) -> tuple[np.ndarray, list[slice]]:
+    """The blocks that sorted keys belong to, and where each one's are."""
+    own, first = np.unique(block_of(key, blocks), return_index=True)
+    edge = np.append(first, len(key))
+    return own, [slice(a, b) for a, b in zip(edge[:-1], edge[1:], strict=True)]
 
-    n and v sum to the numbers of tokens and of distinct tokens of the training texts.
-    """
+
+def _columns(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+
+def _large_rows(df: DataFrame, f: Callable, schema: str) -> DataFrame:
+    """``map_arrow_all`` in batches of a few rows, written out."""
+    spark = df.sparkSession
+    with settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": "16"}):
+        return cut(map_arrow_all(df, f, schema), **BIG_ROWS)
+
+
+def build_filter(table: DataFrame, blocks: int) -> DataFrame:
+    """(block, flags): the filter of the training texts' word pairs, written out."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
-            for chunk, held, sizes, words, places in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for held, sizes, words, places in _columns(batch):
                 words, places = np.frombuffer(words, np.uint64), np.frombuffer(places, np.uint32)
                 doc = np.repeat(np.arange(len(sizes)), sizes)
-                trained = ~np.array(held, bool)[doc]
-                pair, back = np.unique(pairs(words[places], doc)[1], return_inverse=True)
-                keys = {"word": (single(words), places), "pair": (pair, back)}  # sorted, so that a block's are in a row
-                own = np.unique(np.concatenate([block_of(key, blocks) for key, _ in keys.values()]))  # the blocks that the chunk needs
-                out = {"block": own, "chunk": np.full(len(own), chunk)}
-                for name, (key, at) in keys.items():
-                    n = np.bincount(at[trained], minlength=len(key)).astype(np.uint32)
-                    cuts = [np.searchsorted(block_of(key, blocks), own, side) for side in ("left", "right")]
-                    out |= {f"{name}s": [_pack(key[a:b]) for a, b in zip(*cuts, strict=True)], f"{name}_n": [_pack(n[a:b]) for a, b in zip(*cuts, strict=True)]}
-                yield out
+                pair, n = np.unique(pairs(words[places], doc)[1][~np.array(held, bool)[doc]], return_counts=True)
+                own, where = _by_block(pair, blocks)
+                yield {"block": own, "pairs": [_pack(pair[x]) for x in where], "n": [_pack(n[x].astype(np.uint32)) for x in where]}
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: dict[int, list] = {}
         for batch in batches:
-            for block, *part in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for block, *part in _columns(batch):
+                held.setdefault(block, []).append(part)
+        while held:
+            block, parts = held.popitem()
+            key, n = (np.concatenate([_unpack(x, kind) for x in own]) for own, kind in zip(zip(*parts, strict=True), (np.uint64, np.uint32), strict=True))
+            yield {"block": [block], "flags": [build_block(key, n.astype(np.int64)).tobytes()]}
+
+    sent = map_arrow_all(table.select("held", "sizes", "words", "places"), count, "block int, pairs binary, n binary")
+    return _large_rows(sent.repartition(blocks, "block"), build, "block int, flags binary")
+
+
+def word_counts(table: DataFrame, blocks: int) -> DataFrame:
+    """(chunk, block, one, n, v): the exact training counts of a chunk's words that belong to a block, written out.
+
+    n and v sum to the numbers of tokens and of distinct tokens of the training texts.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for chunk, held, sizes, words, places in _columns(batch):
+                words, places = np.frombuffer(words, np.uint64), np.frombuffer(places, np.uint32)
+                trained = ~np.repeat(np.array(held, bool), sizes)
+                n = np.bincount(places[trained], minlength=len(words)).astype(np.uint32)
+                key = single(words)
+                own, where = _by_block(key, blocks)
+                yield {"block": own, "chunk": np.full(len(own), chunk), "words": [_pack(key[x]) for x in where], "n": [_pack(n[x]) for x in where]}
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        held: dict[int, list] = {}
+        for batch in batches:
+            for block, *part in _columns(batch):
                 held.setdefault(block, []).append(part)
         while held:
             block, parts = held.popitem()
-            chunk, *packed = zip(*parts, strict=True)
-            words, word_n, both, pair_n = ([_unpack(x, kind) for x in own] for own, kind in zip(packed, (np.uint64, np.uint32) * 2, strict=True))
+            chunk, words, n = zip(*parts, strict=True)
+            words = [_unpack(x, np.uint64) for x in words]
             key, at = np.unique(np.concatenate(words), return_inverse=True)
-            total = np.bincount(at, np.concatenate(word_n), len(key)).astype(np.int64)
-            pair, n = np.concatenate(both), np.concatenate(pair_n)
-            level = LogFrequencyFilter(build_block(pair[n > 0], n[n > 0].astype(np.int64)).reshape(1, -1)).levels(pair).astype(np.uint8)
-            dealt = lambda x, of: [p.tobytes() for p in np.split(x, np.cumsum([len(y) for y in of])[:-1])]
+            sums = np.bincount(at, np.concatenate([_unpack(x, np.uint32) for x in n]), len(key)).astype(np.int64)
+            dealt = np.split(sums[at], np.cumsum([len(x) for x in words])[:-1])
             first = np.arange(len(parts)) == 0
-            yield {"chunk": chunk, "block": [block] * len(parts), "one": dealt(total[at], words), "two": dealt(level, both), "n": first * total.sum(), "v": first * (total > 0).sum()}
+            yield {"chunk": chunk, "block": [block] * len(parts), "one": [_pack(x) for x in dealt], "n": first * sums.sum(), "v": first * (sums > 0).sum()}
 
-    sent = map_arrow_all(table.select("chunk", "held", "sizes", "words", "places"), count, "block int, chunk long, words binary, word_n binary, pairs binary, pair_n binary")
-    sent = sent.repartition(blocks, "block")
-    spark = table.sparkSession
-    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
-    small_batches(spark, 16)
-    try:
-        return cut(map_arrow_all(sent, build, "chunk long, block int, one binary, two binary, n long, v long"))
-    finally:
-        small_batches(spark, int(rows))
+    sent = map_arrow_all(table.select("chunk", "held", "sizes", "words", "places"), ask, "block int, chunk long, words binary, n binary")
+    return _large_rows(sent.repartition(blocks, "block"), total, "chunk long, block int, one binary, n long, v long")
 
 
-def score(docs: DataFrame, chunk: int = CHUNK, mu: float = MU) -> DataFrame:
-    """op3: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document."""
+def probed_levels(table: DataFrame, flags: DataFrame, blocks: int) -> DataFrame:
+    """(chunk, block, two): the levels of a chunk's pairs by probes of their block, whose task has the block's bits and the pairs only."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for chunk, sizes, words, places in _columns(batch):
+                words, places = np.frombuffer(words, np.uint64), np.frombuffer(places, np.uint32)
+                pair = np.unique(pairs(words[places], np.repeat(np.arange(len(sizes)), sizes))[1])
+                own, where = _by_block(pair, blocks)
+                yield {"block": own, "chunk": np.full(len(own), chunk), "data": [_pack(pair[x]) for x in where]}
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        bits: dict[int, np.ndarray] = {}
+        asked: dict[int, list] = {}
+        for batch in batches:
+            for block, chunk, data in _columns(batch):
+                if chunk is None:
+                    bits[block] = np.frombuffer(data, np.uint8)
+                else:
+                    asked.setdefault(block, []).append((chunk, data))
+        while asked:
+            block, parts = asked.popitem()
+            own = LogFrequencyFilter({block: bits[block]} if block in bits else {}, blocks)
+            yield {"chunk": [c for c, _ in parts], "block": [block] * len(parts), "two": [_pack(own.levels(_unpack(x, np.uint64)).astype(np.uint8)) for _, x in parts]}
+
+    sent = map_arrow_all(table.select("chunk", "sizes", "words", "places"), ask, "block int, chunk long, data binary")
+    both = sent.unionByName(flags.select("block", F.lit(None).cast("long").alias("chunk"), F.col("flags").alias("data")))
+    return _large_rows(both.repartition(blocks, "block"), answer, "chunk long, block int, two binary")
+
+
+def score(docs: DataFrame, chunk: int = CHUNK, mu: float = MU, broadcast_bytes: int = BROADCAST_BYTES, block: int = BLOCK) -> DataFrame:
+    """op3: (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
+
+    ``broadcast_bytes`` decides how the filter reaches the workers and changes no score.
+    """
+    spark = docs.sparkSession
     table = chunks(docs.select("doc_id", F.coalesce(fold("doc_id", 7) == 2, F.lit(False)).alias("held_out"), "text"), chunk)
     n_tokens = table.agg(F.sum("n_tokens")).head()[0] or 0
-    answered = answers(table, 1 << max(4, int(np.ceil(np.log2(max(1, n_tokens) / BLOCK)))))
-    n, v = (x or 0 for x in answered.agg(F.sum("n"), F.sum("v")).head())
+    blocks = 1 << max(4, int(np.ceil(np.log2(max(1, n_tokens) / block))))
+    known = word_counts(table, blocks)
+    n, v = (x or 0 for x in known.agg(F.sum("n"), F.sum("v")).head())
     base = float(n + v + 1)
+    flags = build_filter(table, blocks)
+    size = flags.agg(F.sum(F.length("flags"))).head()[0] or 0
+    shared = None
+    if size <= broadcast_bytes:  # the bound of what is collected and broadcast
+        shared = spark.sparkContext.broadcast({x["block"]: bytes(x["flags"]) for x in flags.toLocalIterator()})
+    replies = known.select("chunk", "block", "one", F.lit(None).cast("binary").alias("two"))
+    if shared is None:
+        replies = replies.unionByName(probed_levels(table, flags, blocks).select("chunk", "block", F.lit(None).cast("binary").alias("one"), "two"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         texts, met = {}, {}
         for batch in batches:
-            for number, block, one, two, *own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for number, block, one, two, *own in _columns(batch):
                 if block is None:
                     texts[number] = own
                 else:
                     met.setdefault(number, []).append((block, one, two))
         while texts:
             number, (ids, held, sizes, words, at) = texts.popitem()
-            _, one, two = zip(*sorted(met.pop(number)), strict=True)
+            answers = sorted(met.pop(number), key=lambda x: x[0])
+            gather = lambda k, kind, answers=answers: np.concatenate([np.zeros(0, kind), *(_unpack(x[k], kind) for x in answers if x[k] is not None)])
             words, at = np.frombuffer(words, np.uint64), np.frombuffer(at, np.uint32)
-            count, level = np.frombuffer(b"".join(one), np.int64), np.frombuffer(b"".join(two), np.uint8).astype(np.int64)
+            count = gather(1, np.int64)
             m = len(ids)
             doc = np.repeat(np.arange(m), sizes)
             before, pair = pairs(words[at], doc)
-            back = np.unique(pair, return_inverse=True)[1]
+            pair, back = np.unique(pair, return_inverse=True)
+            if shared is None:
+                level = gather(2, np.uint8).astype(np.int64)
+            else:
+                level = LogFrequencyFilter({k: np.frombuffer(x, np.uint8) for k, x in shared.value.items()}, blocks).levels(pair)
             p_one = (count + 1) / base
             c_before = count[np.append(at[:1], at[:-1])].astype(float)
             c_before[before == BEGIN] = count[words == END][0]  # each training text has one end
@@ -245,8 +338,8 @@ def score(docs: DataFrame, chunk: int = CHUNK, mu: float = MU) -> DataFrame:
             }
 
     none = lambda x, names: [F.lit(None).cast(x.schema[c].dataType).alias(c) for c in names]
-    replies, own = ("block", "one", "two"), ("ids", "held", "sizes", "words", "places")
-    rows = table.select("chunk", *none(answered, replies), *own).unionByName(answered.select("chunk", *replies, *none(table, own)))
-    rows = rows.repartition(parts_for(docs.sparkSession, n_tokens, 2 * CHUNK), "chunk")
+    told, own = ("block", "one", "two"), ("ids", "held", "sizes", "words", "places")
+    rows = table.select("chunk", *none(replies, told), *own).unionByName(replies.select("chunk", *told, *none(table, own)))
+    rows = rows.repartition(parts_for(spark, n_tokens, 2 * CHUNK), "chunk")
     out = map_arrow_all(rows, run, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -194,20 +194,20 @@ def test_log_frequency_filter_reads_levels_back():
     key = r.integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2)
     count = np.minimum(r.zipf(1.7, 4000), 10**6).astype(np.int64)
     twice = language_model.build_block(np.append(key, key), np.append(count, count), 18)
-    f = language_model.LogFrequencyFilter(twice.reshape(1, -1))
+    f = language_model.LogFrequencyFilter({0: twice}, 1)
     level = 1 + np.log2(2 * count).astype(int)
-    got = f.counts(key)
+    got = language_model.middle(f.levels(key))
     want = 1.5 * 2.0 ** (level - 1)
     assert (got >= want).all() and (got == want).mean() > 0.95
-    assert (f.counts(r.integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.05
+    assert (f.levels(r.integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2) + np.uint64(1)) > 0).mean() < 0.05
 
 
 def test_log_frequency_filter_drops_nothing():
     import numpy as np
 
     key = np.random.default_rng(2).integers(0, 2**63, 50000, dtype=np.uint64)
-    f = language_model.LogFrequencyFilter(language_model.build_block(key, np.ones(len(key), np.int64), 16).reshape(1, -1))
-    assert (f.counts(key) >= 1).all()
+    f = language_model.LogFrequencyFilter({0: language_model.build_block(key, np.ones(len(key), np.int64), 16)}, 1)
+    assert (f.levels(key) >= 1).all()
 
 
 @pytest.mark.parametrize("chunk", [5, 1 << 18])
@@ -232,6 +232,45 @@ def test_language_model_scores(spark, texts, chunk):
     assert min(gaps) > -1e-6 and sum(gaps) < 0.05 * sum(map(len, tokens)) / 10 and sorted(gaps)[len(gaps) // 2] < 0.01
 
 
+@pytest.mark.parametrize(("chunk", "block", "bound"), [(400, 64, 0), (400, 64, 1 << 24), (1 << 18, 1 << 20, 0), (1 << 18, 1 << 20, 1 << 24)])
+def test_scores_come_from_the_filter(spark, chunk, block, bound):
+    """Pairs that were never seen pass by chance; the scores have just those of a filter that is built here."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    rows = [" ".join(f"w{x}" for x in r.integers(0, 90, int(r.integers(0, 60)))) for _ in range(200)]
+    rows += [None, "", rows[3], "w1 " * 500]
+    training = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(rows))]
+    parts = []
+    for t in rows:
+        data = np.frombuffer((t or "").encode(), np.uint8)
+        token, doc = language_model.tokens(data, np.array([0, len(data)]))
+        parts.append((token, *language_model.pairs(token, doc)))
+    n = sum(len(p[0]) for p in parts)
+    many = 1 << max(4, math.ceil(math.log2(n / block)))
+    pair = np.concatenate([p[2] for p, train in zip(parts, training) if train])
+    where = language_model.block_of(pair, many)
+    built = {int(k): language_model.build_block(pair[where == k], np.ones((where == k).sum(), np.int64)) for k in np.unique(where)}
+    f = language_model.LogFrequencyFilter(built, many)
+    count = collections.Counter(x for p, train in zip(parts, training) if train for x in p[0].tolist())
+    exact = collections.Counter(pair.tolist())
+    base, mu = sum(count.values()) + len(count) + 1, 1000.0
+
+    def wanted(level):
+        out = []
+        for token, before, own in parts:
+            c = np.array([count[int(language_model.END) if b == language_model.BEGIN else int(b)] for b in before], float)
+            p = (np.minimum(language_model.middle(level(own)), c) + mu * np.array([(count[x] + 1) / base for x in token.tolist()])) / (c + mu)
+            out.append(float(np.log10(p).sum()))
+        return out
+
+    bypassed = wanted(lambda own: np.array([int(math.log2(exact[x])) + 1 if exact[x] else 0 for x in own.tolist()]))
+    want = wanted(f.levels)
+    assert sum(abs(a - b) > 1e-6 for a, b in zip(want, bypassed)) > 5
+    got = {x.doc_id: x.score for x in language_model.score(frame(spark, rows), chunk, broadcast_bytes=bound, block=block).collect()}
+    assert [got[i] for i in range(len(rows))] == pytest.approx(want, abs=1e-9)
+
+
 def test_rule_measures(spark, texts):
     def brute(t):
         t = t or ""
