@@ -238,7 +238,7 @@ def test_scores_come_from_the_filter(spark, chunk, block, bound):
     import numpy as np
 
     r = np.random.default_rng(5)
-    rows = [" ".join(f"w{x}" for x in r.integers(0, 90, int(r.integers(0, 60)))) for _ in range(200)]
+    rows = [" ".join(f"w{x}" for x in r.integers(0, 300, int(r.integers(0, 60)))) for _ in range(200)]
     rows += [None, "", rows[3], "w1 " * 500]
     training = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(rows))]
     parts = []
