@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 from rondo.llm import bpe, compression, decontaminate, jaccard_join, line_dedup
-from rondo.llm.common import fold, small_batches, table, cut
+from rondo.llm.common import cut, fold, packed, small_batches, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,7 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     small_batches(spark)
     model = compression.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality", fold("doc_id", 5) != 0)
-    return compression.with_score(docs, model, only_kept=True).select(*docs.columns)
+    return packed(docs, lambda own: compression.with_score(own, model, only_kept=True))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -142,3 +142,15 @@ def through(batch: pa.RecordBatch, new: dict, keep=None) -> dict:
     """The batch's columns and ``new``; ``keep`` selects rows of both."""
     columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names) if name not in new} | {k: pa.array(v) for k, v in new.items()}
     return columns if keep is None else {k: v.filter(pa.array(keep)) for k, v in columns.items()}
+
+
+def packed(docs: DataFrame, work: Callable[[DataFrame], DataFrame], names: tuple[str, ...] = ("doc_id", "text", "n_chars")) -> DataFrame:
+    """``work`` on the columns ``names`` of the documents, all others packed in one column ``rest`` meanwhile.
+
+    So no work column can meet a column of the documents, whatever its name; ``work`` keeps ``rest``. Columns come back in their order.
+    """
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    others = [c for c in docs.columns if c not in names]
+    rest = F.struct(*[quoted(c) for c in others]) if others else F.lit(None).cast("boolean")
+    out = work(docs.select(*[c for c in docs.columns if c in names], rest.alias("rest")))
+    return out.select(*[F.col("rest").getField(c).alias(c) if c in others else F.col(c) for c in docs.columns])

@@ -23,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rondo.llm.common import fold, map_arrow, plus, through
+from rondo.llm.common import cut, fold, map_arrow, plus, through
 
 CHUNK = 1024
 DICT_BYTES = 65536
@@ -129,7 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", learn=None)
     ``learn`` is a condition on the label rows, such as one that leaves a fold out.
     """
     rows = labelled(docs, labels, label, SAMPLE_DOCS, learn)
-    own = rows.select("doc_id", "text", "y", "part", "weight")
+    own = cut(rows.select("doc_id", "text", "y", "part", "weight"))  # the bounded sample: one pass over the documents
 
     def chunks(batch: pa.RecordBatch) -> Iterator[dict]:
         ids, texts, ys = (batch.column(k) for k in (0, 1, 2))

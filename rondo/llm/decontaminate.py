@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rondo.llm import bytescan as bs
-from rondo.llm.common import cut, map_arrow, plus, through
+from rondo.llm.common import cut, map_arrow, packed, plus, through
 
 WINDOW = 10
 BLOCK_WORDS = 200_000
@@ -178,8 +178,12 @@ def remove(docs: DataFrame, benchmark: DataFrame, max_coverage: float = MAX_COVE
     """The documents without the spans hit: from the first to the last word of each run of hit words.
 
     A text that would lose more than ``max_coverage`` of its words is left out whole. ``n_chars``, where the
-    table has it, follows the text.
+    table has it, follows the text. Other columns pass through, whatever their names.
     """
+    return packed(docs, lambda own: _removed(own, benchmark, max_coverage, window))
+
+
+def _removed(docs: DataFrame, benchmark: DataFrame, max_coverage: float, window: int) -> DataFrame:
     names = ("_n_words", "_hit_words", "_item_ids")
     found = match(docs, benchmark, window, names=names)
     # written out, or each task would hold two Python workers

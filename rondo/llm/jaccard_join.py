@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from rondo.llm import bytescan as bs
-from rondo.llm.common import Counter64, KeyFilter, cut, map_arrow, map_arrow_all
+from rondo.llm.common import Counter64, KeyFilter, cut, map_arrow, map_arrow_all, packed
 from rondo.llm.components import components
 
 SHINGLE = 5
@@ -344,7 +344,11 @@ def similar(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row of each component stays, of least id, rows without an id last, then by text; of equal rows one. Rows without words all stay."""
+    """One row of each component stays, of least id, rows without an id last, then by text; of equal rows one. Rows without words all stay. Other columns pass through, whatever their names."""
+    return packed(docs, _deduped)
+
+
+def _deduped(docs: DataFrame) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_key").alias("key"))
     first = grouped(docs).where("n > 0").groupBy("component").agg(F.min(order).alias("first")).select("first.*")
     names = {"no_id": F.col("doc_id").isNull(), "id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "key": F.xxhash64("text")}

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rondo.llm.common import cut
+from rondo.llm.common import cut, packed
 
 MIN_CHARS = 120
 _LINE = 10**9
@@ -113,7 +113,11 @@ def _cleaned(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """The documents with repeated runs deleted; one whose every word went is left out."""
+    """The documents with repeated runs deleted; one whose every word went is left out. Other columns pass through, whatever their names."""
+    return packed(docs, _deduped)
+
+
+def _deduped(docs: DataFrame) -> DataFrame:
     found = _cleaned(docs, repeated_runs(docs))
     found = found.where(F.col("_gone_lines").isNull() | F.col("_kept_text").rlike("[^\\x20\\x09-\\x0D]"))
     cols = [F.col("_kept_text").alias("text") if c == "text" else F.when(F.col("_gone_lines").isNull(), F.col(c)).otherwise(F.length("_kept_text")).cast(t).alias(c) if c == "n_chars" else F.col(c) for c, t in docs.dtypes]

@@ -11,7 +11,7 @@ Positions come from the pieces between the matches: their lengths, summed in a w
 text and kind, are the offsets in code points.
 
 Defined cases: null and empty texts have no matches; a null source is an owner of its own name ''; the rows of
-one id and text are scanned once and reported for each row; a null id is treated like any other value.
+one id and text have the same spans, found once and reported for each row, and the owners of all of them count; a null id is treated like any other value.
 """
 
 from __future__ import annotations
@@ -61,17 +61,18 @@ def _found(kind: int, pattern: str) -> Column:
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, tk, owner, repository, kind, start, end, value) of every candidate that fits its kind."""
-    slim = docs.select("doc_id", "tk", "owner", "repository", F.explode("found").alias("x"))
-    rows = slim.select("doc_id", "tk", "owner", "repository", "x.*").dropDuplicates(["doc_id", "tk", "kind", "i"])
+    """(doc_id, tk, kind, start, end, value) of every candidate that fits its kind; rows of one id and text give theirs once."""
+    slim = docs.select("doc_id", "tk", F.explode("found").alias("x"))
+    rows = slim.select("doc_id", "tk", "x.*").dropDuplicates(["doc_id", "tk", "kind", "i"])
     ordered = Window.partitionBy("doc_id", "tk", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("before") + F.col("size")).over(ordered)).where("fits")
     return rows.withColumn("start", F.col("end") - F.col("size")).drop("before", "size", "fits", "i")
 
 
-def ownership(rows: DataFrame) -> DataFrame:
-    """(value, owners, repositories): how many distinct ones have each candidate value."""
-    once = rows.select("value", "owner", "repository").distinct()
+def ownership(docs: DataFrame) -> DataFrame:
+    """(value, owners, repositories): how many distinct ones have each candidate value, of all rows, repeated ones too."""
+    rows = docs.select("owner", "repository", F.explode(F.filter("found", lambda x: x["fits"])).alias("x"))
+    once = rows.select(F.col("x.value").alias("value"), "owner", "repository").distinct()
     return once.groupBy("value").agg(F.count_distinct("owner").alias("owners"), F.count_distinct("repository").alias("repositories"))
 
 
@@ -83,8 +84,10 @@ def scan(docs: DataFrame, owner: str = "source", repository: tuple[str, ...] = (
         F.concat_ws("/", *[F.coalesce(F.col(c), F.lit("")) for c in repository]).alias("repository"),
     )
     slim = cut(text.select("doc_id", F.xxhash64("text").alias("tk"), "owner", "repository", found.alias("found")))
-    rows = candidates(slim.where(F.size("found") > 0))
-    rows = rows.join(ownership(rows), "value").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
+    some = slim.where(F.size("found") > 0)
+    rows = candidates(some)
+    # written out, so that the join is of two plain shuffles, of which Spark splits a hot value
+    rows = rows.join(cut(ownership(some)), "value").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
     rows = rows.where((F.col("kind") < 3) | F.col("live"))
     spans = F.array_sort(F.collect_list(F.struct("start", "kind", "end")))
     names = F.array(*[F.lit(k) for k in KINDS])
@@ -109,19 +112,19 @@ def _sql(kind: int, name: str, pattern: str) -> str:
     quoted = pattern.replace("'", "''")
     value = f"regexp_extract_all(text, '{quoted}', 2)" if kind == 0 else f"regexp_extract_all(text, '{quoted}')"
     fits = ["length(v) >= 6", "length(v) >= 20", "true", "regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]')"][kind]
-    return f"""SELECT doc_id, source, lang, {kind} AS kind, '{name}' AS name, v, i, length(m) AS size, {fits} AS fits,
-  sum(length(p) + length(m)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
-  SELECT doc_id, source, lang, unnest({value}) AS v, unnest(regexp_extract_all(text, '{quoted}')) AS m, unnest(range(len(regexp_extract_all(text, '{quoted}')))) AS i,
-    unnest(list_slice(string_split_regex(text, '{quoted}'), 1, len(regexp_extract_all(text, '{quoted}')))) AS p FROM documents WHERE regexp_matches(text, '{quoted}'))"""
+    return f"""SELECT rid, source, lang, {kind} AS kind, '{name}' AS name, v, i, length(m) AS size, {fits} AS fits,
+  sum(length(p) + length(m)) OVER (PARTITION BY rid ORDER BY i) AS stop FROM (
+  SELECT rid, source, lang, unnest({value}) AS v, unnest(regexp_extract_all(text, '{quoted}')) AS m, unnest(range(len(regexp_extract_all(text, '{quoted}')))) AS i,
+    unnest(list_slice(string_split_regex(text, '{quoted}'), 1, len(regexp_extract_all(text, '{quoted}')))) AS p FROM dd WHERE regexp_matches(text, '{quoted}'))"""
 
 
 ORACLE = (
-    "WITH f AS (SELECT * FROM (" + " UNION ALL ".join(_sql(k, name, p) for k, (name, p) in enumerate(KINDS.items())) + ") WHERE fits)"
+    "WITH dd AS (SELECT row_number() OVER () AS rid, * FROM documents), f AS (SELECT * FROM (" + " UNION ALL ".join(_sql(k, name, p) for k, (name, p) in enumerate(KINDS.items())) + ") WHERE fits)"
     + f""", o AS (SELECT v, count(DISTINCT coalesce(source, '')) <= {MAX_OWNERS} AND count(DISTINCT coalesce(source, '') || '/' || coalesce(lang, '')) <= {MAX_REPOSITORIES} AS live FROM f GROUP BY v),
 r AS (SELECT f.*, live, name || ':' || (stop - size)::BIGINT || ':' || stop::BIGINT AS said FROM f JOIN o USING (v) WHERE kind < 3 OR live),
-g AS (SELECT doc_id, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
+g AS (SELECT rid, count(*) FILTER (kind = 0) AS a, count(*) FILTER (kind = 1) AS b, count(*) FILTER (kind = 2) AS c,
   string_agg(said, ',' ORDER BY stop - size, kind) FILTER (kind < 3) AS base, string_agg(said, ',' ORDER BY stop - size, kind) AS spans,
-  count(*) FILTER (kind < 3 AND live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM r GROUP BY doc_id)
+  count(*) FILTER (kind < 3 AND live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM r GROUP BY rid)
 SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-  coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example FROM documents LEFT JOIN g USING (doc_id)"""
+  coalesce(spans, '') AS spans, coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example FROM dd LEFT JOIN g USING (rid)"""
 )

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rondo.llm import bytescan as bs
-from rondo.llm.common import Counter64, KeyFilter, cut, map_arrow, map_arrow_all, parts_for, through
+from rondo.llm.common import Counter64, KeyFilter, cut, map_arrow, map_arrow_all, packed, parts_for, through
 
 WIDTH = 200
 GRAM = 48
@@ -354,7 +354,11 @@ def report(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: i
 
 
 def clean(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """The documents without the bytes; what is left of a cut character is dropped. ``n_chars`` follows."""
+    """The documents without the bytes; what is left of a cut character is dropped. ``n_chars`` follows. Other columns pass through, whatever their names."""
+    return packed(docs, lambda own: _cleaned(own, width, gram, shard_bytes))
+
+
+def _cleaned(docs: DataFrame, width: int, gram: int, shard_bytes: int) -> DataFrame:
     rows = _covered(docs, width, gram, shard_bytes)
     text, runs = rows.columns.index("text"), rows.columns.index("_runs")
 
