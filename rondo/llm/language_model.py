@@ -2,7 +2,8 @@
 
 The texts are cut into chunks of about CHUNK tokens, each one row of a written table: the hashes of its distinct
 words and the place of every token in them. N-grams are dealt into blocks by their hash, as many as hold about BLOCK tokens
-each.
+each; inside its block a pair goes by the next KEY_BITS bits of its hash, so two pairs of a block are taken for one as rarely at
+every size.
 
 The filter is built once: the chunks send the counts of their training word pairs to the pairs' blocks, and the sums are stored
 as quantised levels, 1 + floor(log2(count)): a pair of level q is in the block's filter as the q items (pair, 1) ...
@@ -37,12 +38,13 @@ from rondo.llm.common import BIG_ROWS, cut, fold, map_arrow_all, parts_for
 from rondo.sources.shared import settings
 
 BITS_PER_ITEM = 8
+KEY_BITS = 32
 PROBES = 4
 MU = 1000.0
 CHUNK = 1 << 20
 BLOCK = 1 << 20
 #: A filter of so many bytes at most is broadcast as a whole.
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 4 << 20
 BEGIN, END = np.uint64(0x1B873593CC9E2D51), np.uint64(0x85EBCA6B27D4EB4F)
 _ONE, _LEVEL = np.uint64(0x2545F4914F6CDD1D), 0xA0761D6478BD642F
 
@@ -68,7 +70,7 @@ def single(token: np.ndarray) -> np.ndarray:
 
 def _place(key: np.ndarray, level: int, probe: int, bits: int) -> np.ndarray:
     """The bit that a probe of (key, level) looks at in a block of 2**bits bits."""
-    h = bs.mix(key + np.uint64(level * _LEVEL % 2**64))
+    h = bs.mix(key.astype(np.uint64) + np.uint64(level * _LEVEL % 2**64))
     step = (h >> np.uint64(32)) | np.uint64(1)
     return ((h + np.uint64(probe) * step) & np.uint64((1 << bits) - 1)).astype(np.int64)
 
@@ -87,7 +89,7 @@ class LogFrequencyFilter:
         own, first = np.unique(block[order], return_index=True)
         for k, at in zip(own.tolist(), np.split(order, first[1:]), strict=True):
             if k in self.blocks:
-                level[at] = _probed(self.blocks[k], key[at])
+                level[at] = _probed(self.blocks[k], short(key[at], self.many))
         return level
 
 
@@ -112,8 +114,13 @@ def block_of(key: np.ndarray, blocks: int) -> np.ndarray:
     return (key >> np.uint64(65 - blocks.bit_length())).astype(np.int64) if blocks > 1 else np.zeros(len(key), np.int64)
 
 
+def short(key: np.ndarray, blocks: int) -> np.ndarray:
+    """The bits of a hash by which an n-gram goes inside its block; sorted where the hashes of a block are."""
+    return ((key << np.uint64(blocks.bit_length() - 1)) >> np.uint64(64 - KEY_BITS)).astype(np.uint32)
+
+
 def build_block(key: np.ndarray, count: np.ndarray, bits: int = 0) -> np.ndarray:
-    """One block of the filter from the counts of its n-grams, which may come in parts; 2**bits bits, or more if its items need them."""
+    """One block of the filter from the counts of its n-grams, by their short keys, which may come in parts; 2**bits bits, or more if its items need them."""
     order = np.argsort(key)
     key, count = key[order], count[order]
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
@@ -128,18 +135,18 @@ def build_block(key: np.ndarray, count: np.ndarray, bits: int = 0) -> np.ndarray
     return np.packbits(flags, bitorder="little")
 
 
-def _pack(x: np.ndarray) -> bytes:
+def _pack(x: np.ndarray, gaps: bool = False) -> bytes:
     """Planes of bytes, of the gaps if they are sorted keys, as upper bytes are mostly zeros: by Zstandard, or as they are if they are few."""
-    x = np.diff(x, prepend=np.uint64(0)) if x.dtype == np.uint64 else x
+    x = np.diff(x, prepend=x.dtype.type(0)) if gaps else x
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
     return b"z" + zstandard.ZstdCompressor(level=1).compress(planes) if len(planes) >= 256 else b"p" + planes
 
 
-def _unpack(data: bytes, kind: type) -> np.ndarray:
+def _unpack(data: bytes, kind: type, gaps: bool = False) -> np.ndarray:
     raw = zstandard.ZstdDecompressor().decompress(data[1:]) if data[:1] == b"z" else data[1:]
     planes = np.frombuffer(raw, np.uint8).reshape(np.dtype(kind).itemsize, -1)
     x = np.ascontiguousarray(planes.T).view(kind).reshape(-1)
-    return np.cumsum(x, dtype=np.uint64) if kind is np.uint64 else x
+    return np.cumsum(x, dtype=kind) if gaps else x
 
 
 def chunks(docs: DataFrame, size: int) -> DataFrame:
@@ -204,7 +211,7 @@ def build_filter(table: DataFrame, blocks: int) -> DataFrame:
                 doc = np.repeat(np.arange(len(sizes)), sizes)
                 pair, n = np.unique(pairs(words[places], doc)[1][~np.array(held, bool)[doc]], return_counts=True)
                 own, where = _by_block(pair, blocks)
-                yield {"block": own, "pairs": [_pack(pair[x]) for x in where], "n": [_pack(n[x].astype(np.uint32)) for x in where]}
+                yield {"block": own, "pairs": [_pack(short(pair[x], blocks), True) for x in where], "n": [_pack(n[x].astype(np.uint32)) for x in where]}
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: dict[int, list] = {}
@@ -213,7 +220,7 @@ def build_filter(table: DataFrame, blocks: int) -> DataFrame:
                 held.setdefault(block, []).append(part)
         while held:
             block, parts = held.popitem()
-            key, n = (np.concatenate([_unpack(x, kind) for x in own]) for own, kind in zip(zip(*parts, strict=True), (np.uint64, np.uint32), strict=True))
+            key, n = (np.concatenate([_unpack(x, np.uint32, gaps) for x in own]) for own, gaps in zip(zip(*parts, strict=True), (True, False), strict=True))
             yield {"block": [block], "flags": [build_block(key, n.astype(np.int64)).tobytes()]}
 
     sent = map_arrow_all(table.select("held", "sizes", "words", "places"), count, "block int, pairs binary, n binary")
@@ -234,7 +241,7 @@ def word_counts(table: DataFrame, blocks: int) -> DataFrame:
                 n = np.bincount(places[trained], minlength=len(words)).astype(np.uint32)
                 key = single(words)
                 own, where = _by_block(key, blocks)
-                yield {"block": own, "chunk": np.full(len(own), chunk), "words": [_pack(key[x]) for x in where], "n": [_pack(n[x]) for x in where]}
+                yield {"block": own, "chunk": np.full(len(own), chunk), "words": [_pack(key[x], True) for x in where], "n": [_pack(n[x]) for x in where]}
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         held: dict[int, list] = {}
@@ -244,7 +251,7 @@ def word_counts(table: DataFrame, blocks: int) -> DataFrame:
         while held:
             block, parts = held.popitem()
             chunk, words, n = zip(*parts, strict=True)
-            words = [_unpack(x, np.uint64) for x in words]
+            words = [_unpack(x, np.uint64, True) for x in words]
             key, at = np.unique(np.concatenate(words), return_inverse=True)
             sums = np.bincount(at, np.concatenate([_unpack(x, np.uint32) for x in n]), len(key)).astype(np.int64)
             dealt = np.split(sums[at], np.cumsum([len(x) for x in words])[:-1])
@@ -264,7 +271,7 @@ def probed_levels(table: DataFrame, flags: DataFrame, blocks: int) -> DataFrame:
                 words, places = np.frombuffer(words, np.uint64), np.frombuffer(places, np.uint32)
                 pair = np.unique(pairs(words[places], np.repeat(np.arange(len(sizes)), sizes))[1])
                 own, where = _by_block(pair, blocks)
-                yield {"block": own, "chunk": np.full(len(own), chunk), "data": [_pack(pair[x]) for x in where]}
+                yield {"block": own, "chunk": np.full(len(own), chunk), "data": [_pack(short(pair[x], blocks), True) for x in where]}
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         bits: dict[int, np.ndarray] = {}
@@ -277,8 +284,9 @@ def probed_levels(table: DataFrame, flags: DataFrame, blocks: int) -> DataFrame:
                     asked.setdefault(block, []).append((chunk, data))
         while asked:
             block, parts = asked.popitem()
-            own = LogFrequencyFilter({block: bits[block]} if block in bits else {}, blocks)
-            yield {"chunk": [c for c, _ in parts], "block": [block] * len(parts), "two": [_pack(own.levels(_unpack(x, np.uint64)).astype(np.uint8)) for _, x in parts]}
+            keys = [_unpack(x, np.uint32, True) for _, x in parts]
+            two = [_probed(bits[block], x) if block in bits else np.zeros(len(x), np.int64) for x in keys]
+            yield {"chunk": [c for c, _ in parts], "block": [block] * len(parts), "two": [_pack(x.astype(np.uint8)) for x in two]}
 
     sent = map_arrow_all(table.select("chunk", "sizes", "words", "places"), ask, "block int, chunk long, data binary")
     both = sent.unionByName(flags.select("block", F.lit(None).cast("long").alias("chunk"), F.col("flags").alias("data")))

@@ -193,7 +193,7 @@ def test_log_frequency_filter_reads_levels_back():
     r = np.random.default_rng(1)
     key = r.integers(0, 2**63, 4000, dtype=np.uint64) * np.uint64(2)
     count = np.minimum(r.zipf(1.7, 4000), 10**6).astype(np.int64)
-    twice = language_model.build_block(np.append(key, key), np.append(count, count), 18)
+    twice = language_model.build_block(language_model.short(np.append(key, key), 1), np.append(count, count), 18)
     f = language_model.LogFrequencyFilter({0: twice}, 1)
     level = 1 + np.log2(2 * count).astype(int)
     got = language_model.middle(f.levels(key))
@@ -206,7 +206,7 @@ def test_log_frequency_filter_drops_nothing():
     import numpy as np
 
     key = np.random.default_rng(2).integers(0, 2**63, 50000, dtype=np.uint64)
-    f = language_model.LogFrequencyFilter({0: language_model.build_block(key, np.ones(len(key), np.int64), 16)}, 1)
+    f = language_model.LogFrequencyFilter({0: language_model.build_block(language_model.short(key, 1), np.ones(len(key), np.int64), 16)}, 1)
     assert (f.levels(key) >= 1).all()
 
 
@@ -232,13 +232,13 @@ def test_language_model_scores(spark, texts, chunk):
     assert min(gaps) > -1e-6 and sum(gaps) < 0.05 * sum(map(len, tokens)) / 10 and sorted(gaps)[len(gaps) // 2] < 0.01
 
 
-@pytest.mark.parametrize(("chunk", "block", "bound"), [(400, 64, 0), (400, 64, 1 << 24), (1 << 18, 1 << 20, 0), (1 << 18, 1 << 20, 1 << 24)])
+@pytest.mark.parametrize(("chunk", "block", "bound"), [(400, 256, 0), (400, 256, 1 << 24), (1 << 18, 1 << 20, 0), (1 << 18, 1 << 20, 1 << 24)])
 def test_scores_come_from_the_filter(spark, chunk, block, bound):
     """Pairs that were never seen pass by chance; the scores have just those of a filter that is built here."""
     import numpy as np
 
     r = np.random.default_rng(5)
-    rows = [" ".join(f"w{x}" for x in r.integers(0, 300, int(r.integers(0, 60)))) for _ in range(200)]
+    rows = [" ".join(f"w{x}" for x in r.integers(0, 300, int(r.integers(0, 60)))) for _ in range(500)]
     rows += [None, "", rows[3], "w1 " * 500]
     training = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(rows))]
     parts = []
@@ -250,7 +250,7 @@ def test_scores_come_from_the_filter(spark, chunk, block, bound):
     many = 1 << max(4, math.ceil(math.log2(n / block)))
     pair = np.concatenate([p[2] for p, train in zip(parts, training) if train])
     where = language_model.block_of(pair, many)
-    built = {int(k): language_model.build_block(pair[where == k], np.ones((where == k).sum(), np.int64)) for k in np.unique(where)}
+    built = {int(k): language_model.build_block(language_model.short(pair[where == k], many), np.ones((where == k).sum(), np.int64)) for k in np.unique(where)}
     f = language_model.LogFrequencyFilter(built, many)
     count = collections.Counter(x for p, train in zip(parts, training) if train for x in p[0].tolist())
     exact = collections.Counter(pair.tolist())
