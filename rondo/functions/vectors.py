@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -40,6 +41,12 @@ def uniform(seed: str, *key: str) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 1) / 4294967297.0
 
 
+def md5_uniform(seed: str, *key: object) -> float:
+    """The same number for one key outside of Spark; below 1."""
+    text = ":".join([seed, *map(str, key)])
+    return min(int(hashlib.md5(text.encode()).hexdigest()[:8], 16) + 1, 4294967295) / 4294967297.0
+
+
 def gaussian(seed: str, *key: str) -> Column:
     """A standard normal draw by Box and Muller from two such numbers."""
     return F.sqrt(-2 * F.ln(uniform(seed + "a", *key))) * F.cos(2 * F.lit(3.141592653589793) * uniform(seed + "b", *key))

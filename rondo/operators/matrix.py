@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from rondo.functions import vectors as V
 from rondo.operators.aggregators import register
 from rondo.sources.fixtures import LAYOUT
 
@@ -189,15 +190,15 @@ def simple_clustering(updates: DataFrame, method: str = "dbscan", eps: float = 0
 
 
 @register
-def sign_guard(updates: DataFrame, low: float = 0.1, high: float = 3.0, share: float = 0.1, method: str = "dbscan", seed: int = 0) -> DataFrame:
-    """Norm filter and sign-share clusters met, clipped to the median norm, averaged."""
+def sign_guard(updates: DataFrame, low: float = 0.1, high: float = 3.0, share: float = 0.1, method: str = "dbscan", seed: str = "signs") -> DataFrame:
+    """Norm filter and sign-share clusters met, clipped to the median norm, averaged. The signs are those of a window that md5 of the round places."""
 
     def run(m: np.ndarray, bad: np.ndarray, number: int) -> np.ndarray:
         norm = np.linalg.norm(m, axis=1)
         middle = np.sort(norm)[(len(norm) - 1) // 2]
         fits = (norm > low * middle) & (norm < high * middle)
         width = max(1, int(share * m.shape[1]))
-        at = int(np.random.default_rng((seed, number)).integers(0, m.shape[1] - width + 1))
+        at = int(V.md5_uniform(seed, number) * (m.shape[1] - width + 1))
         sign = np.sign(m[:, at : at + width])
         x = np.stack([(sign == s).mean(1) for s in (1, 0, -1)], 1)
         x = x / (x.max(0) + 1e-8)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -85,32 +85,27 @@ def timing(timings: DataFrame) -> DataFrame:
 
 
 #: The experiment grid and the parts of it that are done.
-GRID = {"algorithm": ["FedSGD", "FedOpt"], "dataset": ["MNIST", "CIFAR10"], "distribution": ["iid", "non-iid"], "attack": ["ALIE", "IPM", "Mimic"], "defense": ["Mean", "Krum", "Median"]}
-DONE = [("FedSGD", "MNIST", "iid", "ALIE", "Mean"), ("FedOpt", "CIFAR10", "iid", "IPM", "Krum")]
-#: (dataset, algorithm, rounds, learning rate) and the rate of some defenses under a skewed split.
-RATES = [("MNIST", "FedSGD", 1000, 0.05), ("MNIST", "FedOpt", 300, 0.01), ("CIFAR10", "FedSGD", 1500, 0.05), ("CIFAR10", "FedOpt", 500, 0.02)]
-SKEWED_RATES = [("Krum", 0.005)]
+def grid(axes: dict[str, DataFrame]) -> DataFrame:
+    """The product of the axes, the distinct values of one-column tables: an experiment a row.
 
-
-def grid(spark: SparkSession) -> DataFrame:
-    """The product of the axes, each a few values: built by exploding one row of arrays."""
-    row = spark.range(1)
-    for name, values in GRID.items():
-        row = row.withColumn(name, F.explode(F.array(*map(F.lit, values))))
-    return row.drop("id")
+    Each axis is a few values, met as one array of a single row and exploded.
+    """
+    row = None
+    for name, values in axes.items():
+        one = values.agg(F.array_sort(F.collect_set(values.columns[0])).alias("values"))
+        row = (one if row is None else row.join(F.broadcast(one))).withColumn(name, F.explode("values")).drop("values")
+    return row
 
 
-def pending(spark: SparkSession) -> DataFrame:
-    done = spark.createDataFrame(DONE, ", ".join(f"{c} string" for c in GRID))
-    return grid(spark).join(done, list(GRID), "left_anti")
+def pending(axes: dict[str, DataFrame], done: DataFrame) -> DataFrame:
+    """The experiments of the grid that ``done``, a row each, doesn't have."""
+    return grid(axes).join(done.select(*axes).distinct(), list(axes), "left_anti")
 
 
-def grid_rates(spark: SparkSession) -> DataFrame:
-    base = spark.createDataFrame(RATES, "dataset string, algorithm string, rounds int, base double")
-    skewed = spark.createDataFrame(SKEWED_RATES, "defense string, own double")
-    rows = grid(spark).join(base, ["dataset", "algorithm"]).join(skewed, "defense", "left")
-    lr = F.when(F.col("distribution") == "non-iid", F.coalesce("own", "base")).otherwise(F.col("base"))
-    return rows.select(*GRID, "rounds", lr.alias("lr"))
+def grid_rates(experiments: DataFrame, base: DataFrame, skewed: DataFrame, keys: list[str], own_key: str, condition: Column) -> DataFrame:
+    """The experiments with ``rounds`` and ``lr`` of the base table (keys, rounds, base); where ``condition`` holds, the rate that ``skewed`` (own_key, own) may have goes first."""
+    rows = experiments.join(base, keys).join(skewed, own_key, "left")
+    return rows.withColumn("lr", F.when(condition, F.coalesce("own", "base")).otherwise(F.col("base"))).drop("own", "base")
 
 
 def log_lines(metrics: DataFrame) -> DataFrame:

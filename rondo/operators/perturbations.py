@@ -169,7 +169,7 @@ def scheduled(rows: DataFrame, kind: str, start: int = 0, frequency: int = 1) ->
     return rows.where(on[kind])
 
 
-#: What an attack poisons, fixed values: (name, attributes).
+#: What an attack poisons, fixed values: (name, attributes); ``categories`` takes any table of these columns.
 ATTACKS = [
     ("label_flipping", ["data_poisoning"]), ("trigger_patch", ["data_poisoning"]), ("trigger_strips", ["data_poisoning"]),
     ("scaling", ["data_poisoning", "model_poisoning"]), ("ball_projection", ["data_poisoning", "model_poisoning"]), ("least_moved", ["data_poisoning", "model_poisoning"]),

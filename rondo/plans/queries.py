@@ -95,10 +95,57 @@ on_updates(
     ", k AS (SELECT *, row_number() OVER (PARTITION BY round, a ORDER BY distance, b) AS r FROM d), s AS (SELECT round, a AS bucket, sum(distance) FILTER (r <= 25 - 10 - 1) AS score FROM k GROUP BY ALL)"
     ", p AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY score, bucket) AS r FROM s) SELECT b.round, coord, " + _VALUE.format("value") + " FROM b JOIN p USING (round, bucket) WHERE r = 1",
 )
-for _name, _f in (("bulyan", X.bulyan), ("dnc", X.dnc), ("simple_clustering", lambda u: X.simple_clustering(u, eps=9.0)), ("signguard", X.sign_guard), ("flame", lambda u: X.flame(_with_model(u))), ("deepsight", X.deep_sight), ("auror", X.auror), ("mydefense", X.my_defense), ("minmax", X.min_max), ("minsum", X.min_sum), ("fang", X.fang)):
+for _name, _f in (("dnc", X.dnc), ("flame", lambda u: X.flame(_with_model(u))), ("deepsight", X.deep_sight), ("auror", X.auror), ("mydefense", X.my_defense), ("fang", X.fang)):
     on_updates(_name, _f)
-for _name in X.CLUSTERINGS:
-    on_updates(f"{_name}_labels", lambda u, m=_name: X.cluster_labels(u, m, 9.0))
+
+
+def recursive(name: str, f: Callable[[DataFrame], DataFrame], sql: str) -> None:
+    query(name, lambda spark, d: rounded(f(S.updates(spark, d))), f"WITH RECURSIVE {S.UPDATES_SQL}{sql}")
+
+
+recursive(
+    "bulyan", X.bulyan,
+    _DIST + ", it AS (SELECT DISTINCT round, 0 AS step, []::INTEGER[] AS chosen FROM u UNION ALL SELECT round, step + 1, list_append(any_value(chosen), arg_min(a, (score, a))) FROM (SELECT round, step, chosen, a, coalesce(sum(distance) FILTER (r <= 50 - step - 11), 0.0) AS score FROM ("
+    "SELECT it.round, step, chosen, a, distance, row_number() OVER (PARTITION BY it.round, a ORDER BY distance, b) AS r FROM it JOIN d ON d.round = it.round AND NOT list_contains(chosen, a) AND NOT list_contains(chosen, b) WHERE step < 30) GROUP BY ALL) GROUP BY round, step)"
+    " SELECT l.round, coord, " + _VALUE.format("avg(value)") + " FROM l JOIN it ON it.round = l.round AND step = 30 AND list_contains(chosen, client_id) GROUP BY ALL",
+)
+_BENIGN = (
+    ", mu AS (SELECT round, coord, avg(value) AS m FROM l WHERE role = 'benign' GROUP BY ALL), dv AS (SELECT round, coord, m, m / (sqrt(sum(m * m) OVER (PARTITION BY round)) + 1e-12) AS dev FROM mu), c AS (SELECT round, client_id, sum((value - m) * (value - m)) AS gg, sum((value - m) * dev) AS gd FROM l JOIN dv USING (round, coord) WHERE role = 'benign' GROUP BY ALL)"
+    ", q AS (SELECT round, list({'gg': gg, 'gd': gd}) AS cs FROM c GROUP BY round), dd AS (SELECT round, sum(dev * dev) AS dd FROM dv GROUP BY round)"
+)
+for _name, _f, _most, _reach in (
+    ("minmax", X.min_max, "SELECT round, max(distance * distance) AS most FROM d WHERE a >= 10 AND b >= 10 GROUP BY round", "list_max"),
+    ("minsum", X.min_sum, "SELECT round, max(total) AS most FROM (SELECT round, a, sum(distance * distance) AS total FROM d WHERE a >= 10 AND b >= 10 GROUP BY ALL) GROUP BY round", "list_sum"),
+):
+    recursive(
+        _name, _f,
+        _DIST + _BENIGN + f", mo AS ({_most}), it AS (SELECT round, 10.0::DOUBLE AS lam, 10.0::DOUBLE AS step, 0.0::DOUBLE AS best, 0 AS k FROM mo UNION ALL SELECT round, CASE WHEN ok THEN lam + step / 2 ELSE lam - step / 2 END, step / 2, CASE WHEN ok THEN lam ELSE best END, k + 1 FROM ("
+        f"SELECT it.*, {_reach}(list_transform(cs, lambda x: x.gg + 2 * lam * x.gd + lam * lam * dd)) <= most AS ok FROM it JOIN q USING (round) JOIN dd USING (round) JOIN mo USING (round) WHERE abs(best - lam) > 1e-5))"
+        ", fin AS (SELECT round, arg_max(best, k) AS best FROM it GROUP BY round) SELECT round, coord, " + _VALUE.format("m - best * dev") + " FROM dv JOIN fin USING (round)",
+    )
+
+
+def _clusters(distances: str, eps: float) -> str:
+    """lab(round, client_id, label) of the density clusters of distances (round, a, b, distance), and big(round, client_id), the largest."""
+    return (
+        f", nr AS (SELECT round, a, b FROM {distances} WHERE distance <= {eps} UNION ALL SELECT DISTINCT round, a, a FROM {distances}), co AS (SELECT round, a FROM nr GROUP BY ALL HAVING count(*) >= 3), cn AS (SELECT nr.round, nr.a, nr.b FROM nr JOIN co x ON x.round = nr.round AND x.a = nr.a JOIN co y ON y.round = nr.round AND y.a = nr.b)"
+        ", rc AS (SELECT round, a, a AS b FROM co UNION SELECT rc.round, rc.a, cn.b FROM rc JOIN cn ON cn.round = rc.round AND cn.a = rc.b), ro AS (SELECT round, a, min(b) AS root FROM rc GROUP BY ALL), nm AS (SELECT round, a, dense_rank() OVER (PARTITION BY round ORDER BY root) - 1 AS label FROM ro)"
+        ", lab AS (SELECT u.round, u.client_id, coalesce(nm.label, (SELECT min(z.label) FROM nr JOIN nm z ON z.round = nr.round AND z.a = nr.b WHERE nr.round = u.round AND nr.a = u.client_id), -1)::INTEGER AS label FROM u LEFT JOIN nm ON nm.round = u.round AND nm.a = u.client_id)"
+        ", sz AS (SELECT round, label, count(*) AS size FROM lab WHERE label >= 0 GROUP BY ALL), top AS (SELECT round, arg_min(label, (-size, label)) AS label FROM sz GROUP BY round), big AS (SELECT lab.round, client_id FROM lab LEFT JOIN top ON top.round = lab.round WHERE top.label IS NULL OR top.label = lab.label)"
+    )
+
+
+recursive("dbscan_labels", lambda u: X.cluster_labels(u, "dbscan", 1.2), _DIST + _clusters("d", 1.2) + " SELECT round, client_id, label FROM lab")
+recursive("simple_clustering", lambda u: X.simple_clustering(u, eps=1.2), _DIST + _clusters("d", 1.2) + " SELECT l.round, coord, " + _VALUE.format("avg(value)") + " FROM l JOIN big USING (round, client_id) GROUP BY ALL")
+recursive(
+    "signguard", X.sign_guard,
+    _NORM + f", md AS (SELECT round, quantile_disc(norm, 0.5) AS mid FROM n GROUP BY round), st AS (SELECT round, floor({V.uniform_sql('signs', 'round')} * 59)::INTEGER AS p0 FROM md), sg AS (SELECT round, client_id, avg((value > 0)::INT) AS p, avg((value = 0)::INT) AS z, avg((value < 0)::INT) AS g FROM l JOIN st USING (round) WHERE coord >= p0 AND coord < p0 + 6 GROUP BY ALL)"
+    ", ft AS (SELECT round, client_id, [p / (max(p) OVER w + 1e-8), z / (max(z) OVER w + 1e-8), g / (max(g) OVER w + 1e-8)] AS x FROM sg WINDOW w AS (PARTITION BY round)), fd AS (SELECT a.round, a.client_id AS a, b.client_id AS b, list_distance(a.x, b.x) AS distance FROM ft a JOIN ft b ON a.round = b.round AND a.client_id <> b.client_id)" + _clusters("fd", 0.05)
+    + ", fi AS (SELECT n.round, client_id, norm, mid FROM n JOIN md USING (round) WHERE norm > 0.1 * mid AND norm < 3.0 * mid), bo AS (SELECT fi.*, big.client_id IS NOT NULL AS inside FROM fi LEFT JOIN big USING (round, client_id)), kp AS (SELECT *, bool_or(inside) OVER (PARTITION BY round) AS anyone FROM bo)"
+    " SELECT l.round, coord, " + _VALUE.format("avg(value * least(1.0, mid / (norm + 1e-6)))") + " FROM l JOIN kp USING (round, client_id) WHERE inside OR NOT anyone GROUP BY ALL",
+)
+for _name in ("kmeans", "meanshift"):
+    on_updates(f"{_name}_labels", lambda u, m=_name: X.cluster_labels(u, m))
 
 # layers, signs, similarity
 _LONG_LAYER = ", y AS (SELECT l.*, layer, ndim FROM l JOIN lay ON coord >= a AND coord < a + n)"
@@ -169,9 +216,18 @@ on_updates("sched_fixed_frequency", lambda u: M.scheduled(u, "frequency", freque
 on_updates("sched_from_start", lambda u: M.scheduled(u, "continuous", start=4).select("round", "client_id"), " SELECT round, client_id FROM u WHERE round >= 4")
 
 on_updates("sched_single", lambda u: M.scheduled(u, "single", start=5).select("round", "client_id"), " SELECT round, client_id FROM u WHERE round = 5")
+
+
+def _poisoners(spark, d: str) -> DataFrame:
+    """Users as attacks: a purchase poisons data, a click the model."""
+    kinds = F.create_map(F.lit("purchase"), F.lit("data_poisoning"), F.lit("click"), F.lit("model_poisoning"))
+    rows = S.table(spark, d, "events").where("event_type IN ('purchase', 'click')")
+    return M.categories(rows.groupBy(F.col("user_id").cast("string").alias("name")).agg(F.collect_set(F.element_at(kinds, F.col("event_type"))).alias("attributes")))
+
+
 query(
-    "attack_categories", lambda spark, d: M.categories(spark.createDataFrame(M.ATTACKS, "name string, attributes array<string>")),
-    "WITH a(name, attrs) AS (VALUES " + ", ".join(f"('{n}', {at!r})" for n, at in M.ATTACKS) + ") SELECT 'data' AS category, name FROM a WHERE list_contains(attrs, 'data_poisoning') UNION ALL SELECT 'hybrid', name FROM a WHERE list_contains(attrs, 'data_poisoning') AND list_contains(attrs, 'model_poisoning') UNION ALL SELECT 'model', name FROM a WHERE NOT list_contains(attrs, 'data_poisoning')",
+    "attack_categories", _poisoners,
+    "WITH a AS (SELECT user_id::VARCHAR AS name, bool_or(event_type = 'purchase') AS d, bool_or(event_type = 'click') AS m FROM events WHERE event_type IN ('purchase', 'click') GROUP BY user_id) SELECT 'data' AS category, name FROM a WHERE d UNION ALL SELECT 'hybrid', name FROM a WHERE d AND m UNION ALL SELECT 'model', name FROM a WHERE NOT d",
 )
 _NAMED = [(name.replace(".", "_"), start, shape) for name, start, shape in S.SHAPES]
 on_updates(
@@ -387,17 +443,54 @@ query(
     "timing_summary", lambda spark, d: rounded(E.timing(S.table(spark, d, "events").select(F.col("user_id").alias("worker_id"), F.col("event_type").alias("method"), F.col("value").alias("seconds")))),
     "SELECT user_id AS worker_id, event_type AS method, round(sum(value), 6) + 0.0 AS total, count(*) AS calls, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY ALL",
 )
-_GRID_SQL = "g AS (SELECT * FROM " + " CROSS JOIN ".join(f"(SELECT unnest([{', '.join(repr(v) for v in values)}]) AS {name})" for name, values in E.GRID.items()) + ")"
-query("grid_pending", lambda spark, d: E.pending(spark), f"WITH {_GRID_SQL}, done({', '.join(E.GRID)}) AS (VALUES {', '.join(map(str, E.DONE))}) SELECT g.* FROM g ANTI JOIN done USING ({', '.join(E.GRID)})")
+
+
+def _axes(spark, d: str) -> dict[str, DataFrame]:
+    """An axis each of priorities, states, segments and nations."""
+    orders, customers = S.table(spark, d, "orders"), S.table(spark, d, "customer")
+    return {"priority": orders.select("o_orderpriority"), "state": orders.select("o_orderstatus"), "segment": customers.select("c_mktsegment"), "nation": S.table(spark, d, "nation").select("n_name")}
+
+
+def _pending(spark, d: str) -> DataFrame:
+    """Combinations that no order above 400,000 has."""
+    done = S.table(spark, d, "orders").where("o_totalprice > 400000").join(S.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(S.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    return E.pending(_axes(spark, d), done.select(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("state"), F.col("c_mktsegment").alias("segment"), F.col("n_name").alias("nation")))
+
+
+_GRID_SQL = "g AS (SELECT * FROM (SELECT DISTINCT o_orderpriority AS priority FROM orders) CROSS JOIN (SELECT DISTINCT o_orderstatus AS state FROM orders) CROSS JOIN (SELECT DISTINCT c_mktsegment AS segment FROM customer) CROSS JOIN (SELECT DISTINCT n_name AS nation FROM nation))"
+query(
+    "grid_pending", _pending,
+    f"WITH {_GRID_SQL}, done AS (SELECT o_orderpriority AS priority, o_orderstatus AS state, c_mktsegment AS segment, n_name AS nation FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey WHERE o_totalprice > 400000) SELECT g.* FROM g ANTI JOIN done USING (priority, state, segment, nation)",
+)
+
+
+def _rates(spark, d: str) -> DataFrame:
+    """Rounds and rates of each priority and state from its orders; under state F a nation's own mean goes first, if it has 20 customers with money."""
+    orders, customers = S.table(spark, d, "orders"), S.table(spark, d, "customer")
+    base = orders.groupBy(F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias("state")).agg(F.count("*").alias("rounds"), (F.avg("o_totalprice") / 1e6).alias("base"))
+    own = customers.where("c_acctbal > 0").join(S.table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy(F.col("n_name").alias("nation")).agg((F.avg("c_acctbal") / 1e6).alias("own"), F.count("*").alias("many"))
+    return rounded(E.grid_rates(E.grid(_axes(spark, d)), base, own.where("many >= 20").drop("many"), ["priority", "state"], "nation", F.col("state") == "F").select("priority", "state", "segment", "nation", "rounds", "lr"))
+
+
 query(
-    "grid_rates", lambda spark, d: rounded(E.grid_rates(spark)),
-    f"WITH {_GRID_SQL}, b(dataset, algorithm, rounds, base) AS (VALUES {', '.join(map(str, E.RATES))}), s(defense, own) AS (VALUES ('Krum', 0.005)) SELECT {', '.join('g.' + c for c in E.GRID)}, rounds, (CASE WHEN distribution = 'non-iid' THEN coalesce(own, base) ELSE base END)::DOUBLE AS lr FROM g JOIN b USING (dataset, algorithm) LEFT JOIN s USING (defense)",
+    "grid_rates", _rates,
+    f"WITH {_GRID_SQL}, b AS (SELECT o_orderpriority AS priority, o_orderstatus AS state, count(*) AS rounds, avg(o_totalprice) / 1e6 AS base FROM orders GROUP BY ALL), s AS (SELECT n_name AS nation, avg(c_acctbal) / 1e6 AS own FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0 GROUP BY ALL HAVING count(*) >= 20)"
+    " SELECT g.*, rounds, round(CASE WHEN state = 'F' THEN coalesce(own, base) ELSE base END, 6) + 0.0 AS lr FROM g JOIN b USING (priority, state) LEFT JOIN s USING (nation)",
 )
-_LOG = [f"Epoch {k}    Train Acc: 0.{k}462  Train loss: 0.{k}447  Test Acc: 0.{k}019\tTest loss: 0.{k}569" + ("\tASR: 0.2500\tASR loss: 0.1000" if k % 2 else "") for k in range(10)] + ["[Adaptive] some other line that must not match"]
+
+
+def _parsed(spark, d: str) -> DataFrame:
+    """Events as lines of a log: errors are other lines, purchases report an attack, too."""
+    share = lambda c: F.format_string("%.4f", F.col(c).cast("double"))
+    rows = S.table(spark, d, "events").select("event_type", F.col("event_id").alias("n"), F.abs("value").alias("v"), (F.col("user_id") / 8).alias("u"))
+    report = F.concat(F.format_string("Epoch %d    Train Acc: ", "n"), share("v"), F.lit("  Train loss: "), share("u"), F.lit("  Test Acc: "), share("u"), F.lit("\tTest loss: "), share("v"))
+    attack = F.when(F.col("event_type") == "purchase", F.concat(F.lit("\tASR: "), share("v"), F.lit("\tASR loss: "), share("u"))).otherwise("")
+    return E.parsed_log(rows.select(F.when(F.col("event_type") == "error", F.format_string("[error] in epoch %d", "n")).otherwise(F.concat(report, attack)).alias("line")))
+
+
 query(
-    "log_parse", lambda spark, d: E.parsed_log(spark.createDataFrame([(x,) for x in _LOG], "line string")),
-    "WITH g(line) AS (VALUES " + ", ".join(f"('{x}')" for x in _LOG) + f"), m AS (SELECT line FROM g WHERE regexp_matches(line, '{E.LOG_PATTERN}')) SELECT regexp_extract(line, '{E.LOG_PATTERN}', 1)::INTEGER AS epoch, "
-    + ", ".join(f"nullif(regexp_extract(line, '{E.LOG_PATTERN}', {k}), '')::DOUBLE AS {n}" for k, n in enumerate(("train_acc", "train_loss", "test_acc", "test_loss", "asr", "asr_loss"), 2)) + " FROM m",
+    "log_parse", _parsed,
+    "WITH e AS (SELECT event_id::INTEGER AS epoch, event_type, printf('%.4f', abs(value))::DOUBLE AS v, printf('%.4f', user_id / 8)::DOUBLE AS u FROM events WHERE event_type <> 'error') SELECT epoch, v AS train_acc, u AS train_loss, u AS test_acc, v AS test_loss, CASE WHEN event_type = 'purchase' THEN v END AS asr, CASE WHEN event_type = 'purchase' THEN u END AS asr_loss FROM e",
 )
 
 
