@@ -295,12 +295,52 @@ def _several(post: DataFrame, comp: DataFrame) -> DataFrame:
     return named.join(cut(several.where("c0 < c1").select("token", "many")), "token")
 
 
-def _prefix_join(left: DataFrame) -> DataFrame:
-    """The smaller set as x, by its first shingles, and the larger as y, by its prefix: of different components, by size and place."""
-    columns = [c for c in left.columns if c not in ("token", "many", "rare")]
-    side = lambda rows, k: rows.select("token", *[F.col(c).alias(f"{k}_{c}") for c in columns])
+def _prefix_join(left: DataFrame, keyed: bool = False) -> DataFrame:
+    """The smaller set as x, by its first shingles, and the larger as y, by its prefix: of different components, by size and place.
+
+    With ``keyed`` they also meet by the blocks that both must have, see ``_must_share``.
+    """
+    columns = [c for c in left.columns if c not in ("token", "many", "rare", "own_block", "met_blocks")]
+    side = lambda rows, k: rows.select("token", *(["block"] if keyed else []), *[F.col(c).alias(f"{k}_{c}") for c in columns])
     ordered = F.expr("(x_n < y_n OR (x_n = y_n AND x_node < y_node)) AND x_component != y_component")
-    return side(left.where("9 * pos <= n"), "x").join(side(left, "y"), "token").where(ordered & _sizes_fit(F.col("x_n"), F.col("y_n")) & _place_fits())
+    x, y = left.where("9 * pos <= n"), left
+    if keyed:
+        x, y = x.withColumn("block", F.col("own_block")), y.withColumn("block", F.explode("met_blocks"))
+    return side(x, "x").join(side(y, "y"), ["token", "block"] if keyed else "token").where(ordered & _sizes_fit(F.col("x_n"), F.col("y_n")) & _place_fits())
+
+
+def _must_share(docs: DataFrame, nodes: DataFrame, hot: DataFrame) -> DataFrame:
+    """(node, own_block, met_blocks): for the nodes of frequent shingles, hashes of what a partner must have too.
+
+    Shingles that the same nodes have, such as those of one passage, are a class: a node has all of it or none. Of two linked
+    sets x and y, x the smaller one, x lacks no fifth of y and y no fifth of x, and y has 5/4 of x at most. So a class of more than
+    n_x / 4 shingles in either is in both: what x has of such classes, ``own_block``, y has exactly. y doesn't know n_x, which lies
+    between 4/5 n_y and n_y: ``met_blocks`` are its classes of more than n_y / 4, and these with one after the other of
+    those above n_y / 5, five hashes at most. Only classes among the frequent shingles are looked at, which are the same for all nodes.
+    """
+    spark = docs.sparkSession
+    tokens = cut(hot.select("token").distinct())
+    passes = spark.sparkContext.broadcast(KeyFilter.of(tokens, "token", tokens.count()))  # what passes wrongly is a shingle more
+    sizes = hot.select("node", "n").distinct()
+
+    def members(batch: pa.RecordBatch) -> Iterator[dict]:
+        for node, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = np.frombuffer(own.as_py(), np.uint64)
+            x = x[passes.value.passes(x)]
+            yield {"token": x.view(np.int64), "node": np.full(len(x), node)}
+
+    held = cut(map_arrow(_sets(docs, nodes, sizes), members, "token long, node long"))
+    # two hashes of the set of nodes that have a shingle name its class
+    classes = cut(held.groupBy("token").agg(F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")))
+    weights = held.join(classes, "token").groupBy("node", "a", "b").agg(F.count("*").alias("w"))
+    large = weights.join(sizes, "node").where("5 * w > n").groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("a", "b", "w"))).alias("large"))
+    name = lambda kept: F.xxhash64(F.transform(kept, lambda c: c["a"]), F.transform(kept, lambda c: c["b"]))
+    over = lambda least: F.filter("large", lambda c: c["w"] >= least)
+    quarter = F.floor(F.col("n") / 4) + 1
+    steps = F.transform(F.filter("large", lambda c: c["w"] < quarter), lambda c: c["w"])
+    none = F.xxhash64(F.array().cast("array<bigint>"), F.array().cast("array<bigint>"))
+    made = large.select("node", name(over(quarter)).alias("own_block"), F.array_distinct(F.transform(F.concat(F.array(quarter), steps), lambda v: name(over(v)))).alias("met_blocks"))
+    return sizes.select("node").join(made, "node", "left").select("node", F.coalesce("own_block", none).alias("own_block"), F.coalesce("met_blocks", F.array(none)).alias("met_blocks"))
 
 
 def grouped(docs: DataFrame) -> DataFrame:
@@ -325,8 +365,12 @@ def grouped(docs: DataFrame) -> DataFrame:
     # 3. the prefix join of what is left; bitmaps move with the nodes of frequent shingles only, where they save most
     left = _component(left.where("pos >= 0").drop("component"), comp)
     cold = _may_reach(_pair(_prefix_join(left.where(F.col("many") <= HOT))), bitmaps, PERCENT)
-    hot = cut(left.where(F.col("many") > HOT).join(bitmaps.select("node", "bits"), "node"))
-    pairs = cold.unionByName(_pair(_prefix_join(hot).where(_bits_fit()))).distinct()
+    hot = cut(left.where(F.col("many") > HOT))
+    if hot.isEmpty():
+        pairs = cold
+    else:
+        hot = hot.join(_must_share(docs, bitmaps, hot), "node").join(bitmaps.select("node", "bits"), "node")
+        pairs = cold.unionByName(_pair(_prefix_join(cut(hot), keyed=True).where(_bits_fit()))).distinct()
     last = verified(docs, bitmaps, cut(_unchecked(pairs, checked)))
     more = cut(last.where(_LINKED).select("a", "b"))
     if not more.isEmpty():

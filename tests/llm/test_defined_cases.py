@@ -113,3 +113,45 @@ def test_texts_of_megabytes(spark, name):
     else:
         got = {r.doc_id: r for r in sharding.shard(docs).collect()}
         assert (got[1].size, got[2].size) == (LONG + 1, LONG + 1)
+
+
+def boilerplate(n, seed=3):
+    """Documents of three out of sixty passages, in any order; a few with some words of their own."""
+    r = np.random.default_rng(seed)
+    words = [f"w{k}" for k in range(3000)]
+    passages = [" ".join(r.choice(words, 60)) for _ in range(60)]
+    out = []
+    for k in range(n):
+        own = [passages[int(x)] for x in r.choice(60, 3, replace=False)]
+        out.append(" ".join(own) + (f" end {' '.join(r.choice(words, int(r.integers(1, 30))))}" if k % 3 == 0 else ""))
+    for k in range(0, n, 40):  # near copies: turned round, or longer
+        parts = out[k].split(" ")
+        out.append(" ".join(parts[60:120] + parts[:60] + parts[120:]))
+        out.append(out[k] + " " + " ".join(r.choice(words, int(r.integers(1, 40)))))
+    return out
+
+
+def test_frequent_passages_join_in_proportion(spark, monkeypatch):
+    """Pairs that leave the join of frequent shingles grow as the documents, and no link is lost."""
+    met, join = [], jaccard_join._prefix_join
+
+    def counted(left, keyed=False):
+        out = join(left, keyed)
+        if keyed:
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_prefix_join", counted)
+    for n in (300, 600, 1200):
+        texts = boilerplate(n)
+        got = {r.doc_id: r.component_id for r in jaccard_join.similar(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+        if n == 300:
+            sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+            name = list(range(len(texts)))
+            for a in range(len(texts)):
+                for b in range(a):
+                    if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                        old, new = max(name[a], name[b]), min(name[a], name[b])
+                        name = [new if x == old else x for x in name]
+            assert [got[k] for k in range(len(texts))] == name and len(set(name)) < len(name)
+    assert met[-1] <= 4 * max(met[0], 300)
