@@ -309,24 +309,24 @@ def _prefix_join(left: DataFrame, keyed: bool = False) -> DataFrame:
     return side(x, "x").join(side(y, "y"), ["token", "block"] if keyed else "token").where(ordered & _sizes_fit(F.col("x_n"), F.col("y_n")) & _place_fits())
 
 
-def _must_share(docs: DataFrame, nodes: DataFrame, hot: DataFrame) -> DataFrame:
+def _must_share(docs: DataFrame, nodes: DataFrame, hot: DataFrame, order: Order) -> DataFrame:
     """(node, own_block, met_blocks): for the nodes of frequent shingles, hashes of what a partner must have too.
 
     Shingles that the same nodes have, such as those of one passage, are a class: a node has all of it or none. Of two linked
     sets x and y, x the smaller one, x lacks no fifth of y and y no fifth of x, and y has 5/4 of x at most. So a class of more than
     n_x / 4 shingles in either is in both: what x has of such classes, ``own_block``, y has exactly. y doesn't know n_x, which lies
     between 4/5 n_y and n_y: ``met_blocks`` are its classes of more than n_y / 4, and these with one after the other of
-    those above n_y / 5, five hashes at most. Only classes among the frequent shingles are looked at, which are the same for all nodes.
+    those above n_y / 5, five hashes at most. Only shingles of the order that are seen HOT times are looked at, the same for all nodes:
+    fewer of them make classes smaller, and the bound weaker, but lose no link.
     """
     spark = docs.sparkSession
-    tokens = cut(hot.select("token").distinct())
-    passes = spark.sparkContext.broadcast(KeyFilter.of(tokens, "token", tokens.count()))  # what passes wrongly is a shingle more
+    often = spark.sparkContext.broadcast(order.keys[order.level >= int(np.log2(HOT))])  # MAX_FREQUENT at most
     sizes = hot.select("node", "n").distinct()
 
     def members(batch: pa.RecordBatch) -> Iterator[dict]:
         for node, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             x = np.frombuffer(own.as_py(), np.uint64)
-            x = x[passes.value.passes(x)]
+            x = x[_meet(x, often.value)]
             yield {"token": x.view(np.int64), "node": np.full(len(x), node)}
 
     held = cut(map_arrow(_sets(docs, nodes, sizes), members, "token long, node long"))
@@ -348,7 +348,8 @@ def grouped(docs: DataFrame) -> DataFrame:
     nodes, counted = scanned(docs)
     bitmaps = cut(nodes.dropDuplicates(["node"]))  # one document of each node
     nodes = nodes.drop("bits")
-    post = postings(docs, frequency_order(counted))
+    order = frequency_order(counted)
+    post = postings(docs, order)
     # 2. stars, in every bucket, then by other centres in those of several components
     band = F.floor(F.log(F.col("n")) / float(np.log(100 / PERCENT))).cast("int")
     rank = F.col("rare") * F.lit(1 << 40) + F.pmod("node", F.lit(1 << 40))
@@ -369,7 +370,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     if hot.isEmpty():
         pairs = cold
     else:
-        hot = hot.join(_must_share(docs, bitmaps, hot), "node").join(bitmaps.select("node", "bits"), "node")
+        hot = hot.join(_must_share(docs, bitmaps, hot, order), "node").join(bitmaps.select("node", "bits"), "node")
         pairs = cold.unionByName(_pair(_prefix_join(cut(hot), keyed=True).where(_bits_fit()))).distinct()
     last = verified(docs, bitmaps, cut(_unchecked(pairs, checked)))
     more = cut(last.where(_LINKED).select("a", "b"))
