@@ -304,3 +304,39 @@ def test_auror_counts_rounds_as_they_come(spark):
     gaps = frame(spark, rounds).withColumn("round", F.col("round") * 3 + 100)
     later = {(r["round"], r.coord): r.value for r in X.auror(gaps, start=1, threshold=0.5, find=2).collect()}
     assert all(np.allclose([later[100 + 3 * k, c] for c in range(4)], plain[k]) for k in range(4))
+
+
+def _plain_dnc(m, number, f, share=0.2, iterations=5, seed=42):
+    r, good = np.random.default_rng((seed, number)), set(range(len(m)))
+    for _ in range(iterations):
+        cols = r.choice(m.shape[1], max(1, int(share * m.shape[1])), replace=False)
+        x = m[:, cols] - m[:, cols].mean(0)
+        values, vectors_ = np.linalg.eigh(x.T @ x)  # the direction of most variance
+        score = (x @ vectors_[:, -1]) ** 2
+        good &= set(sorted(range(len(m)), key=lambda i: score[i])[: len(m) - f])
+    return m[sorted(good)].mean(0)
+
+
+def test_divide_and_conquer_by_eigenvectors(spark, rounds):
+    m = [x.copy() for x in rounds]
+    for x in m:
+        x[:2] += 6
+    got = vectors(X.dnc(frame(spark, m), f=2))
+    for k in range(2):
+        assert np.allclose(got[k], _plain_dnc(m[k], k, 2), atol=1e-9)
+        assert np.abs(got[k] - m[k][2:].mean(0)).max() < np.abs(got[k] - m[k][:2].mean(0)).max()
+
+
+@pytest.mark.parametrize("hidden", [None, (0, 3, 4)])
+def test_deep_sight_leaves_out_the_cluster_of_suspects(spark, hidden):
+    """Six clients put the energy of their output layer on one class; the rest, clipped to the median norm, are averaged."""
+    r = np.random.default_rng(4)
+    base = np.concatenate([r.normal(0, 1, 15), r.choice([-1.0, 1.0], 12), np.ones(4)])
+    m = base + r.normal(0, 0.001, (20, len(base)))
+    m[:6, 18:27] *= 0.01
+    m[:6, 28:] *= 0.01
+    m[:6, :12] *= -1
+    got = vectors(X.deep_sight(frame(spark, [m], bad=6), start=15, classes=4, width=3, samples=2000, hidden=hidden))[0]
+    norm = np.linalg.norm(m, axis=1)
+    want = (m * np.minimum(1, np.median(norm) / (norm + 1e-6))[:, None])[6:].mean(0)
+    assert np.allclose(got, want)
