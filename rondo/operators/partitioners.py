@@ -76,10 +76,9 @@ def dirichlet_shares(spark: SparkSession, labels: int = 10, clients: int = 10, a
 
 def class_imbalanced(assignment: DataFrame, gamma: float = 0.5, classes: int = 10, seed: str = "imbalance") -> DataFrame:
     """Of class i a client keeps max(1, int(gamma ** (i / (classes - 1)) * n)) of its rows."""
-    own = Window.partitionBy("client_id", "label")
-    rows = assignment.withColumn("rank", F.row_number().over(own.orderBy(uniform(seed, "sample_id"), "sample_id"))).withColumn("n", F.count("*").over(own))
+    own = shuffled(assignment.select("sample_id", F.struct("client_id", "label").alias("label")), seed).select("sample_id", "label.*", "rank", "n")
     kept = F.greatest(F.lit(1), F.floor(F.pow(F.lit(gamma), F.col("label") / float(classes - 1)) * F.col("n")))
-    return rows.where(F.col("rank") <= kept).select("sample_id", "label", "client_id")
+    return own.where(F.col("rank") <= kept).select("sample_id", "label", "client_id")
 
 
 def split(samples: DataFrame, mode: str, **more) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rondo.functions.vectors import uniform
+from rondo.operators.partitioners import shuffled
 from rondo.sources import png
 from rondo.sources.sinks import kept
 
@@ -76,9 +76,8 @@ def image_folder(spark: SparkSession, path: str, cache: str | None = None, patte
 
 def stratified_split(rows: DataFrame, share: float = 0.8, key: str = "path", seed: str = "42") -> DataFrame:
     """Adds ``part``: int(n share) rows of each class in md5 order train, the others test."""
-    own = Window.partitionBy("label")
-    rank = F.row_number().over(own.orderBy(uniform(seed, key), key))
-    return rows.withColumn("part", F.when(rank <= F.floor(F.count("*").over(own) * share), "train").otherwise("test"))
+    order = shuffled(rows.select(F.col(key).alias("sample_id"), "label"), seed).select(F.col("sample_id").alias(key), "rank", "n")
+    return rows.join(order, key).withColumn("part", F.when(F.col("rank") <= F.floor(F.col("n") * share), "train").otherwise("test")).drop("rank", "n")
 
 
 def listed(spark: SparkSession, names: str, images: str) -> DataFrame:
