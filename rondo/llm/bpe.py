@@ -21,6 +21,7 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import cache
 from itertools import count
 
 import numpy as np
@@ -85,19 +86,33 @@ def _encoder(vocabulary: str) -> Tokenizer:
     return encoder
 
 
+@cache
+def _compressor() -> zstandard.ZstdCompressor:
+    return zstandard.ZstdCompressor(level=9)
+
+
+def _squeezed(raw: bytes) -> bytes:
+    """By zstandard, or as it is if it is short: a message of one word is no longer than the word."""
+    return b"z" + _compressor().compress(raw) if len(raw) >= 256 else b"p" + raw
+
+
+def _whole(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data[1:]) if data[:1] == b"z" else data[1:]
+
+
 def _pack(x: np.ndarray) -> bytes:
     """Numbers below 2**32 by zstandard: a byte for each small one, and planes of bytes, almost all zeros, for the others."""
     small = np.minimum(x, _SMALL).astype(np.uint8)
     rest = (x[small == _SMALL] - _SMALL).astype("<u4").view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=9).compress(len(x).to_bytes(8, "little") + small.tobytes() + rest.tobytes())
+    return _squeezed(len(x).to_bytes(4, "little") + small.tobytes() + rest.tobytes())
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    raw = zstandard.ZstdDecompressor().decompress(data)
-    n = int.from_bytes(raw[:8], "little")
-    small = np.frombuffer(raw, np.uint8, n, 8)
+    raw = _whole(data)
+    n = int.from_bytes(raw[:4], "little")
+    small = np.frombuffer(raw, np.uint8, n, 4)
     out = small.astype(np.uint32)
-    out[small == _SMALL] += np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=8 + n).reshape(4, -1).T).view("<u4").reshape(-1)
+    out[small == _SMALL] += np.ascontiguousarray(np.frombuffer(raw, np.uint8, offset=4 + n).reshape(4, -1).T).view("<u4").reshape(-1)
     return out
 
 
@@ -106,11 +121,11 @@ _SMALL = 240
 
 def _pack_words(words: list[str]) -> bytes:
     """No word holds a line feed, which ends every word of the tokenizer."""
-    return zstandard.ZstdCompressor(level=9).compress("\n".join(words).encode())
+    return _squeezed("\n".join(words).encode())
 
 
 def _unpack_words(data: bytes) -> list[str]:
-    return zstandard.ZstdDecompressor().decompress(data).decode().split("\n")
+    return _whole(data).decode().split("\n")
 
 
 def chunks(docs: DataFrame, vocabulary: Broadcast, keep: tuple[str, ...], size: int) -> DataFrame:
@@ -185,7 +200,7 @@ def word_ids(table: DataFrame, vocabulary: Broadcast) -> DataFrame:
                 known.update((w, np.array(x.ids, kind).tobytes()) for w, x in zip(new, encoder.encode_batch(new, add_special_tokens=False), strict=True))
                 ids = [known[w] for w in words]
                 out["many"].append(_pack(np.fromiter(map(len, ids), np.uint32, len(ids)) // kind.itemsize))
-                out["ids"].append(zstandard.ZstdCompressor(level=9).compress(b"".join(ids)))
+                out["ids"].append(_squeezed(b"".join(ids)))
             yield out
 
     asked = map_arrow_all(table.where("n_words > 0").select("chunk", "words"), ask, "block long, chunk long, at binary, words binary")
@@ -222,7 +237,7 @@ def encoded(docs: DataFrame, path: str, finish: Callable[[list[int], list[str],
                 answers = batch.column(3)[k].as_py() or []
                 joined = lambda f, name: np.concatenate([np.zeros(0, np.int64), *(f(x[name]) for x in answers)])  # noqa: E731, B023
                 at, many = joined(lambda x: np.cumsum(_unpack(x), dtype=np.int64), "at").astype(np.int64), joined(_unpack, "many").astype(np.int64)
-                flat = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(x["ids"]) for x in answers), kind)
+                flat = np.frombuffer(b"".join(_whole(x["ids"]) for x in answers), kind)
                 first, length = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
                 first[at], length[at] = np.cumsum(many) - many, many
                 places = _unpack(batch.column(2)[k].as_py())
