@@ -11,7 +11,8 @@ first ``n - ceil(0.8 n) + 1`` of either (its prefix), and in the smaller set eve
    and connects most of a family of near copies. It is done again with other centres where a shingle still has
    nodes of several components.
 3. What is left is the prefix join of nodes of different components: the smaller set's first shingles meet the
-   larger's prefix, and a pair must pass size, place and bitmap bounds before it leaves the join.
+   larger's prefix, and a pair must pass size, place and bitmap bounds before it leaves the join. On shingles of many nodes only
+   those meet that have the same large passages, as similar sets must.
 4. Pairs are expanded to their members' sets and verified by the exact intersection of all 64 bits.
 
 So every similar pair is either verified, or inside one component of verified links: the components are exact. Sets
