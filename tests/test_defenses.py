@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
@@ -340,3 +341,15 @@ def test_deep_sight_leaves_out_the_cluster_of_suspects(spark, hidden):
     norm = np.linalg.norm(m, axis=1)
     want = (m * np.minimum(1, np.median(norm) / (norm + 1e-6))[:, None])[6:].mean(0)
     assert np.allclose(got, want)
+
+
+def test_deep_sight_holds_no_number_per_client_and_input(monkeypatch):
+    monkeypatch.setattr(X, "per_round", lambda updates, f, schema, extra=None: f)
+    m, bad = np.random.default_rng(4).normal(0, 1, (50, 64)), np.arange(50) < 10
+    run = X.deep_sight(None, samples=2000)
+    run(m, None, bad, 0)
+    tracemalloc.start()
+    run(m, None, bad, 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 1000 * 50 * 4 * 8  # a chunk's scores of all clients
