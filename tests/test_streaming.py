@@ -128,3 +128,23 @@ def test_late_rows_are_dropped(spark, tmp_path, make):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     got = T.drained(make(stream), "append").collect()
     assert sorted((r.start.day, r.n, r.total) for r in got) == [(1, 1, 1.0), (2, 1, 1.0), (12, 1, 1.0)]
+
+
+@pytest.mark.parametrize(("make", "tau"), [(T.centred_clipping, 0.3), (T.centred_clipping, 100.0), (T.detector, None)])
+def test_rounds_of_a_batch_are_stepped_together(spark, tmp_path, make, tau, monkeypatch):
+    rows = noisy(12, 8)
+    files(spark, tmp_path / "in", [x for part in rows for x in part])
+    written, write = [], T.Rounds.write
+    monkeypatch.setattr(T.Rounds, "write", lambda self, rows, name, number: (written.append(name), write(self, rows, name, number)))
+    options = {} if tau is None else {"tau": tau}
+    once = {(r.round, r.coord): r.value for r in make(stream_of(spark, tmp_path / "in"), **options).collect()}
+    assert written.count("out") == 2  # the rounds before the last, and the last at the end
+    monkeypatch.setattr(T, "_SEGMENT", 3 * 8 * 5, raising=False)  # three rounds a segment
+    cut = {(r.round, r.coord): r.value for r in make(stream_of(spark, tmp_path / "in"), **options).collect()}
+    assert once.keys() == cut.keys() == {(k, c) for k in range(12) for c in range(5)} and all(abs(once[k] - cut[k]) < 1e-9 for k in once)
+    if tau:
+        centre = np.zeros(5)
+        for k, part in enumerate(rows):
+            gap = np.array([v for _, _, v in part]) - centre
+            centre = centre + (gap * np.minimum(1, tau / np.linalg.norm(gap, axis=1))[:, None]).mean(0)
+            assert np.allclose([cut[k, c] for c in range(5)], centre)
