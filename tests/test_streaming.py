@@ -148,3 +148,16 @@ def test_rounds_of_a_batch_are_stepped_together(spark, tmp_path, make, tau, monk
             gap = np.array([v for _, _, v in part]) - centre
             centre = centre + (gap * np.minimum(1, tau / np.linalg.norm(gap, axis=1))[:, None]).mean(0)
             assert np.allclose([cut[k, c] for c in range(5)], centre)
+
+
+def test_gap_statistic_draws_once_for_equally_many_scores(monkeypatch):
+    moved, best = [], T._best
+    monkeypatch.setattr(T, "_best", lambda x, centres: (moved.append(len(x)), best(x, centres))[1])
+    r = np.random.default_rng(2)
+    two = [np.concatenate([r.normal(0, 0.01, 11), r.normal(1, 0.01, 12)]) for _ in range(40)]
+    assert [T.gap_clusters(x, 2) for x in two] == [2] * 40
+    assert sum(moved) <= 2 * 40 + 2 * 20  # uniform numbers are clustered for the first scores only
+    one = r.random(23)
+    drawn = T.gap_clusters(one, 10)
+    getattr(T._drawn, "cache_clear", lambda: None)()
+    assert T.gap_clusters(one, 10) == drawn
