@@ -15,8 +15,8 @@ first ``n - ceil(0.8 n) + 1`` of either (its prefix), and in the smaller set eve
    those meet that have the same large passages, as similar sets must.
 4. Pairs are expanded to their members' sets and verified by the exact intersection of all 64 bits.
 
-So every similar pair is either verified, or inside one component of verified links: the components are exact. Sets
-are moved of nodes to verify only.
+So every similar pair is either verified, or inside one component of verified links: the components are exact. Of
+nodes to verify only one text is moved, and its set is made again where it is met.
 
 Defined cases: a null or wordless text has no shingles and is linked with nothing, its component its own id; a
 text of one to four words has one shingle, the whole sequence; null ids are never a component's name unless
@@ -206,20 +206,29 @@ def postings(docs: DataFrame, order: Order) -> DataFrame:
     return cut(rows.distinct())
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
-    """(node, own): the packed shingles of the nodes asked for; ``nodes`` has one document of each."""
+def _node_texts(docs: DataFrame, nodes: DataFrame, asked: DataFrame) -> DataFrame:
+    """(node, text) of the nodes asked for; ``nodes`` has one document of each. A packed text takes about half the bytes of its set."""
     spark = docs.sparkSession
     one = cut(nodes.join(asked.select("node").distinct(), "node", "left_semi").select("node", F.xxhash64("doc_id").alias("key")))
-    passes = spark.sparkContext.broadcast(KeyFilter.of(one, "key", one.count()))
+    many = one.count()
+    passes = spark.sparkContext.broadcast([KeyFilter.of(one, "key", many), KeyFilter.of(one, "node", many)])
 
     def run(batch: pa.RecordBatch) -> Iterator[dict]:
-        batch = batch.filter(pa.array(passes.value.passes(batch.column(0).to_numpy())))
+        batch = batch.filter(pa.array(passes.value[0].passes(batch.column(0).to_numpy())))
         for rows, data, offs in bs.slices(batch.column(1)):
-            sets = shingle_sets(data, offs)
-            yield {"key": batch.column(0).slice(rows.start, len(rows)), "node": [signature(x) for x in sets], "own": [x.tobytes() for x in sets]}
+            own = np.array([signature(x) for x in shingle_sets(data, offs)], np.int64)
+            ok = passes.value[1].passes(own)
+            key, text = (x.slice(rows.start, len(rows)).filter(pa.array(ok)) for x in batch.columns)
+            yield {"met": key, "node": own[ok], "text": text}
 
-    found = map_arrow(docs.select(F.xxhash64("doc_id").alias("key"), "text"), run, "key long, node long, own binary")
-    return found.join(one, ["node", "key"], "left_semi").dropDuplicates(["node"]).select("node", "own")
+    found = map_arrow(docs.select(F.xxhash64("doc_id").alias("key"), "text"), run, "met long, node long, text string")
+    # by node alone and never broadcast, so that the texts are dealt once, for this and what follows; met = key would be a key of the join
+    return found.join(one.hint("merge"), "node").where("met ^ key = 0").dropDuplicates(["node"]).select("node", "text")
+
+
+def _sets_of(texts: pa.Array) -> Iterator[np.ndarray]:
+    for _, data, offs in bs.slices(texts):
+        yield from shingle_sets(data, offs)
 
 
 def _meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -230,17 +239,13 @@ def _meet(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) with n_a, n_b and the size of their intersection; moves the sets of their nodes only."""
-    sets = _sets(docs, nodes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
+    """The pairs (a, b) with n_a, n_b and the size of their intersection; moves one text of each of their nodes, and no sets."""
+    texts = _node_texts(docs, nodes, pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))))
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
 
     def meet(batch: pa.RecordBatch) -> Iterator[dict]:
-        last, x = None, None
         out = {k: [] for k in ("na", "nb", "common")}
-        for own, other in zip(batch.column(2), batch.column(3), strict=True):
-            own, y = own.as_py(), np.frombuffer(other.as_py(), np.uint64)
-            if own != last:
-                last, x = own, np.frombuffer(own, np.uint64)
+        for x, y in zip(_sets_of(batch.column(2)), _sets_of(batch.column(3)), strict=True):
             small, large = (x, y) if len(x) < len(y) else (y, x)
             for name, v in (("na", len(x)), ("nb", len(y)), ("common", int(_meet(small, large).sum()))):
                 out[name].append(v)
@@ -279,7 +284,7 @@ def _unchecked(pairs: DataFrame, checked: DataFrame) -> DataFrame:
 
 def _stars(post: DataFrame, rank: Column, *by: str) -> DataFrame:
     """Each bucket's centre, the node of least rank, as x with its nodes as y that fit it by size and place."""
-    columns = [c for c in post.columns if c not in ("token", *by)]
+    columns = [c for c in post.columns if c not in ("token", "rare", "many", *by)]
     centre = post.groupBy("token", *by).agg(*[F.min_by(c, rank).alias(f"x_{c}") for c in columns], F.count("*").alias("many")).where("many > 1").drop("many")
     own = post.select("token", *by, *[F.col(c).alias(f"y_{c}") for c in columns])
     return own.join(cut(centre), ["token", *by]).where(_sizes_fit(F.col("x_n"), F.col("y_n")) & _place_fits())
@@ -325,12 +330,11 @@ def _must_share(docs: DataFrame, nodes: DataFrame, hot: DataFrame, order: Order)
     sizes = hot.select("node", "n").distinct()
 
     def members(batch: pa.RecordBatch) -> Iterator[dict]:
-        for node, own in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            x = np.frombuffer(own.as_py(), np.uint64)
+        for node, x in zip(batch.column(0).to_pylist(), _sets_of(batch.column(1)), strict=True):
             x = x[_meet(x, often.value)]
             yield {"token": x.view(np.int64), "node": np.full(len(x), node)}
 
-    held = cut(map_arrow(_sets(docs, nodes, sizes), members, "token long, node long"))
+    held = cut(map_arrow(_node_texts(docs, nodes, sizes), members, "token long, node long"))
     # two hashes of the set of nodes that have a shingle name its class
     classes = cut(held.groupBy("token").agg(F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")))
     weights = held.join(classes, "token").groupBy("node", "a", "b").agg(F.count("*").alias("w"))

@@ -7,12 +7,14 @@ import random
 import re
 import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
 from rondo.llm import bpe, compression, decontaminate, jaccard_join, language_model, line_dedup, rules, secret_scan, sharding, suffix_dedup
 from rondo.llm.components import components
+from rondo.sources.shared import settings
 
 WORD = "[^\x20\x09-\x0d]+"
 
@@ -498,3 +500,20 @@ def test_null_ids(spark):
     assert sorted(r.component_id is not None for r in jaccard_join.similar(docs).collect()) == [False, True, True]
     for out in (suffix_dedup.report(docs), bpe.digest(docs, public_tokenizers.path("word_bpe_49k.json")), language_model.score(docs), rules.judge(docs, labels), compression.classify(docs, labels), decontaminate.report(docs, bench), line_dedup.report(docs), secret_scan.scan(docs), sharding.shard(docs)):
         assert out.count() == 3
+
+
+def test_verified_pairs_move_each_text_once_and_no_sets(spark, monkeypatch):
+    r = random.Random(4)
+    texts = [" ".join(words[: 120 - k]) for words in [prose(r, 120).split() for _ in range(10)] for k in (0, 5)]
+    sets = [jaccard_join.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0] for t in texts]
+    name = [jaccard_join.signature(x) for x in sets]
+    docs, nodes = frame(spark, texts * 2), spark.createDataFrame(list(enumerate(name)), "doc_id long, node long")
+    pairs = spark.createDataFrame([(name[i], name[i + 1]) for i in range(0, 20, 2)], "a long, b long")
+    written, cut = [], jaccard_join.cut
+    monkeypatch.setattr(jaccard_join, "cut", lambda df, **options: (written.append(df), cut(df, **options))[1])
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}):
+        got = {(x.a, x.b): (x.na, x.nb, x.common) for x in jaccard_join.verified(docs, nodes, pairs).collect()}
+        plan = written[-1]._jdf.queryExecution().executedPlan().toString()
+    assert got == {(name[i], name[i + 1]): (len(sets[i]), len(sets[i + 1]), len(set(sets[i].tolist()) & set(sets[i + 1].tolist()))) for i in range(0, 20, 2)}
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line and "ReusedExchange" not in line]
+    assert len(dealt) == 4  # texts and what is asked for by node, pairs by b, and with the text of b by a
